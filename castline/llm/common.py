@@ -66,8 +66,14 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.work(key)
+        self.put(key, value)
+        return value
+
+    def put(self, key, value) -> None:
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
         self[key] = value
-        return value
+
+    def has(self, key) -> bool:
+        return key in self or key in self.old

@@ -104,8 +104,10 @@ def fit(documents: DataFrame) -> Model | None:
     return Model(langs, landmarks.astype(np.float32), np.vstack([root @ inner[:-1], inner[-1:]]).astype(np.float32))
 
 
-def identify(documents: DataFrame, model: Model | None) -> DataFrame:
-    """For every row of ``documents`` (doc_id, text): lang_pred and score; the language is never read.
+def identify(documents: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """For every row of ``documents`` (doc_id, text): lang_pred and score, beside the columns to ``keep``.
+
+    The documents' own language plays no part in it.
 
     ``und`` with score 0 stands for null texts and texts without a letter (so for empty ones), and
     for all texts if nothing was learned. Equal texts get equal results; null ids and repeated rows
@@ -117,7 +119,7 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(start, BATCH)
-                texts = [t or "" for t in batch.column(1).to_pylist()]
+                texts = [t or "" for t in batch.column(len(keep)).to_pylist()]
                 named, sure = ["und"] * len(texts), [0.0] * len(texts)
                 at = [i for i, t in enumerate(texts) if has_letter(t)] if model else []
                 if at:
@@ -125,10 +127,11 @@ def identify(documents: DataFrame, model: Model | None) -> DataFrame:
                     for i, row in zip(at, votes):
                         best = int(row.argmax())
                         named[i], sure[i] = model.langs[best], float(row[best])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(named, pa.string()), pa.array(sure, pa.float64())], names=["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(named, pa.string()), pa.array(sure, pa.float64())], names=[*keep, "lang_pred", "score"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    kinds = ", ".join(f"{c} {documents.schema[c].dataType.simpleString()}" for c in keep)
+    rows = documents.select(*keep, F.col("text").alias("_scored"))
+    return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
 def vote(model: Model, texts: list[str]) -> np.ndarray:

@@ -246,7 +246,9 @@ def tile_pairs(tiles: DataFrame, apart: str, within: str | None = None) -> DataF
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
-    """For every row of ``documents`` (doc_id, text): n_shingles and component_id.
+    """For every row of ``documents`` (doc_id, text): n_shingles, component_id, doc_key and kept.
+
+    ``doc_key`` hashes the row's id and text; ``kept`` marks the first document of a component.
 
     Documents whose sets have a Jaccard similarity of 0.75 or more are linked; component_id is
     the smallest doc_id reachable by links, the document itself included. Null texts and texts
@@ -259,13 +261,16 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     documents = documents.select("doc_id", "text")
     sets, counts = document_sets(documents)
     full = sets.where("set_a IS NOT NULL")
-    classes = stored(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first_id"), F.min("doc_key").alias("doc_key"), F.first("n_shingles").cast("int").alias("n"), F.first("bits").alias("bits")), "classes")
-    nodes = classes.select("set_a", "n", "bits", "doc_key")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "doc_key"))
+    classes = stored(full.groupBy("set_a", "set_b").agg(first.alias("first"), F.first("n_shingles").cast("int").alias("n"), F.first("bits").alias("bits")), "classes")
+    nodes = classes.select("set_a", "n", "bits", F.col("first.doc_key").alias("doc_key"))
     links = stored(links_of(documents, nodes, ranks(counts)), "links")
     parts = components(links).select(F.col("node").alias("set_a"), "component")
-    named = classes.select("set_a", "set_b", "first_id").join(parts, "set_a", "left").withColumn("component", F.coalesce("component", "set_a"))
-    smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    by_set = named.join(smallest, "component").select("set_a", "set_b", "component_id")
-    return full.select("doc_id", "n_shingles", "set_a", "set_b").join(by_set, ["set_a", "set_b"]).select("doc_id", "n_shingles", "component_id").unionByName(
-        sets.where("set_a IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    named = classes.select("set_a", "set_b", "first").join(parts, "set_a", "left").withColumn("component", F.coalesce("component", "set_a"))
+    smallest = named.groupBy("component").agg(F.min("first").alias("least"))
+    by_set = named.join(smallest, "component").select("set_a", "set_b", "least")
+    found = full.select("doc_id", "doc_key", "n_shingles", "set_a", "set_b").join(by_set, ["set_a", "set_b"])
+    kept = F.col("doc_key") == F.col("least.doc_key")
+    return found.select("doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"), "doc_key", kept.alias("kept")).unionByName(
+        sets.where("set_a IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "doc_key", F.lit(True).alias("kept"))
     )

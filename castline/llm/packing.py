@@ -9,6 +9,7 @@ with those of other tasks, in groups of a bounded size, until one group is left.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,6 +25,8 @@ from castline.llm.common import Memo, stored
 
 #: Distinct words, and distinct strings between spaces, that a worker keeps at most in each of two generations.
 MEMO = 250_000
+#: Texts whose new words are asked for together.
+TOGETHER = 500
 #: Id put after each document.
 END = 0
 #: Groups that are packed again together.
@@ -34,36 +37,60 @@ HANDED_ON = 4096
 STABLE = "ɐ"
 
 
-@functools.lru_cache(maxsize=2)
-def encoder(path: str):
-    """The text -> ids function of a worker, ids as little-endian unsigned 32-bit bytes.
+class Encoder:
+    """The text -> ids functions of a worker, ids as little-endian unsigned 32-bit bytes.
 
-    The vocabulary lower-cases, drops white space and never joins what it separates, so the
-    library is asked once for each distinct word.
+    The vocabulary lower-cases, drops white space, cuts between letters and signs and marks each
+    word's last token. So the library is given every distinct word once, many in one call, and
+    their ids are told apart by the marks; what is not letters and then signs goes to it as it is.
     """
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-
-    def ask(text: str) -> bytes:
-        return np.asarray(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    words = Memo(ask, MEMO)
-
-    def part(text: str) -> bytes:
-        if max(text, default="") < STABLE:
-            if text.isalpha():
-                return words[text.lower()]
-            if text[-1:] in (".", ",") and text[:-1].isalpha():
-                return words[text[:-1].lower()] + words[text[-1]]
-        return ask(text)
 
-    parts = Memo(part, MEMO)
+    def __init__(self, path: str):
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.words = Memo(self.ask, MEMO)
+        self.parts = Memo(self.part, MEMO)
+
+    def ask(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn(self, words: list[str]) -> None:
+        """Ask for many words of letters at once."""
+        ids = np.asarray(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words):
+            return  # each will be asked for by itself
+        own, start = ids.tobytes(), 0
+        for word, stop in zip(words, stops.tolist()):
+            self.words.put(word, own[4 * start : 4 * stop])
+            start = stop
+
+    def part(self, text: str) -> bytes:
+        found = letters_and_signs(text)
+        if found and found[1].isalpha() and max(text) < STABLE:
+            return self.words[found[1].lower()] + (self.words[found[2]] if found[2] else b"")
+        return self.ask(text)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts, which are cut at spaces and line ends first."""
+        cut = [text.replace("\n", " ").split(" ") for text in texts]
+        fresh = [x for x in set().union(*cut) if not self.parts.has(x)]
+        new = {found[1].lower() for x in fresh if (found := letters_and_signs(x)) and found[1].isalpha() and max(x) < STABLE}
+        if new := [w for w in new if not self.words.has(w)]:
+            self.learn(new)
+        return [b"".join(map(self.parts.__getitem__, x)) for x in cut]
+
+
+letters_and_signs = re.compile(r"([^\W\d_]+)([\W_]*)").fullmatch
 
-    def encode(text: str) -> bytes:
-        return b"".join(map(parts.__getitem__, text.replace("\n", " ").split(" ")))
 
-    return encode
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 class SumOfSquares:
@@ -120,13 +147,11 @@ def pack_documents(documents: DataFrame, path: str, size: int = 2048, keep_ids:
     schema = PIECE.format(kind=kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer, part = encoder(path), SumOfSquares(size), TaskContext.get().partitionId()
+        packer, part = SumOfSquares(size), TaskContext.get().partitionId()
         held: dict[int, list[tuple]] = {}  # pieces of open sequences
         done: list[tuple] = []
-        closing = np.array([END], "<u4").tobytes()
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text or "") + closing
+            for doc, ids in encoded(batch):
                 for piece, start in enumerate(range(0, len(ids) // 4, size)):
                     own = ids[4 * start : 4 * (start + size)]
                     length = len(own) // 4
@@ -144,6 +169,13 @@ def pack_documents(documents: DataFrame, path: str, size: int = 2048, keep_ids:
         for at in range(0, len(rest), 20_000):
             yield rows_batch(rest[at : at + 20_000], kind)
 
+    def encoded(batch: pa.RecordBatch) -> Iterator[tuple]:
+        closing = np.array([END], "<u4").tobytes()
+        for start in range(0, batch.num_rows, TOGETHER):
+            own = batch.slice(start, TOGETHER)
+            for doc, ids in zip(own.column(0).to_pylist(), encoder(path).encode([t or "" for t in own.column(1).to_pylist()])):
+                yield doc, ids + closing
+
     def rows_batch(rows: list[tuple], kind: str) -> pa.RecordBatch:
         names = [c.split()[0] for c in schema.split(", ")]
         kinds = [pa.int64() if kind == "bigint" else None, pa.int32(), *[pa.int64()] * 3, pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]

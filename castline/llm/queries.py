@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from castline.llm.bpe_automaton import encoding_digests
 from castline.llm.chat import format_turns
 from castline.llm.common import table
-from castline.llm.embedding_dedup import near_duplicates
+from castline.llm.embedding_dedup import near_duplicates as near_duplicate_vectors
 from castline.llm.language_id import fit, identify, remainder
+from castline.llm.line_templates import drop_repeated_lines
 from castline.llm.media import media_digests
+from castline.llm.ngram_join import near_duplicates as near_duplicate_documents
 from castline.llm.packing import pack_documents
 from castline.llm.token_counts import count_tokens
 from castline.llm.url_filters import judge_urls
@@ -22,6 +24,10 @@ BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
@@ -49,21 +55,27 @@ def op7_media_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drop_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), limit=512)
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
     "op3_chat_format": op3_chat_format,
     "op4_pack_sequences": op4_pack_sequences,
     "op5_url_filter": op5_url_filter,
     "op6_language_id": op6_language_id,
     "op7_media_features": op7_media_features,
+    "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
