@@ -34,9 +34,10 @@ PARSED = (
 
 
 def caps_lines(lines: DataFrame, by: str = "doc") -> DataFrame:
-    """Lines in capitals of a document with how often and where they stand; stage directions are left out."""
+    """Lines in capitals of a document with how often and where they stand, up to a line that ends the script; stage directions are left out."""
     line = strip(F.col("raw"))
-    found = lines.withColumn("line", line).where((F.col("line") != "") & ~is_stage_direction(F.col("line")) & is_caps_candidate(F.col("line")))
+    marked = lines.withColumn("line", line).withColumn("_end", F.min(F.when(line.startswith("END OF"), F.col("line_no"))).over(Window.partitionBy(by)))
+    found = marked.where((F.col("_end").isNull() | (F.col("line_no") < F.col("_end"))) & (F.col("line") != "") & ~is_stage_direction(F.col("line")) & is_caps_candidate(F.col("line")))
     return found.groupBy(by, "line").agg(F.count("*").alias("uses"), F.array_sort(F.collect_list("line_no")).alias("line_nos"))
 
 
