@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from castline.functions import text as t
 from castline.functions.exact import closest, nfc, round_exact, short_number, similarity, title_case
-from castline.operators import aggregates, impact, joins, matching, merge, scripts, sequence, timeline
+from castline.operators import aggregates, impact, joins, matching, merge, production, scripts, sequence, timeline
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -593,3 +593,42 @@ def exact_scalars(spark, sf_dir):
     near = closest(["small ring", "large bolt", "red gear"])
     parts = read(spark, sf_dir, "part")
     return parts.select("p_partkey", nfc(F.concat("p_name", F.lit("é"))).alias("composed"), title_case("p_name").alias("title"), short_number("p_retailprice").alias("price"), near("p_name").alias("near"), round_exact(F.col("p_retailprice") / 7, F.lit(2)).alias("seventh"))
+
+
+# Production
+
+
+@query("""WITH f AS (SELECT l_orderkey AS folder, l_partkey || '/' || l_linenumber AS path, CAST(l_quantity AS BIGINT) AS size, epoch_us(l_shipdate) AS modified, l_returnflag = 'R' AS keep FROM lineitem),
+    g AS (SELECT *, sum(size) OVER (PARTITION BY folder) AS total, coalesce(sum(CASE WHEN NOT keep THEN size END) OVER (PARTITION BY folder ORDER BY modified, size, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM f)
+    SELECT folder, path, size FROM g WHERE NOT keep AND total - before > 60""")
+def eviction_plan(spark, sf_dir):
+    files = read(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("folder"), F.concat_ws("/", "l_partkey", "l_linenumber").alias("path"), F.col("l_quantity").cast("long").alias("size"), F.col("l_shipdate").alias("modified"), (F.col("l_returnflag") == "R").alias("keep")
+    )
+    return production.eviction_plan(files, "folder", 60, F.col("keep")).select("folder", "path", "size")
+
+
+@query(f"""WITH {TURNS}, c AS (SELECT *, count(CASE WHEN type = 'direction' THEN 1 END) OVER w AS chapter_no, coalesce(last_value(CASE WHEN type = 'direction' THEN text END IGNORE NULLS) OVER w, 'Untitled') AS chapter
+        FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY seq ROWS UNBOUNDED PRECEDING))
+    SELECT conv_id, chapter_no, chapter, seq, 'p' AS kind, CASE WHEN speaker = 'user' THEN 'v1' ELSE 'narrator' END AS voice_id, text FROM c WHERE type = 'dialogue'""")
+def chapter_blocks(spark, sf_dir):
+    rows = turns(spark, sf_dir).withColumn("type", F.when(F.col("type") == "direction", "section_header").otherwise(F.col("type")))
+    return production.chapters(rows, spark.createDataFrame([("user", "v1")], "speaker string, voice_id string"), ["conv_id"], "narrator")
+
+
+@query("""WITH s AS (SELECT DISTINCT role AS speaker FROM conversations) SELECT speaker, CASE speaker WHEN 'user' THEN 'The Caller' ELSE upper(speaker[1]) || speaker[2:] END AS full_name,
+    CASE speaker WHEN 'user' THEN 'v7' ELSE 'TBD' END AS voice_id, CASE speaker WHEN 'user' THEN 0.5 ELSE 0.0 END::DOUBLE AS pan, CASE speaker WHEN 'user' THEN 'phone' ELSE '' END AS filter, 'TBD' AS role FROM s""")
+def cast_skeleton(spark, sf_dir):
+    speakers = read(spark, sf_dir, "conversations").select(F.col("role").alias("speaker")).distinct()
+    registry = spark.createDataFrame([("USER", "user", "The Caller", "", "v7", 0.5, "phone")], "display string, key string, full_name string, role string, voice_id string, pan double, filter string")
+    return production.cast_skeleton(speakers, registry)
+
+
+@query(f"""WITH e AS (SELECT p_size AS doc, p_partkey AS seq, {_CUE} AS cue, CASE WHEN p_retailprice < 950 THEN 'SFX/x/' || p_partkey || '.mp3' END AS src FROM part),
+    f AS (SELECT *, row_number() OVER (PARTITION BY doc, cue ORDER BY seq) AS k, CASE WHEN starts_with(cue, 'BEAT') THEN 1.0 WHEN starts_with(cue, 'PHONE FILTER') THEN 0.0 END AS quiet FROM e)
+    SELECT doc, seq, cue, CASE WHEN quiet IS NULL THEN 'sfx' ELSE 'silence' END AS type, CASE WHEN quiet IS NULL THEN src END AS source, CASE WHEN quiet IS NULL AND src IS NULL THEN cue END AS prompt,
+        CAST(coalesce(quiet, CASE WHEN starts_with(cue, 'AMBIENCE:') THEN 30.0 WHEN starts_with(cue, 'MUSIC:') THEN 15.0 ELSE 5.0 END) AS DOUBLE) AS seconds, quiet IS NULL AND starts_with(cue, 'AMBIENCE:') AS loop FROM f WHERE k = 1""")
+def sound_skeleton(spark, sf_dir):
+    source = F.when(F.col("p_retailprice") < 950, F.concat(F.lit("SFX/x/"), F.col("p_partkey").cast("string"), F.lit(".mp3")))
+    rows = read(spark, sf_dir, "part").select(F.col("p_size").alias("doc"), F.col("p_partkey").alias("seq"), F.lit("direction").alias("type"), F.expr(_CUE).alias("text"), source.alias("sfx_source"))
+    return production.sound_skeleton(rows, ["doc"])
