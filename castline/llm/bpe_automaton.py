@@ -42,6 +42,7 @@ class Automaton:
         self.rank = [-1] * len(vocabulary.labels)
         # state -> (state it was copied from, token cut, rank of the merge)
         self.gadgets: list[tuple[int, int, int]] = [(-1, -1, -1)]
+        self.never: set[int] = set()
         for (a, b), (rank, c) in vocabulary.merges.items():
             self.add_gadget(a, b, c, rank)
         self.cuts_of = functools.lru_cache(maxsize=4096)(self.cuts)
@@ -49,8 +50,9 @@ class Automaton:
 
     def add_gadget(self, a: int, b: int, c: int, rank: int) -> None:
         reached, beyond = self.target[a], self.target[b]
-        if not self.open(self.cuts(reached), b):
-            self.ids.pop(self.vocabulary.labels[c], None)  # b never follows a, so the merge never happens
+        if a in self.never or b in self.never or not self.open(self.cuts(reached), b):
+            self.never.add(c)  # b never follows a, so the merge never happens
+            self.ids.pop(self.vocabulary.labels[c], None)
             return
         self.left[c], self.rank[c] = a, rank
         self.target[c] = beyond
