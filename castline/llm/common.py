@@ -77,3 +77,9 @@ class Memo(dict):
 
     def has(self, key) -> bool:
         return key in self or key in self.old
+
+    def put_all(self, values: dict) -> None:
+        if len(self) + len(values) > self.most:
+            self.old = dict(self)
+            self.clear()
+        self.update(values)

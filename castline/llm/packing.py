@@ -26,7 +26,7 @@ from castline.llm.common import Memo, stored
 #: Distinct words, and distinct strings between spaces, that a worker keeps at most in each of two generations.
 MEMO = 250_000
 #: Texts whose new words are asked for together.
-TOGETHER = 500
+TOGETHER = 1000
 #: Id put after each document.
 END = 0
 #: Groups that are packed again together.
@@ -61,28 +61,42 @@ class Encoder:
     def learn(self, words: list[str]) -> None:
         """Ask for many words of letters at once."""
         ids = np.asarray(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        stops = np.flatnonzero(self.ends[ids]) + 1
+        stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
         if len(stops) != len(words):
             return  # each will be asked for by itself
-        own, start = ids.tobytes(), 0
-        for word, stop in zip(words, stops.tolist()):
-            self.words.put(word, own[4 * start : 4 * stop])
-            start = stop
+        own = ids.tobytes()
+        self.words.put_all({word: own[4 * start : 4 * stop] for word, start, stop in zip(words, [0, *stops], stops)})
 
     def part(self, text: str) -> bytes:
-        found = letters_and_signs(text)
-        if found and found[1].isalpha() and max(text) < STABLE:
-            return self.words[found[1].lower()] + (self.words[found[2]] if found[2] else b"")
-        return self.ask(text)
+        """One string between spaces; ``encode`` sees to most of them before they are missed."""
+        word, signs = split_word(text)
+        return self.words[word] + (self.words[signs] if signs else b"") if word else self.ask(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of texts, which are cut at spaces and line ends first."""
         cut = [text.replace("\n", " ").split(" ") for text in texts]
-        fresh = [x for x in set().union(*cut) if not self.parts.has(x)]
-        new = {found[1].lower() for x in fresh if (found := letters_and_signs(x)) and found[1].isalpha() and max(x) < STABLE}
-        if new := [w for w in new if not self.words.has(w)]:
+        parts, words = self.parts, self.words
+        fresh, known, made = set().union(*cut) - parts.keys(), parts.old, {}
+        split = []
+        for text in fresh:
+            if (ids := known.get(text)) is not None:
+                made[text] = ids
+            elif (found := split_word(text))[0]:
+                split.append((text, *found))
+        if new := list({word for _, word, _ in split} - words.keys() - words.old.keys()):
             self.learn(new)
-        return [b"".join(map(self.parts.__getitem__, x)) for x in cut]
+        for text, word, signs in split:
+            made[text] = words[word] + words[signs] if signs else words[word]
+        parts.put_all(made)
+        return [b"".join(map(parts.__getitem__, x)) for x in cut]
+
+
+def split_word(text: str) -> tuple[str, str]:
+    """The lower-cased letters and the signs of a string that is letters and then signs; else two empty strings."""
+    found = letters_and_signs(text)
+    if found and (text.isascii() or (found[1].isalpha() and max(text) < STABLE)):
+        return found[1].lower(), found[2]
+    return "", ""
 
 
 letters_and_signs = re.compile(r"([^\W\d_]+)([\W_]*)").fullmatch
