@@ -65,7 +65,7 @@ def near_pairs(reps: DataFrame, cosine: float) -> DataFrame:
     """Pairs (a, b) of classes (label, rep, embedding) of a label whose cosine reaches ``cosine``."""
     sample = reps.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < _share(reps)).limit(SAMPLE).select("embedding").toPandas()["embedding"]
     width = max([len(x) for x in sample], key=[len(x) for x in sample].count, default=0)
-    unit = np.array([np.asarray(x, float) / np.linalg.norm(np.asarray(x, float)) for x in sample if len(x) == width]).reshape(-1, width)
+    unit = np.array([np.asarray(x, float) / np.linalg.norm(np.asarray(x, float)) for x in sample if len(x) == width])
     mean, projection = learn_rotation(unit) if width else (np.zeros(0), np.zeros((0, BITS)))
 
     def code(batches):
