@@ -7,7 +7,7 @@ for each such shingle and band of sizes. In a tile, sizes and then bitmaps decid
 bits in which two hashed parity bitmaps differ bounds the overlap from above. Pairs that are
 left are settled by intersecting the sorted arrays.
 
-Equal sets are one class throughout. In a tile all sets are first compared with one leader;
+Equal sets are one class throughout. In a tile all sets are first compared with a few leaders;
 only sets that the leaders do not bring together are compared with each other.
 """
 
@@ -31,6 +31,8 @@ WORDS = 5
 ALIKE, PARTS = 75, 100
 #: Places of the table of shingle counts, whatever the number of documents, and rows in which it travels.
 PLACES, SLICES = 1 << 18, 64
+#: Leaders of a tile. All its sets are compared with them first, so many of a set's leaders in each round.
+LEADERS, STEPS = 16, (1, 3, 1_000_000)
 #: Distinct words whose hashes a worker keeps, in each of two generations.
 MEMO = 300_000
 TOP = np.uint64(1 << 63)
@@ -38,7 +40,7 @@ TOP = np.uint64(1 << 63)
 
 @functools.lru_cache(maxsize=1)
 def word_hashes() -> Memo:
-    return Memo(lambda w: xxhash.xxh64_intdigest(w), MEMO)
+    return Memo(lambda w: xxhash.xxh64_digest(w), MEMO)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -53,7 +55,7 @@ def shingles(text: str | None) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(word_hashes().__getitem__, words), np.uint64, len(words))
+    h = np.frombuffer(b"".join(map(word_hashes().__getitem__, words)), np.uint64)
     width = min(WORDS, len(words))
     n = len(words) - width + 1
     sums = h[:n].copy()
@@ -131,7 +133,7 @@ def first_shingles(items: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def tile_rows(documents: DataFrame, rank: np.ndarray) -> DataFrame:
-    """(shingle, set_a, n) for the first shingles of every set; a task gives the rows of equal sets once."""
+    """(shingle, place, set_a, n) for the first shingles of every set; a task gives the rows of equal sets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -149,7 +151,7 @@ def tile_rows(documents: DataFrame, rank: np.ndarray) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["set_a", "n", "first"])
 
     rows = documents.select("text").where("text IS NOT NULL").mapInArrow(run, "set_a long, n int, first array<long>")
-    return rows.select(F.explode("first").alias("shingle"), "set_a", "n")
+    return rows.select(F.posexplode("first").alias("place", "shingle"), "set_a", "n")
 
 
 def band(n: str) -> Column:
@@ -161,12 +163,16 @@ def band(n: str) -> Column:
 _fold = "aggregate(sequence(0, size({x}) div least(size(bits_a), size(bits_b)) - 1), transform(slice({x}, 1, least(size(bits_a), size(bits_b))), z -> 0L), (s, k) -> zip_with(s, slice({x}, k * least(size(bits_a), size(bits_b)) + 1, least(size(bits_a), size(bits_b))), (p, q) -> p ^ q))"
 _differ = f"aggregate(zip_with({_fold.format(x='bits_a')}, {_fold.format(x='bits_b')}, (p, q) -> bit_count(p ^ q)), 0, (s, c) -> s + c)"
 SIZES_FIT = f"{PARTS} * least(n_a, n_b) >= {ALIKE} * greatest(n_a, n_b)"
+#: If the shingle of a tile is the first that two sets share, no more can follow than the shorter rest.
+PLACES_FIT = f"{PARTS + ALIKE} * least(n_a - place_a, n_b - place_b) >= {ALIKE} * (n_a + n_b)"
 #: With an overlap of at most (n_a + n_b - differ) / 2 the sets can still be alike.
 BITS_FIT = f"{PARTS + ALIKE} * (n_a + n_b - {_differ}) >= {2 * ALIKE} * (n_a + n_b)"
 
 
-def side(nodes: DataFrame, end: str) -> DataFrame:
-    return nodes.select(F.col("set_a").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}"))
+def ruled_in(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their bitmaps do not rule out."""
+    side = lambda end: nodes.select(F.col("set_a").alias(end), F.col("n").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(F.expr(BITS_FIT)).select("a", "b")
 
 
 def settle(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -203,46 +209,60 @@ def items_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(wanted, "doc_key").select("set_a", "text").mapInArrow(run, "set_a long, items binary").dropDuplicates(["set_a"])
 
 
+def ends_of(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("set_a")).unionByName(pairs.select(F.col("b").alias("set_a"))).distinct()
+
+
+def grouped(rows: DataFrame, parts: DataFrame | None, *columns: str) -> DataFrame:
+    """Rows with the component of each of the columns; a set without links is its own."""
+    for c in columns:
+        if parts is None:
+            rows = rows.withColumn(f"part_{c}", F.col(c))
+        else:
+            rows = rows.join(parts.select(F.col("node").alias(c), "component"), c, "left").withColumn(f"part_{c}", F.coalesce("component", c)).drop("component")
+    return rows
+
+
 def links_of(documents: DataFrame, nodes: DataFrame, rank: np.ndarray) -> DataFrame:
     """Links (a, b) between the sets of ``nodes`` (set_a, n, bits, doc_key), enough of them to connect all that are alike."""
-    key = Window.partitionBy("shingle")
+    key, ends = Window.partitionBy("shingle"), nodes.select("set_a", "doc_key")
     met = tile_rows(documents, rank).withColumns({"low": F.min("set_a").over(key), "high": F.max("set_a").over(key)}).where("low < high")
-    met = stored(met.select("shingle", "set_a", "n", band("n").alias("band")).distinct(), "tiles")
-
-    # Each set and the leader of its tiles: the smallest one that its bitmap does not rule out.
-    leaders = met.groupBy("shingle", "band").agg(F.min("set_a").alias("a"))
-    led = met.join(leaders, ["shingle", "band"]).where("a < set_a").select("a", F.col("set_a").alias("b")).distinct()
-    led = led.join(side(nodes, "a"), "a").join(side(nodes, "b"), "b").where(SIZES_FIT).where(F.expr(BITS_FIT))
-    led = stored(led.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "led")
-    # A leader may be led by another one.
-    group = led.select("b", "a").join(led.select(F.col("b").alias("a"), F.col("a").alias("over")), "a", "left").select(F.col("b").alias("set_a"), F.coalesce("over", "a").alias("led_by"))
-    tiles = stored(met.join(group, "set_a", "left").withColumn("led_by", F.coalesce("led_by", "set_a")).join(nodes.select("set_a", "bits"), "set_a"), "grouped")
-
-    across = stored(tile_pairs(tiles, "led_by"), "across")
-    ends = led.unionByName(across)
-    wanted = ends.select(F.col("a").alias("set_a")).unionByName(ends.select(F.col("b").alias("set_a"))).distinct()
-    sets = stored(items_of(documents, wanted.join(nodes.select("set_a", "doc_key"), "set_a")), "items")
-    links = stored(settle(ends, sets), "settled")
-
-    # Sets that are not alike to their leader stand alone now; they meet those that were led with them.
-    true = led.join(links, ["a", "b"], "left_semi").select(F.col("b").alias("set_a"), F.col("a").alias("truly"))
-    apart = led.join(links, ["a", "b"], "left_anti").select(F.col("b").alias("set_a"))
-    split = apart.join(group, "set_a").select("led_by").distinct()
-    again = tiles.join(split, "led_by", "left_semi").join(true, "set_a", "left").withColumn("truly", F.coalesce("truly", "set_a"))
-    within = tile_pairs(again, "truly", "led_by")
-    return links.unionByName(settle(within, sets))
-
-
-def tile_pairs(tiles: DataFrame, apart: str, within: str | None = None) -> DataFrame:
-    """Pairs of sets in a tile that differ in ``apart`` (and agree in ``within``) and that sizes and bitmaps allow."""
-    low, high = F.min(apart).over(Window.partitionBy("shingle")), F.max(apart).over(Window.partitionBy("shingle"))
-    rows = tiles.withColumns({"low": low, "high": high}).where("low < high")
-    a = rows.select("shingle", F.col("set_a").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a"), F.col(apart).alias("apart_a"), F.col(within or apart).alias("within_a"), F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1)).alias("band"))
-    b = rows.select("shingle", F.col("set_a").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"), F.col(apart).alias("apart_b"), F.col(within or apart).alias("within_b"), "band")
-    fits = (F.col("a") < F.col("b")) & (F.col("apart_a") != F.col("apart_b")) & F.expr(SIZES_FIT) & F.expr(BITS_FIT)
-    if within:
-        fits = fits & (F.col("within_a") == F.col("within_b"))
-    return a.join(b, ["shingle", "band"]).where(fits).select("a", "b").distinct()
+    # Equal sets come from several tasks; dealt out by shingle, they meet here without another shuffle.
+    met = stored(met.groupBy("shingle", "set_a").agg(F.min("n").alias("n"), F.min("place").alias("place")).withColumn("band", band("n")), "tiles")
+
+    # Each set and the leaders of its tiles, as far as sizes, places and bitmaps allow.
+    turn = F.row_number().over(Window.partitionBy("shingle", "band").orderBy("set_a"))
+    leaders = met.withColumn("turn", turn).where(F.col("turn") <= LEADERS).select("shingle", "band", F.col("set_a").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"))
+    led = met.select("shingle", "band", F.col("set_a").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b")).join(leaders, ["shingle", "band"])
+    led = stored(ruled_in(led.where(f"a < b AND {SIZES_FIT} AND {PLACES_FIT}").select("a", "b").distinct(), nodes), "led")
+    items = stored(items_of(documents, ends_of(led).join(ends, "set_a")), "items")
+
+    # Rounds of exact comparisons; a set that has been linked needs no further leader of the same component.
+    links, parts, tried = None, None, 0
+    for step in STEPS:
+        order = Window.partitionBy("b").orderBy("a")
+        open_pairs = grouped(led.withColumn("turn", F.row_number().over(order)), parts, "a", "b").where("part_a != part_b")
+        found = settle(open_pairs.where((F.col("turn") > tried) & (F.col("turn") <= tried + step)).select("a", "b"), items)
+        links = stored(found if links is None else links.unionByName(found), "links")
+        parts = stored(components(links), "parts")
+        tried += step
+
+    # What the leaders did not bring together is compared pair by pair.
+    across = stored(ruled_in(tile_pairs(grouped(met, parts, "set_a")), nodes), "across")
+    more = items_of(documents, ends_of(across).join(items, "set_a", "left_anti").join(ends, "set_a"))
+    return links.unionByName(settle(across, stored(items.unionByName(more), "items")))
+
+
+def tile_pairs(tiles: DataFrame) -> DataFrame:
+    """Pairs of sets in a tile that lie in different components and that sizes and places allow."""
+    key = Window.partitionBy("shingle")
+    rows = tiles.withColumns({"low": F.min("part_set_a").over(key), "high": F.max("part_set_a").over(key)}).where("low < high")
+    columns = lambda end: [F.col(c).alias(f"{name}_{end}") for c, name in (("set_a", "set"), ("n", "n"), ("place", "place"), ("part_set_a", "part"))]
+    # The smaller set looks for sets in its own band and the next.
+    a = rows.select("shingle", *columns("a"), F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    b = rows.select("shingle", *columns("b"), "band")
+    met = a.join(b, ["shingle", "band"]).where(f"(n_a < n_b OR (n_a = n_b AND set_a < set_b)) AND part_a != part_b AND {SIZES_FIT} AND {PLACES_FIT}")
+    return met.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).distinct()
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
