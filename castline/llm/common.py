@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -58,9 +59,12 @@ class Memo(dict):
     generation, so frequent keys stay while memory stays under ``2 * most`` entries.
     """
 
+    made: list[weakref.ref] = []
+
     def __init__(self, work: Callable, most: int):
         super().__init__()
         self.work, self.most, self.old = work, most, {}
+        Memo.made.append(weakref.ref(self))
 
     def __missing__(self, key):
         value = self.old.get(key)
@@ -83,3 +87,12 @@ class Memo(dict):
             self.old = dict(self)
             self.clear()
         self.update(values)
+
+
+def forget_others(*mine: Memo) -> None:
+    """Empty all memos but these: a worker goes on from one operator's stage to the next one's."""
+    for known in Memo.made:
+        memo = known()
+        if memo is not None and not any(memo is m for m in mine):
+            memo.clear()
+            memo.old = {}

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from castline.llm.common import Memo, stored
+from castline.llm.common import Memo, forget_others, stored
 from castline.llm.components import components
 
 WORDS = 5
@@ -79,6 +79,7 @@ def document_sets(documents: DataFrame) -> tuple[DataFrame, np.ndarray]:
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(word_hashes())
         counts = np.zeros(PLACES, np.int64)
         names = ["doc_id", "doc_key", "n_shingles", "set_a", "set_b", "bits", "slice", "counts"]
         types: list = []
@@ -136,6 +137,7 @@ def tile_rows(documents: DataFrame, rank: np.ndarray) -> DataFrame:
     """(shingle, place, set_a, n) for the first shingles of every set; a task gives the rows of equal sets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(word_hashes())
         seen: set[int] = set()
         for batch in batches:
             out: list[tuple] = []
@@ -195,6 +197,7 @@ def items_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """(set_a, items) for the documents whose doc_key is wanted: the sorted array as bytes, once for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(word_hashes())
         seen: set[int] = set()
         for batch in batches:
             names, items = [], []

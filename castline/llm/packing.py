@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from castline.llm.common import Memo, stored
+from castline.llm.common import Memo, forget_others, stored
 
 #: Distinct words, and distinct strings between spaces, that a worker keeps at most in each of two generations.
 MEMO = 250_000
@@ -161,6 +161,7 @@ def pack_documents(documents: DataFrame, path: str, size: int = 2048, keep_ids:
     schema = PIECE.format(kind=kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_others(encoder(path).words, encoder(path).parts)
         packer, part = SumOfSquares(size), TaskContext.get().partitionId()
         held: dict[int, list[tuple]] = {}  # pieces of open sequences
         done: list[tuple] = []
