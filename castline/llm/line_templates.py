@@ -9,15 +9,16 @@ recurs in several documents is dropped from all but the first of them.
 from __future__ import annotations
 
 import functools
+import math
 import re
 from collections.abc import Iterator
-from itertools import chain, groupby
+from itertools import chain, groupby, pairwise
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from castline.llm.common import Memo, forget_others, stored
@@ -28,8 +29,10 @@ DEPTH = 4
 ALIKE = 0.8
 #: Documents in which a template must occur to be dropped; short lines recur by chance and need more.
 MIN_DOCS, SHORT_TOKENS, MIN_DOCS_SHORT = 3, 5, 20
-#: Distinct lines of a leaf that are compared with each other; larger leaves are dealt out to blocks of about this size.
-BLOCK = 2000
+#: Templates of a leaf up to which a line is compared with all of them; from there on an index finds those that it can join.
+SCAN = 64
+#: Rows of one Arrow batch.
+BATCH = 2000
 VARIABLE = "<*>"
 #: Distinct tokens whose marks a worker keeps, in each of two generations.
 MEMO = 300_000
@@ -88,53 +91,90 @@ def doc_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def templates_of(rows: list[tuple]) -> list[tuple[int, int, int]]:
-    """(leaf, own, template) for the lines (leaf, block, docs, own, marks) of one leaf's block.
+class Leaf:
+    """The templates of one leaf, whose lines have ``width`` tokens.
 
-    The most frequent lines come first. A line joins the template with which it agrees most, if
-    in ALIKE of all places, and makes the places variable in which it differs.
+    A line joins the template with which it agrees most, if in ALIKE of all places, and makes the
+    places variable in which it differs. The places after the leading ones are cut into one more
+    segment than places may differ, so a line and a template that it can join have a segment in
+    common: the index by segments finds the same templates as a comparison with all of them.
     """
-    rows = sorted(rows, key=lambda r: (-r[2], r[3]))
-    variable = int.from_bytes(token_marks()[VARIABLE], "little")
-    lines = np.array([np.frombuffer(r[4], "<u2") for r in rows])
-    lines[lines == variable] = 0
-    found = np.zeros_like(lines)
-    chosen, n = np.zeros(len(lines), int), 0
-    for i, line in enumerate(lines):
-        if n:
-            same = (found[:n] == line).sum(axis=1)
+
+    def __init__(self, width: int):
+        self.need = math.ceil(ALIKE * width)
+        segments = width - self.need + 1
+        cuts = [2 * (DEPTH + (width - DEPTH) * i // segments) for i in range(segments + 1)]
+        self.cuts = list(enumerate(pairwise(cuts)))
+        self.found = np.zeros((8, width), "<u2")
+        self.names: list[int] = []
+        self.index: dict[tuple[int, bytes], list[int]] = {}
+
+    def keys(self, line: np.ndarray) -> list[tuple[int, bytes]]:
+        flat = line.tobytes()
+        return [(i, flat[start:stop]) for i, (start, stop) in self.cuts]
+
+    def put(self, k: int, known: tuple = ()) -> None:
+        """Enter a template into the index by the keys that it has not been entered by."""
+        for key in self.keys(self.found[k]):
+            if key not in known:
+                self.index.setdefault(key, []).append(k)
+
+    def join(self, line: np.ndarray, own: int) -> int:
+        """The name of the template that the line joins, or of the new one that it starts: the first line's ``own``."""
+        n = len(self.names)
+        indexed = n > SCAN
+        near = sorted(set().union(*(self.index.get(key, ()) for key in self.keys(line)))) if indexed else range(n)
+        if near:
+            same = (self.found[near if indexed else slice(n)] == line).sum(axis=1)
             best = int(same.argmax())
-            if same[best] >= ALIKE * lines.shape[1]:
-                found[best][found[best] != line] = 0
-                chosen[i] = best
-                continue
-        found[n], chosen[i] = line, n
-        n += 1
-    names = [signed(xxhash.xxh64_intdigest(found[k].tobytes())) for k in range(n)]
-    return [(r[0], r[3], names[k]) for r, k in zip(rows, chosen)]
+            if same[best] >= self.need:
+                k = near[best]
+                if same[best] < len(line):
+                    known = tuple(self.keys(self.found[k])) if indexed else ()
+                    self.found[k][self.found[k] != line] = 0
+                    if indexed:
+                        self.put(k, known)
+                return self.names[k]
+        if n == len(self.found):
+            self.found = np.concatenate([self.found, np.zeros_like(self.found)])
+        self.found[n] = line
+        self.names.append(own)
+        if n >= SCAN:
+            for k in range(n + 1) if n == SCAN else (n,):
+                self.put(k)
+        return own
 
 
 def shared_templates(lines: DataFrame) -> DataFrame:
-    """(leaf, own, template) for lines that share a leaf with other lines; the others are their own template."""
+    """(leaf, own, template) for lines that share a leaf with other lines; the others are their own template.
+
+    The most frequent lines of a leaf come first. A leaf is read as a stream by one task, which
+    keeps its templates and not its lines.
+    """
     long = lines.where(F.col("tokens") > DEPTH)
     crowded = long.groupBy("leaf").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low < high").select("leaf")
     distinct = long.select("leaf", "own", "marks").join(crowded, "leaf").groupBy("leaf", "own").agg(F.count("*").alias("docs"), F.first("marks").alias("marks"))
-    size = F.count("*").over(Window.partitionBy("leaf"))
-    blocks = distinct.withColumn("block", F.pmod("own", F.ceil(size / BLOCK))).select("leaf", "block", "docs", "own", "marks")
     schema = pa.schema([("leaf", pa.int64()), ("own", pa.int64()), ("template", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        variable = int.from_bytes(token_marks()[VARIABLE], "little")
         rows = chain.from_iterable(zip(*(column.to_pylist() for column in batch.columns)) for batch in batches)
         out: list[tuple] = []
-        for _, own in groupby(rows, key=itemgetter(0, 1)):
-            out += templates_of(list(own))
-            if len(out) > BLOCK:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
-                out = []
+        for leaf, members in groupby(rows, key=itemgetter(0)):
+            known = None
+            for _, _, own, marks in members:
+                line = np.frombuffer(marks, "<u2").copy()
+                line[line == variable] = 0
+                known = known or Leaf(len(line))
+                out.append((leaf, own, known.join(line, own)))
+                if len(out) >= BATCH:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
+                    out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
-    return blocks.repartition("leaf", "block").sortWithinPartitions("leaf", "block").mapInArrow(run, "leaf long, own long, template long")
+    ordered = distinct.select("leaf", "docs", "own", "marks").repartition("leaf").sortWithinPartitions("leaf", F.desc("docs"), "own")
+    return ordered.mapInArrow(run, "leaf long, own long, template long")
 
 
 def repeated_lines(documents: DataFrame) -> DataFrame:

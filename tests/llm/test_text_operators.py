@@ -170,6 +170,26 @@ def test_lines_equal_the_tree(spark):
         assert r.n_dropped == sum(1 for i, _ in gone if i == r.doc_id)
 
 
+def test_lines_of_a_large_leaf(spark):
+    rng = random.Random(5)
+
+    def line():
+        return ["one", "two", "three", "four", *(f"{rng.choice('abcdefgh')}{rng.choice('klmnopqr')}{rng.choice('stuvwxyz')}" for _ in range(8))]
+
+    made = [line() for _ in range(2600)]
+    for tokens in [line() for _ in range(60)]:
+        at = rng.randrange(4, 12)
+        for _ in range(6):
+            made.append([*tokens[:at], rng.choice(["7", "xx", "yy", "zz", "ww"]), *tokens[at + 1 :]])
+    rng.shuffle(made)
+    rows = [(i, " ".join(tokens)) for i, tokens in enumerate(made)]
+    assert len({t for _, t in rows}) > 2000
+    gone = dropped(rows)
+    assert len(gone) > 200
+    got = line_templates.drop_repeated_lines(frame(spark, [(i, t, "x") for i, t in rows])).where("n_dropped = 1").collect()
+    assert {(r.doc_id, 0) for r in got} == gone
+
+
 def test_lines_of_odd_rows(spark):
     line = "the same line in many documents"
     docs = frame(spark, [(None, line, None), (1, line, None), (1, line, None), (2, line + "\nown words", None)])
