@@ -2,22 +2,24 @@
 
 Each piece goes where the squared counts of open sequences, by residual gap, sum to least
 afterwards: into one of the gaps that hold it, or into a new sequence. Every task packs what it
-tokenises; sequences that are still open at its end are taken apart and packed again together
-with those of other tasks, in groups of a bounded size, until one group is left.
+tokenises; sequences that are still open at its end are taken apart, and the pieces of all tasks
+packed again together, longest first into the smallest gap. Pieces of one length are alike, so
+this is planned from the number of pieces of each length; tasks look their pieces up in the plan.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -29,10 +31,6 @@ MEMO = 250_000
 TOGETHER = 1000
 #: Id put after each document.
 END = 0
-#: Groups that are packed again together.
-FAN = 32
-#: Open sequences that a group hands on at most: those with the largest gaps. The others stay as they are.
-HANDED_ON = 4096
 #: Below this letter no letter changes under canonical composition, so words may be lower-cased first.
 STABLE = "ɐ"
 
@@ -140,11 +138,11 @@ class SumOfSquares:
         return sequence, size - gap, left
 
 
-PIECE = "doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids array<int>, sequence_id long, offset long, open boolean, part long"
+PIECE = "doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids array<int>, sequence_id long, offset long, open boolean, part long, nth long"
 
 
 def number(level: int, part: int, sequence: int) -> int:
-    """A sequence's id: the level, the task or group that made it, and its number there."""
+    """A sequence's id: the level (0 in a task, 1 from the plan of all tasks), the task that made it, and its number there."""
     return level << 58 | part << 28 | sequence
 
 
@@ -171,18 +169,25 @@ def pack_documents(documents: DataFrame, path: str, size: int = 2048, keep_ids:
                     own = ids[4 * start : 4 * (start + size)]
                     length = len(own) // 4
                     sequence, offset, left = packer.place(length)
-                    row = (doc, piece, start, length, zlib.crc32(own), np.frombuffer(own, "<u4").astype(np.int32) if keep_ids else None, number(0, part, sequence), offset, left > 0, part)
+                    row = (doc, piece, start, length, zlib.crc32(own), np.frombuffer(own, "<u4").astype(np.int32) if keep_ids else None, number(0, part, sequence), offset, left > 0, part, 0)
                     if left:
                         held.setdefault(sequence, []).append(row)
                     else:
-                        done += [(*r[:8], False, part) for r in held.pop(sequence, [])]
+                        done += [(*r[:8], False, part, 0) for r in held.pop(sequence, [])]
                         done.append(row)
             if done:
                 yield rows_batch(done, kind)
                 done = []
-        rest = hand_on(list(held.values()), size)
-        for at in range(0, len(rest), 20_000):
-            yield rows_batch(rest[at : at + 20_000], kind)
+        seen: Counter[int] = Counter()
+        for rows in held.values():
+            for r in rows:
+                done.append((*r[:10], seen[r[3]]))
+                seen[r[3]] += 1
+            if len(done) >= 20_000:
+                yield rows_batch(done, kind)
+                done = []
+        if done:
+            yield rows_batch(done, kind)
 
     def encoded(batch: pa.RecordBatch) -> Iterator[tuple]:
         closing = np.array([END], "<u4").tobytes()
@@ -193,44 +198,76 @@ def pack_documents(documents: DataFrame, path: str, size: int = 2048, keep_ids:
 
     def rows_batch(rows: list[tuple], kind: str) -> pa.RecordBatch:
         names = [c.split()[0] for c in schema.split(", ")]
-        kinds = [pa.int64() if kind == "bigint" else None, pa.int32(), *[pa.int64()] * 3, pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
+        kinds = [pa.int64() if kind == "bigint" else None, pa.int32(), *[pa.int64()] * 3, pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     rows = stored(documents.select("doc_id", "text").mapInArrow(run, schema), "pieces")
-    parts = (rows.agg(F.max("part")).first()[0] or 0) + 1
-    finished = [rows.where("not open")]
-    level = 0
-    while True:
-        level += 1
-        group = F.floor(F.col("part") / FAN)
-        again = rows.where("open").withColumn("part", group.cast("long"))
-        parts = -(-parts // FAN)
-        rows = stored(again.groupBy("part").applyInPandas(functools.partial(pack_again, size=size, level=level), schema), "repacked")
-        finished.append(rows.where("not open") if parts > 1 else rows)
-        if parts <= 1:
-            break
-    result = functools.reduce(DataFrame.unionByName, finished)
-    return result.select("doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids, "sequence_id", "offset")
-
-
-def hand_on(sequences: list[list[tuple]], size: int) -> list[tuple]:
-    """Rows of unfinished sequences; only HANDED_ON of them, those with the largest gaps, stay open."""
-    sequences.sort(key=lambda rows: sum(r[3] for r in rows))
-    return [(*r[:8], i < HANDED_ON, r[9]) for i, rows in enumerate(sequences) for r in rows]
-
-
-def pack_again(rows: pd.DataFrame, size: int, level: int) -> pd.DataFrame:
-    """Pack the pieces of a group's open sequences anew, longest first."""
-    rows = rows.sort_values(["length", "ids_crc32", "piece"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
-    packer, part = SumOfSquares(size), int(rows["part"].iloc[0])
-    placed = [packer.place(int(n)) for n in rows["length"]]
-    filled = np.zeros(packer.made, np.int64)
-    for (sequence, _, _), n in zip(placed, rows["length"]):
-        filled[sequence] += n
-    still = np.zeros(packer.made, bool)
-    still[np.argsort(filled, kind="stable")[:HANDED_ON]] = True
-    still &= filled < size
-    rows["sequence_id"] = [number(level, part, s) for s, _, _ in placed]
-    rows["offset"] = [o for _, o, _ in placed]
-    rows["open"] = [bool(still[s]) for s, _, _ in placed]
-    return rows
+    columns = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids, "sequence_id", "offset"]
+    loose = rows.where("open")
+    counts = {n: count for n, count in loose.groupBy("length").count().collect()}
+    made, plan = plan_of(counts, size)
+    if made >= loose.select("sequence_id").distinct().count():
+        return rows.select(columns)  # the tasks' own sequences are no more
+
+    # A piece's place among all of its length: those of earlier tasks come first.
+    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = loose.groupBy("part", "length").count().select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    ranked = loose.join(tasks, ["part", "length"]).withColumn("nth", F.col("nth") + F.col("before")).select(*columns[:-2], "nth")
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sequences, offsets = placed(plan, batch.column("length").to_numpy(), batch.column("nth").to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(number(1, 0, 0) + sequences), pa.array(offsets)], names=columns)
+
+    again = ranked.mapInArrow(look_up, rows.select(columns).schema)
+    return rows.where("not open").select(columns).unionByName(again)
+
+
+def plan_of(counts: dict[int, int], size: int) -> tuple[int, dict[int, np.ndarray]]:
+    """The number of sequences that hold so many pieces of each length, and for each length its runs of pieces.
+
+    Every piece, longest first, goes into the smallest gap that holds it. Sequences with equal gaps
+    are alike and treated together, so the work and the plan grow with ``size`` and not with the
+    pieces. A run is (first piece, first sequence, pieces in each sequence, offset).
+    """
+    made, plan = 0, {}
+    open_: dict[int, list[tuple[int, int]]] = {}  # by gap: (first sequence, number)
+    for length in sorted(counts, reverse=True):
+        runs, at, left = [], 0, counts[length]
+        gaps = [gap for gap in open_ if gap >= length]
+        heapq.heapify(gaps)
+        while left:
+            if gaps:
+                gap = gaps[0]
+                first, n = open_[gap].pop()
+                if not open_[gap]:
+                    del open_[gap]
+                    heapq.heappop(gaps)
+            else:
+                gap, first, n = size, made, -(-left // (size // length))
+                made += n
+            each = gap // length
+            whole = min(n, left // each)
+            # Sequences that take as many as they hold, one that takes the rest, those that stay as they are.
+            for take, count in ((each, whole), (left - each * whole if whole < n else 0, 1)):
+                if take and count:
+                    runs.append((at, first, take, size - gap))
+                    if gap > take * length:
+                        open_.setdefault(gap - take * length, []).append((first, count))
+                    at, left, first, n = at + take * count, left - take * count, first + count, n - count
+            if n:
+                open_.setdefault(gap, []).append((first, n))
+        plan[length] = np.array(runs, np.int64)
+    return made, plan
+
+
+def placed(plan: dict[int, np.ndarray], lengths: np.ndarray, nth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sequences and offsets of pieces, which are told by their lengths and their places among those of equal length."""
+    sequences, offsets = np.zeros(len(nth), np.int64), np.zeros(len(nth), np.int64)
+    for length in np.unique(lengths):
+        at = lengths == length
+        runs = plan[int(length)]
+        first, sequence, each, offset = runs[np.searchsorted(runs[:, 0], nth[at], "right") - 1].T
+        own = nth[at] - first
+        sequences[at], offsets[at] = sequence + own // each, offset + own % each * length
+    return sequences, offsets

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 from castline.llm.bpe_automaton import Automaton, encode_texts, encoding_digests
 from castline.llm.byte_pairs import Vocabulary
-from castline.llm.packing import SumOfSquares, pack_documents
+from castline.llm.packing import SumOfSquares, pack_documents, placed, plan_of
 from castline.llm.token_counts import count_tokens, count_word
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -113,6 +113,39 @@ def test_packing_many_parts(spark):
     assert rows.sequence_id.nunique() <= 1.02 * -(-rows.length.sum() // 2048) + 1
 
 
+def test_packing_of_complementary_tasks(spark):
+    words = F.when(F.col("id") < 6000, 33 + F.col("id") % 3).otherwise(25 + F.col("id") % 3).cast("int")
+    docs = spark.range(0, 12000, 1, 2).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), words).alias("text"))
+    rows = pack_documents(docs, WORD, size=64).toPandas()
+    assert rows.doc_id.nunique() == len(rows) == 12000
+    own = rows.sort_values(["sequence_id", "offset"])
+    assert (own.offset == own.groupby("sequence_id").length.cumsum() - own.length).all()
+    assert own.groupby("sequence_id").length.sum().max() <= 64
+    assert rows.sequence_id.nunique() == 6000
+
+
+def test_plan_equals_best_fit():
+    rng = random.Random(6)
+    for _ in range(40):
+        size = rng.randint(5, 60)
+        lengths = sorted((rng.randint(1, size - 1) for _ in range(rng.randint(1, 300))), reverse=True)
+        gaps = []
+        for n in lengths:
+            best = min((g for g in gaps if g >= n), default=None)
+            if best is not None:
+                gaps.remove(best)
+            gaps.append((size if best is None else best) - n)
+        made, plan = plan_of({n: lengths.count(n) for n in lengths}, size)
+        assert made == len(gaps)
+        nth = np.array([lengths[:i].count(n) for i, n in enumerate(lengths)])
+        taken = np.zeros((made, size), int)
+        for n, sequence, offset in zip(lengths, *placed(plan, np.array(lengths), nth)):
+            taken[sequence, offset : offset + n] += 1
+            assert offset + n <= size
+        assert taken.max() == 1 and taken.sum() == sum(lengths)
+        assert sorted(size - taken.sum(axis=1)) == sorted(gaps)
+
+
 def test_sum_of_squares_places_where_squares_are_least():
     rng = random.Random(4)
     packer, fill = SumOfSquares(12), {}
