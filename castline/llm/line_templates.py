@@ -3,7 +3,8 @@
 Lines are led through a tree of fixed depth: by their number of tokens, then by their leading
 tokens, tokens with digits being variable from the start. Lines that reach the same leaf and
 agree in most places share a template, whose differing places are variable. A template that
-recurs in several documents is dropped from all but the first of them.
+recurs in several documents is dropped from all but the first of them, and a long line as soon
+as it recurs in a second one.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ DEPTH = 4
 ALIKE = 0.8
 #: Documents in which a template must occur to be dropped; short lines recur by chance and need more.
 MIN_DOCS, SHORT_TOKENS, MIN_DOCS_SHORT = 3, 5, 20
+#: Lines of so many tokens do not recur by chance: equal ones, digits aside, are dropped from the second document on.
+LONG_TOKENS = 50
 #: Templates of a leaf up to which a line is compared with all of them; from there on an index finds those that it can join.
 SCAN = 64
 #: Rows of one Arrow batch.
@@ -181,19 +184,28 @@ def repeated_lines(documents: DataFrame) -> DataFrame:
     """(doc_id, doc_key, drop): the numbers of the lines of each document whose template occurs in an earlier one."""
     lines = stored(lines_of(documents), "lines")
     shared = shared_templates(lines)
+    template = F.coalesce("template", "own")
+    # A long line also goes by itself; ``exact`` tells the two kinds of names apart.
+    names = F.array(F.struct(template.alias("template"), F.lit(False).alias("exact")))
+    both = F.array(F.struct(template.alias("template"), F.lit(False).alias("exact")), F.struct(F.col("own").alias("template"), F.lit(True).alias("exact")))
     named = stored(
-        lines.drop("marks").join(shared, ["leaf", "own"], "left").select("doc_id", "doc_key", "line_no", "tokens", "leaf", F.coalesce("template", "own").alias("template")), "templates"
+        lines.drop("marks")
+        .join(shared, ["leaf", "own"], "left")
+        .select("doc_id", "doc_key", "line_no", "tokens", "leaf", F.explode(F.when(F.col("tokens") < LONG_TOKENS, names).otherwise(both)).alias("name"))
+        .select("doc_id", "doc_key", "line_no", "tokens", "leaf", "name.template", "name.exact"),
+        "templates",
     )
     doc = F.struct("doc_id", "doc_key")
+    least = F.when(F.col("exact"), 2).when(F.col("tokens") < SHORT_TOKENS, MIN_DOCS_SHORT).otherwise(MIN_DOCS)
     recurring = (
-        named.select("leaf", "template", "tokens", "doc_id", "doc_key")
+        named.select("leaf", "template", "exact", "tokens", "doc_id", "doc_key")
         .distinct()
-        .groupBy("leaf", "template", "tokens")
+        .groupBy("leaf", "template", "exact", "tokens")
         .agg(F.count("*").alias("docs"), F.min(doc).alias("first_doc"))
-        .where(F.col("docs") >= F.when(F.col("tokens") < SHORT_TOKENS, MIN_DOCS_SHORT).otherwise(MIN_DOCS))
-        .select("leaf", "template", "first_doc")
+        .where(F.col("docs") >= least)
+        .select("leaf", "template", "exact", "first_doc")
     )
-    return named.join(recurring, ["leaf", "template"]).where(~doc.eqNullSafe(F.col("first_doc"))).groupBy("doc_id", "doc_key").agg(F.collect_set("line_no").alias("drop"))
+    return named.join(recurring, ["leaf", "template", "exact"]).where(~doc.eqNullSafe(F.col("first_doc"))).groupBy("doc_id", "doc_key").agg(F.collect_set("line_no").alias("drop"))
 
 
 def drop_repeated_lines(documents: DataFrame) -> DataFrame:

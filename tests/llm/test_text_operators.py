@@ -190,6 +190,22 @@ def test_lines_of_a_large_leaf(spark):
     assert {(r.doc_id, 0) for r in got} == gone
 
 
+def test_long_lines_of_two_documents(spark):
+    rng = random.Random(8)
+
+    def words(n):
+        return [f"{rng.choice('abcdefgh')}{rng.choice('klmnopqr')}{rng.choice('stuvwxyz')}" for _ in range(n)]
+
+    passage, short, varied = words(60), words(49), words(60)
+    rows = []
+    for i in range(2):
+        other = [*varied[:30], "onlyhere" if i else "onlythere", *varied[31:]]
+        rows.append((i, "\n".join(" ".join(x) for x in (words(70), [*passage, f"v{i}"], short, other, words(80)))))
+    got = {r.doc_id: (r.n_dropped, r.text) for r in line_templates.drop_repeated_lines(frame(spark, [(i, t, "x") for i, t in rows])).collect()}
+    kept = [line for at, line in enumerate(rows[1][1].split("\n")) if at != 1]
+    assert got == {0: (0, rows[0][1]), 1: (1, "\n".join(kept))}
+
+
 def test_lines_of_odd_rows(spark):
     line = "the same line in many documents"
     docs = frame(spark, [(None, line, None), (1, line, None), (1, line, None), (2, line + "\nown words", None)])
