@@ -9,6 +9,7 @@ Batches of texts are scored by matrix products with the landmarks and the weight
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,10 +19,12 @@ from pyspark.sql import functions as F
 
 #: Presence features: n-grams are hashed to so many places.
 PLACES = 8192
-#: Bounds of the training sample: rows of each language, landmarks in all.
-TRAIN_PER_LANG, LANDMARKS = 800, 128
-#: Languages that are learned at most: the most frequent ones.
-LANGS = 200
+#: Bounds of the training sample: rows of each language, rows in all where languages are many, and landmarks (one of each language at least).
+TRAIN_PER_LANG, TRAIN_ROWS, LANDMARKS = 800, 160_000, 128
+#: Rows of each language below which the bound of all rows does not press it, so that chance leaves none out.
+LEAST_PER_LANG = 20
+#: Training rows that are unpacked together.
+TOGETHER = 4096
 RIDGE = 1e-3
 #: Texts scored in one matrix product.
 BATCH = 256
@@ -60,21 +63,21 @@ def remainder(doc_id: Column) -> Column:
 def fit(documents: DataFrame) -> Model | None:
     """Learn from labelled rows that are not held out.
 
-    At most ``TRAIN_PER_LANG`` texts of each language are taken, by the hash of their ids, so the
-    same rows come again on every run. Presence rows are made by the executors and reach the
-    driver as packed bits, one kilobyte for each text. Without labelled rows the result is None.
+    All languages are learned. At most ``TRAIN_PER_LANG`` texts of each are taken, fewer where that
+    would be over ``TRAIN_ROWS``, by the hash of their ids, so the same rows come again on every run.
+    Presence rows are made by the executors and reach the driver as packed bits, one kilobyte for
+    each text. Without labelled rows the result is None.
     """
     labelled = documents.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (remainder(F.col("doc_id")) != 2))
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()
+    counts = labelled.groupBy("lang").count().collect()
     if not counts:
         return None
     spread = 1 << 30
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(spread))
+    per_lang = max(LEAST_PER_LANG, min(TRAIN_PER_LANG, TRAIN_ROWS // len(counts)))
     # A little under the bound, so that chance seldom exceeds it; ``limit`` below makes it sure.
-    chosen = F.lit(False)
-    for lang, n in counts:
-        chosen = chosen | ((F.col("lang") == lang) & (draw < int(spread * min(1.0, 0.9 * TRAIN_PER_LANG / n))))
-    sample = labelled.where(chosen).limit(len(counts) * TRAIN_PER_LANG)
+    shares = documents.sparkSession.createDataFrame([(lang, int(spread * min(1.0, 0.9 * per_lang / n))) for lang, n in counts], "lang string, share long")
+    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(spread))
+    sample = labelled.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("doc_id", "text", "lang").limit(len(counts) * per_lang)
 
     def pack(batches):
         for batch in batches:
@@ -85,21 +88,37 @@ def fit(documents: DataFrame) -> Model | None:
     langs = sorted({r[0] for r in rows})
     if not rows:
         return None
-    x = np.unpackbits(np.array([np.frombuffer(r[2], np.uint8) for r in rows]), axis=1).astype(np.float64)
-    x /= np.maximum(np.sqrt(x.sum(axis=1, keepdims=True)), 1)
-    y = np.array([[1.0 if r[0] == lang else -1.0 for lang in langs] for r in rows])
-    weight = np.array([len(rows) / (len(langs) * max(1, sum(r[0] == lang for r in rows))) for lang in langs])
-    row_weight = np.sqrt(np.array([weight[langs.index(r[0])] for r in rows]))[:, None]
+    number = {lang: i for i, lang in enumerate(langs)}
+    sizes = Counter(r[0] for r in rows)
+    weight = {lang: len(rows) / (len(langs) * n) for lang, n in sizes.items()}
+
+    def unit(bits: list[bytes]) -> np.ndarray:
+        x = np.unpackbits(np.array([np.frombuffer(b, np.uint8) for b in bits]), axis=1).astype(np.float64)
+        return x / np.maximum(np.sqrt(x.sum(axis=1, keepdims=True)), 1)
+
     # Landmarks: as many of each language, in the order of their rows.
-    share = max(1, LANDMARKS // len(langs))
-    picked = [i for lang in langs for i in [i for i, r in enumerate(rows) if r[0] == lang][:share]]
-    landmarks = x[picked]
-    among, to = landmarks @ landmarks.T, x @ landmarks.T
-    values, vectors = np.linalg.eigh(among)
+    share, taken = max(1, LANDMARKS // len(langs)), Counter()
+    picked = []
+    for lang, _, bits in rows:
+        if taken[lang] < share:
+            taken[lang] += 1
+            picked.append(bits)
+    landmarks = unit(picked)
+    values, vectors = np.linalg.eigh(landmarks @ landmarks.T)
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])  # maps landmark kernels into the Nyström space
-    z = np.hstack([to @ root, np.ones((len(rows), 1))]) * row_weight
-    inner = np.linalg.solve(z.T @ z + RIDGE * len(rows) * np.diag([*[1.0] * (z.shape[1] - 1), 0.0]), z.T @ (y * row_weight))
+    left = np.zeros((root.shape[1] + 1, root.shape[1] + 1))
+    right = np.zeros((root.shape[1] + 1, len(langs)))
+    for start in range(0, len(rows), TOGETHER):
+        own = rows[start : start + TOGETHER]
+        at = [number[r[0]] for r in own]
+        y = np.full((len(own), len(langs)), -1.0)
+        y[np.arange(len(own)), at] = 1
+        row_weight = np.sqrt(np.array([weight[r[0]] for r in own]))[:, None]
+        z = np.hstack([unit([r[2] for r in own]) @ landmarks.T @ root, np.ones((len(own), 1))]) * row_weight
+        left += z.T @ z
+        right += z.T @ (y * row_weight)
+    inner = np.linalg.solve(left + RIDGE * len(rows) * np.diag([*[1.0] * (len(left) - 1), 0.0]), right)
     # The bias becomes one more landmark kernel of value 1.
     return Model(langs, landmarks.astype(np.float32), np.vstack([root @ inner[:-1], inner[-1:]]).astype(np.float32))
 
@@ -134,6 +153,17 @@ def identify(documents: DataFrame, model: Model | None, keep: tuple[str, ...] =
     return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
 
 
+def lettered(documents: DataFrame) -> DataFrame:
+    """The rows of ``documents`` whose text has a letter."""
+    at = documents.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([bool(has_letter(t or "")) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def vote(model: Model, texts: list[str]) -> np.ndarray:
     rows = presence(texts)
     norms = np.sqrt(rows.sum(axis=1, keepdims=True))

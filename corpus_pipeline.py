@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from castline.llm.common import stored, table
-from castline.llm.language_id import fit, identify
+from castline.llm.language_id import fit, identify, lettered
 from castline.llm.line_templates import drop_repeated_lines
 from castline.llm.ngram_join import doc_key, near_duplicates
 from castline.llm.packing import pack_documents
@@ -23,9 +23,13 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Documents whose text has a language: those without a text or a letter go.
 
     A document is told by its id; rows without one are told by their text alone. Repeated rows
-    stay repeated; an empty table stays empty; columns other than those of documents go.
+    stay repeated; an empty table stays empty; columns other than those of documents go. Without
+    labels to learn from, all texts with a letter stay.
     """
-    return identify(docs, fit(docs), keep=COLUMNS).where("lang_pred != 'und'").select(*COLUMNS)
+    model = fit(docs)
+    if model is None:
+        return lettered(docs.select(*COLUMNS))
+    return identify(docs, model, keep=COLUMNS).where("lang_pred != 'und'").select(*COLUMNS)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -99,6 +99,19 @@ def test_every_operator_has_a_query():
     assert [f"op{i}_" for i in range(1, 11)] == [n[: n.index("_") + 1] for n in queries.QUERIES]
 
 
+def test_pipeline_without_labels(spark):
+    import corpus_pipeline
+
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = spark.createDataFrame([(-1, None), (-2, ""), (-3, "12 ... ##"), (None, "a text"), (None, "12")], "doc_id long, text string")
+    rows = [(r.doc_id, r.text) for r in table.select("doc_id", "text").unionByName(odd).collect()]
+    docs = spark.createDataFrame([(i, t, None, "x", len(t or "")) for i, t in rows], table.schema)
+    got = corpus_pipeline.keep_known_language(spark, docs, SF)
+    assert got.columns == list(corpus_pipeline.COLUMNS)
+    want = [(i, t) for i, t in rows if t and any(c.isalpha() for c in t)]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

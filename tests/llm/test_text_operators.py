@@ -226,6 +226,18 @@ def test_languages_on_held_out_texts(spark):
     assert all(0 <= r.score <= 1 for r in rows.values())
 
 
+def test_many_languages(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(230):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)]
+        rows += [(20 * k + i, " ".join(rng.choice(words) for _ in range(30)), f"l{k:03}") for i in range(6 if k % 2 else 12)]
+    docs = frame(spark, rows)
+    named = {r.doc_id: r.lang_pred for r in language_id.identify(docs, language_id.fit(docs)).collect()}
+    assert len(set(named.values())) == 230
+    assert sum(named[i] == lang for i, _, lang in rows) >= 0.97 * len(rows)
+
+
 def test_languages_of_odd_rows(spark):
     docs = frame(spark, [(1, "the house of the king and the", "en"), (2, "das haus und die katze ist", "de"), (3, None, "en"), (4, "", None), (5, "12 ... ##", "de"), (6, "the the of", None), (6, "the the of", None), (None, "und die ist", "de")])
     model = language_id.fit(docs)
