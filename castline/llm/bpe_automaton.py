@@ -5,127 +5,224 @@ of a merge (a, b) -> c leads the arc of a to a copy of its target that lacks the
 adds, beside each arc of a, an arc of c to where b led. What remains accepts, of all ways to
 cut a word into tokens, the one that the merges make.
 
-All arcs of one token lead to one state, so the automaton is a target for each token and, for
-each state, its cuts: the tokens whose arcs were taken away, with the merge that did it. An arc
-that a later merge would have put beside a missing arc is missing too; so a token is out of a
-state if a cut is met on the way down its left parts, before the part that was already made
-when the cut came.
+All arcs of one token lead to one state. So the automaton is compiled into three tables: the
+state to which each token leads; the arcs that each state lacks, with the merge that took them
+away; and the bytes of the arcs' labels, as transitions from node to node. An arc that a later
+merge would have put beside a missing arc is missing too; so a token is out of a state if a
+missing arc is met on the way down its left parts, before the part that was already made when
+the arc went.
+
+A word is read from left to right. As each beginning of a word has one way to be cut, one path
+at most leads to each place: places hold one state each, and nothing is taken back.
 """
 
 from __future__ import annotations
 
 import functools
-import hashlib
-from itertools import chain
+from collections.abc import Iterator
+from itertools import chain, pairwise
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from castline.llm.byte_pairs import Vocabulary, chunks, cut_words, load, split_special
-from castline.llm.common import Memo, map_batches
+from castline.llm.byte_pairs import Vocabulary, cut_words, load, parts_of
+from castline.llm.common import Memo
+from castline.llm.parts import dealt, gathered, slices
 
-#: Distinct words that a Python worker keeps at most, in each of two generations.
+#: Distinct words, and distinct strings between spaces, that a Python worker keeps at most in each of two generations.
 MEMO = 200_000
-#: Transitions (state, token) that a worker keeps at most, in each of two generations.
-ARCS = 400_000
+#: Bytes of a word up to which words are read side by side; longer ones are read alone.
+SHORT = 512
+#: Places of the marks by which most pairs of a state and a token are seen to have their arc.
+MARKS = 1 << 24
+
+
+def marked(keys: np.ndarray) -> np.ndarray:
+    return keys * 0x9E3779B1 >> 7 & MARKS - 1
 
 
 class Automaton:
     """The compiled automaton of a vocabulary."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.vocabulary = vocabulary
-        self.ids = {label: i for i, label in enumerate(vocabulary.labels) if i not in vocabulary.special.values()}
-        self.longest = max(map(len, self.ids))
-        self.target = [0] * len(vocabulary.labels)
-        self.left = [-1] * len(vocabulary.labels)
-        self.rank = [-1] * len(vocabulary.labels)
-        # state -> (state it was copied from, token cut, rank of the merge)
-        self.gadgets: list[tuple[int, int, int]] = [(-1, -1, -1)]
-        self.never: set[int] = set()
+        self.labels = vocabulary.labels
+        n = len(self.labels)
+        self.left, self.rank = [-1] * n, [-1] * n
+        target, never = [0] * n, set(vocabulary.special.values())
+        # A state is (the state it was copied from, the token whose arc went, the rank of the merge).
+        states: list[tuple[int, int, int]] = [(-1, -1, -1)]
         for (a, b), (rank, c) in vocabulary.merges.items():
-            self.add_gadget(a, b, c, rank)
-        self.cuts_of = functools.lru_cache(maxsize=4096)(self.cuts)
-        self.arcs = Memo(self.arc, ARCS)
-
-    def add_gadget(self, a: int, b: int, c: int, rank: int) -> None:
-        reached, beyond = self.target[a], self.target[b]
-        if a in self.never or b in self.never or not self.open(self.cuts(reached), b):
-            self.never.add(c)  # b never follows a, so the merge never happens
-            self.ids.pop(self.vocabulary.labels[c], None)
-            return
-        self.left[c], self.rank[c] = a, rank
-        self.target[c] = beyond
-        self.gadgets.append((reached, b, rank))
-        self.target[a] = len(self.gadgets) - 1
-
-    def cuts(self, state: int) -> dict[int, int]:
-        """The tokens cut from a state or from those it was copied from, each with its first cut's rank."""
-        found = {}
-        while state:
-            state, token, rank = self.gadgets[state]
-            found[token] = rank
-        return found
-
-    def arc(self, pair: tuple[int, int]) -> bool:
-        """Whether the state has the token's arc."""
-        state, token = pair
-        return self.open(self.cuts_of(state), token)
-
-    def open(self, cuts: dict[int, int], token: int) -> bool:
+            reached, beyond = target[a], target[b]
+            if a in never or b in never or not self.has_arc(lacking(states, reached), 0, b):
+                never.add(c)  # b never follows a, so the merge never happens
+                continue
+            self.left[c], self.rank[c] = a, rank
+            target[c] = beyond
+            target[a] = len(states)
+            states.append((reached, b, rank))
+
+        # Only states to which a token leads are kept; they are numbered anew, in steps of n.
+        number = {state: n * i for i, state in enumerate(sorted({0, *target}))}
+        self.target = np.array([number[state] for state in target], np.int64)
+        self.lacks = {at + token: rank for state, at in number.items() for token, rank in lacking(states, state).items()}
+        self.lack_keys = np.array(sorted(self.lacks), np.int64)
+        self.lack_ranks = np.array([self.lacks[k] for k in self.lack_keys.tolist()], np.int64)
+        self.lack_marks = np.zeros(MARKS, bool)
+        self.lack_marks[marked(self.lack_keys)] = True
+        self.spine = np.array([self.left, self.rank], np.int64)
+        self.compile_labels([token for token, label in enumerate(self.labels) if label and token not in never])
+        self.sizes = np.array(list(map(len, self.labels)), np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(self.labels), np.uint8)
+
+    def compile_labels(self, tokens: list[int]) -> None:
+        """``steps``: node, byte -> node, 0 where nothing follows; ``ends``: node -> token. Nodes without a way on share the last row."""
+        ways: dict[bytes, int] = {b"": -1}
+        for token in tokens:
+            label = self.labels[token]
+            for i in range(1, len(label)):
+                ways.setdefault(label[:i], -1)
+            ways[label] = token
+        inner = {label[:-1] for label in ways if label}
+        order = sorted(ways, key=lambda label: (label not in inner, label))
+        number = {label: i for i, label in enumerate(order)}
+        self.last = len(inner)
+        self.steps = np.zeros((self.last + 1, 256), np.int32)
+        for label, i in number.items():
+            if label:
+                self.steps[number[label[:-1]], label[-1]] = i
+        self.ends = np.array([ways[label] for label in order], np.int64)
+
+    def has_arc(self, lacks: dict[int, int], state: int, token: int) -> bool:
         made = None
         while token >= 0:
-            cut = cuts.get(token)
-            if cut is not None and (made is None or made >= cut):
+            went = lacks.get(state + token)
+            if went is not None and (made is None or made >= went):
                 return False
             token, made = self.left[token], self.rank[token]
         return True
 
-    def encode_word(self, word: bytes) -> tuple[int, ...]:
-        """The one accepted path that reads the whole word: longest arcs first, back from states that lead nowhere."""
-        find, target, arcs, longest, n = self.ids.get, self.target, self.arcs, self.longest, len(word)
-        at, state, end = 0, 0, min(n, longest)
-        steps: list[tuple[int, int, int, int]] = []
-        dead: set[tuple[int, int]] = set()
-        while at < n:
-            while end > at:
-                token = find(word[at:end])
-                if token is not None and (not at or arcs[state, token]) and (end, target[token]) not in dead:
+    def have_arcs(self, states: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+        """As ``has_arc``, for many pairs at once."""
+        found = np.ones(len(tokens), bool)
+        at, made = np.arange(len(tokens)), np.full(len(tokens), np.iinfo(np.int64).max)
+        while len(at):
+            keys = states + tokens
+            near = np.flatnonzero(self.lack_marks[marked(keys)])
+            if len(near):
+                place = np.minimum(np.searchsorted(self.lack_keys, keys[near]), len(self.lack_keys) - 1)
+                gone = (self.lack_keys[place] == keys[near]) & (made[near] >= self.lack_ranks[place])
+                found[at[near[gone]]] = False
+            down, made = self.spine[:, tokens]
+            more = (down >= 0) & found[at]
+            at, states, tokens, made = at[more], states[more], down[more], made[more]
+        return found
+
+    def encode_word(self, word: bytes) -> list[int]:
+        """The tokens of the path that reads the word, driven by the tables: from each place along the labels that go on there."""
+        steps, ends, target, lacks, last = self.steps, self.ends, self.target, self.lacks, self.last
+        n = len(word)
+        states, arcs = [0] * (n + 1), [-1] * (n + 1)
+        for start in range(n):
+            node, state = 0, states[start]
+            for at in range(start, n):
+                node = int(steps[min(node, last), word[at]])
+                if not node:
                     break
-                end -= 1
-            else:
-                dead.add((at, state))
-                at, state, end, _ = steps.pop()
-                end -= 1
-                continue
-            steps.append((at, state, end, token))
-            at, state = end, target[token]
-            end = min(n, at + longest)
-        return tuple(step[3] for step in steps)
+                token = int(ends[node])
+                if token >= 0 and self.has_arc(lacks, state, token):
+                    states[at + 1], arcs[at + 1] = int(target[token]), token
+        found = []
+        while n:
+            found.append(arcs[n])
+            n -= len(self.labels[arcs[n]])
+        return found[::-1]
+
+    def encode_words(self, words: list[bytes]) -> list[bytes]:
+        """As ``encode_word``, ids as bytes, for many words at once: all words stand at their first place, then at their second, and so on."""
+        order = sorted((i for i, w in enumerate(words) if len(w) <= SHORT), key=lambda i: -len(words[i]))
+        sizes = np.array([len(words[i]) for i in order], np.int64)
+        flat = np.frombuffer(b"".join(words[i] + b"\0" for i in order), np.uint8)
+        begin = np.cumsum(sizes + 1) - sizes - 1
+        states, arcs = np.zeros(len(flat), np.int64), np.full(len(flat), -1, np.int64)
+        for start in range(int(sizes[0]) if len(sizes) else 0):
+            at = begin[: np.searchsorted(-sizes, -start, "left")] + start
+            own, end = states[at], begin[: len(at)] + sizes[: len(at)]
+            node = np.zeros(len(at), np.int32)
+            while len(at):
+                node = self.steps[np.minimum(node, self.last), flat[at]]
+                at = at + 1
+                tokens = self.ends[node]
+                named = np.flatnonzero(tokens >= 0)
+                led = named[self.have_arcs(own[named], tokens[named])]
+                states[at[led]], arcs[at[led]] = self.target[tokens[led]], tokens[led]
+                on = np.flatnonzero((node > 0) & (at < end))
+                at, own, end, node = at[on], own[on], end[on], node[on]
+
+        # Back along the arcs, from the ends of all words.
+        found = [b""] * len(words)
+        use, place, left = np.zeros(len(flat), bool), begin + sizes, np.arange(len(order))
+        while len(left):
+            use[place] = True
+            place = place - self.sizes[arcs[place]]
+            on = place > begin[left]
+            place, left = place[on], left[on]
+        ids, ends = arcs[use].astype(np.int32).tobytes(), np.cumsum(use)
+        bounds = (4 * np.concatenate([[0], ends[begin + sizes]])).tolist()
+        for i, a, b in zip(order, bounds, bounds[1:]):
+            found[i] = ids[a:b]
+        for i, word in enumerate(words):
+            if len(word) > SHORT:
+                found[i] = np.array(self.encode_word(word), np.int32).tobytes()
+        return found
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that the arcs' labels emit, for the ids of many texts, and where each text begins and ends."""
+        return gathered(self.bytes, self.starts, self.sizes, ids, bounds)
+
 
-    def decode(self, ids: list[int]) -> bytes:
-        """The labels of the arcs, one after another."""
-        return b"".join(map(self.vocabulary.labels.__getitem__, ids))
+def lacking(states: list[tuple[int, int, int]], state: int) -> dict[int, int]:
+    """The tokens whose arcs went from a state or from those it was copied from, each with the rank of the first such merge."""
+    found = {}
+    while state:
+        state, token, rank = states[state]
+        found[token] = rank
+    return found
 
 
 @functools.lru_cache(maxsize=2)
 def encoder(path: str):
-    """The automaton of a worker and its text -> ids function, with its memos."""
-    automaton = Automaton(load(path))
-    special = automaton.vocabulary.special
-    words = Memo(lambda w: automaton.encode_word(w.encode()), MEMO)
-    parts = Memo(lambda c: tuple(chain.from_iterable(map(words.__getitem__, cut_words(c)))), MEMO)
-
-    def encode(text: str) -> list[int]:
-        ids: list[int] = []
-        for part in split_special(text, automaton.vocabulary):
-            if part in special:
-                ids.append(special[part])
-            elif (cut := chunks(part)) is None:
-                ids.extend(chain.from_iterable(map(words.__getitem__, cut_words(part))))
-            else:
-                ids.extend(chain.from_iterable(map(parts.__getitem__, cut)))
-        return ids
+    """The automaton of a worker and its function from texts to ids and their bounds, with its memos."""
+    vocabulary = load(path)
+    automaton, special = Automaton(vocabulary), vocabulary.special
+    words = Memo(lambda w: np.array(automaton.encode_word(w.encode()), np.int32).tobytes(), MEMO)
+    parts = Memo(lambda p: np.array([special[p]], np.int32).tobytes() if p in special else b"".join(map(words.__getitem__, cut_words(p))), MEMO)
+
+    def values(distinct: list[str]) -> list[bytes]:
+        """The ids of parts; their new words are read side by side."""
+        cut = {p: cut_words(p) for p in distinct if not parts.knows(p) and p not in special}
+        new = [w for w in dict.fromkeys(chain.from_iterable(cut.values())) if not words.knows(w)]
+        own = dict(zip(new, automaton.encode_words([w.encode() for w in new])))
+        made = {p: b"".join([own[w] if w in own else words[w] for w in found]) for p, found in cut.items()}
+        result = [made[p] if p in made else parts[p] for p in distinct]
+        words.keep(own)
+        parts.keep(made)
+        return result
+
+    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = []
+        for at, distinct, codes, bounds in parts_of(texts, vocabulary):
+            found.append((at, *dealt(values(distinct), "i4", codes, bounds)))
+        if len(found) == 1:
+            return found[0][1:]
+        # Back into the order of the texts.
+        starts, sizes, before = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), 0
+        for at, ids, bounds in found:
+            starts[at], sizes[at] = before + bounds[:-1], np.diff(bounds)
+            before += len(ids)
+        flat = np.concatenate([np.zeros(0, np.int32), *(ids for _, ids, _ in found)])
+        return gathered(flat, starts, sizes, np.arange(len(texts)), np.arange(len(texts) + 1))
 
     return automaton, encode
 
@@ -138,28 +235,16 @@ def encode_texts(documents: DataFrame, path: str) -> DataFrame:
     length is encoded whole.
     """
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        automaton, encode = encoder(path)
-        ids = [encode(t or "") for t in batch.column(1).to_pylist()]
-        decoded = [automaton.decode(x).decode(errors="replace") for x in ids]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
-
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_batches(documents.select("doc_id", "text"), f"doc_id {kind}, ids array<int>, decoded string", work)
-
-
-def encoding_digests(documents: DataFrame, path: str) -> DataFrame:
-    """As ``encode_texts``, with ids and texts reduced to their number and digests inside the worker, where they are made."""
-
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, encode = encoder(path)
-        rows = []
-        for text in batch.column(1).to_pylist():
-            ids = encode(text or "")
-            decoded = automaton.decode(ids).decode(errors="replace")
-            rows.append((len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-        n, ids, decoded = zip(*rows) if rows else ((), (), ())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for whole in batches:
+            for batch in slices(whole, 1):
+                ids, bounds = encode([t or "" for t in batch.column(1).to_pylist()])
+                emitted, ends = automaton.decode(ids, bounds)
+                emitted = emitted.tobytes()
+                decoded = [emitted[start:end].decode(errors="replace") for start, end in pairwise(ends.tolist())]
+                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_batches(documents.select("doc_id", "text"), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", work)
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")

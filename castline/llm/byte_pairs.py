@@ -7,15 +7,21 @@ from __future__ import annotations
 
 import functools
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 import regex
 
+from castline.llm.parts import by_kind, distinct_parts, numbered
+
 # The cutting pattern of the public byte-level vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 cut_words = regex.compile(PATTERN).findall
 #: A space whose neighbours are no white space starts a new word, so texts can be cut there first.
-has_space_run = regex.compile(r"\s \s?|\s? \s|\A | \Z").search
+cut_single_spaces = regex.compile(r"(?<=\S) (?=\S)").split
+has_other_spaces = regex.compile(r"\s | \s|\A | \Z").search
 
 
 @dataclass(frozen=True)
@@ -62,9 +68,29 @@ def split_special(text: str, vocabulary: Vocabulary) -> list[str]:
     return [x for x in regex.split("(" + "|".join(map(regex.escape, vocabulary.special)) + ")", text) if x]
 
 
-def chunks(text: str) -> list[str] | None:
-    """The text cut before each single space; None if it has runs of white space, which the pattern must see whole."""
-    if has_space_run(text):
-        return None
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]] if first else []
+def cut_parts(text: str, vocabulary: Vocabulary) -> list[str]:
+    """The text cut at special strings and before single spaces, which stay with what follows."""
+    found: list[str] = []
+    for piece in split_special(text, vocabulary):
+        if piece in vocabulary.special:
+            found.append(piece)
+        else:
+            first, *rest = cut_single_spaces(piece)
+            found += [first, *(" " + x for x in rest)]
+    return found
+
+
+def parts_of(texts: list[str], vocabulary: Vocabulary) -> Iterator[tuple[list[int], list[str], np.ndarray, np.ndarray]]:
+    """The parts of many texts, of which the pattern sees each by itself: places of texts, distinct parts, their numbers, bounds of the texts.
+
+    Texts whose spaces are all single ones are cut together, the others one by one.
+    """
+    plain, odd = by_kind(texts, lambda t: not has_other_spaces(t) and not any(s in t for s in vocabulary.special))
+    if plain:
+        parts, codes, bounds = distinct_parts(pa.array([texts[i] for i in plain], pa.string()))
+        # Only the first part of a text has no space before it.
+        first, own = np.unique(codes[bounds[:-1]], return_inverse=True)
+        codes[bounds[:-1]] = len(parts) + own
+        yield plain, [*(" " + p for p in parts), *(parts[i] for i in first)], codes, bounds
+    if odd:
+        yield odd, *numbered([cut_parts(texts[i], vocabulary) for i in odd])

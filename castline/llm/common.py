@@ -1,4 +1,4 @@
-"""Shared helpers of the training-data operators: table access, scratch tables, Arrow mapping."""
+"""Shared helpers of the training-data operators: table access, scratch tables, memos."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ import tempfile
 import uuid
 import weakref
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from itertools import islice
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,30 +36,64 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors.
+
+    The folder stays until ``discard`` is called with the frame, or a ``scratch`` block around it ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/castline-{name}-{uuid.uuid4().hex}"
+    for paths in _scratch:
+        paths.append(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._castline_path = path
+    return found
+
+
+_scratch: list[list[str]] = []
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Delete the folders of stored frames that nothing will read again."""
+    for df in frames:
+        if df is not None:
+            _delete(df.sparkSession, [df._castline_path])
 
 
-def map_batches(df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
-    """Apply ``work`` to each Arrow batch of ``df``; one batch in, one out."""
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Whatever is stored inside is deleted at the end, but for stored frames given to the function that this yields."""
+    paths: list[str] = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield work(batch)
+    def keep(df: DataFrame) -> DataFrame:
+        paths.remove(df._castline_path)
+        return df
 
-    return df.mapInArrow(run, schema)
+    _scratch.append(paths)
+    try:
+        yield keep
+    finally:
+        _scratch.remove(paths)
+        _delete(spark, paths)
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
 
 
 class Memo(dict):
     """A bounded memo with two generations: full, the young one becomes the old one.
 
-    ``memo[key]`` computes and keeps what is missing; a value in use moves to the young
-    generation, so frequent keys stay while memory stays under ``2 * most`` entries.
+    ``memo[key]`` computes what is missing and keeps it; a value in use moves to the young
+    generation, so frequent keys stay while memory stays under ``2 * most`` entries. Keys of over
+    ``LONGEST`` letters are not kept, so entries are short as well: texts without spaces would
+    otherwise be kept whole.
     """
 
+    LONGEST = 64
     made: list[weakref.ref] = []
 
     def __init__(self, work: Callable, most: int):
@@ -70,23 +105,19 @@ class Memo(dict):
         value = self.old.get(key)
         if value is None:
             value = self.work(key)
-        self.put(key, value)
+        self.keep({key: value})
         return value
 
-    def put(self, key, value) -> None:
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-
-    def has(self, key) -> bool:
+    def knows(self, key) -> bool:
         return key in self or key in self.old
 
-    def put_all(self, values: dict) -> None:
-        if len(self) + len(values) > self.most:
+    def keep(self, values: dict) -> None:
+        """Put in what was computed elsewhere, as far as there is room for it."""
+        short = {key: value for key, value in islice(values.items(), self.most) if len(key) <= self.LONGEST}
+        if len(self) + len(short) > self.most:
             self.old = dict(self)
             self.clear()
-        self.update(values)
+        self.update(short)
 
 
 def forget_others(*mine: Memo) -> None:

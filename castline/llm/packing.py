@@ -15,20 +15,23 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from castline.llm.common import Memo, forget_others, stored
+from castline.llm.parts import dealt, distinct_parts, slices
 
 #: Distinct words, and distinct strings between spaces, that a worker keeps at most in each of two generations.
 MEMO = 250_000
-#: Texts whose new words are asked for together.
-TOGETHER = 1000
+#: New words that the library is asked for together.
+ASKED = 20_000
 #: Id put after each document.
 END = 0
 #: Below this letter no letter changes under canonical composition, so words may be lower-cased first.
@@ -56,47 +59,60 @@ class Encoder:
     def ask(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Ask for many words of letters at once."""
+    def learn(self, words: list[str]) -> dict[str, bytes]:
+        """The ids of many words of letters, asked for at once; none if they can't be told apart."""
         ids = np.asarray(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
         stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
         if len(stops) != len(words):
-            return  # each will be asked for by itself
+            return {}  # each will be asked for by itself
         own = ids.tobytes()
-        self.words.put_all({word: own[4 * start : 4 * stop] for word, start, stop in zip(words, [0, *stops], stops)})
+        return {word: own[4 * start : 4 * stop] for word, start, stop in zip(words, [0, *stops], stops)}
 
     def part(self, text: str) -> bytes:
-        """One string between spaces; ``encode`` sees to most of them before they are missed."""
+        """One string between spaces."""
         word, signs = split_word(text)
         return self.words[word] + (self.words[signs] if signs else b"") if word else self.ask(text)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of texts, which are cut at spaces and line ends first."""
-        cut = [text.replace("\n", " ").split(" ") for text in texts]
+    def values(self, distinct: list[str]) -> list[bytes]:
+        """The ids of parts; their new words are asked for together."""
         parts, words = self.parts, self.words
-        fresh, known, made = set().union(*cut) - parts.keys(), parts.old, {}
-        split = []
-        for text in fresh:
-            if (ids := known.get(text)) is not None:
-                made[text] = ids
-            elif (found := split_word(text))[0]:
-                split.append((text, *found))
-        if new := list({word for _, word, _ in split} - words.keys() - words.old.keys()):
-            self.learn(new)
-        for text, word, signs in split:
-            made[text] = words[word] + words[signs] if signs else words[word]
-        parts.put_all(made)
-        return [b"".join(map(parts.__getitem__, x)) for x in cut]
+        split = {text: split_word(text) for text in distinct if not parts.knows(text)}
+        new = [word for word in {word for word, _ in split.values() if word} if not words.knows(word)]
+        own: dict[str, bytes] = {}
+        for start in range(0, len(new), ASKED):
+            own |= self.learn(new[start : start + ASKED])
+        made = {}
+        for text, (word, signs) in split.items():
+            if word:
+                ids = own[word] if word in own else words[word]
+                made[text] = ids + words[signs] if signs else ids
+        result = [made[text] if text in made else parts[text] for text in distinct]
+        words.keep(own)
+        parts.keep(made)
+        return result
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, and where each text begins and ends among them. Texts are cut at spaces and line ends first."""
+        distinct, codes, bounds = distinct_parts(pc.replace_substring(texts, "\n", " "))
+        return dealt(self.values(distinct), "<u4", codes, bounds)
 
 
 def split_word(text: str) -> tuple[str, str]:
-    """The lower-cased letters and the signs of a string that is letters and then signs; else two empty strings."""
+    """The lower-cased letters and the signs of a string that is letters and then signs; else two empty strings.
+
+    Letters whose lower case is several letters are left to the library, which may cut between them.
+    """
+    if text.isascii():
+        letters = text.rstrip(SIGNS)
+        if letters.isalpha():
+            return letters.lower(), text[len(letters) :]
     found = letters_and_signs(text)
-    if found and (text.isascii() or (found[1].isalpha() and max(text) < STABLE)):
+    if found and (text.isascii() or (found[1].isalpha() and max(text) < STABLE and len(found[1].lower()) == len(found[1]))):
         return found[1].lower(), found[2]
     return "", ""
 
 
+SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 letters_and_signs = re.compile(r"([^\W\d_]+)([\W_]*)").fullmatch
 
 
@@ -189,12 +205,13 @@ def pack_documents(documents: DataFrame, path: str, size: int = 2048, keep_ids:
         if done:
             yield rows_batch(done, kind)
 
-    def encoded(batch: pa.RecordBatch) -> Iterator[tuple]:
+    def encoded(whole: pa.RecordBatch) -> Iterator[tuple]:
         closing = np.array([END], "<u4").tobytes()
-        for start in range(0, batch.num_rows, TOGETHER):
-            own = batch.slice(start, TOGETHER)
-            for doc, ids in zip(own.column(0).to_pylist(), encoder(path).encode([t or "" for t in own.column(1).to_pylist()])):
-                yield doc, ids + closing
+        for batch in slices(whole, 1):
+            ids, bounds = encoder(path).encode(pc.fill_null(batch.column(1), ""))
+            flat = ids.tobytes()
+            for doc, (start, end) in zip(batch.column(0).to_pylist(), pairwise((4 * bounds).tolist())):
+                yield doc, flat[start:end] + closing
 
     def rows_batch(rows: list[tuple], kind: str) -> pa.RecordBatch:
         names = [c.split()[0] for c in schema.split(", ")]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castline.llm.bpe_automaton import encoding_digests
+from castline.llm.bpe_automaton import encode_texts
 from castline.llm.chat import format_turns
 from castline.llm.common import table
 from castline.llm.embedding_dedup import near_duplicates as near_duplicate_vectors
@@ -29,7 +29,14 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+    """The digests of the ids and of the decoded text of every document."""
+    rows = encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

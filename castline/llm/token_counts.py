@@ -7,12 +7,16 @@ from __future__ import annotations
 
 import functools
 import heapq
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from castline.llm.byte_pairs import Vocabulary, chunks, cut_words, load, split_special
-from castline.llm.common import Memo, map_batches
+from castline.llm.byte_pairs import Vocabulary, cut_words, load, parts_of
+from castline.llm.common import Memo
+from castline.llm.parts import slices
 
 #: Distinct words that a Python worker keeps at most, in each of two generations.
 MEMO = 250_000
@@ -46,21 +50,17 @@ def count_word(word: bytes, vocabulary: Vocabulary) -> int:
 
 @functools.lru_cache(maxsize=2)
 def counter(path: str):
-    """The text -> count function of a worker, with its memos."""
+    """The texts -> counts function of a worker, with its memos."""
     vocabulary = load(path)
     words = Memo(lambda w: count_word(w.encode(), vocabulary), MEMO)
-    parts = Memo(lambda c: sum(map(words.__getitem__, cut_words(c))), MEMO)
-
-    def count(text: str) -> int:
-        total = 0
-        for part in split_special(text, vocabulary):
-            if part in vocabulary.special:
-                total += 1
-            elif (cut := chunks(part)) is None:
-                total += sum(map(words.__getitem__, cut_words(part)))
-            else:
-                total += sum(map(parts.__getitem__, cut))
-        return total
+    parts = Memo(lambda p: 1 if p in vocabulary.special else sum(map(words.__getitem__, cut_words(p))), MEMO)
+
+    def count(texts: list[str]) -> np.ndarray:
+        totals = np.zeros(len(texts), np.int64)
+        for at, distinct, codes, bounds in parts_of(texts, vocabulary):
+            sums = np.concatenate([[0], np.cumsum(np.fromiter(map(parts.__getitem__, distinct), np.int64, len(distinct))[codes])])
+            totals[at] = np.diff(sums[bounds])
+        return totals
 
     return count
 
@@ -73,12 +73,14 @@ def count_tokens(documents: DataFrame, path: str, limit: int = 512) -> DataFrame
     read whole.
     """
 
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        tokens = [count(t) for t in texts]
-        columns = [batch.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        for whole in batches:
+            for batch in slices(whole, 1):
+                texts = pc.fill_null(batch.column(1), "")
+                tokens = count(texts.to_pylist())
+                columns = [batch.column(0), pc.binary_length(texts).cast(pa.int64()), pa.array(tokens), pa.array(tokens > limit)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return map_batches(documents.select("doc_id", "text"), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean", work)
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

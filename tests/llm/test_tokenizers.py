@@ -4,13 +4,17 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from castline.llm.bpe_automaton import Automaton, encode_texts, encoding_digests
+from castline.llm import queries
+from castline.llm.bpe_automaton import Automaton, encode_texts
 from castline.llm.byte_pairs import Vocabulary
-from castline.llm.packing import SumOfSquares, pack_documents, placed, plan_of
+from castline.llm.common import Memo
+from castline.llm.packing import Encoder, SumOfSquares, pack_documents, placed, plan_of
+from castline.llm.parts import TOGETHER, slices
 from castline.llm.token_counts import count_tokens, count_word
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -40,10 +44,11 @@ def test_encoding_equals_the_library(docs):
         assert r.decoded == library.decode(want, skip_special_tokens=False) == known[r.doc_id]
 
 
-def test_digests_and_counts(docs):
+def test_digests_and_counts(spark, docs, tmp_path):
     library = Tokenizer.from_file(BYTE)
     known = {r.doc_id: r.text or "" for r in docs.collect()}
-    for r in encoding_digests(docs, BYTE).collect():
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for r in queries.op2_bpe_roundtrip(spark, str(tmp_path)).collect():
         want = library.encode(known[r.doc_id], add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256) == (len(want), hashlib.sha256(",".join(map(str, want)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(known[r.doc_id].encode()).hexdigest()
@@ -80,12 +85,13 @@ def test_automaton_and_heap_on_random_merges():
                 labels.append(made)
         vocabulary = Vocabulary(labels, merges, [{97: 0, 98: 1, 99: 2}.get(b, 0) for b in range(256)], {})
         automaton = Automaton(vocabulary)
-        for _ in range(60):
-            word = bytes(rng.choice(b"abc") for _ in range(rng.randint(1, 14)))
+        words = [bytes(rng.choice(b"abc") for _ in range(600 if k % 30 == 0 else rng.randint(1, 14))) for k in range(60)]
+        for word, ids in zip(words, automaton.encode_words(words)):
             want = merged([vocabulary.single[b] for b in word], merges)
+            assert np.frombuffer(ids, np.int32).tolist() == want
             assert list(automaton.encode_word(word)) == want
             assert count_word(word, vocabulary) == len(want)
-            assert automaton.decode(want) == word
+            assert automaton.decode(np.array(want), np.array([0, len(want)]))[0].tobytes() == word
 
 
 def test_packing(docs):
@@ -106,6 +112,35 @@ def test_packing(docs):
     assert total <= 1.1 * -(-rows["length"].sum() // 64) + 1
 
 
+def test_words_equal_the_library():
+    """All letters whose lower case has another length, marks, and letters about them, with signs after or before."""
+    library, rng = Tokenizer.from_file(WORD), random.Random(11)
+    odd = [chr(c) for c in range(0x250) if chr(c).isalpha() and not chr(c).isascii()] + [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and len(chr(c).lower()) != 1] + list("\u0307\u0301\u0345ΣσςΆή日本ẞßﬁ")
+    signs = ["", ".", ",", "!?", "...", "_", "1", "\u0307", " ", "\n", "'s"]
+    rows = ["TÜRKİYE TATİLİ. SON", "İ.", "ABİ!", "KİŞİSİ, ADİ", "İİ İ", "ΣΑΣ. ΣΑΣ,", "x" * 70 + "İ.", "y" * 100 + "!"]
+    rows += ["".join(rng.choice(odd) if rng.random() < 0.4 else rng.choice("abIiS") for _ in range(rng.randint(1, 5))) + rng.choice(signs) + " " + rng.choice(odd) + rng.choice(signs) for _ in range(6000)]
+    rows += [c + s for c in odd for s in (".", "a.")]
+    coder = Encoder(WORD)
+    for start in range(0, len(rows), 2500):
+        own = rows[start : start + 2500]
+        ids, bounds = coder.encode(pa.array(own))
+        for text, a, b in zip(own, bounds, bounds[1:]):
+            assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+def test_memos_keep_short_keys_only():
+    memo = Memo(len, 4)
+    assert memo["x" * 65] == 65 and not memo
+    for i in range(20):
+        assert memo[str(i)] == len(str(i)) and len(memo) <= 4 and len(memo.old) <= 4
+
+
+def test_slices_hold_every_row_once():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["x" * n if n is not None else None for n in (0, TOGETHER, 5, None, TOGETHER + 9, 1)])], names=["i", "text"])
+    assert [x.column(0).to_pylist() for x in slices(batch, 1)] == [[0, 1], [2, 3], [4], [5]]
+    assert list(slices(batch.slice(0, 0), 1)) == []
+
+
 def test_packing_many_parts(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('word ', cast(pmod(hash(id), 1500) as int))").alias("text")).repartition(70)
     rows = pack_documents(docs, WORD).toPandas()
