@@ -1,36 +1,56 @@
 """Scripts: scanning lines and parsing whole documents into entries.
 
-Scanning is made of windows. Parsing is a state machine over the lines of one document, as a
-speaker's name may wait for its text across any lines; documents are its unit of work.
+All of it is windows over the lines of a document, in their order. A speaker's name that stands
+alone waits for its text, and then takes the next line whatever it looks like; so of names that
+follow each other every second one is such a text, which a count within their run tells.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from castline.functions.text import DIRECTION_TYPES, METADATA_SECTIONS, is_caps_candidate, is_stage_direction, strip
+from castline.functions import text as t
+from castline.functions.exact import nfc
+from castline.functions.text import is_caps_candidate, is_stage_direction, strip
+from castline.operators.sequence import UP_TO_NOW, fill_sections
 
 # Section headers that every show may use, and their slugs.
 SECTIONS = {
-    "COLD OPEN": "cold-open", "OPENING CREDITS": "opening-credits", "MID-EPISODE BREAK": "mid-break", "CLOSING": "closing",
-    "POST-INTERVIEW": "post-interview", "POST-CREDITS SCENE": "post-credits", "PRODUCTION NOTES": "production-notes",
-    "EPISODE THEME": "preamble", "PRE-SHOW MUSIC": "preamble", "CLOSING TAG": "postamble", "PREAMBLE": "preamble", "POSTAMBLE": "postamble",
+    "COLD OPEN": "cold-open", "OPENING CREDITS": "opening-credits",
+    "CHAPTER ONE": "chapter1", "CHAPTER 1": "chapter1", "CHAPTER TWO": "chapter2", "CHAPTER 2": "chapter2", "CHAPTER THREE": "chapter3", "CHAPTER 3": "chapter3",
+    "ACT ONE": "act1", "ACT 1": "act1", "ACT TWO": "act2", "ACT 2": "act2", "ACT THREE": "act3", "ACT 3": "act3",
+    "ACT FOUR": "act4", "ACT 4": "act4", "ACT FIVE": "act5", "ACT 5": "act5", "ACT SIX": "act6", "ACT 6": "act6",
+    "MID-EPISODE BREAK": "mid-break", "CLOSING": "closing", "POST-INTERVIEW": "post-interview", "POST-CREDITS SCENE": "post-credits",
+    "PRODUCTION NOTES": "production-notes", "EPISODE THEME": "preamble", "PRE-SHOW MUSIC": "preamble", "CLOSING TAG": "postamble", "PREAMBLE": "preamble", "POSTAMBLE": "postamble",
 }
-_NUMBERS = ("ONE", "TWO", "THREE", "FOUR", "FIVE", "SIX")
-SECTIONS |= {f"ACT {name}": f"act{i}" for i, word in enumerate(_NUMBERS, 1) for name in (word, i)}
-SECTIONS |= {f"CHAPTER {name}": f"chapter{i}" for i, word in enumerate(_NUMBERS[:3], 1) for name in (word, i)}
-HINTS = {"play_volume_pct": ("volume_percentage", 200.0), "play_duration_pct": ("play_duration", 100.0)}
-
-PARSED = (
-    "doc string, seq long, type string, section string, scene string, speaker string, direction string, text string,"
-    " direction_type string, sfx_source string, sfx_overrides map<string,double>, line_no long"
-)
+# Headers of single kinds of projects beside these.
+PODCAST = {"INTRO": "intro", "OUTRO": "outro"}
+AUDIOBOOK = {"PROLOGUE": "prologue", "EPILOGUE": "epilogue", "AUTHOR'S NOTE": "authors-note", "AUTHOR’S NOTE": "authors-note"}
+DRAMA = {"PROLOGUE": "prologue", "EPILOGUE": "epilogue", "INTERMISSION": "intermission"}
+# Numbers of chapters in words.
+CHAPTERS = (
+    "ONE", "TWO", "THREE", "FOUR", "FIVE", "SIX", "SEVEN", "EIGHT", "NINE", "TEN", "ELEVEN", "TWELVE", "THIRTEEN", "FOURTEEN", "FIFTEEN", "SIXTEEN", "SEVENTEEN", "EIGHTEEN", "NINETEEN", "TWENTY",
+    "TWENTY-ONE", "TWENTY-TWO", "TWENTY-THREE", "TWENTY-FOUR", "TWENTY-FIVE", "TWENTY-SIX", "TWENTY-SEVEN", "TWENTY-EIGHT", "TWENTY-NINE", "THIRTY",
+)
+#: Segments that a special may have.
+SEGMENTS = 15
+
+
+def sections_of(kind: str | None = None, own: dict[str, str] | None = None) -> dict[str, str]:
+    """Headers and slugs for a kind of project: podcast, audiobook, drama, special (all of them, and segments) or any other; a show's ``own`` come on top."""
+    found = dict(SECTIONS)
+    if kind in ("podcast", "special"):
+        found |= PODCAST
+    if kind in ("audiobook", "special"):
+        found |= AUDIOBOOK | {f"CHAPTER {name}": f"chapter{i}" for i, word in enumerate(CHAPTERS, 1) for name in (word, i)}
+    if kind in ("drama", "special"):
+        found |= DRAMA
+    if kind == "special":
+        found |= {f"SEGMENT {i}": f"segment{i}" for i in range(1, SEGMENTS + 1)}
+    return found | (own or {})
 
 
 def caps_lines(lines: DataFrame, by: str = "doc") -> DataFrame:
@@ -52,163 +72,138 @@ def cast_block(lines: DataFrame, by: str = "doc") -> DataFrame:
     return marked.where(F.col("_in") & ~F.col("_out") & F.col("line").startswith("*")).select(by, "line_no", name.alias("display")).where("display != ''")
 
 
-def split_hints(raw: str, slug: str) -> tuple[str, str | None, dict[str, float]]:
-    """Direction text, source and overrides of one bracket."""
-    head, *rest = [p.strip() for p in raw.split(" | ")]
-    source, overrides, left = None, {}, [head]
-    for part in rest:
-        name, sign, value = part.partition("=")
-        field, top = HINTS.get(name.strip(), (None, 0.0)) if sign else (None, 0.0)
-        if part.endswith((".mp3", ".wav")) and source is None:
-            source = f"SFX/{slug}/{part}" if slug else f"SFX/{part}"
-            continue
-        try:
-            number = float(value.strip().rstrip("%").strip()) if field and not part.endswith((".mp3", ".wav")) else None
-        except ValueError:
-            number = None
-        if number is not None and 0.0 <= number <= top:
-            overrides[field] = number
-        else:
-            left.append(part)
-    return " | ".join(left), source, overrides
-
-
-def kind_of_direction(value: str) -> str | None:
-    t = value.strip()
-    special = {"LONG BEAT": "BEAT", "INTRO MUSIC": "MUSIC", "OUTRO MUSIC": "MUSIC"}
-    return next((k for k in DIRECTION_TYPES if t.startswith(k)), special.get(t))
-
-
-class ScriptMachine:
-    """The state of one document's parse; ``feed`` takes its lines one by one and adds entries."""
-
-    def __init__(self, names: list[tuple[str, str]], slug: str):
-        self.names = sorted(names, key=lambda n: -len(n[0]))
-        self.slug, self.entries = slug, []
-        self.section = self.scene = self.waiting = None
-        self.spoken: dict | None = None
-        self.notes = self.ended = False
-
-    def add(self, line_no: int, kind: str, value: str, **more) -> dict:
-        base = {"type": kind, "section": self.section, "scene": self.scene, "speaker": None, "direction": None, "text": value, "direction_type": None, "sfx_source": None, "sfx_overrides": {}}
-        self.entries.append(base | more | {"seq": len(self.entries) + 1, "line_no": line_no})
-        return self.entries[-1]
-
-    def directions(self, line_no: int, line: str) -> None:
-        for inside in re.findall(r"\[([^\]]+)\]", line):
-            clean, source, overrides = split_hints(inside.strip(), self.slug)
-            if kind := kind_of_direction(clean):
-                self.add(line_no, "direction", clean, direction_type=kind, sfx_source=source, sfx_overrides=overrides)
-
-    def speaker(self, line: str) -> tuple[str, str | None, str] | None:
-        for display, key in self.names:
-            rest = line[len(display) :]
-            if line.startswith(display) and rest[:1] in ("", " ", "("):
-                rest = rest.lstrip()
-                note, close, after = rest[1:].partition(")") if rest.startswith("(") else ("", "", "")
-                return (key, note.strip(), after.strip()) if close else (key, None, rest)
-        return None
-
-    def feed(self, line_no: int, raw: str) -> None:
-        line = raw.strip()
-        if not line or self.ended:
-            return
-        aside = line.startswith("(") and line.endswith(")")
-        cue = line.startswith("[") and "]" in line
-        if self.waiting:  # a name stood alone: this comes before all other readings of the line
-            if aside:
-                self.waiting = (self.waiting[0], line[1:-1].strip())
-            elif cue:
-                self.directions(line_no, line)
-            else:
-                self.spoken = self.add(line_no, "dialogue", line, speaker=self.waiting[0], direction=self.waiting[1])
-                self.waiting = None
-            return
-        if re.fullmatch(r"={3,}|-{3,}", line):
-            return
-        self.notes = self.notes or line in METADATA_SECTIONS
-        if self.notes:
-            return
-        if line.startswith(("END OF EPISODE", "END OF PRODUCTION")):
-            self.ended = True
-            return
-        slug = SECTIONS.get(line) or (SECTIONS.get(line.split(":")[0].strip()) if ":" in line else None)
-        if slug:
-            self.section, self.scene, self.spoken = slug, None, None
-            self.add(line_no, "section_header", line)
-        elif re.match(r"SCENE \d+[A-Za-z]*:", line):
-            if number := re.match(r"SCENE (\d+[A-Za-z]*):\s*.+", line):
-                self.scene = f"scene-{number[1]}"
-            self.add(line_no, "scene_header", re.sub(r"\s*\[[^\]]+\]", "", line).strip())
-            self.directions(line_no, line)
-            self.spoken = None
-        elif cue:
-            self.directions(line_no, line)
-            self.spoken = None
-        elif said := self.speaker(line):
-            key, note, words = said
-            self.waiting = None if words else (key, note)
-            self.spoken = self.add(line_no, "dialogue", words, speaker=key, direction=note) if words else None
-        elif self.spoken and not aside:
-            self.spoken["text"] += " " + line
-
-
-def clean_lines(raw: str) -> list[str]:
-    """Composed, without escapes, heading marks, bold marks and white space at line ends."""
-    raw = unicodedata.normalize("NFC", raw)
-    for a, b in (("\\[", "["), ("\\]", "]"), ("\\===", "==="), ("\\=", "=")):
-        raw = raw.replace(a, b)
-    raw = re.sub(r"\\(.)", r"\1", raw)
-    return [re.sub(r"^#{1,6}\s*", "", line).replace("**", "").rstrip() for line in raw.split("\n")]
-
-
-def to_key(display: str) -> str:
-    name = re.sub(r"[^\w\s]", "", re.sub(r"\s*\([^)]*?\)\s*", " ", display).strip()).lower().strip()
-    return re.sub(r"\s+", "_", name).strip("_")
-
-
-def parse_one(raw: str, known: list[tuple[str, str]]) -> list[dict]:
-    """Entries of one script; names come from its CAST block and from ``known``."""
-    lines = clean_lines(raw)
-    top = next((i for i, line in enumerate(lines) if line.strip()), len(lines))
-    header = lines[top].strip() if top < len(lines) else ""
-    start, show = (top + 1, re.split(r"\b(?:Season\s+\d+|Episode\s+\d+)", header)[0].strip()) if re.search(r"Episode\s+\d+", header) else (0, "Unknown Show")
-    names: dict[str, str] = {}
-    inside = False
-    for i in range(start, len(lines)):
-        line = lines[i].strip()
-        if line == "CAST:":
-            inside = True
-        elif inside and line.startswith("*"):
-            display = re.split(r"\s*[—–]\s*", line[1:].strip())[0].strip()
-            if display and to_key(display) and to_key(display) not in names.values():
-                names[display] = to_key(display)
-        elif inside and line:
-            start = i
-            break
-    for display, key in known:
-        names[display] = key
-    names |= {d.replace(" ", "_"): k for d, k in list(names.items()) if " " in d}
-    machine = ScriptMachine(list(names.items()), re.sub("[^a-z0-9]", "", show.lower()))
-    for i in range(start, len(lines)):
-        machine.feed(i + 1, lines[i])
-    return machine.entries
-
-
-def parse_scripts(scripts: DataFrame, known: list[tuple[str, str]] = ()) -> DataFrame:
-    """Entries of scripts (doc, value), one task for many documents; ``known`` are speakers (display, key) of the show.
+def script_lines(scripts: DataFrame) -> DataFrame:
+    """The lines of scripts (doc, value) that are read: doc, line_no, raw, line, slug of the show, and the name in a line of the CAST block.
 
-    Null scripts give no rows; neither do lines that no rule takes.
+    Texts are composed, escapes, heading and bold marks go. The header line is left out, and so is
+    what comes before the end of the CAST block, but for the names there.
     """
-    known = list(known)
-    columns = [part.split()[0] for part in re.split(r",\s*(?![^<]*>)", PARSED)]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [entry | {"doc": doc} for doc, raw in zip(batch["doc"], batch["value"]) if raw is not None for entry in parse_one(raw, known)]
-            yield pd.DataFrame(rows, columns=columns)
+    raw = scripts.where("value IS NOT NULL").select("doc", F.posexplode(F.split(t.strip_escapes(nfc("value")), "\n")).alias("at", "raw"))
+    rows = raw.select("doc", (F.col("at") + 1).cast("long").alias("line_no"), t.strip_formatting(F.col("raw")).alias("raw")).withColumn("line", strip(F.col("raw")))
+    whole, run = Window.partitionBy("doc"), Window.partitionBy("doc").orderBy("line_no").rowsBetween(*UP_TO_NOW)
+    line, line_no = F.col("line"), F.col("line_no")
+    rows = rows.withColumn("_top", F.min(F.when(line != "", F.struct("line_no", "line"))).over(whole))
+    header = t.script_header(F.col("_top.line"))
+    rows = rows.withColumns({"slug": F.coalesce(t.show_slug(header["show"]), F.lit("unknownshow")), "_start": F.when(header.isNotNull(), F.col("_top.line_no") + 1).otherwise(1)})
+    rows = rows.withColumn("_cast", F.coalesce(F.bool_or((line == "CAST:") & (line_no >= F.col("_start"))).over(run), F.lit(False)))
+    ends = F.col("_cast") & (line != "CAST:") & (line != "") & ~line.startswith("*")
+    rows = rows.withColumn("_end", F.min(F.when(ends, line_no)).over(whole))
+    named = F.col("_cast") & line.startswith("*") & (F.col("_end").isNull() | (line_no < F.col("_end")))
+    display = strip(F.regexp_extract(strip(F.substring("line", 2, 1_000_000)), r"(?U)^(.*?)(?:\s*[—–]\s*.*)?$", 1))
+    return rows.withColumn("name", F.when(named, t.nonblank(display))).withColumn("read", line_no >= F.coalesce("_end", "_start")).where("read OR name IS NOT NULL").drop("_top", "_start", "_cast", "_end")
+
+
+def speakers_of(lines: DataFrame, known: Sequence[tuple[str, str]]) -> DataFrame:
+    """(doc, line_no, key, after) for lines that start with a name: the longest one, followed by a space, a parenthesis or the end.
+
+    Names meet lines by their first word. Of equal names the known ones go before those of the CAST
+    block; names with spaces may be written with underscores as well.
+    """
+    spark = lines.sparkSession
+    lead = lambda c: F.regexp_extract(c, r"^[^ (]*", 0)
+    underscored = [(d.replace(" ", "_"), k) for d, k in known if " " in d]
+    fixed = spark.createDataFrame([(d, k, rank, at) for rank, names in ((1, known), (2, underscored)) for at, (d, k) in enumerate(names)], "display string, key string, rank int, at long")
+    own = lines.where("name IS NOT NULL").withColumn("key", t.display_to_key(F.col("name"))).where("key != ''").groupBy("doc", "key").agg(F.min_by("name", "line_no").alias("display"), F.min("line_no").alias("at"))
+    own = own.select("doc", "display", "key", F.lit(0).alias("rank"), "at")
+    own = own.unionByName(own.where(F.col("display").contains(" ")).withColumns({"display": F.replace("display", F.lit(" "), F.lit("_")), "rank": F.lit(2)}))
+    said = lines.where("read AND line != ''").select("doc", "line_no", "line", lead(F.col("line")).alias("_lead"))
+    after = F.substring(F.col("line"), F.length("display") + 1, F.length("line"))
+    fits = F.col("line").startswith(F.col("display")) & (after.rlike("^[ (]") | (after == ""))
+    columns = ["doc", "line_no", "display", "key", "rank", "at", after.alias("after")]
+    # The known names are a list of the caller's, so their table is as small as that.
+    met = said.join(F.broadcast(fixed.withColumn("_lead", lead(F.col("display")))), "_lead").where(fits).select(*columns)
+    met = met.unionByName(said.join(own.withColumn("_lead", lead(F.col("display"))), ["doc", "_lead"]).where(fits).select(*columns))
+    best = met.groupBy("doc", "line_no").agg(F.max_by(F.struct("key", "after"), F.struct(F.length("display"), "rank", "at")).alias("best"))
+    return best.select("doc", "line_no", "best.*")
+
+
+def classified(lines: DataFrame, known: Sequence[tuple[str, str]], sections: dict[str, str]) -> DataFrame:
+    """What each line is: section, scene, cue, name (it waits for its text), said (name and text), taken (text that was waited for), plain or other.
+
+    Lines after the end of the episode, or from the notes on, are left out.
+    """
+    line = F.col("line")
+    rows = lines.where("read AND line != ''").join(speakers_of(lines, known), ["doc", "line_no"], "left")
+    rest = F.regexp_replace("after", r"(?U)^\s+", "")
+    noted = rest.rlike(r"^\([^)]*\)")
+    rows = rows.withColumns(
+        {
+            "note": F.when(noted, strip(F.regexp_extract(rest, r"^\(([^)]*)\)", 1))),
+            "words": F.when(noted, strip(F.regexp_replace(rest, r"^\([^)]*\)", ""))).otherwise(rest),
+            "section_slug": t.section_slug(line, sections),
+            "aside": line.startswith("(") & line.endswith(")"),
+            "is_cue": is_stage_direction(line),
+        }
+    )
+    kind = (
+        F.when(t.is_divider(line), "other").when(t.is_metadata_section(line), "stop").when(line.startswith("END OF EPISODE") | line.startswith("END OF PRODUCTION"), "stop")
+        .when(F.col("section_slug").isNotNull(), "section").when(t.is_scene_header(line), "scene").when(F.col("is_cue"), "cue").when(F.col("words") == "", "name").when(F.col("words").isNotNull(), "said")
+        .when(F.col("aside"), "other").otherwise("plain")
+    )
+    rows = rows.withColumn("kind", kind).withColumn("takes", ~F.col("aside") & ~F.col("is_cue"))
+    # Among the lines that can be taken: runs of names, and every second one in them.
+    taking = Window.partitionBy("doc", "takes").orderBy("line_no")
+    is_name = (F.col("kind") == "name") & F.col("takes")
+    rows = rows.withColumn("_name", is_name).withColumn("_new", is_name & ~F.coalesce(F.lag("_name").over(taking), F.lit(False)))
+    rows = rows.withColumn("_run", F.count_if("_new").over(taking.rowsBetween(*UP_TO_NOW)))
+    in_run = Window.partitionBy("doc", "takes", "_run").orderBy("line_no")
+    rows = rows.withColumn("_waits", is_name & (F.row_number().over(in_run) % 2 == 1))
+    rows = rows.withColumn("kind", F.when(F.col("takes") & F.coalesce(F.lag("_waits").over(taking), F.lit(False)), "taken").otherwise(F.col("kind")))
+    so_far = Window.partitionBy("doc").orderBy("line_no").rowsBetween(*UP_TO_NOW)
+    rows = rows.where("line != ''").withColumn("_stopped", F.bool_or(F.col("kind") == "stop").over(so_far)).where("NOT _stopped")
+    # A text that was waited for has the speaker of the last name, and its note or that of the last aside since.
+    name = F.last(F.when(F.col("kind") == "name", F.struct("line_no", "key", "note")), ignorenulls=True).over(so_far)
+    aside = F.last(F.when(F.col("aside") & (F.col("kind") != "taken"), F.struct("line_no", F.expr("substring(line, 2, length(line) - 2)").alias("note"))), ignorenulls=True).over(so_far)
+    rows = rows.withColumns({"_of": name, "_aside": aside})
+    taken = F.col("kind") == "taken"
+    note = F.when(F.col("_aside.line_no") > F.col("_of.line_no"), strip(F.col("_aside.note"))).otherwise(F.col("_of.note"))
+    return rows.withColumns({"speaker": F.when(taken, F.col("_of.key")).otherwise(F.col("key")), "note": F.when(taken, note).otherwise(F.col("note")), "words": F.when(taken, line).otherwise(F.col("words"))}).select(
+        "doc", "line_no", "line", "slug", "kind", "speaker", "note", "words", "section_slug"
+    )
+
+
+def directions_of(line: Column, slug: Column) -> Column:
+    """The directions in the brackets of a line, as entries."""
+    hinted = F.transform(t.brackets(line), lambda inside: t.split_hints(strip(inside), slug))
+    found = F.filter(hinted, lambda h: t.direction_type(h["clean"]).isNotNull())
+    return F.transform(found, lambda h: entry("direction", h["clean"], direction_type=t.direction_type(h["clean"]), sfx_source=h["source"], sfx_overrides=h["overrides"]))
+
+
+def entry(kind: str, value: Column, **more: Column) -> Column:
+    none = {name: F.lit(None).cast("string") for name in ("speaker", "direction", "direction_type", "sfx_source")}
+    none["sfx_overrides"] = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
+    return F.struct(F.lit(kind).alias("type"), value.alias("text"), *[c.alias(name) for name, c in (none | more).items()])
+
+
+def parse_scripts(scripts: DataFrame, known: Sequence[tuple[str, str]] = (), kind: str | None = None, sections: dict[str, str] | None = None) -> DataFrame:
+    """Entries of scripts (doc, value): doc, seq, type, section, scene, speaker, direction, text, direction_type, sfx_source, sfx_overrides, line_no.
+
+    ``doc`` names one script. ``known`` are speakers (display, key) of the show, ``kind`` is that of
+    the project, which tells what headers its sections have, ``sections`` are more of them.
 
-    return scripts.select("doc", "value").mapInPandas(run, PARSED)
+    Null scripts give no rows; neither do lines that no rule takes.
+    """
+    rows = classified(script_lines(scripts), list(known), sections_of(kind, sections))
+    scene = F.when(F.col("kind") == "scene", F.concat(F.lit("scene-"), t.scene_number(F.col("line"))))
+    rows = fill_sections(rows, ["doc"], ["line_no"], F.when(F.col("kind") == "section", F.col("section_slug")), scene)
+    run = Window.partitionBy("doc").orderBy("line_no").rowsBetween(*UP_TO_NOW)
+    rows = rows.withColumn("event", F.count_if(~F.col("kind").isin("plain", "other")).over(run)).where("event > 0 AND kind != 'other'")
+    # Plain lines go on with what was said before them.
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.when(F.col("kind") == "plain", F.col("line")).otherwise(F.col("words")).alias("words")))), lambda p: p["words"])
+    first = F.min_by(F.struct("kind", "section", "scene", "speaker", "note", "line", "slug"), "line_no").alias("e")
+    events = rows.groupBy("doc", "event").agg(F.min("line_no").alias("line_no"), first, F.array_join(parts, " ").alias("words"))
+    line, slug, what = F.col("e.line"), F.col("e.slug"), F.col("e.kind")
+    made = (
+        F.when(what == "section", F.array(entry("section_header", line)))
+        .when(what == "scene", F.concat(F.array(entry("scene_header", t.strip_brackets(line))), directions_of(line, slug)))
+        .when(what == "cue", directions_of(line, slug))
+        .when(what.isin("said", "taken"), F.array(entry("dialogue", F.col("words"), speaker=F.col("e.speaker"), direction=F.col("e.note"))))
+    )
+    out = events.select("doc", "line_no", "e.section", "e.scene", F.posexplode(made).alias("at", "entry"))
+    order = Window.partitionBy("doc").orderBy("line_no", "at")
+    return out.withColumn("seq", F.row_number().over(order).cast("long")).select(
+        "doc", "seq", "entry.type", "section", "scene", "entry.speaker", "entry.direction", "entry.text", "entry.direction_type", "entry.sfx_source", "entry.sfx_overrides", "line_no"
+    )
 
 
 def regenerate(entries: DataFrame, display: dict[str, str], by: str = "doc") -> DataFrame:
