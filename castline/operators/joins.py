@@ -49,13 +49,17 @@ def compare_transcripts(dialogue: DataFrame, stems: DataFrame, threshold: float
     """Each line's status against its stem (has_transcript, transcript): no_stem, not_transcribed, silent, garbled or ok."""
     side = stems.select(*on, "has_transcript", "transcript", F.lit(True).alias("_stem"))
     joined = dialogue.join(side, list(on), "left")
-    ratio = round_exact(similarity(spoken_text(F.col("text")), spoken_text(F.col("transcript"))), F.lit(4))
     silent = strip(text("transcript")) == ""
+    heard = F.col("_stem").isNotNull() & F.col("has_transcript")
+    # Most stems say what the line says: only the others are compared letter by letter.
+    joined = joined.withColumns({"_said": F.when(heard & ~silent, spoken_text(F.col("text"))), "_heard": F.when(heard & ~silent, spoken_text(F.col("transcript")))})
+    differ = (F.col("_said") != F.col("_heard")) & (F.col("_said") != "") & (F.col("_heard") != "")
+    compared = round_exact(similarity(F.when(differ, F.col("_said")), F.when(differ, F.col("_heard"))), F.lit(4))
+    ratio = F.when(F.col("_said") == F.col("_heard"), 1.0).when((F.col("_said") == "") | (F.col("_heard") == ""), 0.0).otherwise(compared)
     status = (
         F.when(F.col("_stem").isNull(), "no_stem").when(~F.col("has_transcript"), "not_transcribed").when(silent, "silent").when(F.col("similarity") < threshold, "garbled").otherwise("ok")
     )
-    heard = F.col("_stem").isNotNull() & F.col("has_transcript")
-    return joined.withColumn("similarity", F.when(heard & silent, 0.0).when(heard, ratio)).withColumn("status", status).drop("_stem")
+    return joined.withColumn("similarity", F.when(heard & silent, 0.0).when(heard, ratio)).withColumn("status", status).drop("_stem", "_said", "_heard")
 
 
 def audit(records: DataFrame, dialogue: DataFrame, on: Sequence[str], logged: str, actual: str, threshold: int = 0) -> DataFrame:
@@ -95,8 +99,7 @@ def reconcile(dialogue: DataFrame, manifest: DataFrame, present: DataFrame, key:
 
     ``manifest`` rows (key, at, path, sha256) count by their last one; ``present`` lists the files (path, sha256).
     """
-    order = Window.partitionBy(*key).orderBy(F.desc("at"))
-    last = manifest.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").select(*key, F.col("path").alias("made_path"), F.col("sha256").alias("made_sha"))
+    last = manifest.groupBy(*key).agg(F.max_by(F.struct("path", "sha256"), "at").alias("_made")).select(*key, F.col("_made.path").alias("made_path"), F.col("_made.sha256").alias("made_sha"))
     joined = dialogue.join(last, list(key), "left").join(present.select(F.col("path").alias("made_path"), F.col("sha256").alias("file_sha")), "made_path", "left")
     state = (
         F.when(F.col("made_path").isNull(), "missing").when(F.col("file_sha").isNull(), "missing").when(F.col("made_sha").isNotNull() & (F.col("made_sha") != F.col("file_sha")), "missing")
@@ -123,12 +126,13 @@ def contains_join(effects: DataFrame, assets: DataFrame, cue: str, asset: str) -
     """Effects and the assets whose id their name holds, any case; an effect may hold several.
 
     Ids look like ``WORD-WORD-12``. Each starts at a word of the name and has no more words than
-    the name, so the runs of words that follow each other meet the ids in an equi-join.
+    the longest id, so the runs of so many words meet the ids in an equi-join.
     """
+    longest = assets.agg(F.max(F.size(F.split(asset, "-")))).first()[0] or 0
     words = F.regexp_extract_all(F.upper(cue), F.lit(r"[A-Z0-9_]+"), 0)
     n = F.size(words)
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.array_join(F.slice(words, i, j - i + 1), "-"))))
-    found = effects.withColumn(asset, F.explode(F.array_distinct(F.when(n > 0, runs)))).join(assets, asset)
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, F.least(n, i + longest - 1)), lambda j: F.array_join(F.slice(words, i, j - i + 1), "-"))))
+    found = effects.withColumn(asset, F.explode(F.array_distinct(F.when((n > 0) & (F.lit(longest) > 0), runs)))).join(assets, asset)
     return found.where(F.upper(cue).contains(F.col(asset)))
 
 

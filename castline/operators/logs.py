@@ -10,12 +10,11 @@ from castline.operators.sequence import number_runs
 
 # How a log names a line that is generated, its back end, and what it saved.
 PREFIX = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}[^|]*\|[A-Z]+\|[^|]*\|[^|]*\|"
-START = r"^\s*>\s*\[(\d+)\]\s+(\S+)\s+"
 BACKENDS = (
-    (START + r"with\s+(eleven_\S+)\s+\((\d+)\s+chars\)", None),
-    (START + r"via\s+(gTTS)\s+\((\d+)\s+chars\)", "gtts"),
-    ("(?i)" + START + r"via\s+(Chatterbox\s+Turbo)\s+\((\d+)\s+chars\)", "chatterbox-turbo"),
-    ("(?i)" + START + r"via\s+(Chatterbox)\s+\((\d+)\s+chars\)", "chatterbox"),
+    (r"^\s*>\s*\[(\d+)\]\s+(\S+)\s+with\s+(eleven_\S+)\s+\((\d+)\s+chars\)", None),
+    (r"^\s*>\s*\[(\d+)\]\s+(\S+)\s+via\s+(gTTS)\s+\((\d+)\s+chars\)", "gtts"),
+    (r"(?i)^\s*>\s*\[(\d+)\]\s+(\S+)\s+via\s+(Chatterbox\s+Turbo)\s+\((\d+)\s+chars\)", "chatterbox-turbo"),
+    (r"(?i)^\s*>\s*\[(\d+)\]\s+(\S+)\s+via\s+(Chatterbox)\s+\((\d+)\s+chars\)", "chatterbox"),
 )
 SAVED, DIGEST = r"^\s*Saved:\s+(\S+)", r"^\s*SHA256:\s+([0-9a-fA-F]+)"
 
@@ -37,7 +36,8 @@ def production_records(lines: DataFrame) -> DataFrame:
     start = None
     for pattern, backend in BACKENDS:
         part = lambda i, p=pattern: F.regexp_extract("line", p, i)
-        found = F.struct(part(1).try_cast("long").alias("seq"), part(2).alias("speaker"), (F.lit(backend) if backend else part(3)).alias("backend"), part(4).try_cast("long").alias("char_count"))
+        number = lambda i: F.coalesce(part(i).try_cast("long"), F.lit(0).cast("long"))
+        found = F.struct(number(1).alias("seq"), part(2).alias("speaker"), (F.lit(backend) if backend else part(3)).alias("backend"), number(4).alias("char_count"))
         start = F.when(F.col("line").rlike(pattern), found) if start is None else start.when(F.col("line").rlike(pattern), found)
     rows = rows.withColumn("_boundary", boundary).withColumn("_start", F.when(~F.col("_boundary"), start))
     rows = rows.withColumns({"_path": F.when(~F.col("_boundary"), nonblank(F.regexp_extract("line", SAVED, 1))), "_sha": F.when(~F.col("_boundary"), nonblank(F.regexp_extract("line", DIGEST, 1)))})

@@ -11,7 +11,7 @@ FLOOR, STRONG_COVERAGE, STRONG_JACCARD, STRONG_MARGIN, JACCARD_WEIGHT = 0.5, 0.8
 
 
 def candidates(cues: DataFrame, pool: DataFrame, floor: float = FLOOR) -> DataFrame:
-    """Cues (cue, cue_tokens, placement) with assets (asset, asset_tokens, placement) that cover enough of them.
+    """Cues (cue, cue_tokens, placement) with assets (asset, asset_tokens, placement), both without repeats, that cover enough of them.
 
     An asset that covers a share of at least ``floor`` has one of the first tokens of the cue, as
     many as it may lack and one: only these are looked up, in an equi-join. Rarer tokens come
@@ -23,9 +23,12 @@ def candidates(cues: DataFrame, pool: DataFrame, floor: float = FLOOR) -> DataFr
         .withColumn("place", F.row_number().over(Window.partitionBy("cue", "placement").orderBy("count", "token")))
     )
     n = F.size("cue_tokens")
-    probes = ranked.where(F.col("place") <= n - F.ceil(n * floor) + 1).select("cue", "placement", "cue_tokens", "token")
-    listed = pool.select("asset", "placement", "asset_tokens", F.explode("asset_tokens").alias("token"))
-    met = probes.join(listed, ["token", "placement"]).select("cue", "placement", "cue_tokens", "asset", "asset_tokens").distinct()
+    probes = ranked.where(F.col("place") <= n - F.ceil(n * floor) + 1).select("cue", "placement", "token")
+    listed = pool.select("asset", "placement", F.explode("asset_tokens").alias("token"))
+    # Names meet first; the tokens come back to those that are left.
+    met = probes.join(listed, ["token", "placement"]).select("cue", "placement", "asset").distinct()
+    met = met.join(cues.select("cue", "placement", "cue_tokens"), ["cue", "placement"]).join(pool.select("asset", "placement", "asset_tokens"), ["asset", "placement"])
+    met = met.select("cue", "placement", "cue_tokens", "asset", "asset_tokens")
     scored = met.withColumns({"coverage": coverage(F.col("cue_tokens"), F.col("asset_tokens")), "jaccard": jaccard(F.col("cue_tokens"), F.col("asset_tokens"))})
     return scored.where(F.col("coverage") >= floor).withColumn("score", F.col("coverage") + JACCARD_WEIGHT * F.col("jaccard"))
 
@@ -42,8 +45,8 @@ def ranked_matches(scored: DataFrame, cues: DataFrame, top: int = 3) -> DataFram
 
 def exact_index(assets: DataFrame, own: str, name: str = "filename") -> DataFrame:
     """The preferred copy of each file name: of the own show, then shared, then the first one seen."""
-    order = Window.partitionBy(name).orderBy(scope_rank(F.col("scope"), F.lit(own)), "at")
-    return assets.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+    best = F.min_by(F.struct(*assets.columns), F.struct(scope_rank(F.col("scope"), F.lit(own)), "at"))
+    return assets.groupBy(name).agg(best.alias("_best")).select("_best.*")
 
 
 def with_exact(cues: DataFrame, index: DataFrame, ranked: DataFrame, file_name: str = "filename") -> DataFrame:

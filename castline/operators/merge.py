@@ -47,7 +47,7 @@ def upsert(manifest: DataFrame, new: DataFrame, key: Sequence[str], columns: Seq
     new ones the last counts.
     """
     last = Window.partitionBy(*key).orderBy(F.desc("at"))
-    fresh = new.withColumn("_rank", F.row_number().over(last)).where("_rank = 1").drop("_rank")
+    fresh = new.groupBy(*key).agg(F.max_by(F.struct("at", *columns), "at").alias("_row")).select(*key, "_row.*")
     old = manifest.withColumn("_rank", F.row_number().over(last))
     side = fresh.select(*key, F.lit(1).alias("_rank"), F.lit(True).alias("_new"), F.col("at").alias("_at"), *[F.col(c).alias(f"_{c}") for c in columns])
     joined = old.join(side, [*key, "_rank"], "full")

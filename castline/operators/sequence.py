@@ -114,5 +114,7 @@ def unclosed_loops(rows: DataFrame, by: Sequence[str], order: str, starts: Colum
 
 
 def first_of(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """The first row of each key."""
+    """The first row of each key; where the order is plain columns, tasks keep one row of a key before they shuffle."""
+    if all(isinstance(c, str) for c in order):
+        return rows.groupBy(*by).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_first")).select("_first.*")
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_rank = 1").drop("_rank")

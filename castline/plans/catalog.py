@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from castline.functions import text as t
 from castline.functions.exact import closest, nfc, round_exact, short_number, similarity, title_case
 from castline.operators import aggregates, impact, joins, matching, merge, production, scripts, sequence, timeline
+from castline.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -183,11 +184,13 @@ def annotate_join(spark, sf_dir):
     return joins.annotate(rows, voices, F.col("l_linestatus") == "F", "l_suppkey", "s_suppkey", {"cast_name": F.col("s_name")}, "cast_matched").drop("l_returnflag", "l_linestatus")
 
 
-@query("""SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'no_stem' WHEN quality = 0 THEN 'not_transcribed' WHEN toxic = 1 THEN 'silent' ELSE 'ok' END AS status FROM documents d LEFT JOIN labels l USING (doc_id)""")
+@query("""SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'no_stem' WHEN quality = 0 THEN 'not_transcribed' WHEN toxic = 1 THEN 'silent' WHEN d.doc_id % 5 = 0 THEN 'garbled' ELSE 'ok' END AS status,
+    CASE WHEN quality = 1 THEN CASE WHEN toxic = 1 OR d.doc_id % 5 = 0 THEN 0.0 ELSE 1.0 END END::DOUBLE AS similarity FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def compare_status(spark, sf_dir):
     lines = read(spark, sf_dir, "documents").select("doc_id", "text")
-    heard = read(spark, sf_dir, "labels").join(lines, "doc_id").select("doc_id", (F.col("quality") == 1).alias("has_transcript"), F.when(F.col("toxic") == 1, " ").otherwise(F.col("text")).alias("transcript"))
-    return joins.compare_transcripts(lines, heard, on=["doc_id"]).select("doc_id", "status")
+    said = F.when(F.col("toxic") == 1, " ").when(F.col("doc_id") % 5 == 0, "※ ※").otherwise(F.col("text"))
+    heard = read(spark, sf_dir, "labels").join(lines, "doc_id").select("doc_id", (F.col("quality") == 1).alias("has_transcript"), said.alias("transcript"))
+    return joins.compare_transcripts(lines, heard, on=["doc_id"]).select("doc_id", "status", "similarity")
 
 
 @query("""SELECT d.doc_id, d.lang, d.n_chars AS logged, CAST(CASE WHEN quality = 1 THEN length(text) - quality END AS BIGINT) AS actual, CAST(abs(CASE WHEN quality = 1 THEN length(text) - quality END - d.n_chars) AS BIGINT) AS delta,
@@ -220,7 +223,9 @@ _STALE = """WITH stems AS (SELECT DISTINCT printf('%03d', l_orderkey) || '_main_
 @query(_STALE)
 def stale_audit(spark, sf_dir):
     who = F.when(F.col("l_returnflag") == "R", "sfx").otherwise(F.lower("l_returnflag"))
-    stems = read(spark, sf_dir, "lineitem").select(F.concat(F.format_string("%03d", "l_orderkey"), F.lit("_main_"), who).alias("base")).distinct().withColumn("path", F.concat("base", F.lit(".mp3"))).withColumn("seq", t.stem_seq(F.col("path")))
+    # Two short columns are made distinct; names are put together for what is left.
+    kinds = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag").distinct()
+    stems = kinds.select(F.concat(F.format_string("%03d", "l_orderkey"), F.lit("_main_"), who).alias("base")).withColumn("path", F.concat("base", F.lit(".mp3"))).withColumn("seq", t.stem_seq(F.col("path")))
     kind = F.when(F.col("o_orderstatus") == "O", "dialogue").when(F.col("o_orderstatus") == "P", "direction").otherwise("scene_header")
     speaker = F.when(F.col("o_custkey") % 2 == 0, "a").otherwise("n")
     entries = read(spark, sf_dir, "orders").where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("seq"), kind.alias("type"), F.lit("main").alias("section"), F.lit(None).cast("string").alias("scene"), speaker.alias("speaker"))
@@ -580,19 +585,43 @@ def similarity_compare(spark, sf_dir):
     return rows.select("conv_id", "seq", round_exact(similarity(t.spoken_text(F.col("before")), t.spoken_text(F.col("text"))), F.lit(4)).alias("similarity"))
 
 
-@query()
+_PARSE = r"""WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS doc, u.at AS line_no, regexp_replace(replace(regexp_replace(u.raw, '^#{1,6}\s*', ''), '**', ''), '^\s+|\s+$', '', 'g') AS line
+        FROM (SELECT doc_id, unnest(string_split(nfc_normalize(text), chr(10))) AS raw, generate_subscripts(string_split(nfc_normalize(text), chr(10)), 1) AS at FROM documents) u),
+    n AS (SELECT *, regexp_extract(line, '^(The|La|De|Der|Of)([ (]|$)', 1) AS name FROM l WHERE line <> ''),
+    w AS (SELECT *, ltrim(substr(line, length(name) + 1)) AS rest, starts_with(line, '(') AND suffix(line, ')') AS aside FROM n),
+    k AS (SELECT *, CASE WHEN name <> '' AND regexp_matches(rest, '^\([^)]*\)') THEN trim(regexp_extract(rest, '^\(([^)]*)\)', 1)) END AS note, CASE WHEN name = '' THEN NULL ELSE trim(regexp_replace(rest, '^\([^)]*\)', '')) END AS words FROM w),
+    c AS (SELECT *, CASE WHEN regexp_matches(line, '^(={3,}|-{3,})$') THEN 'other' WHEN words = '' THEN 'name' WHEN words IS NOT NULL THEN 'said' WHEN aside THEN 'other' ELSE 'plain' END AS kind FROM k),
+    r AS (SELECT *, kind = 'name' AND lag(kind, 1, '') OVER o <> 'name' AS fresh FROM c WHERE NOT aside WINDOW o AS (PARTITION BY doc ORDER BY line_no)),
+    g AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY doc ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS run FROM r),
+    p AS (SELECT *, kind = 'name' AND row_number() OVER (PARTITION BY doc, run ORDER BY line_no) % 2 = 1 AS waits FROM g),
+    q AS (SELECT doc, line_no, line, note, words, name, CASE WHEN lag(waits, 1, false) OVER o THEN 'taken' ELSE kind END AS kind FROM p WINDOW o AS (PARTITION BY doc ORDER BY line_no)),
+    e AS (SELECT *, count(*) FILTER (kind IN ('name', 'said', 'taken')) OVER o AS event, last_value(CASE WHEN kind = 'name' THEN name END IGNORE NULLS) OVER o AS of_name, last_value(CASE WHEN kind = 'name' THEN coalesce(note, '') END IGNORE NULLS) OVER o AS of_note
+        FROM q WINDOW o AS (PARTITION BY doc ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
+    d AS (SELECT doc, min(line_no) AS line_no, arg_min(kind, line_no) AS kind, arg_min(CASE WHEN kind = 'taken' THEN of_name ELSE name END, line_no) AS name, arg_min(CASE WHEN kind = 'taken' THEN nullif(of_note, '') ELSE note END, line_no) AS direction,
+        string_agg(CASE WHEN kind = 'said' THEN words ELSE line END, ' ' ORDER BY line_no) AS text FROM e WHERE event > 0 AND kind <> 'other' GROUP BY doc, event)
+    SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY line_no) AS seq, 'dialogue' AS type, lower(name) AS speaker, direction, text, line_no FROM d WHERE kind <> 'name'"""
+
+
+@query(_PARSE)
 def parse_script(spark, sf_dir):
     """Documents read as scripts whose speakers are a few frequent words."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc"), F.col("text").alias("value"))
     return scripts.parse_scripts(docs, [("The", "the"), ("La", "la"), ("De", "de"), ("Der", "der"), ("Of", "of")]).select("doc", "seq", "type", "speaker", "direction", "text", "line_no")
 
 
-@query()
+@query("""SELECT p_partkey, nfc_normalize(p_name || chr(101) || chr(769)) AS composed, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS title,
+    printf('%g', p_retailprice) AS price, CAST(printf('%.2f', p_retailprice / 7) AS DOUBLE) AS seventh FROM part""")
 def exact_scalars(spark, sf_dir):
-    """Composition, title case, short numbers, nearest names and exact rounding of parts."""
+    """Composition, title case, short numbers and exact rounding of parts."""
+    accent = F.lit("e\u0301")
+    return read(spark, sf_dir, "part").select("p_partkey", nfc(F.concat("p_name", accent)).alias("composed"), title_case("p_name").alias("title"), short_number("p_retailprice").alias("price"), round_exact(F.col("p_retailprice") / 7, F.lit(2)).alias("seventh"))
+
+
+@query()
+def nearest_names(spark, sf_dir):
+    """The nearest of a few names to those of parts."""
     near = closest(["small ring", "large bolt", "red gear"])
-    parts = read(spark, sf_dir, "part")
-    return parts.select("p_partkey", nfc(F.concat("p_name", F.lit("é"))).alias("composed"), title_case("p_name").alias("title"), short_number("p_retailprice").alias("price"), near("p_name").alias("near"), round_exact(F.col("p_retailprice") / 7, F.lit(2)).alias("seventh"))
+    return read(spark, sf_dir, "part").select("p_partkey", near("p_name").alias("near"))
 
 
 # Production
@@ -632,3 +661,118 @@ def sound_skeleton(spark, sf_dir):
     source = F.when(F.col("p_retailprice") < 950, F.concat(F.lit("SFX/x/"), F.col("p_partkey").cast("string"), F.lit(".mp3")))
     rows = read(spark, sf_dir, "part").select(F.col("p_size").alias("doc"), F.col("p_partkey").alias("seq"), F.lit("direction").alias("type"), F.expr(_CUE).alias("text"), source.alias("sfx_source"))
     return production.sound_skeleton(rows, ["doc"])
+
+
+# Cleaning, names, levels and keys
+
+
+@query(r"""SELECT doc_id AS doc, u.at AS line_no, rtrim(replace(regexp_replace(u.raw, '^#{1,6}\s*', ''), '**', '')) AS line
+    FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '\\(.)', '\1', 'g'), chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS at FROM documents) u""")
+def script_cleanup(spark, sf_dir):
+    lines = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split(t.strip_escapes(F.col("text")), "\n")).alias("at", "raw"))
+    return lines.select("doc", (F.col("at") + 1).cast("long").alias("line_no"), t.strip_formatting(F.col("raw")).alias("line"))
+
+
+_SECTION = "CASE p_size % 6 WHEN 0 THEN concat('ACT TWO: ', p_name) WHEN 1 THEN concat(' CHAPTER ', p_size, ' ') WHEN 2 THEN 'INTRO' WHEN 3 THEN concat('SCENE ', p_size, 'a: ', p_name, ' [SFX: DOOR]') WHEN 4 THEN 'PRE-SHOW MUSIC' ELSE p_name END"
+
+
+@query(f"""WITH l AS (SELECT p_partkey, p_size, p_name, {_SECTION} AS line FROM part) SELECT p_partkey, CASE p_size % 6 WHEN 0 THEN 'act2' WHEN 1 THEN CASE WHEN p_size <= 30 THEN concat('chapter', p_size) END WHEN 2 THEN 'intro' WHEN 4 THEN 'preamble' END AS slug,
+    CASE WHEN p_size % 6 = 3 THEN concat(p_size, 'a') END AS number, CASE WHEN p_size % 6 = 3 THEN concat(p_name, ' [SFX: DOOR]') END AS scene, CASE WHEN p_size % 6 = 3 THEN concat('SCENE ', p_size, 'a: ', p_name) ELSE trim(line) END AS bare FROM l""")
+def section_headers(spark, sf_dir):
+    line = F.expr(_SECTION)
+    slug = t.section_slug(line, scripts.sections_of("special"))
+    return read(spark, sf_dir, "part").select("p_partkey", slug.alias("slug"), t.scene_number(line).alias("number"), t.scene_name(line).alias("scene"), t.strip_brackets(line).alias("bare"))
+
+
+@query(r"""WITH f AS (SELECT *, replace(text, chr(10), ' ') AS flat FROM documents) SELECT doc_id, array_to_string(regexp_extract_all(text, '\S+')[1:5], ' ') AS opening, CASE WHEN length(flat) > 55 THEN concat(substr(flat, 1, 55), '…') ELSE flat END AS shown,
+    n_chars <> 0 AS has_text, lang <> '' AS has_lang FROM f""")
+def snippets(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return docs.select("doc_id", t.first_words(F.col("text")).alias("opening"), t.snip(F.col("text")).alias("shown"), t.truthy(F.col("n_chars"), "bigint").alias("has_text"), t.truthy(F.col("lang"), "string").alias("has_lang"))
+
+
+@query("""SELECT p_partkey, 'SFX/shared/' || replace(p_name, ' ', '-') || CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN '.stable' ELSE '.other' END || '.mp3' AS path, regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g') AS key FROM part""")
+def effect_paths(spark, sf_dir):
+    backend = F.when(F.col("p_size") % 3 == 0, "elevenlabs").when(F.col("p_size") % 3 == 1, "stable").otherwise("other")
+    shown = F.concat(F.replace("p_brand", F.lit("#"), F.lit(" ")), F.lit(" (V.O.) "))
+    return read(spark, sf_dir, "part").select("p_partkey", t.effect_path(F.lit("SFX/shared"), F.col("p_name"), backend).alias("path"), t.display_to_key(shown).alias("key"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_discount <= 0 THEN CAST('-inf' AS DOUBLE) ELSE round(20 * log10(l_discount), 6) END AS db, round(pow(10.0, (l_quantity - 25) / 20), 6) AS factor FROM lineitem""")
+def mix_levels(spark, sf_dir):
+    db = t.ratio_db(F.col("l_discount"))
+    factor = t.db_factor(F.col("l_quantity") - 25)
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_discount") <= 0, db).otherwise(F.round(db, 6)).alias("db"), F.round(factor, 6).alias("factor"))
+
+
+@query("""WITH k AS (SELECT doc_id, sha256(concat_ws(chr(31), text, lang, source, '50', '0', 'a')) AS content_key FROM documents), m AS (SELECT content_key, max(doc_id) AS made FROM k WHERE doc_id % 3 <> 0 GROUP BY 1)
+    SELECT doc_id, content_key, CASE WHEN made IS NULL OR made % 5 = 0 THEN 'missing' WHEN made = doc_id THEN 'correct' ELSE 'relink' END AS state FROM k LEFT JOIN m USING (content_key)""")
+def reconcile_by_content(spark, sf_dir):
+    """Lines against a manifest by what they are made of: text, voice, show and settings."""
+    key = t.content_key(F.col("text"), F.col("lang"), F.col("source"), F.lit(50), F.lit(0), F.lit("a"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", key.alias("content_key"))
+    path = lambda c: F.concat(F.lit("stems/"), F.col(c).cast("string"))
+    made = docs.where("doc_id % 3 <> 0").select("content_key", F.col("doc_id").alias("at"), path("doc_id").alias("path"), F.lit("x").alias("sha256"))
+    present = docs.where("doc_id % 5 <> 0").select(path("doc_id").alias("path"), F.lit("x").alias("sha256"))
+    return joins.reconcile(docs.withColumn("expected_path", path("doc_id")), made, present, ["content_key"]).select("doc_id", "content_key", "state")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN NULL WHEN p_type = 'ECONOMY' THEN NULL ELSE CAST(p_size AS DOUBLE) END AS plays, CASE WHEN p_size % 4 <> 0 THEN CAST(p_size * 2 AS DOUBLE) END AS volume FROM part""")
+def usable_overrides(spark, sf_dir):
+    given = F.create_map(F.lit("play_duration"), F.col("p_size").cast("double"), F.lit("volume_percentage"), (F.col("p_size") * 2).cast("double"))
+    found = t.allowed_overrides(F.expr(_CUE), F.col("p_size") % 4 == 0, given)
+    return read(spark, sf_dir, "part").select("p_partkey", found["play_duration"].alias("plays"), found["volume_percentage"].alias("volume"))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'signup' THEN 'ENGAGES' WHEN 'error' THEN 'DISENGAGES' END AS marker, CASE WHEN event_type = 'signup' THEN 'u' || user_id END AS scope FROM events""")
+def span_markers(spark, sf_dir):
+    cue = F.when(F.col("event_type") == "signup", F.concat(F.lit("PHONE FILTER ENGAGES: U"), F.col("user_id").cast("string"))).when(F.col("event_type") == "error", "PHONE FILTER DISENGAGES").otherwise(F.col("event_type"))
+    return read(spark, sf_dir, "events").select("event_id", timeline.span_marker(cue).alias("marker"), F.when(timeline.span_marker(cue) == "ENGAGES", timeline.span_scope(cue)).alias("scope"))
+
+
+@query("SELECT event_id, user_id, coalesce(bool_or(event_type = 'error') OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), false) AS failed FROM events")
+def failed_since(spark, sf_dir):
+    return sequence.latch(read(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), ["user_id"], ["event_id"], F.col("event_type") == "error", "failed").drop("event_type")
+
+
+@query(f"""WITH {TURNS}, m AS (SELECT type, speaker, type = 'direction' AND conv_id % 2 = 0 AS sfx, type = 'dialogue' AND speaker = 'user' AS voiced FROM turns)
+    SELECT count(*) AS "rows", count(*) FILTER (type = 'direction') AS directions, count(*) FILTER (sfx) AS sfx_matched, count(*) FILTER (type = 'dialogue') AS dialogue, count(*) FILTER (voiced) AS cast_matched FROM m""")
+def match_summary(spark, sf_dir):
+    """How many directions have an effect and how many lines a voice."""
+    rows = turns(spark, sf_dir).withColumn("text", F.when(F.col("type") == "direction", F.concat("conv_id", F.lit("/"), "seq")).otherwise(F.col("text")))
+    effect = "struct<type:string,prompt:string,duration_seconds:double,prompt_influence:double,loop:boolean>"
+    effects = rows.where("type = 'direction' AND conv_id % 2 = 0").select(F.col("text").alias("cue"), F.lit(None).cast(effect).alias("effect"))
+    cast = spark.createDataFrame([("user", "Caller", "v1", 0.0, "", "host")], "speaker string, full_name string, voice_id string, pan double, filter string, role string")
+    return joins.match_counts(joins.annotate_entries(rows, effects, cast))
+
+
+@query("""SELECT printf('%d:%04.1f', CAST(floor(p_size / 60) AS BIGINT), p_size - 60 * floor(p_size / 60)) || '  ' || printf('%d:%04.1f', CAST(floor((p_size + 40) / 60) AS BIGINT), p_size + 40 - 60 * floor((p_size + 40) / 60)) || '  ' || rpad('music', 9, ' ') || '  ' || p_name AS value FROM part""")
+def timeline_map(spark, sf_dir):
+    parts = read(spark, sf_dir, "part")
+    return timeline.text_map(timeline.layer(parts, "music", F.col("p_size").cast("double"), (F.col("p_size") + 40).cast("double"), F.col("p_name")), "p_partkey")
+
+
+@query("""WITH c AS (SELECT DISTINCT p_name AS cue FROM part), x AS (SELECT cue FROM c WHERE length(cue) % 2 = 0) SELECT cue, CASE WHEN cue IN (SELECT cue FROM x) THEN 'EXACT' ELSE 'NONE' END AS tier, CASE WHEN cue IN (SELECT cue FROM x) THEN cue || '!' END AS asset FROM c""")
+def exact_first(spark, sf_dir):
+    """Cues whose own file is there, before any that are only like it."""
+    cues = read(spark, sf_dir, "part").select(F.col("p_name").alias("cue")).distinct().withColumn("filename", F.concat("cue", F.lit(".mp3")))
+    index = cues.where(F.length("cue") % 2 == 0).select("filename", F.concat("cue", F.lit("!")).alias("asset"))
+    none = cues.select("cue", F.lit(None).cast("string").alias("asset"), *[F.lit(None).cast("double").alias(c) for c in ("coverage", "jaccard", "score")], F.lit(None).cast("int").alias("rank"), F.lit("NONE").alias("tier"))
+    return matching.with_exact(cues, index, none).select("cue", "tier", "asset")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_custkey % 10 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN o_custkey % 10 = 0 THEN 0.0 ELSE o_totalprice END AS o_totalprice FROM orders""")
+def field_updates(spark, sf_dir):
+    rows = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    return merge.set_fields(rows, F.col("o_custkey") % 10 == 0, {"o_orderstatus": F.lit("X"), "o_totalprice": F.lit(0.0)}).drop("o_custkey")
+
+
+@query("""WITH f AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN concat('/w/parsed/show', page_id % 5, '/parsed_S01E', lpad(CAST(page_id AS VARCHAR), 2, '0'), '.json') WHEN 1 THEN concat('/w/parsed_E', page_id, '.json') ELSE concat('/w/stems/a/V', page_id, '.txt') END AS path FROM pages)
+    SELECT page_id, CASE page_id % 3 WHEN 0 THEN concat('show', page_id % 5) WHEN 2 THEN 'a' END AS show_dir, CASE page_id % 3 WHEN 0 THEN concat('S01E', lpad(CAST(page_id AS VARCHAR), 2, '0')) WHEN 1 THEN concat('E', page_id) END AS tag FROM f""")
+def episode_paths(spark, sf_dir):
+    number = F.col("page_id").cast("string")
+    padded = F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(F.substring(number, 1, 2))
+    path = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/w/parsed/show"), (F.col("page_id") % 5).cast("string"), F.lit("/parsed_S01E"), padded, F.lit(".json")))
+    path = path.when(F.col("page_id") % 3 == 1, F.concat(F.lit("/w/parsed_E"), number, F.lit(".json"))).otherwise(F.concat(F.lit("/w/stems/a/V"), number, F.lit(".txt")))
+    show, tag = readers.path_parts(path)
+    return read(spark, sf_dir, "pages").select("page_id", show.alias("show_dir"), tag.alias("tag"))

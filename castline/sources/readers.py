@@ -5,7 +5,7 @@ All schemas are explicit; files that hold one document are read whole, the rest
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from castline.functions.text import base_name, head, nonblank, stem_seq
@@ -27,14 +27,28 @@ SPEAKER = "display string, key string, full_name string, role string, voice_id s
 JOURNAL = "ts string, key string, seq long, scope string, fields map<string, string>"
 
 
-def path_part(pattern: str) -> Column:
-    """A part of the file's path, by a pattern with one group."""
-    return nonblank(F.regexp_extract(F.col("_metadata.file_path"), pattern, 1))
+def file_columns() -> list[Column]:
+    """The path of the file that a row comes from, which tells shows apart whose files have equal names, and its name."""
+    return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("name")]
 
 
-def episode_of_path() -> list[Column]:
-    """show and tag from paths like ``parsed/<show>/parsed_<tag>.json``; show is null in the flat layout."""
-    return [path_part(r"/(?:parsed|configs|scripts|stems)/([^/]+)/[^/]+$").alias("show_dir"), path_part(r"_([SE]\d[^/_.]*|V\d[^/_.]*)[^/]*$").alias("tag")]
+def path_parts(path: Column) -> tuple[Column, Column]:
+    """The folder of a show and the tag of an episode in paths like ``parsed/<show>/parsed_<tag>.json``; the show is null in the flat layout."""
+    part = lambda pattern: nonblank(F.regexp_extract(path, pattern, 1))
+    return part(r"/(?:parsed|configs|scripts|stems)/([^/]+)/[^/]+$"), part(r"_([SE]\d[^/_.]*|V\d[^/_.]*)[^/]*$")
+
+
+def episodes_found(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(show_dir, tag, kinds) of all episodes that have a file below one of the paths, in either layout; ``kinds`` are the folders or, in the flat one, the beginnings of the names."""
+    kind = F.regexp_extract("path", r"/(parsed|configs|scripts|stems)/[^/]+/[^/]+$", 1)
+    flat = F.regexp_extract("path", r"/([a-z]+)_[^/]*$", 1)
+    rows = None
+    for path in paths:
+        found = files(spark, path)
+        show, tag = path_parts(F.col("path"))
+        found = found.select(show.alias("show_dir"), tag.alias("tag"), F.when(kind != "", kind).otherwise(flat).alias("kind")).where("tag IS NOT NULL")
+        rows = found if rows is None else rows.unionByName(found)
+    return rows.groupBy("show_dir", "tag").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
@@ -50,25 +64,25 @@ def hashed_files(spark: SparkSession, path: str, pattern: str = "*.mp3") -> Data
 
 
 def script_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Scripts as lines: file, line_no (from 1), raw. Each file is read whole, so lines keep their order."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\n")).alias("at", "raw"))
-    return whole.select("file", (F.col("at") + 1).alias("line_no"), "raw")
+    """Scripts as lines: file (its path), name, line_no (from 1), raw. Each file is read whole, so lines keep their order."""
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(*file_columns(), F.posexplode(F.split("value", "\n")).alias("at", "raw"))
+    return whole.select("file", "name", (F.col("at") + 1).alias("line_no"), "raw")
 
 
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Logs as lines: file, line_no, raw and log_date, the first date in the file's name."""
-    lines = script_lines(spark, path)
-    return lines.withColumn("log_date", nonblank(F.regexp_extract("file", r"(\d{4}-\d{2}-\d{2})", 1)))
+    """Logs as lines: file, name, line_no, raw and log_date, the first date in the file's name, or else today."""
+    date = nonblank(F.regexp_extract("name", r"(\d{4}-\d{2}-\d{2})", 1))
+    return script_lines(spark, path).withColumn("log_date", F.coalesce(date, F.current_date().cast("string")))
 
 
 def episodes(spark: SparkSession, path: str) -> DataFrame:
-    """Parsed episodes, one row for each JSON file, with its file name."""
-    return spark.read.schema(EPISODE).option("multiLine", "true").json(path).select("*", F.col("_metadata.file_name").alias("file"))
+    """Parsed episodes, one row for each JSON file below a path, with the file's path and name."""
+    return spark.read.schema(EPISODE).option("multiLine", "true").option("recursiveFileLookup", "true").json(path).select("*", *file_columns())
 
 
 def entries(spark: SparkSession, path: str, preview: int | None = None) -> DataFrame:
     """The entries of parsed episodes in file order; ``preview`` cuts texts to so many characters."""
-    rows = episodes(spark, path).select("file", "show", "season", "episode", F.posexplode("entries").alias("at", "entry")).select("file", "show", "season", "episode", "at", "entry.*")
+    rows = episodes(spark, path).select("file", "name", "show", "season", "episode", F.posexplode("entries").alias("at", "entry")).select("file", "name", "show", "season", "episode", "at", "entry.*")
     return rows.withColumn("text", head(F.col("text"), preview)) if preview else rows
 
 
@@ -78,17 +92,17 @@ def effects(spark: SparkSession, path: str) -> DataFrame:
     ``defaults`` is kept as a map; a cue without a type is an ``sfx``, one without a duration lasts 5 seconds.
     """
     schema = "show string, season long, episode long, defaults map<string, double>, effects map<string, string>"
-    rows = spark.read.schema(schema).option("multiLine", "true").json(path).select(F.col("_metadata.file_name").alias("file"), "show", "defaults", F.posexplode("effects").alias("at", "cue", "raw"))
+    rows = spark.read.schema(schema).option("multiLine", "true").option("recursiveFileLookup", "true").json(path).select(*file_columns(), "show", "defaults", F.posexplode("effects").alias("at", "cue", "raw"))
     rows = rows.withColumn("effect", F.from_json("raw", EFFECT.removeprefix("struct<").removesuffix(">").replace(": ", " "))).where(F.col("raw").startswith("{") & F.col("effect").isNotNull())
     effect = F.col("effect")
     filled = effect.withField("type", F.coalesce(effect["type"], F.lit("sfx"))).withField("duration_seconds", F.coalesce(effect["duration_seconds"], F.lit(5.0)))
-    return rows.select("file", "show", "defaults", "at", "cue", filled.alias("effect"))
+    return rows.select("file", "name", "show", "defaults", "at", "cue", filled.alias("effect"))
 
 
 def cast(spark: SparkSession, path: str) -> DataFrame:
     """Cast configurations, one row for each speaker; a speaker without a name or voice stops the job."""
-    rows = spark.read.schema(f"show string, title string, artist string, tag string, cast map<string, {VOICE}>").option("multiLine", "true").json(path)
-    rows = rows.select(F.col("_metadata.file_name").alias("file"), "show", F.posexplode("cast").alias("at", "speaker", "voice")).select("file", "show", "at", "speaker", "voice.*")
+    rows = spark.read.schema(f"show string, title string, artist string, tag string, cast map<string, {VOICE}>").option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
+    rows = rows.select(*file_columns(), "show", F.posexplode("cast").alias("at", "speaker", "voice")).select("file", "name", "show", "at", "speaker", "voice.*")
     return rows.withColumn("full_name", F.when(F.col("full_name").isNull() | F.col("voice_id").isNull(), F.raise_error(F.concat(F.lit("incomplete cast member "), "speaker")).cast("string")).otherwise(F.col("full_name")))
 
 
@@ -105,7 +119,7 @@ def journal(spark: SparkSession, path: str) -> DataFrame:
     lines = script_lines(spark, path).where(F.trim("raw") != "")
     parsed = lines.withColumn("record", F.from_json("raw", JOURNAL, {"mode": "PERMISSIVE"}))
     fine = F.col("record.fields").isNotNull() & (F.col("record.key").isNotNull() | F.col("record.seq").isNotNull() | (F.col("record.scope") == "defaults"))
-    return parsed.where(fine).select("file", "line_no", "record.*")
+    return parsed.where(fine).select("file", "name", "line_no", "record.*")
 
 
 def csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -119,5 +133,4 @@ def csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
 
 def last_by_seq(rows: DataFrame) -> DataFrame:
     """Of entries with the same file and seq the last in file order."""
-    order = Window.partitionBy("file", "seq").orderBy(F.desc("at"))
-    return rows.withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
+    return rows.groupBy("file", "seq").agg(F.max_by(F.struct(*rows.columns), "at").alias("_last")).select("_last.*")

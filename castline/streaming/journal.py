@@ -44,5 +44,5 @@ def replay_stream(changes: DataFrame) -> DataFrame:
 
 def log_runs(spark: SparkSession, path: str, boundary: str = r"\|BEGIN\b") -> DataFrame:
     """A stream of log lines with the file they stand in, flagged where a run begins."""
-    lines = spark.readStream.text(path).select(F.col("_metadata.file_name").alias("file"), "value")
+    lines = spark.readStream.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
     return lines.withColumn("starts", F.col("value").rlike(boundary))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from castline.functions import exact
 from castline.functions import text as t
-from castline.operators.scripts import split_hints
+from tests.test_parser import split_hints
 
 
 def values(spark, rows, **columns):

@@ -4,7 +4,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from castline.operators import aggregates, impact, joins, matching, merge, scripts, sequence, timeline
+from castline.operators import aggregates, impact, joins, logs, matching, merge, scripts, sequence, timeline
 from castline.sources import readers, sinks
 from castline.streaming import journal as stream
 
@@ -218,3 +218,40 @@ def test_configurations(spark, tmp_path):
     assert [r.text for r in entries.orderBy("at").collect()] == ["hel", "x"]
     assert [r.type for r in readers.last_by_seq(entries).collect()] == ["direction"]
     assert readers.hashed_files(spark, str(tmp_path), "*.json").count() == 2
+
+
+def test_shows_with_equal_file_names(spark, tmp_path):
+    for show in ("one", "two"):
+        (tmp_path / "parsed" / show).mkdir(parents=True)
+        (tmp_path / "parsed" / show / "parsed_S01E01.json").write_text(f'{{"show":"{show}","episode":1,"entries":[{{"seq":1,"type":"dialogue","text":"first"}},{{"seq":1,"type":"dialogue","text":"{show}"}}]}}')
+    (tmp_path / "parsed_E02.json").write_text('{"show":"flat","episode":2,"entries":[]}')
+    entries = readers.entries(spark, str(tmp_path))
+    assert sorted((r.name, r.text) for r in readers.last_by_seq(entries).collect()) == [("parsed_S01E01.json", "one"), ("parsed_S01E01.json", "two")]
+    (tmp_path / "scripts" / "one").mkdir(parents=True)
+    (tmp_path / "scripts" / "one" / "script_S01E01.md").write_text("x")
+    found = readers.episodes_found(spark, [str(tmp_path)]).collect()
+    assert sorted((r.show_dir or "", r.tag, r.kinds) for r in found) == [("", "E02", ["parsed"]), ("one", "S01E01", ["parsed", "scripts"]), ("two", "S01E01", ["parsed"])]
+
+
+def test_logs_of_two_shows(spark, tmp_path):
+    for show in ("one", "two"):
+        (tmp_path / show).mkdir()
+        (tmp_path / show / "run.log").write_text("--- Phase 1: Generating\n > [1] adam via gTTS (5 chars)\n Saved: a.mp3\n SHA256: ab\n")
+    lines = readers.log_lines(spark, str(tmp_path))
+    got = logs.production_records(lines).collect()
+    assert [(r.run_index, r.seq, r.char_count) for r in got] == [(1, 1, 5), (1, 1, 5)] and len({r.file for r in got}) == 2
+    assert {r.log_date for r in got} == {str(lines.select(F.current_date()).first()[0])}
+
+
+def test_transcripts_are_compared_only_where_they_differ(spark):
+    lines = spark.createDataFrame([(1, "Hello, there"), (2, "Hello"), (3, "a b c d"), (4, "x"), (5, "y"), (6, "!!")], "seq int, text string")
+    stems = spark.createDataFrame([(1, True, "hello there"), (2, True, "※"), (3, True, "a b c x"), (4, False, None), (6, True, "?")], "seq int, has_transcript boolean, transcript string")
+    got = {r.seq: (r.status, r.similarity) for r in joins.compare_transcripts(lines, stems).collect()}
+    assert got == {1: ("ok", 1.0), 2: ("garbled", 0.0), 3: ("ok", 0.8571), 4: ("not_transcribed", None), 5: ("no_stem", None), 6: ("ok", 1.0)}
+
+
+def test_ids_in_cues(spark):
+    cues = spark.createDataFrame([("DOOR SLAM-12 loud door-slam-12 x",), ("nothing",), ("",)], "cue string")
+    ids = spark.createDataFrame([("DOOR-SLAM-12",), ("DOOR",), ("LOUD",)], "asset_id string")
+    assert sorted(r.asset_id for r in joins.contains_join(cues, ids, F.col("cue"), "asset_id").collect()) == ["DOOR", "DOOR-SLAM-12", "LOUD"]
+    assert joins.contains_join(cues, ids.limit(0), F.col("cue"), "asset_id").count() == 0
