@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from castline.functions import text as t
 from castline.functions.exact import closest, nfc, round_exact, short_number, similarity, title_case
-from castline.operators import aggregates, impact, joins, matching, merge, production, scripts, sequence, timeline
+from castline.operators import aggregates, impact, intake, joins, matching, merge, production, scripts, sequence, timeline
 from castline.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -776,3 +776,49 @@ def episode_paths(spark, sf_dir):
     path = path.when(F.col("page_id") % 3 == 1, F.concat(F.lit("/w/parsed_E"), number, F.lit(".json"))).otherwise(F.concat(F.lit("/w/stems/a/V"), number, F.lit(".txt")))
     show, tag = readers.path_parts(path)
     return read(spark, sf_dir, "pages").select("page_id", show.alias("show_dir"), tag.alias("tag"))
+
+
+# Intake
+
+
+@query("""WITH m AS (SELECT s_suppkey AS seq, printf('zip/%03d_x.', s_suppkey) || CASE WHEN s_suppkey % 7 = 0 THEN 'txt' ELSE 'MP3' END AS member FROM supplier), e AS (SELECT p_partkey AS seq, CASE p_partkey % 4 WHEN 0 THEN 'dialogue' WHEN 1 THEN 'direction' WHEN 2 THEN 'direction' ELSE 'scene_header' END AS type,
+        CASE p_partkey % 4 WHEN 1 THEN 'MUSIC' WHEN 2 THEN 'BEAT' END AS direction_type FROM part WHERE p_partkey % 11 <> 0),
+    j AS (SELECT member, m.seq, type, direction_type, CASE WHEN type IS NOT NULL THEN printf('%03d_act1', m.seq) || CASE WHEN type = 'dialogue' THEN '_adam' ELSE '_sfx' END || '.mp3' END AS stem FROM m LEFT JOIN e USING (seq) WHERE NOT suffix(member, 'txt'))
+    SELECT member, seq, stem, CASE WHEN type IS NULL THEN 'missing' WHEN type = 'scene_header' THEN 'header' WHEN direction_type = 'BEAT' THEN 'skip' WHEN seq % 5 = 0 THEN 'exists' ELSE 'extract' END AS outcome FROM j""")
+def archive_plan(spark, sf_dir):
+    ending = F.when(F.col("s_suppkey") % 7 == 0, "txt").otherwise("MP3")
+    members = read(spark, sf_dir, "supplier").select(F.concat(F.format_string("zip/%03d_x.", "s_suppkey"), ending).alias("member"))
+    turn = F.col("p_partkey") % 4
+    kind = F.when(turn == 0, "dialogue").when(turn == 3, "scene_header").otherwise("direction")
+    entries = read(spark, sf_dir, "part").where("p_partkey % 11 <> 0").select(
+        F.col("p_partkey").cast("long").alias("seq"), kind.alias("type"), F.lit("act1").alias("section"), F.lit("").alias("scene"), F.when(turn == 0, "adam").alias("speaker"), F.when(turn == 1, "MUSIC").when(turn == 2, "BEAT").alias("direction_type")
+    )
+    present = entries.where("seq % 5 = 0").select(t.stem_name(F.col("seq"), F.col("section"), F.col("scene"), F.col("speaker"), F.col("type")).alias("stem")).select(F.concat("stem", F.lit(".mp3")).alias("stem"))
+    return intake.archive_plan(members, entries, present, ["MUSIC"])
+
+
+@query("""WITH s AS (SELECT DISTINCT p_type AS name FROM part), e AS (SELECT p_partkey AS "at", 'scripts/' || p_type || '/' || p_name AS source FROM part WHERE p_size % 2 = 0) SELECT name, (SELECT min("at") FROM e WHERE contains(source, name)) AS first_at FROM s""")
+def script_sources(spark, sf_dir):
+    parts = read(spark, sf_dir, "part")
+    parsed = parts.where("p_size % 2 = 0").select(F.concat(F.lit("scripts/"), "p_type", F.lit("/"), "p_name").alias("source_file"), F.col("p_partkey").alias("at"))
+    return intake.script_of_episode(parts.select(F.col("p_type").alias("name")).distinct(), parsed).select("name", F.col("episode.at").alias("first_at"))
+
+
+@query(f"""WITH h AS (SELECT page_id, {_HEADER} AS line FROM pages) SELECT page_id, CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN printf('SXXE%02d_latehour_The_%dth_v1.md', page_id, page_id) ELSE printf('S%02dE%02d_latehour_Night_%d_v1.md', page_id % 9, page_id, page_id) END AS file_name FROM h""")
+def suggested_names(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", intake.suggested_name(t.script_header(F.expr(_HEADER))).alias("file_name"))
+
+
+@query("""SELECT c_custkey, c_name, CAST(row_number() OVER (ORDER BY c_acctbal > 5000 DESC, lower(c_name), c_custkey) AS INTEGER) AS place, regexp_matches(c_name, '^[A-Za-z0-9_-]+$') AS safe,
+    replace(replace(c_name, '#', '<#>'), '<#>', '&lt;#&gt;') AS shown FROM customer WHERE c_nationkey = 3""")
+def marked_order(spark, sf_dir):
+    rows = read(spark, sf_dir, "customer").where("c_nationkey = 3")
+    place = F.row_number().over(Window.orderBy(*intake.marked_first(F.col("c_acctbal") > 5000, "c_name"), "c_custkey"))
+    return rows.select("c_custkey", "c_name", place.alias("place"), intake.is_identifier(F.col("c_name")).alias("safe"), intake.html_text(F.replace("c_name", F.lit("#"), F.lit("<#>"))).alias("shown"))
+
+
+@query("""SELECT printf('%.3f', l_quantity) || chr(9) || printf('%.3f', l_quantity + l_tax) || chr(9) || l_linestatus AS value FROM lineitem WHERE l_returnflag = 'R'""")
+def label_track(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    return intake.label_lines(timeline.layer(rows, "cues", F.col("l_quantity"), F.col("l_quantity") + F.col("l_tax"), F.col("l_linestatus")))
+

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import wave
 import zipfile
 from collections.abc import Iterator
@@ -10,8 +11,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 WAV = "path string, rate long, channels long, width long, frames long, seconds double, rms long, peak long, error string"
+MP3 = "path string, size long, seconds double, kbps long, rate long, error string"
+# Kilobits a second and samples a second by the codes in an MPEG frame's header, for version 1 and for versions 2 and 2.5, layer III.
+KBPS = {1: (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320), 2: (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)}
+RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
+#: Bytes of a file in which the first frame is looked for.
+HEAD = 1 << 20
 MEMBERS = "path string, member string, size long, crc long"
 
 
@@ -36,6 +44,69 @@ def wav_facts(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, WAV)
 
 
+def mp3_frame(data: bytes, at: int) -> tuple[int, int, int, int, int] | None:
+    """Bytes, bits a second, samples a second, samples and place of a table of contents of the frame there; None if there is none."""
+    if len(data) < at + 4 or data[at] != 0xFF or data[at + 1] & 0xE6 != 0xE2:
+        return None
+    version, code, rate_code, pad = data[at + 1] >> 3 & 3, data[at + 2] >> 4, data[at + 2] >> 2 & 3, data[at + 2] >> 1 & 1
+    if version == 1 or rate_code == 3 or not 0 < code < 15:
+        return None
+    first, mono = version == 3, data[at + 3] >> 6 == 3
+    kbps, rate = KBPS[1 if first else 2][code - 1], RATES[version][rate_code]
+    samples = 1152 if first else 576
+    beyond = 4 + ((17 if mono else 32) if first else (9 if mono else 17))
+    return samples // 8 * 1000 * kbps // rate + pad, 1000 * kbps, rate, samples, at + beyond
+
+
+def mp3_length(data: bytes, size: int) -> tuple[float, int, int]:
+    """Seconds, bits a second and samples a second of an MP3 file, from its first frames: by their table of contents, or else by the size of the file."""
+    start = 10 + (data[6] << 21 | data[7] << 14 | data[8] << 7 | data[9]) if data[:3] == b"ID3" and len(data) > 9 else 0
+    for at in range(start, max(start, len(data) - 3)):
+        frame = mp3_frame(data, at)
+        # Two frames have to follow each other, unless the first one ends the file.
+        if frame is None or (mp3_frame(data, at + frame[0]) is None and at + frame[0] != size):
+            continue
+        _, bits, rate, samples, table = frame
+        frames = total = 0
+        if data[table : table + 4] in (b"Xing", b"Info"):
+            flags, after = int.from_bytes(data[table + 4 : table + 8]), table + 8
+            if flags & 1:
+                frames, after = int.from_bytes(data[after : after + 4]), after + 4
+            total = int.from_bytes(data[after : after + 4]) if flags & 2 else 0
+        elif data[at + 36 : at + 40] == b"VBRI":
+            total, frames = int.from_bytes(data[at + 46 : at + 50]), int.from_bytes(data[at + 50 : at + 54])
+        if frames:
+            seconds = frames * samples / rate
+            return seconds, round(8 * total / seconds) if total else bits, rate
+        return 8 * (size - at) / bits, bits, rate
+    raise ValueError("no frame")
+
+
+def mp3_facts(spark: SparkSession, path: str) -> DataFrame:
+    """Size, seconds, kilobits and samples a second of MP3 files, whatever the case of their ending; what has no frame has an error."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for name, size, head in zip(batch["path"], batch["length"], batch["head"]):
+                try:
+                    seconds, bits, rate = mp3_length(head, size)
+                    rows.append((name, size, seconds, bits // 1000, rate, None))
+                except ValueError as error:
+                    rows.append((name, size, None, None, None, str(error)))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in MP3.split(", ")]).astype({"kbps": "Int64", "rate": "Int64"})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[mM][pP]3").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "length", F.substring("content", 1, HEAD).alias("head")).mapInPandas(run, MP3)
+
+
+def sound_library(spark: SparkSession, path: str) -> DataFrame:
+    """The MP3 files of a library: path, filename, show (the folder below ``path``, empty for files right there), size, seconds to one decimal, kbps."""
+    inside = F.regexp_extract("path", rf"^(?:file:)?/*{re.escape(path.strip('/'))}/(.*)$", 1)
+    show = F.when(F.instr(inside, "/") > 0, F.substring_index(inside, "/", 1)).otherwise("")
+    return mp3_facts(spark, path).select("path", F.substring_index("path", "/", -1).alias("filename"), show.alias("show"), "size", F.bround("seconds", 1).alias("seconds"), "kbps")
+
+
 def archive_members(spark: SparkSession, path: str) -> DataFrame:
     """The members of ZIP files, without unpacking them."""
 

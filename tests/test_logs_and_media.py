@@ -44,3 +44,27 @@ def test_wav_and_zip(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "s.zip", "w") as archive:
         archive.writestr("007_a.mp3", b"xyz")
     assert [tuple(r)[1:3] for r in media.archive_members(spark, str(tmp_path)).collect()] == [("007_a.mp3", 3)]
+
+
+def frame(kbps_code=9, pad=0, mono=False):
+    """An empty MPEG 1 layer III frame of 44.1 kHz; code 9 is 128 kbps, 417 bytes."""
+    head = bytes([0xFF, 0xFB, kbps_code << 4 | pad << 1, 0xC0 if mono else 0x00])
+    size = 144 * 1000 * media.KBPS[1][kbps_code - 1] // 44100 + pad
+    return head + b"\0" * (size - 4)
+
+
+def test_mp3_headers(spark, tmp_path):
+    tag = b"ID3\x04\0\0\0\0\x01\x00" + b"\xff" * 128
+    constant = frame() * 100
+    first = bytearray(frame())
+    first[36:52] = b"Info" + (3).to_bytes(4) + (1000).to_bytes(4) + (500_000).to_bytes(4)
+    (tmp_path / "show").mkdir()
+    (tmp_path / "a.mp3").write_bytes(constant)
+    (tmp_path / "show" / "b.MP3").write_bytes(tag + bytes(first) + frame() * 3)
+    (tmp_path / "show" / "c.mp3").write_bytes(b"nothing here")
+    (tmp_path / "d.wav").write_bytes(b"x")
+    got = {r.filename: r for r in media.sound_library(spark, str(tmp_path)).collect()}
+    assert (got["a.mp3"].show, got["a.mp3"].seconds, got["a.mp3"].kbps) == ("", round(8 * len(constant) / 128_000, 1), 128)
+    assert (got["b.MP3"].show, got["b.MP3"].seconds, got["b.MP3"].kbps) == ("show", round(1000 * 1152 / 44100, 1), round(8 * 500_000 * 44100 / 1152 / 1000) // 1000)
+    assert (got["c.mp3"].seconds, got["c.mp3"].kbps) == (None, None) and len(got) == 3
+
