@@ -2,8 +2,10 @@
 
 A rotation that balances the signs of the centred vectors (iterative quantisation) is learned on
 a bounded sample. Every vector gets a 64-bit code, cut into four tables of 16 bits; two vectors
-meet in a table if their parts differ in one bit at most, so codes that differ in up to seven
-bits always meet. Vectors whose codes are near are compared by their cosine in double precision.
+meet in a table if their parts differ in few bits. How few follows from the sample: where a
+large common mean makes near vectors differ in many bits, both sides probe further, until nearly
+all pairs at the threshold meet. Vectors whose codes are near are compared by their cosine in
+double precision.
 """
 
 from __future__ import annotations
@@ -21,8 +23,10 @@ PART = BITS // TABLES
 #: Vectors on which the rotation is learned, chosen by the hash of their ids.
 SAMPLE = 20_000
 ROUNDS = 40
-#: Codes that differ in more bits are not reranked. At cosine 0.98 codes differ in 4.1 bits on average.
-NEAR = 14
+#: Trial pairs at the threshold, made from the sample, on which the width of the probes is measured, and the share that has to meet.
+TRIALS, MEET = 4000, 0.97
+#: Bits by which parts may differ at most to meet: six let nearly all pairs meet up to a common mean of 0.98, where most vectors are near each other anyway.
+WIDEST = 6
 
 
 def learn_rotation(sample: np.ndarray, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -49,6 +53,31 @@ def learn_rotation(sample: np.ndarray, seed: int = 11) -> tuple[np.ndarray, np.n
     return mean, (directions * keep) @ rotation
 
 
+def signs(unit: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
+    return (unit - mean) @ projection >= 0
+
+
+def probe_width(unit: np.ndarray, mean: np.ndarray, projection: np.ndarray, cosine: float, seed: int = 12) -> tuple[int, int]:
+    """How many bits of a part, and of a whole code, pairs at the threshold differ in.
+
+    Trial pairs are sample vectors and what lies at the cosine from them, in the direction of the
+    difference of two others. The first figure lets ``MEET`` of them meet in a table, the second
+    is their largest difference.
+    """
+    rng = np.random.default_rng(seed)
+    x, to, off = (unit[rng.integers(0, len(unit), TRIALS)] for _ in range(3))
+    way = to - off
+    way -= (way * x).sum(axis=1, keepdims=True) * x
+    size = np.linalg.norm(way, axis=1)
+    x, way = x[size > 1e-9], way[size > 1e-9] / size[size > 1e-9, None]
+    if not len(x):
+        return 1, BITS
+    differ = signs(x, mean, projection) != signs(cosine * x + np.sqrt(max(0.0, 1 - cosine**2)) * way, mean, projection)
+    least = differ.reshape(len(x), TABLES, PART).sum(axis=2).min(axis=1)
+    width = next((w for w in range(1, WIDEST) if (least <= w).mean() >= MEET), WIDEST)
+    return width, int(differ.sum(axis=1).max())
+
+
 def usable() -> Column:
     """Whether a row has an id, a label and a vector of finite components that are not all zero."""
     e = F.col("embedding")
@@ -67,6 +96,7 @@ def near_pairs(reps: DataFrame, cosine: float) -> DataFrame:
     width = max([len(x) for x in sample], key=[len(x) for x in sample].count, default=0)
     unit = np.array([np.asarray(x, float) / np.linalg.norm(np.asarray(x, float)) for x in sample if len(x) == width])
     mean, projection = learn_rotation(unit) if width else (np.zeros(0), np.zeros((0, BITS)))
+    wide, near = probe_width(unit, mean, projection, cosine) if width else (1, BITS)
 
     def code(batches):
         for batch in batches:
@@ -79,26 +109,29 @@ def near_pairs(reps: DataFrame, cosine: float) -> DataFrame:
                 # Vectors of another width than most are cut or filled for their code; the rerank reads them whole.
                 y = np.zeros((len(at), width))
                 y[:, : min(size, width)] = x[:, :width]
-                bits = (y - mean) @ projection >= 0
-                codes[at] = np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64)
+                codes[at] = np.packbits(signs(y, mean, projection), axis=1).view(">u8").ravel().astype(np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(codes.view(np.int64))], names=["label", "rep", "code"])
 
     label = reps.schema["label"].dataType.simpleString()
     rep = reps.schema["rep"].dataType.simpleString()
     coded = stored(reps.select("label", "rep", "embedding").mapInArrow(code, f"label {label}, rep {rep}, code long"), "codes")
     part = lambda c, t: f"(shiftrightunsigned({c}, {t * PART}) & {(1 << PART) - 1})"
-    side = F.expr("explode(array(" + ", ".join(f"struct({t} AS place, {part('code', t)} AS part)" for t in range(TABLES)) + ")) AS at")
-    right = coded.select("label", F.col("rep").alias("b"), F.col("code").alias("code_b"), side).select("label", "b", "code_b", "at.place", "at.part")
-    flips = "concat(array(0), transform(sequence(0, " + str(PART - 1) + "), i -> shiftleft(1, i)))"
-    left = (
-        coded.select("label", F.col("rep").alias("a"), F.col("code").alias("code_a"), side)
-        .select("label", "a", "code_a", "at.place", F.col("at.part").alias("own"), F.expr(f"explode({flips})").alias("flip"))
-        .select("label", "a", "code_a", "place", F.expr("own ^ flip").alias("part"))
-    )
+    places = F.expr("explode(array(" + ", ".join(f"struct({t} AS place, {part('code', t)} AS part)" for t in range(TABLES)) + ")) AS at")
+    placed = coded.select("label", "rep", "code", places)
+
+    def probes(end: str, bits: int) -> DataFrame:
+        """The rows under all parts that differ from their own in so many bits at most, by ``flip``."""
+        flips = ", ".join(str(m) for m in range(1 << PART) if m.bit_count() <= bits)
+        rows = placed.select("label", F.col("rep").alias(end), F.col("code").alias(f"code_{end}"), "at.place", F.col("at.part").alias("own"), F.expr(f"explode(array({flips}))").alias(f"flip_{end}"))
+        return rows.select("label", end, f"code_{end}", "place", f"flip_{end}", F.expr(f"own ^ flip_{end}").alias("part"))
+
+    # Both sides go half of the way. A pair comes once: in the first table in which it meets, and there
+    # the one side flips the lower bits in which the parts differ, as many as it may, the other side the rest.
+    own_bits, other_bits = (wide + 1) // 2, wide // 2
+    once = f"(flip_a & flip_b) = 0 AND (flip_b = 0 OR (bit_count(flip_a) = {own_bits} AND flip_a < (flip_b & -flip_b)))"
     xor = "(code_a ^ code_b)"
-    # A pair counts in the first table in which it meets, so it comes once.
-    earlier = " OR ".join(f"(place > {t} AND bit_count({part(xor, t)}) <= 1)" for t in range(TABLES - 1))
-    met = left.join(right, ["label", "place", "part"]).where(f"a < b AND bit_count({xor}) <= {NEAR} AND NOT ({earlier})").select("a", "b")
+    earlier = " OR ".join(f"(place > {t} AND bit_count({part(xor, t)}) <= {wide})" for t in range(TABLES - 1))
+    met = probes("a", own_bits).join(probes("b", other_bits), ["label", "place", "part"]).where(f"a < b AND {once} AND bit_count({xor}) <= {near} AND NOT ({earlier})").select("a", "b")
     dot = "aggregate(zip_with(va, vb, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), 0D, (s, x) -> s + x)"
     norm = "sqrt(aggregate({0}, 0D, (s, x) -> s + CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))"
     held = reps.select("rep", F.col("embedding").alias("v"), F.expr(norm.format("embedding")).alias("n"))
