@@ -43,6 +43,23 @@ def replay_stream(changes: DataFrame) -> DataFrame:
 
 
 def log_runs(spark: SparkSession, path: str, boundary: str = r"\|BEGIN\b") -> DataFrame:
-    """A stream of log lines with the file they stand in, flagged where a run begins."""
-    lines = spark.readStream.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    return lines.withColumn("starts", F.col("value").rlike(boundary))
+    """A stream of prefixed log lines: the log (its file's name), the time in the line, the line, and whether a run begins there."""
+    lines = spark.readStream.option("recursiveFileLookup", "true").text(path).select(F.col("_metadata.file_name").alias("log"), "value")
+    return lines.withColumn("ts", F.substring_index("value", "|", 1)).withColumn("starts", F.col("value").rlike(boundary)).select("log", "ts", "value", "starts")
+
+
+def _count_runs(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
+    before = state.get[0] if state.exists else 0
+    rows["run"] = before + rows["starts"].cumsum()
+    state.update((int(rows["run"].iloc[-1]),))
+    yield rows[["log", "ts", "value", "run"]]
+
+
+def numbered_runs(lines: DataFrame) -> DataFrame:
+    """The lines of ``log_runs`` with the number of their run in their log, 0 before the first.
+
+    The state is one number for each log. Lines count in the order of their times; what a later
+    batch brings belongs to the run that was open at the end of the one before.
+    """
+    return lines.groupBy("log").applyInPandasWithState(_count_runs, "log string, ts string, value string, run long", "run long", "append", GroupStateTimeout.NoTimeout)

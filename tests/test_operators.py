@@ -144,6 +144,23 @@ def test_replay_in_batch_and_stream(spark, tmp_path):
     assert {(r.key, r.field): r.value for r in spark.table("replayed").collect()} == want
 
 
+def test_runs_of_a_streamed_log(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "day.log").write_text("\n".join(["1|I|h|s|early", "2|I|h|s|BEGIN a", "3|I|h|s|one"]) + "\n")
+
+    def run():
+        lines = stream.numbered_runs(stream.log_runs(spark, str(tmp_path / "in"), r"\|BEGIN\b"))
+        query = lines.writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append").option("checkpointLocation", str(tmp_path / "runs")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+
+    run()
+    (tmp_path / "in" / "later").mkdir()
+    (tmp_path / "in" / "later" / "day.log").write_text("\n".join(["4|I|h|s|two", "5|I|h|s|BEGIN b", "6|I|h|s|three"]) + "\n")
+    run()
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted((r.log, r.ts, r.run) for r in rows) == [("day.log", "1", 0), ("day.log", "2", 1), ("day.log", "3", 1), ("day.log", "4", 1), ("day.log", "5", 2), ("day.log", "6", 2)]
+
+
 def test_upsert_updates_the_last_one(spark):
     schema = "k string, at long, v string, w string"
     old = spark.createDataFrame([("a", 1, "x", "1"), ("a", 2, "y", "2"), ("b", 3, "z", "3")], schema)
