@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import weakref
@@ -9,6 +10,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -121,9 +123,15 @@ class Memo(dict):
 
 
 def forget_others(*mine: Memo) -> None:
-    """Empty all memos but these: a worker goes on from one operator's stage to the next one's."""
+    """Empty all memos but these, and give free memory back: a worker goes on from one operator's stage to the next one's."""
     for known in Memo.made:
         memo = known()
         if memo is not None and not any(memo is m for m in mine):
             memo.clear()
             memo.old = {}
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
+_libc = ctypes.CDLL(None)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from castline.llm.common import stored
+from castline.llm.common import discard, stored
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -34,7 +34,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(small_least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a != b").distinct()
-        edges, new = _round(small)
+        before, (edges, new) = edges, _round(small)
+        discard(before)
         if new == mark:
             break
         mark = new

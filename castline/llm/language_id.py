@@ -9,22 +9,23 @@ Batches of texts are scored by matrix products with the landmarks and the weight
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from castline.llm.common import forget_others, stored
+
 #: Presence features: n-grams are hashed to so many places.
 PLACES = 8192
 #: Bounds of the training sample: rows of each language, rows in all where languages are many, and landmarks (one of each language at least).
 TRAIN_PER_LANG, TRAIN_ROWS, LANDMARKS = 800, 160_000, 128
 #: Rows of each language below which the bound of all rows does not press it, so that chance leaves none out.
 LEAST_PER_LANG = 20
-#: Training rows that are unpacked together.
-TOGETHER = 4096
+#: Training rows that are unpacked together, and groups whose sums are made apart.
+TOGETHER, SLOTS = 256, 16
 RIDGE = 1e-3
 #: Texts scored in one matrix product.
 BATCH = 256
@@ -60,13 +61,11 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4
 
 
-def fit(documents: DataFrame) -> Model | None:
-    """Learn from labelled rows that are not held out.
+def training_rows(documents: DataFrame) -> DataFrame | None:
+    """(lang, id, nth, bits) for the training sample: packed presence rows, numbered within each language; None without labels.
 
-    All languages are learned. At most ``TRAIN_PER_LANG`` texts of each are taken, fewer where that
-    would be over ``TRAIN_ROWS``, by the hash of their ids, so the same rows come again on every run.
-    Presence rows are made by the executors and reach the driver as packed bits, one kilobyte for
-    each text. Without labelled rows the result is None.
+    At most ``TRAIN_PER_LANG`` texts of each language are taken, fewer where that would be over
+    ``TRAIN_ROWS`` in all, by the hash of their ids, so the same rows come again on every run.
     """
     labelled = documents.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (remainder(F.col("doc_id")) != 2))
     counts = labelled.groupBy("lang").count().collect()
@@ -74,51 +73,72 @@ def fit(documents: DataFrame) -> Model | None:
         return None
     spread = 1 << 30
     per_lang = max(LEAST_PER_LANG, min(TRAIN_PER_LANG, TRAIN_ROWS // len(counts)))
-    # A little under the bound, so that chance seldom exceeds it; ``limit`` below makes it sure.
-    shares = documents.sparkSession.createDataFrame([(lang, int(spread * min(1.0, 0.9 * per_lang / n))) for lang, n in counts], "lang string, share long")
+    # A share of the hashes leaves little more than is wanted, so few rows are ranked.
+    shares = documents.sparkSession.createDataFrame([(lang, int(spread * min(1.0, 1.2 * per_lang / n + 64 / n))) for lang, n in counts], "lang string, share long")
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(7)), F.lit(spread))
-    sample = labelled.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("doc_id", "text", "lang").limit(len(counts) * per_lang)
+    order = Window.partitionBy("lang").orderBy("draw", "doc_id", F.xxhash64("text"))
+    sample = labelled.withColumn("draw", draw).join(F.broadcast(shares), "lang").where("draw < share").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_lang)
 
     def pack(batches):
         for batch in batches:
-            rows = np.packbits(presence(batch.column(1).to_pylist()).astype(bool), axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(0).cast(pa.string()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["lang", "id", "bits"])
+            rows = np.packbits(presence(batch.column(3).to_pylist()).astype(bool), axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([r.tobytes() for r in rows], pa.binary())], names=["lang", "id", "nth", "bits"])
+
+    return stored(sample.select("lang", F.col("doc_id").cast("string").alias("id"), "nth", "text").mapInArrow(pack, "lang string, id string, nth int, bits binary"), "training")
+
+
+def unit(bits: list[bytes]) -> np.ndarray:
+    """Presence rows of length one."""
+    x = np.unpackbits(np.array([np.frombuffer(b, np.uint8) for b in bits]), axis=1).astype(np.float64)
+    return x / np.maximum(np.sqrt(x.sum(axis=1, keepdims=True)), 1)
+
 
-    rows = sorted(tuple(r) for r in sample.mapInArrow(pack, "lang string, id string, bits binary").collect())
-    langs = sorted({r[0] for r in rows})
-    if not rows:
+def fit(documents: DataFrame) -> Model | None:
+    """Learn from labelled rows that are not held out; all languages are learned.
+
+    The tasks make presence rows and sum the normal equations; only the landmarks, one kilobyte
+    each, and the sums of ``SLOTS`` groups reach the driver. Without labelled rows the result is None.
+    """
+    rows = training_rows(documents)
+    if rows is None:
+        return None
+    sizes = {lang: n for lang, n in rows.groupBy("lang").count().collect()}
+    langs = sorted(sizes)
+    if not langs:
         return None
     number = {lang: i for i, lang in enumerate(langs)}
-    sizes = Counter(r[0] for r in rows)
-    weight = {lang: len(rows) / (len(langs) * n) for lang, n in sizes.items()}
-
-    def unit(bits: list[bytes]) -> np.ndarray:
-        x = np.unpackbits(np.array([np.frombuffer(b, np.uint8) for b in bits]), axis=1).astype(np.float64)
-        return x / np.maximum(np.sqrt(x.sum(axis=1, keepdims=True)), 1)
-
-    # Landmarks: as many of each language, in the order of their rows.
-    share, taken = max(1, LANDMARKS // len(langs)), Counter()
-    picked = []
-    for lang, _, bits in rows:
-        if taken[lang] < share:
-            taken[lang] += 1
-            picked.append(bits)
-    landmarks = unit(picked)
+    total = sum(sizes.values())
+    weight = np.array([np.sqrt(total / (len(langs) * sizes[lang])) for lang in langs])
+    picked = rows.where(F.col("nth") <= max(1, LANDMARKS // len(langs))).select("lang", "nth", "bits").collect()
+    landmarks = unit([r["bits"] for r in sorted(picked, key=lambda r: (r["lang"], r["nth"]))])
     values, vectors = np.linalg.eigh(landmarks @ landmarks.T)
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])  # maps landmark kernels into the Nyström space
-    left = np.zeros((root.shape[1] + 1, root.shape[1] + 1))
-    right = np.zeros((root.shape[1] + 1, len(langs)))
-    for start in range(0, len(rows), TOGETHER):
-        own = rows[start : start + TOGETHER]
-        at = [number[r[0]] for r in own]
-        y = np.full((len(own), len(langs)), -1.0)
-        y[np.arange(len(own)), at] = 1
-        row_weight = np.sqrt(np.array([weight[r[0]] for r in own]))[:, None]
-        z = np.hstack([unit([r[2] for r in own]) @ landmarks.T @ root, np.ones((len(own), 1))]) * row_weight
-        left += z.T @ z
-        right += z.T @ (y * row_weight)
-    inner = np.linalg.solve(left + RIDGE * len(rows) * np.diag([*[1.0] * (len(left) - 1), 0.0]), right)
+
+    def sums(batches):
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for whole in batches:
+            for start in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(start, TOGETHER)
+                at = np.array([number[lang] for lang in batch.column(1).to_pylist()])
+                y = np.where(np.arange(len(langs)) == at[:, None], 1.0, -1.0) * weight[at][:, None]
+                z = np.hstack([unit(batch.column(2).to_pylist()) @ landmarks.T @ root, np.ones((len(at), 1))]) * weight[at][:, None]
+                slots = batch.column(0).to_numpy()
+                for slot in np.unique(slots).tolist():
+                    own = slots == slot
+                    left, right = held.get(slot, (0.0, 0.0))
+                    held[slot] = left + z[own].T @ z[own], right + z[own].T @ y[own]
+        if held:
+            flat = [pa.array([x.ravel() for x in side], pa.list_(pa.float64())) for side in zip(*held.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), *flat], names=["slot", "left", "right"])
+
+    slotted = rows.select(F.pmod(F.xxhash64("id"), F.lit(SLOTS)).cast("int").alias("slot"), "lang", "bits", "nth").repartition(SLOTS, "slot").sortWithinPartitions("slot", "lang", "nth").drop("nth")
+    width = root.shape[1] + 1
+    left, right = np.zeros((width, width)), np.zeros((width, len(langs)))
+    for _, own_left, own_right in sorted(slotted.mapInArrow(sums, "slot int, left array<double>, right array<double>").collect()):
+        left += np.reshape(own_left, left.shape)
+        right += np.reshape(own_right, right.shape)
+    inner = np.linalg.solve(left + RIDGE * total * np.diag([*[1.0] * (width - 1), 0.0]), right)
     # The bias becomes one more landmark kernel of value 1.
     return Model(langs, landmarks.astype(np.float32), np.vstack([root @ inner[:-1], inner[-1:]]).astype(np.float32))
 
@@ -131,10 +151,11 @@ def identify(documents: DataFrame, model: Model | None, keep: tuple[str, ...] =
     ``und`` with score 0 stands for null texts and texts without a letter (so for empty ones), and
     for all texts if nothing was learned. Equal texts get equal results; null ids and repeated rows
     come back as they are; an empty table gives no rows. A text of any length is read whole.
-    The score is the winning language's share of the clipped votes, from 0 to 1.
+    Columns named like the two new ones can't be kept. The score is the winning language's share of the clipped votes, from 0 to 1.
     """
 
     def run(batches):
+        forget_others()
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(start, BATCH)
@@ -148,6 +169,8 @@ def identify(documents: DataFrame, model: Model | None, keep: tuple[str, ...] =
                         named[i], sure[i] = model.langs[best], float(row[best])
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(named, pa.string()), pa.array(sure, pa.float64())], names=[*keep, "lang_pred", "score"])
 
+    if {"lang_pred", "score"} & set(keep):
+        raise ValueError("lang_pred and score are made here")
     kinds = ", ".join(f"{c} {documents.schema[c].dataType.simpleString()}" for c in keep)
     rows = documents.select(*keep, F.col("text").alias("_scored"))
     return rows.mapInArrow(run, f"{kinds}, lang_pred string, score double")
