@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rule tables of at most so many rows are broadcast (about 100 bytes a row); larger ones are shuffled.
 BROADCAST_RULES = 20_000
+#: Shares into which the URLs with one expression are dealt, where rules are shuffled.
+SHARES = 32
 #: Hex digits of the digest on which rows meet before the whole digest is compared.
 SHORT = 8
 
@@ -79,8 +81,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         .withColumn("short", F.substring("digest", 1, SHORT))
         .drop("expression")
     )
-    side = F.broadcast(keyed) if n_rules <= BROADCAST_RULES else keyed
-    met = wide.join(side, "short", "left")
+    if n_rules <= BROADCAST_RULES:
+        met = wide.join(F.broadcast(keyed), "short", "left")
+    else:
+        # All URLs of a top-level domain have its expression: they are dealt out, and each rule stands in every share.
+        shares = keyed.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))))
+        met = wide.withColumn("share", F.pmod(F.xxhash64("page_id", "url"), F.lit(SHARES)).cast("int")).join(shares, ["short", "share"], "left")
     fits = (F.col("digest") == F.col("rule_digest")) & F.col("path").startswith(F.col("rule_path"))
     rank = F.when(
         fits,
