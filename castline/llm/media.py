@@ -2,7 +2,7 @@
 
 Payloads are kept losslessly as 8-bit mono WAV. What is read back goes through a polyphase
 filter, overlapped log-mel filterbanks and a segmentation of frame energies with two
-thresholds; the frames are stored as tensors of one fixed shape with their time spans.
+thresholds; the frames are stored as Arrow tensors of one fixed shape with their time spans.
 """
 
 from __future__ import annotations
@@ -127,75 +127,88 @@ def tensors(mel: np.ndarray) -> np.ndarray:
     return out.reshape(-1, SPAN, MELS)
 
 
-def tensor_column(rows: pa.Array) -> pa.Array:
-    """A column of flat lists as Arrow's fixed-shape tensors, for files outside Spark."""
-    flat = rows.flatten().cast(pa.float32())
-    kind = pa.fixed_shape_tensor(pa.float32(), (SPAN, MELS))
-    return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat, SPAN * MELS))
+KIND = pa.fixed_shape_tensor(pa.float32(), (SPAN, MELS))
+STORED = pa.schema([("start", pa.float64()), ("end", pa.float64()), ("mel", KIND)])
+
+
+def store_tensors(mel: np.ndarray) -> bytes:
+    """The frames as an Arrow stream of fixed-shape tensors, each with its start and end in seconds."""
+    held = tensors(mel)
+    storage = pa.FixedSizeListArray.from_arrays(pa.array(held.ravel(), pa.float32()), SPAN * MELS)
+    starts = [seconds(i * SPAN) for i in range(len(held))]
+    batch = pa.RecordBatch.from_arrays([pa.array(starts), pa.array([*starts[1:], seconds(len(mel))]), pa.ExtensionArray.from_storage(KIND, storage)], schema=STORED)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, STORED) as file:
+        file.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def read_tensors(stored: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The tensors of an Arrow stream, as one array, and their (start, end)."""
+    held = pa.ipc.open_stream(stored).read_all().combine_chunks()
+    return held.column("mel").chunk(0).to_numpy_ndarray(), np.column_stack([held.column("start"), held.column("end")])
+
+
+#: Texts whose files are held together.
+TOGETHER = 64
 
 
 def media_rows(documents: DataFrame) -> DataFrame:
-    """For every row of ``documents`` (doc_id, text) its media file and its tensors with spans.
+    """For every row of ``documents`` (doc_id, text) its media file, its tensors and its segments.
 
-    Columns: doc_id, media binary, n_bytes, tensors (flat lists of SPAN * MELS floats, each with its
-    start and end in seconds), segments (start and end in seconds). Null texts count as empty and
-    become one unit of spaces; null ids and repeated rows come back as they are; an empty table
-    gives no rows; texts of any length are stored whole, in a batch that holds few of them.
+    Columns: doc_id, media (a WAV file), n_bytes, tensors (an Arrow stream of start, end and a
+    fixed-shape tensor of SPAN x MELS), segments (start and end in seconds). Null texts count as
+    empty and become one unit of spaces; null ids and repeated rows come back as they are; an empty
+    table gives no rows; other columns are not read; texts of any length are stored whole, in a
+    batch that holds few of them.
     """
     kind = documents.schema["doc_id"].dataType.simpleString()
     span = pa.struct([("start", pa.float64()), ("end", pa.float64())])
-    piece = pa.struct([("start", pa.float64()), ("end", pa.float64()), ("mel", pa.list_(pa.float32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 64):
-                batch = whole.slice(start, 64)
-                media, sizes, pieces, spans = [], [], [], []
+            for start in range(0, whole.num_rows, TOGETHER):
+                batch = whole.slice(start, TOGETHER)
+                media, sizes, held, spans = [], [], [], []
                 for text in batch.column(1).to_pylist():
                     payload, n = fill(text)
-                    stored = store(payload)
-                    mel, found = features(read_back(stored))
-                    media.append(stored)
+                    media.append(store(payload))
                     sizes.append(n)
-                    pieces.append([{"start": seconds(i * SPAN), "end": seconds(min(len(mel), (i + 1) * SPAN)), "mel": x.ravel()} for i, x in enumerate(tensors(mel))])
+                    mel, found = features(read_back(media[-1]))
+                    held.append(store_tensors(mel))
                     spans.append([{"start": seconds(a), "end": seconds(b)} for a, b in found])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(media, pa.binary()), pa.array(sizes, pa.int64()), pa.array(pieces, pa.list_(piece)), pa.array(spans, pa.list_(span))],
+                    [batch.column(0), pa.array(media, pa.binary()), pa.array(sizes, pa.int64()), pa.array(held, pa.binary()), pa.array(spans, pa.list_(span))],
                     names=["doc_id", "media", "n_bytes", "tensors", "segments"],
                 )
 
-    return documents.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, media binary, n_bytes long, tensors array<struct<start: double, end: double, mel: array<float>>>, segments array<struct<start: double, end: double>>"
-    )
+    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, media binary, n_bytes long, tensors binary, segments array<struct<start: double, end: double>>")
 
 
-def media_digests(documents: DataFrame) -> DataFrame:
-    """As ``media_rows``, with files and tensors reduced to sizes and digests in the worker that made them.
+def media_digests(rows: DataFrame) -> DataFrame:
+    """The rows of ``media_rows`` with what is read back from their files and tensors reduced to sizes and digests.
 
-    ``feature`` names the numbers of frames, tensors and segments, the mean log-mel value and a
-    digest of the rounded tensors and segments.
+    ``feature`` names the numbers of frames, tensors and segments, the mean log-mel value, and a
+    digest of the rounded tensors, their spans and the segments. Repeated rows come back as they
+    are; no rows give none.
     """
-    kind = documents.schema["doc_id"].dataType.simpleString()
+    kind = rows.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-
-    def digest(text: str | None) -> tuple:
-        payload, n = fill(text)
-        stored = store(payload)
-        read = read_back(stored)
-        mel, found = features(read)
-        held = tensors(mel)
-        rounded = np.round(held * 64).astype(np.int32)
-        mark = hashlib.sha256(rounded.tobytes() + repr(found).encode()).hexdigest()[:16]
-        feature = f"frames={len(mel)};tensors={len(held)}x{SPAN}x{MELS};segments={len(found)};mean={float(mel.mean()):.3f};mark={mark}"
-        return n, len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-16:]), len(stored), hashlib.sha256(stored).hexdigest(), feature
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def digest(media: bytes, stored: bytes, segments: list[dict]) -> tuple:
+        read = read_back(media)
+        held, spans = read_tensors(stored)
+        frames = round(spans[-1, 1] / seconds(1))
+        told = np.round(held * 64).astype(np.int32).tobytes() + spans.tobytes() + repr([(s["start"], s["end"]) for s in segments]).encode()
+        mean = float(held.reshape(-1, MELS)[:frames].mean())
+        feature = f"frames={frames};tensors={len(held)}x{SPAN}x{MELS};segments={len(segments)};mean={mean:.3f};mark={hashlib.sha256(told).hexdigest()[:16]}"
+        return len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [digest(t) for t in batch.column(1).to_pylist()]
-            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
+            own = [digest(*row) for row in zip(*(batch.column(c).to_pylist() for c in ("media", "tensors", "segments")))]
+            columns = [pa.array([r[i] for r in own], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *columns], names=names)
 
-    return documents.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    )
+    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

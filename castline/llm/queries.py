@@ -14,7 +14,7 @@ from castline.llm.common import table
 from castline.llm.embedding_dedup import near_duplicates as near_duplicate_vectors
 from castline.llm.language_id import fit, identify, remainder
 from castline.llm.line_templates import drop_repeated_lines
-from castline.llm.media import media_digests
+from castline.llm.media import media_digests, media_rows
 from castline.llm.ngram_join import near_duplicates as near_duplicate_documents
 from castline.llm.packing import pack_documents
 from castline.llm.token_counts import count_tokens
@@ -25,6 +25,7 @@ URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document: texts with a Jaccard similarity of 0.75 over five-word shingles are linked."""
     return near_duplicate_documents(table(spark, sf_dir, "documents"))
 
 
@@ -40,37 +41,45 @@ def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn with its recovered role, in canonical form."""
     return format_turns(table(spark, sf_dir, "conversations"))
 
 
 def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document and their places in sequences of 2048 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), size=2048)
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document, by a model of the labelled ones that are not held out."""
     documents = table(spark, sf_dir, "documents")
     named = identify(documents, fit(documents))
     return named.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op7_media_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_digests(table(spark, sf_dir, "documents"))
+    """What is read back from the media files and tensors of every document."""
+    return media_digests(media_rows(table(spark, sf_dir, "documents")))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines whose template an earlier one has."""
     return drop_repeated_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of tokens of every document."""
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), limit=512)
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links and the class of every vector, among those of its label."""
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
