@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from castline.llm.common import stored, table
+from castline.llm.common import discard, scratch, stored, table
 from castline.llm.language_id import fit, identify, lettered
 from castline.llm.line_templates import drop_repeated_lines
 from castline.llm.ngram_join import doc_key, near_duplicates
@@ -45,15 +45,24 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near-duplicates, by id, once; documents without words stay.
 
-    Rows without an id give way to those with one. Equal rows are one document.
+    A document is an id and a text: rows that agree in both are one, whatever their other columns
+    hold, and documents that share an id are told apart by their texts. Rows without an id give way
+    to those with one. Null and empty texts stay, each id once; an empty table stays empty; columns
+    other than those of documents go.
     """
-    first = near_duplicates(docs).where("kept").select(F.col("doc_key").alias("_key")).distinct()
-    kept = docs.select(*COLUMNS, doc_key().alias("_key")).join(first, "_key", "left_semi")
-    return kept.dropDuplicates(["_key"]).select(*COLUMNS)
+    first = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("doc_key").alias("_key")).distinct()
+    named = docs.select(*COLUMNS, doc_key().alias("_doc_key"))
+    kept = named.join(first, (named["_doc_key"] == first["_key"]) & named["doc_id"].eqNullSafe(first["_id"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_doc_key"]).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, packed into sequences of 2048 tokens."""
+    """Pieces of the documents, packed into sequences of 2048 tokens.
+
+    Null and empty texts become a piece of the end token alone; rows without an id and repeated rows
+    are packed like others; an empty table gives no pieces; columns other than doc_id and text are
+    not read.
+    """
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), size=2048)
 
 
@@ -64,13 +73,25 @@ STAGES = [
     ("best_fit_packing", pack),
 ]
 
-#: Kernels, template trees and token ids have no SQL form; tests hold the stages against brute force.
+#: Kernels, template trees and token ids have no SQL form; tests hold each stage, on its own input, against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; nulls, repeated rows and empty tables as each stage has it.
+
+    A stage's rows are stored before the next one starts; what it stored on the way, and the rows
+    of the stage before, are deleted then.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        rows = stage_rows(spark, stage, docs, sf_dir, name)
+        discard(before)
+        docs = before = rows
     return STAGES[-1][1](spark, docs, sf_dir)
+
+
+def stage_rows(spark: SparkSession, stage, docs: DataFrame, sf_dir: str, name: str) -> DataFrame:
+    """The rows of one stage, stored; the tables that it made on the way are gone."""
+    with scratch(spark) as keep:
+        return keep(stored(stage(spark, docs, sf_dir), name))
