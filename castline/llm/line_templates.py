@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from castline.llm.common import Memo, forget_others, stored
+from castline.llm.parts import slices
 
 #: Leading tokens that lead to a leaf.
 DEPTH = 4
@@ -38,7 +39,7 @@ SCAN = 64
 BATCH = 2000
 VARIABLE = "<*>"
 #: Distinct tokens whose marks a worker keeps, in each of two generations.
-MEMO = 300_000
+MEMO = 200_000
 
 
 has_digit, has_letter = re.compile("[0-9]").search, re.compile(r"[^\W\d_]").search
@@ -72,8 +73,9 @@ def lines_of(documents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others(token_marks())
-        for batch in batches:
-            marks, rows = token_marks(), []
+        marks = token_marks()
+        for batch in chain.from_iterable(slices(whole, 2) for whole in batches):
+            rows = []
             for at, text in enumerate(batch.column(2).to_pylist()):
                 for line_no, line in enumerate(text.split("\n")):
                     tokens = masked(line)
@@ -221,7 +223,12 @@ def drop_repeated_lines(documents: DataFrame) -> DataFrame:
     drops = repeated_lines(documents).select(F.col("doc_id").alias("_line_doc_id"), F.col("doc_key").alias("_line_key"), F.col("drop").alias("_line_drop"))
     joined = marked.join(drops, (marked["_line_doc_key"] == drops["_line_key"]) & marked["doc_id"].eqNullSafe(drops["_line_doc_id"]), "left")
     lines = F.split("text", "\n")
-    kept = F.when(F.col("_line_drop").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda line, at: ~F.array_contains("_line_drop", at)), "\n"))
+    # The numbers of the lines that stay are a difference of sets, so each line is looked at once.
+    staying = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "_line_drop")
+    # An array of one element binds the lines, so that the text is cut once and not for each of them.
+    bound = F.array(F.struct(lines.alias("lines"), staying.alias("staying")))
+    joined_again = F.transform(bound, lambda own: F.array_join(F.transform(own["staying"], lambda at: F.get(own["lines"], at)), "\n"))[0]
+    kept = F.when(F.col("_line_drop").isNull(), F.col("text")).otherwise(joined_again)
     return joined.select(
         *[kept.alias("text") if c == "text" else F.col(c) for c in documents.columns if c not in ("n_lines", "n_dropped")],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
