@@ -16,6 +16,7 @@ from __future__ import annotations
 import functools
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from castline.llm.common import Memo, forget_others, stored
+from castline.llm.common import Memo, discard, forget_others, stored
 from castline.llm.components import components
+from castline.llm.parts import slices
 
 WORDS = 5
 #: Two sets are linked if PARTS * intersection >= ALIKE * union.
@@ -34,7 +36,7 @@ PLACES, SLICES = 1 << 18, 64
 #: Leaders of a tile. All its sets are compared with them first, so many of a set's leaders in each round.
 LEADERS, STEPS = 16, (1, 3, 1_000_000)
 #: Distinct words whose hashes a worker keeps, in each of two generations.
-MEMO = 300_000
+MEMO = 200_000
 TOP = np.uint64(1 << 63)
 
 
@@ -83,7 +85,7 @@ def document_sets(documents: DataFrame) -> tuple[DataFrame, np.ndarray]:
         counts = np.zeros(PLACES, np.int64)
         names = ["doc_id", "doc_key", "n_shingles", "set_a", "set_b", "bits", "slice", "counts"]
         types: list = []
-        for batch in batches:
+        for batch in chain.from_iterable(slices(whole, 2) for whole in batches):
             types = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64())]
             sets = [shingles(t) for t in batch.column(2).to_pylist()]
             if any(map(len, sets)):
@@ -139,7 +141,7 @@ def tile_rows(documents: DataFrame, rank: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others(word_hashes())
         seen: set[int] = set()
-        for batch in batches:
+        for batch in chain.from_iterable(slices(whole, 0) for whole in batches):
             out: list[tuple] = []
             for text in batch.column(0).to_pylist():
                 items = shingles(text)
@@ -199,7 +201,7 @@ def items_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget_others(word_hashes())
         seen: set[int] = set()
-        for batch in batches:
+        for batch in chain.from_iterable(slices(whole, 1) for whole in batches):
             names, items = [], []
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if name not in seen:
@@ -226,19 +228,26 @@ def grouped(rows: DataFrame, parts: DataFrame | None, *columns: str) -> DataFram
     return rows
 
 
-def links_of(documents: DataFrame, nodes: DataFrame, rank: np.ndarray) -> DataFrame:
-    """Links (a, b) between the sets of ``nodes`` (set_a, n, bits, doc_key), enough of them to connect all that are alike."""
-    key, ends = Window.partitionBy("shingle"), nodes.select("set_a", "doc_key")
+def tiles_of(documents: DataFrame, rank: np.ndarray) -> DataFrame:
+    """(shingle, band, set_a, n, place) for the tiles in which sets meet; stored."""
+    key = Window.partitionBy("shingle")
     met = tile_rows(documents, rank).withColumns({"low": F.min("set_a").over(key), "high": F.max("set_a").over(key)}).where("low < high")
     # Equal sets come from several tasks; dealt out by shingle, they meet here without another shuffle.
-    met = stored(met.groupBy("shingle", "set_a").agg(F.min("n").alias("n"), F.min("place").alias("place")).withColumn("band", band("n")), "tiles")
+    return stored(met.groupBy("shingle", "set_a").agg(F.min("n").alias("n"), F.min("place").alias("place")).withColumn("band", band("n")), "tiles")
+
+
+def links_of(documents: DataFrame, nodes: DataFrame, rank: np.ndarray) -> DataFrame:
+    """Links (a, b) between the sets of ``nodes`` (set_a, n, bits, doc_key), enough of them to connect all that are alike; stored."""
+    ends, met = nodes.select("set_a", "doc_key"), tiles_of(documents, rank)
 
     # Each set and the leaders of its tiles, as far as sizes, places and bitmaps allow.
     turn = F.row_number().over(Window.partitionBy("shingle", "band").orderBy("set_a"))
     leaders = met.withColumn("turn", turn).where(F.col("turn") <= LEADERS).select("shingle", "band", F.col("set_a").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"))
     led = met.select("shingle", "band", F.col("set_a").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b")).join(leaders, ["shingle", "band"])
     led = stored(ruled_in(led.where(f"a < b AND {SIZES_FIT} AND {PLACES_FIT}").select("a", "b").distinct(), nodes), "led")
-    items = stored(items_of(documents, ends_of(led).join(ends, "set_a")), "items")
+    # Stored, the table of wanted texts has a known size: Spark broadcasts it if it is small, so that the texts need no shuffle.
+    wanted = stored(ends_of(led).join(ends, "set_a"), "wanted")
+    items = stored(items_of(documents, wanted), "items")
 
     # Rounds of exact comparisons; a set that has been linked needs no further leader of the same component.
     links, parts, tried = None, None, 0
@@ -246,14 +255,19 @@ def links_of(documents: DataFrame, nodes: DataFrame, rank: np.ndarray) -> DataFr
         order = Window.partitionBy("b").orderBy("a")
         open_pairs = grouped(led.withColumn("turn", F.row_number().over(order)), parts, "a", "b").where("part_a != part_b")
         found = settle(open_pairs.where((F.col("turn") > tried) & (F.col("turn") <= tried + step)).select("a", "b"), items)
+        before = links, parts
         links = stored(found if links is None else links.unionByName(found), "links")
         parts = stored(components(links), "parts")
+        discard(*before)
         tried += step
 
     # What the leaders did not bring together is compared pair by pair.
     across = stored(ruled_in(tile_pairs(grouped(met, parts, "set_a")), nodes), "across")
-    more = items_of(documents, ends_of(across).join(items, "set_a", "left_anti").join(ends, "set_a"))
-    return links.unionByName(settle(across, stored(items.unionByName(more), "items")))
+    lacking = stored(ends_of(across).join(items, "set_a", "left_anti").join(ends, "set_a"), "wanted")
+    more = stored(items_of(documents, lacking), "items")
+    linked = stored(links.unionByName(settle(across, items.unionByName(more))), "links")
+    discard(met, led, wanted, items, links, parts, across, lacking, more)
+    return linked
 
 
 def tile_pairs(tiles: DataFrame) -> DataFrame:
@@ -268,6 +282,32 @@ def tile_pairs(tiles: DataFrame) -> DataFrame:
     return met.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).distinct()
 
 
+def classes_of(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Equal sets as one class, with the first document that has it; and the classes as nodes (set_a, n, bits, doc_key)."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "doc_key"))
+    classes = stored(sets.groupBy("set_a", "set_b").agg(first.alias("first"), F.first("n_shingles").cast("int").alias("n"), F.first("bits").alias("bits")), "classes")
+    return classes, classes.select("set_a", "n", "bits", F.col("first.doc_key").alias("doc_key"))
+
+
+def similar_texts(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links between different sets of ``documents`` (doc_id, text), and who has these sets.
+
+    The first frame holds pairs (a, b), a < b, of sets whose Jaccard similarity is 0.75 or more,
+    none left out; the second (doc_id, set_a, n_shingles) for every row, where documents of equal
+    sets have the same ``set_a``, by which the pairs name them. Rows without words have no set.
+    Nulls, repeated rows and empty tables are treated as in ``near_duplicates``. In a group of many
+    different near copies the pairs are as many as the contract of a join asks for.
+    """
+    documents = documents.select("doc_id", "text")
+    sets, counts = document_sets(documents)
+    _, nodes = classes_of(sets.where("set_a IS NOT NULL"))
+    met = tiles_of(documents, ranks(counts))
+    pairs = stored(ruled_in(tile_pairs(grouped(met, None, "set_a")), nodes), "pairs")
+    links = stored(settle(pairs, items_of(documents, ends_of(pairs).join(nodes.select("set_a", "doc_key"), "set_a"))), "links")
+    discard(met, pairs)
+    return links, sets.select("doc_id", "set_a", "n_shingles")
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """For every row of ``documents`` (doc_id, text): n_shingles, component_id, doc_key and kept.
 
@@ -284,16 +324,14 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     documents = documents.select("doc_id", "text")
     sets, counts = document_sets(documents)
     full = sets.where("set_a IS NOT NULL")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "doc_key"))
-    classes = stored(full.groupBy("set_a", "set_b").agg(first.alias("first"), F.first("n_shingles").cast("int").alias("n"), F.first("bits").alias("bits")), "classes")
-    nodes = classes.select("set_a", "n", "bits", F.col("first.doc_key").alias("doc_key"))
-    links = stored(links_of(documents, nodes, ranks(counts)), "links")
+    classes, nodes = classes_of(full)
+    links = links_of(documents, nodes, ranks(counts))
     parts = components(links).select(F.col("node").alias("set_a"), "component")
     named = classes.select("set_a", "set_b", "first").join(parts, "set_a", "left").withColumn("component", F.coalesce("component", "set_a"))
     smallest = named.groupBy("component").agg(F.min("first").alias("least"))
     by_set = named.join(smallest, "component").select("set_a", "set_b", "least")
     found = full.select("doc_id", "doc_key", "n_shingles", "set_a", "set_b").join(by_set, ["set_a", "set_b"])
-    kept = F.col("doc_key") == F.col("least.doc_key")
+    kept = (F.col("doc_key") == F.col("least.doc_key")) & F.col("doc_id").eqNullSafe(F.col("least.doc_id"))
     return found.select("doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"), "doc_key", kept.alias("kept")).unionByName(
         sets.where("set_a IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "doc_key", F.lit(True).alias("kept"))
     )
