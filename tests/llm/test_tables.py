@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from castline.llm import queries
+from castline.llm import queries, url_filters
 from castline.llm.embedding_dedup import near_duplicates
 from castline.llm.url_filters import judge_urls
 from tests.oracle import assert_same, connect
@@ -39,6 +39,14 @@ def test_urls_equal_the_definition(spark):
     assert {r.verdict for r in judge_urls(pages, rules.limit(0), "block").collect()} == {"block"}
 
 
+def test_urls_with_shuffled_rules(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://{h}.org/fr/x/{i}") for i in range(50) for h in ("a", "b")], "page_id long, url string")
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    want = sorted(map(tuple, judge_urls(pages, rules).collect()))
+    monkeypatch.setattr(url_filters, "BROADCAST_RULES", 0)
+    assert sorted(map(tuple, judge_urls(pages, rules).collect())) == want and len(want) == 100
+
+
 def test_urls_run_no_python(spark):
     plan = queries.op5_url_filter(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
@@ -82,17 +90,53 @@ def test_embeddings_equal_brute_force(spark):
     found = sum(min(have[i].n_links, n) for i, (n, _) in want.items())
     assert all(have[i].n_links <= n for i, (n, _) in want.items())
     assert found >= 0.9 * sum(n for n, _ in want.values())
+    if found == sum(n for n, _ in want.values()):
+        assert {i: have[i].component_id for i in want if i is not None} == {i: c for i, (_, c) in want.items() if i is not None}
+    for r in got:
+        if r.vec_id is not None:
+            assert r.kept == (r.vec_id == r.component_id)
     for i in (1000, 1001, 1002, 1003, 1004, 1007):
         assert (have[i].n_links, have[i].component_id, have[i].kept) == (0, i, True)
     assert near_duplicates(vectors.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("sf", ["/root/testdata/sf0.01"])
-def test_embedding_recall_on_the_table(spark, sf):
-    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding", "label").collect()]
-    _, links = brute(rows)
-    got = queries.op10_embedding_dedup(spark, sf).collect()
-    assert sum(r.n_links for r in got) >= 0.9 * sum(map(len, links.values()))
+def pairs_at(rng, n, width, mean, low=0.98, high=0.985):
+    """Vectors about a common mean of the given norm, every second one at a cosine of ``low`` to ``high`` from the one before."""
+    centre = np.zeros(width)
+    centre[0] = mean
+    own = rng.normal(size=(n, width))
+    own = centre + own / np.linalg.norm(own, axis=1, keepdims=True) * np.sqrt(1 - mean**2)
+    own /= np.linalg.norm(own, axis=1, keepdims=True)
+    way = rng.normal(size=(n, width))
+    way -= (way * own).sum(axis=1, keepdims=True) * own
+    way /= np.linalg.norm(way, axis=1, keepdims=True)
+    cosine = rng.uniform(low, high, (n, 1))
+    return np.stack([own, cosine * own + np.sqrt(1 - cosine**2) * way], axis=1).reshape(2 * n, width)
+
+
+@pytest.mark.parametrize(("width", "mean"), [(64, 0.0), (64, 0.9), (128, 0.9), (64, 0.95)])
+def test_embedding_recall_with_a_common_mean(spark, width, mean):
+    vectors = pairs_at(np.random.default_rng(7), 1500, width, mean)
+    near = vectors @ vectors.T >= 0.98
+    np.fill_diagonal(near, False)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(vectors)]
+    got = {r.vec_id: r.n_links for r in near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert all(got[i] <= n for i, n in enumerate(near.sum(axis=1)))
+    assert sum(got.values()) >= 0.95 * near.sum()
+
+
+def test_embedding_groups_and_threshold(spark):
+    """Two groups of near vectors are found whole; cosine exactly at the threshold links, one below does not."""
+    rng = np.random.default_rng(2)
+    groups = rng.normal(size=(2, 32))
+    rows = [(10 * i + 5, (groups[i % 2] + rng.normal(size=32) * 0.01).tolist(), 1) for i in range(60)]
+    # (3, 4) and (4, 3) have a cosine of 24 / 25.
+    rows += [(1000, [3.0, 4.0], 2), (1001, [4.0, 3.0], 2), (1002, [3.0, 4.0], 3), (1003, [4.0, 2.9999999], 3)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_duplicates(vectors).collect()}
+    assert all(got[10 * i + 5] == (29, 5 + 10 * (i % 2), i < 2) for i in range(60))
+    got = {r.vec_id: r.component_id for r in near_duplicates(vectors, cosine=24 / 25).collect()}
+    assert [got[i] for i in (1000, 1001, 1002, 1003)] == [1000, 1000, 1002, 1003]
 
 
 def test_every_operator_has_a_query():
@@ -130,3 +174,109 @@ def test_pipeline(spark):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def odd_documents(spark, extra):
+    """A few documents with null ids and texts, repeats, a shared id, empty texts and clashing columns."""
+    rows = [(None, "no id here at all and more", "en"), (None, "no id here at all and more", "en"), (7, None, "en"), (8, "", "en"), (8, "", "en"), (9, "...", "en"), (10, "the king and the house of the queen", "en"), (10, "eine ganz andere geschichte von der stadt", "de"), (11, "the king and the house of the queen", None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long" + "".join(f", {c} int" for c in extra)
+    return spark.createDataFrame([(i, t, lang, "s", len(t or ""), *[1] * len(extra)) for i, t, lang in rows], schema)
+
+
+CLASHING = ("lang_pred", "score", "n_lines", "n_dropped", "doc_key", "_key", "_id", "kept", "component_id", "length", "piece", "ids")
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline as p
+
+    docs = odd_documents(spark, CLASHING)
+    got = p.keep_known_language(spark, docs, SF)
+    assert got.columns == list(p.COLUMNS)
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(i, t) for i, t in ((r.doc_id, r.text) for r in docs.collect()) if t and any(c.isalpha() for c in t)], key=str)
+
+    line = "one line that stands in each of the documents"
+    twice = spark.createDataFrame([(i, f"{line}\n{t}", "en", "s", 1, *[1] * len(CLASHING)) for i, t in ((1, "own a"), (2, ""), (3, "own c"), (3, "own c"), (None, "d"))], docs.schema)
+    got = p.drop_shared_lines(spark, twice.unionByName(docs.where("text IS NULL OR text = ''")), SF)
+    assert got.columns == list(p.COLUMNS)
+    kept = sorted(((r.doc_id, r.text, r.n_chars) for r in got.collect()), key=str)
+    # The row without an id is the first document; what is left of document 2 is nothing, so it goes.
+    assert kept == sorted([(None, f"{line}\nd", 1), (1, "own a", 5), (3, "own c", 5), (3, "own c", 5), (7, None, 0), (8, "", 0), (8, "", 0)], key=str)
+
+    got = p.keep_one_of_each_group(spark, docs, SF)
+    assert got.columns == list(p.COLUMNS)
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted(
+        [(None, "no id here at all and more"), (7, None), (8, ""), (9, "..."), (10, "the king and the house of the queen"), (10, "eine ganz andere geschichte von der stadt")], key=str
+    )
+
+    got = p.pack(spark, docs, SF).collect()
+    assert sorted(str(r.doc_id) for r in got) == sorted(str(r.doc_id) for r in docs.collect())
+    assert all(r.length >= 1 and r.offset + r.length <= 2048 for r in got)
+
+
+def test_pipeline_stages_equal_brute_force(spark):
+    """Each stage on its own input: the lines, the groups and the pieces by plain Python."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as p
+    from castline.llm import line_templates
+    from tests.llm.test_text_operators import dropped, groups
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    known = p.keep_known_language(spark, docs, SF)
+    texts = {r.doc_id: r.text for r in known.collect()}
+    assert set(texts) == {r.doc_id for r in docs.collect() if r.text and any(c.isalpha() for c in r.text)}
+
+    rows = sorted(texts.items())
+    gone = dropped(rows) | long_repeats(rows)
+    thin = {}
+    for i, text in rows:
+        lines = [line for at, line in enumerate(text.split("\n")) if (i, at) not in gone]
+        if len(lines) == len(text.split("\n")) or "\n".join(lines).strip():
+            thin[i] = "\n".join(lines)
+    got = p.drop_shared_lines(spark, known, SF)
+    assert {r.doc_id: r.text for r in got.collect()} == thin
+    assert line_templates.LONG_TOKENS == 50
+
+    single = p.keep_one_of_each_group(spark, got, SF)
+    first = groups(sorted(thin.items()))
+    kept = {r.doc_id: r.text for r in single.collect()}
+    assert kept == {i: t for i, t in thin.items() if first[i] == i}
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces = p.pack(spark, single, SF).toPandas()
+    lengths = pieces.groupby("doc_id").length.sum()
+    assert lengths.to_dict() == {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in kept.items()}
+
+
+def long_repeats(rows):
+    """Lines of 50 tokens or more that an earlier document has, digits aside."""
+    from castline.llm import line_templates
+
+    seen, gone = {}, set()
+    for i, text in rows:
+        for at, line in enumerate(text.split("\n")):
+            tokens = tuple(line_templates.masked(line))
+            if len(tokens) >= line_templates.LONG_TOKENS and line_templates.has_letter(" ".join(tokens)) and seen.setdefault(tokens, i) != i:
+                gone.add((i, at))
+    return gone
+
+
+def test_scratch_is_deleted(spark, tmp_path):
+    from castline.llm.common import discard, scratch, shared_dir, stored
+
+    place = shared_dir(spark).removeprefix("file://")
+    import os
+
+    before = set(os.listdir(place))
+    with scratch(spark) as keep:
+        stored(spark.range(3), "one")
+        two = keep(stored(spark.range(4), "two"))
+    assert len(set(os.listdir(place)) - before) == 1 and two.count() == 4
+    discard(two)
+    assert set(os.listdir(place)) == before
+    import corpus_pipeline
+
+    rows = corpus_pipeline.stage_rows(spark, corpus_pipeline.keep_one_of_each_group, spark.read.parquet(f"{SF}/documents.parquet"), SF, "ngram_join")
+    assert len(set(os.listdir(place)) - before) == 1
+    discard(rows)
