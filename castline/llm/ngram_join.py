@@ -245,9 +245,7 @@ def links_of(documents: DataFrame, nodes: DataFrame, rank: np.ndarray) -> DataFr
     leaders = met.withColumn("turn", turn).where(F.col("turn") <= LEADERS).select("shingle", "band", F.col("set_a").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"))
     led = met.select("shingle", "band", F.col("set_a").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b")).join(leaders, ["shingle", "band"])
     led = stored(ruled_in(led.where(f"a < b AND {SIZES_FIT} AND {PLACES_FIT}").select("a", "b").distinct(), nodes), "led")
-    # Stored, the table of wanted texts has a known size: Spark broadcasts it if it is small, so that the texts need no shuffle.
-    wanted = stored(ends_of(led).join(ends, "set_a"), "wanted")
-    items = stored(items_of(documents, wanted), "items")
+    items = stored(items_of(documents, ends_of(led).join(ends, "set_a")), "items")
 
     # Rounds of exact comparisons; a set that has been linked needs no further leader of the same component.
     links, parts, tried = None, None, 0
@@ -263,10 +261,11 @@ def links_of(documents: DataFrame, nodes: DataFrame, rank: np.ndarray) -> DataFr
 
     # What the leaders did not bring together is compared pair by pair.
     across = stored(ruled_in(tile_pairs(grouped(met, parts, "set_a")), nodes), "across")
+    # Few texts are wanted still. Stored, their table has a known size: Spark broadcasts it if it is small, and the texts need no shuffle.
     lacking = stored(ends_of(across).join(items, "set_a", "left_anti").join(ends, "set_a"), "wanted")
     more = stored(items_of(documents, lacking), "items")
     linked = stored(links.unionByName(settle(across, items.unionByName(more))), "links")
-    discard(met, led, wanted, items, links, parts, across, lacking, more)
+    discard(met, led, items, links, parts, across, lacking, more)
     return linked
 
 
