@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from castline.llm import secret_tags
 from castline.llm.bpe_automaton import encode_texts
+from castline.llm.centroids import cluster_vectors
 from castline.llm.chat import format_turns
 from castline.llm.common import table
 from castline.llm.embedding_dedup import near_duplicates as near_duplicate_vectors
@@ -19,6 +21,7 @@ from castline.llm.ngram_join import near_duplicates as near_duplicate_documents
 from castline.llm.packing import pack_documents
 from castline.llm.token_counts import count_tokens
 from castline.llm.url_filters import judge_urls
+from castline.llm.whitening import whiten
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -83,6 +86,26 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), cosine=0.98)
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's place on the first eight components, in standard deviations; a deviation that no long can hold is null."""
+    return whiten(table(spark, sf_dir, "embeddings"), components=8).withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector after three rounds with 16 centroids."""
+    return cluster_vectors(table(spark, sf_dir, "embeddings"), k=16, rounds=3, width=64, scale=64, seed=1)
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document: the patterns' counts and digest, and all spans."""
+    documents = table(spark, sf_dir, "documents")
+    found = secret_tags.find_secrets(documents, secret_tags.fit(documents))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"] != "crf")
+    return found.select("doc_id", of("assign"), of("access"), of("hex"), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_bpe_roundtrip": op2_bpe_roundtrip,
@@ -94,8 +117,50 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_secret_scan": op13_secret_scan,
 }
 
+
+def lloyd_sql(k: int = 16, rounds: int = 3, width: int = 64, scale: int = 64, seed: int = 1) -> str:
+    """Lloyd's rounds written out: centroids c0 and, after each assignment a0, a1, ..., the next ones."""
+    steps = [
+        f"""kept AS MATERIALIZED (
+            SELECT vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v, row_number() OVER () AS r
+            FROM embeddings
+            WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {width})""",
+        f"""c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id) NULLS LAST, v) - 1 AS cluster, v AS c
+            FROM kept ORDER BY sha256('{seed}:' || vec_id) NULLS LAST, v LIMIT {k})""",
+    ]
+    for i in range(rounds + 1):
+        steps.append(
+            f"""a{i} AS MATERIALIZED (
+            SELECT r, vec_id, v, min(struct_pack(d := d, cluster := cluster)) AS near FROM (
+                SELECT r, vec_id, v, cluster, list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept, c{i})
+            GROUP BY r, vec_id, v)"""
+        )
+        if i < rounds:
+            steps.append(
+                f"""c{i + 1} AS MATERIALIZED (
+            SELECT c.cluster, coalesce(m.c, c.c) AS c FROM c{i} c LEFT JOIN (
+                SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY place) AS c FROM (
+                    SELECT cluster, place, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n
+                    FROM (SELECT near.cluster AS cluster, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM a{i})
+                    GROUP BY cluster, place) GROUP BY cluster) m ON m.cluster = c.cluster)"""
+            )
+    return (
+        "WITH "
+        + ",\n        ".join(steps)
+        + f"""
+        SELECT a.vec_id, a.near.cluster::INTEGER AS cluster, a.near.d AS distance,
+               sum(a.near.d) OVER (PARTITION BY a.near.cluster)::BIGINT AS cluster_inertia, sum(a.near.d) OVER ()::BIGINT AS inertia,
+               sha256(array_to_string(c.c, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN c{rounds} c ON c.cluster = a.near.cluster"""
+    )
+
+
 ORACLE_SQL: dict[str, str] = {
     "op5_url_filter": r"""
         WITH cut AS (
@@ -113,4 +178,5 @@ ORACLE_SQL: dict[str, str] = {
         SELECT page_id, host, path, rule,
                CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict
         FROM ruled""",
+    "op12_centroid_clusters": lloyd_sql(),
 }
