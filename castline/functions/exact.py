@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-import difflib
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+from castline.functions.blocks import block_ratios
+
+#: Letters of the pairs that are aligned together; a longer pair is alone.
+TOGETHER = 1 << 18
+
 
 @F.pandas_udf(StringType())
 def nfc(values: pd.Series) -> pd.Series:
@@ -37,14 +42,15 @@ def short_number(values: pd.Series) -> pd.Series:
 @F.pandas_udf(DoubleType())
 def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """Share of matching blocks of two texts (Ratcliff and Obershelp), from 0 to 1."""
-    return pd.Series([None if a is None or b is None else difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
-
-
-def closest(choices: list[str], cutoff: float = 0.72):
-    """A UDF that gives the choice most like a word, of equally close ones the greater, or null."""
-
-    @F.pandas_udf(StringType())
-    def find(words: pd.Series) -> pd.Series:
-        return words.map(lambda w: None if w is None else next(iter(difflib.get_close_matches(w, choices, n=1, cutoff=cutoff)), None))
-
-    return find
+    whole = left.notna() & right.notna()
+    a, b = left[whole].tolist(), right[whole].tolist()
+    ends = np.cumsum([len(x) + len(y) for x, y in zip(a, b)])
+    found, start = [np.zeros(0)], 0
+    while start < len(a):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + TOGETHER, "right")))
+        found.append(block_ratios(a[start:stop], b[start:stop]))
+        start = stop
+    ratios = np.full(len(left), np.nan)
+    ratios[whole.to_numpy()] = np.concatenate(found)
+    return pd.Series(ratios)

@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from castline.functions import text as t
-from castline.functions.exact import closest, nfc, round_exact, short_number, similarity, title_case
-from castline.operators import aggregates, impact, intake, joins, matching, merge, production, scripts, sequence, timeline
+from castline.functions.exact import nfc, round_exact, short_number, similarity, title_case
+from castline.operators import aggregates, impact, intake, joins, matching, merge, nearest, production, scripts, sequence, timeline
 from castline.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -617,11 +617,46 @@ def exact_scalars(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", nfc(F.concat("p_name", accent)).alias("composed"), title_case("p_name").alias("title"), short_number("p_retailprice").alias("price"), round_exact(F.col("p_retailprice") / 7, F.lit(2)).alias("seventh"))
 
 
-@query()
+# The longest common block of a window of two words, the first one in the choice, then in the word; windows left and right of it follow.
+_BEST = """list_max(flatten(list_transform(range({a0}, {a1}), lambda i: list_transform(range({b0}, {b1}), lambda j:
+        {{'k': coalesce(list_max(list_filter(range(1, least({a1} - i, {b1} - j) + 1), lambda k: substr(choice, i + 1, k) = substr(word, j + 1, k))), 0), 'i': -i, 'j': -j}}))))"""
+_NEAREST = f"""met AS (SELECT word, choice, length(choice) AS n, length(word) AS m FROM words, names WHERE word <> choice AND 2.0 * least(n, m) / (n + m) >= 0.72),
+    blocks AS (SELECT word, choice, 0::BIGINT AS a0, n::BIGINT AS a1, 0::BIGINT AS b0, m::BIGINT AS b1, {_BEST.format(a0=0, a1="n", b0=0, b1="m")} AS best FROM met
+        UNION ALL
+        SELECT word, choice, c0, c1, d0, d1, {_BEST.format(a0="c0", a1="c1", b0="d0", b1="d1")} FROM (
+            SELECT word, choice, unnest([a0, best.k - best.i]) AS c0, unnest([-best.i, a1]) AS c1, unnest([b0, best.k - best.j]) AS d0, unnest([-best.j, b1]) AS d1
+            FROM blocks WHERE best.k > 0) WHERE c0 < c1 AND d0 < d1),
+    near AS (SELECT word, choice, 2.0 * sum(best.k) / (length(word) + length(choice)) AS ratio FROM blocks GROUP BY word, choice
+        UNION ALL SELECT word, choice, 1.0 FROM words JOIN names ON word = choice),
+    nearest AS (SELECT word, max(struct_pack(ratio := ratio, choice := choice)) AS best FROM near WHERE ratio >= 0.72 GROUP BY word)"""
+
+
+@query(f"""WITH RECURSIVE words AS (SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents)),
+    names AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS choice FROM part), {_NEAREST}
+    SELECT word, best.choice AS choice, best.ratio AS ratio FROM nearest""")
 def nearest_names(spark, sf_dir):
-    """The nearest of a few names to those of parts."""
-    near = closest(["small ring", "large bolt", "red gear"])
-    return read(spark, sf_dir, "part").select("p_partkey", near("p_name").alias("near"))
+    """The word of a part's name that each word of the documents is most like."""
+    words = read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("word"))
+    names = read(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("choice"))
+    return nearest.nearest(words, names, "word", "choice")
+
+
+@query(f"""WITH RECURSIVE said AS (SELECT conv_id, CAST(turn + 1 AS BIGINT) AS line_no, regexp_extract_all(text, '([a-zA-Z]+)\\.', 1) AS tags FROM conversations),
+    tags AS (SELECT conv_id, line_no, unnest(tags) AS text, generate_subscripts(tags, 1) AS nth FROM said),
+    names AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS choice FROM part),
+    aliases AS (SELECT lower(regexp_extract(text, '[a-zA-Z]+')) AS name, 'ring' AS suggestion FROM benchmark GROUP BY 1),
+    named AS (SELECT t.*, lower(t.text) AS name, a.suggestion AS alias FROM tags t LEFT JOIN aliases a ON a.name = lower(t.text) WHERE lower(t.text) NOT IN (SELECT choice FROM names)),
+    words AS (SELECT DISTINCT name AS word FROM named WHERE alias IS NULL), {_NEAREST}
+    SELECT conv_id, name, arg_min(text, line_no * 100000 + nth) AS text, any_value(coalesce(alias, best.choice)) AS suggestion, array_to_string(list(line_no ORDER BY line_no), ',') AS lines
+    FROM named LEFT JOIN nearest ON word = name WHERE coalesce(alias, best.choice) IS NOT NULL GROUP BY conv_id, name""")
+def near_miss_tags(spark, sf_dir):
+    """The last words of sentences as tags of turns: those nearly like words of parts' names, or first words of benchmark passages, which stand for one of these."""
+    raw = F.regexp_replace("text", r"([a-zA-Z]+)\.", "[$1]")
+    lines = read(spark, sf_dir, "conversations").select("conv_id", (F.col("turn") + 1).cast("long").alias("line_no"), raw.alias("raw"))
+    names = read(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("name")).distinct()
+    aliases = read(spark, sf_dir, "benchmark").select(F.lower(F.regexp_extract("text", "[a-zA-Z]+", 0)).alias("name")).distinct().withColumn("suggestion", F.lit("ring"))
+    found = nearest.near_misses(lines, names, aliases, ["conv_id"])
+    return found.withColumn("lines", F.array_join("lines", ","))
 
 
 # Production
