@@ -17,7 +17,7 @@ import random
 import re
 from collections import Counter
 from collections.abc import Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +32,11 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 PATTERNS = (("assign", re.compile(ASSIGN, re.IGNORECASE | re.ASCII), 2, 6), ("access", re.compile(ACCESS), 0, 20), ("hex", re.compile(HEX), 0, 24))
 KINDS = ("assign", "access", "hex", "crf")
-NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
+HEX_LETTERS = set("0123456789abcdef")
+#: Letters of tokens whose own words are features.
+SHORT = 12
+named = re.compile("password|passwd|secret|token|api_?key").search
+named_alike = re.compile("password|passwd|secret|token|key|auth|pwd|credential").search
 
 #: Words with the signs that keys consist of, and the signs that assign.
 tokens_in = re.compile(r"[\w+/.-]+(?:={1,2}(?![\w+/.-]))?|[=:]")
@@ -45,11 +49,13 @@ TAGS = 3
 #: Places of a token's features relative to the token that they speak for.
 AROUND = (0, -2, -1, 1)
 
-#: The training sample: texts with and without spans, windows of each text, tokens on each side of a window's middle.
-TRAIN_TEXTS, WINDOWS, REACH = 2000, 2, 6
+#: The training sample: texts with and without spans, windows of each text (and one more of a text without), tokens on each side of a window's middle.
+TRAIN_TEXTS, WINDOWS, REACH = 1000, 2, 6
 #: Features that are learned at most, the most frequent ones, and how often they have to occur.
 FEATURES, LEAST = 20_000, 3
-STEPS, RATE, DECAY = 120, 0.1, 1e-3
+STEPS, RATE, DECAY = 80, 0.1, 1e-3
+#: By how much a tag has to be better than outside: the sample holds secrets far oftener than texts do.
+CAUTION = 2.0
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, int]]:
@@ -72,6 +78,27 @@ def token_spans(text: str) -> list[tuple[int, int]]:
     return [m.span() for start, end in cuts(text) for m in tokens_in.finditer(text, start, end)]
 
 
+def plain_word(bare: str) -> tuple[str, int, bool] | None:
+    """Case, length and whether it is ASCII of a word of letters in one case, which tell all of its shape; None for other tokens."""
+    if not bare.isalpha():
+        return None
+    case = "low" if bare.islower() else "title" if bare.istitle() else "up" if bare.isupper() else None
+    return case and (case, min(len(bare), 64), bare.isascii())
+
+
+def band(size: int) -> int:
+    return min(size.bit_length(), 8) if size < 20 else 8 + min(size // 8, 8)
+
+
+def plain_features(case: str, size: int, ascii_only: bool) -> list[str]:
+    return [f"plain {case} {band(size)}", f"plain {size // 4}", f"plain {case}", f"ascii {ascii_only}"]
+
+
+def word_features(lower: str) -> list[str]:
+    """The word itself and whether it names a secret, of a short token."""
+    return [f"word {lower}", f"names {named_alike(lower) is not None}"] if len(lower) <= SHORT else []
+
+
 def shape_features(token: str) -> list[str]:
     """What a token looks like, in a few words; its own word is among them where it is short."""
     bare = token.strip("._-/=+")
@@ -79,23 +106,21 @@ def shape_features(token: str) -> list[str]:
     if not size:
         return [f"sign {token[:2]}"]
     lower = bare.lower()
+    if plain := plain_word(bare):
+        return plain_features(*plain) + word_features(lower)
     letters, digits = sum(map(str.isalpha, bare)), sum(map(str.isdigit, bare))
     other = size - letters - digits
     turns = sum(a.isdigit() != b.isdigit() for a, b in zip(bare, bare[1:]))
     cases = "up" if bare.isupper() else "low" if bare.islower() else "title" if bare.istitle() else "mixed" if letters else "none"
-    band = min(size.bit_length(), 8) if size < 20 else 8 + min(size // 8, 8)
     mix = ("letters" if letters else "") + (" digits" if digits else "") + (" signs" if other else "")
-    features = [f"mix {mix}", f"size {band}", f"mix and size {mix} {band}", f"case {cases} {bool(digits)}", f"turns {min(turns, 12) // 2}"]
+    features = [f"mix {mix}", f"size {band(size)}", f"mix and size {mix} {band(size)}", f"case {cases} {bool(digits)}", f"turns {min(turns, 12) // 2}"]
     if size >= 8:
         counts = Counter(bare)
         spread = -sum(n / size * math.log2(n / size) for n in counts.values())
-        features += [f"spread {int(2 * spread)} {mix}", f"hex {set(lower) <= set('0123456789abcdef')} {band}", f"ascii {bare.isascii()}", f"doubled {max(counts.values()) * 3 > size}"]
+        features += [f"spread {int(2 * spread)} {mix}", f"hex {set(lower) <= HEX_LETTERS} {band(size)}", f"ascii {bare.isascii()}", f"doubled {max(counts.values()) * 3 > size}"]
         if other:
             features.append("signs " + "".join(sorted({c for c in bare if not c.isalnum()}))[:3])
-    if size <= 12:
-        features.append(f"word {lower}")
-        features.append(f"names {any(name in lower for name in (*NAMES, 'key', 'auth', 'pwd', 'credential'))}")
-    return features
+    return features + word_features(lower)
 
 
 def text_features(text: str) -> list[str]:
@@ -115,18 +140,29 @@ class Field:
     own: dict[str, np.ndarray]
     facts: dict[str, np.ndarray]
     steps: np.ndarray
+    plain: dict[tuple[str, int, bool], np.ndarray] = field(default_factory=dict)
 
     def token_rows(self, token: str) -> np.ndarray:
         """What a token says of itself and of those around it: one row of tags for each place of AROUND."""
-        rows = np.zeros((len(AROUND), TAGS))
-        for feature in shape_features(token):
+        bare = token.strip("._-/=+")
+        plain = plain_word(bare)
+        if plain is None:
+            return self.summed(shape_features(token))
+        rows = self.plain.get(plain)
+        if rows is None:
+            rows = self.plain[plain] = self.summed(plain_features(*plain))
+        for feature in word_features(bare.lower()):
             known = self.own.get(feature)
             if known is not None:
-                rows += known
+                rows = rows + known
         return rows
 
+    def summed(self, features: list[str]) -> np.ndarray:
+        return sum((self.own[f] for f in features if f in self.own), np.zeros((len(AROUND), TAGS)))
+
     def fact_row(self, text: str) -> np.ndarray:
-        return sum((self.facts[f] for f in text_features(text) if f in self.facts), np.zeros(TAGS))
+        """What a whole text says of each of its tokens, and the lead that outside has anyway."""
+        return sum((self.facts[f] for f in text_features(text) if f in self.facts), np.eye(TAGS)[OUTSIDE] * CAUTION)
 
     def lead(self) -> np.ndarray:
         """By how much OUTSIDE has to lead a tag at a token so that every best path is outside there.
@@ -152,40 +188,41 @@ def viterbi(scores: np.ndarray, steps: np.ndarray, before: int | None = None, af
     return tags[::-1]
 
 
+class Numbers(dict):
+    """The numbers of tokens, and what they say, for those met since it was emptied."""
+
+    LONG, NAMED = 1, 2
+
+    def __init__(self, field: Field | None):
+        super().__init__()
+        self.field, self.letters = field, 0
+        self.rows, self.marks = np.zeros((1024, len(AROUND), TAGS)), np.zeros(1024, np.int8)
+
+    def __missing__(self, token: str) -> int:
+        found = self[token] = len(self)
+        if found == len(self.rows):
+            self.rows, self.marks = np.concatenate([self.rows, np.zeros_like(self.rows)]), np.concatenate([self.marks, np.zeros_like(self.marks)])
+        if self.field:
+            self.rows[found] = self.field.token_rows(token)
+        lower = token.lower()
+        self.marks[found] = (self.LONG if len(token) >= 20 else 0) | (self.NAMED if named(lower) else 0)
+        self.letters += len(token)
+        return found
+
+
 class Tagger:
     """Decodes texts; what tokens say is kept for a bounded number of them."""
 
     MOST, MOST_LETTERS, SLICE = 200_000, 8 << 20, 1 << 18
-    LONG, NAMED = 1, 2
 
     def __init__(self, field: Field | None):
         self.field = field
         self.lead = field.lead() if field else None
-        self.clear()
-
-    def clear(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.rows = np.zeros((1024, len(AROUND), TAGS))
-        self.marks = np.zeros(1024, np.int8)
-        self.letters = 0
-
-    def number(self, token: str) -> int:
-        found = self.numbers.get(token)
-        if found is None:
-            found = self.numbers[token] = len(self.numbers)
-            if found == len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                self.marks = np.concatenate([self.marks, np.zeros_like(self.marks)])
-            if self.field:
-                self.rows[found] = self.field.token_rows(token)
-            lower = token.lower()
-            self.marks[found] = (self.LONG if len(token) >= 20 else 0) | (self.NAMED if any(name in lower for name in NAMES) else 0)
-            self.letters += len(token)
-        return found
+        self.numbers = Numbers(field)
 
     def tags(self, codes: np.ndarray, facts: np.ndarray) -> dict[int, int]:
         """The tags of the tokens that are not outside, by place."""
-        rows, found = self.rows, {}
+        rows, found = self.numbers.rows, {}
         spoken: list[tuple[int, np.ndarray]] = []
         for start in range(0, len(codes), self.SLICE):
             stop = min(start + self.SLICE, len(codes))
@@ -208,11 +245,11 @@ class Tagger:
 
     def spans(self, text: str) -> list[tuple[str, int, int]]:
         """All spans of a text: the patterns' and those that the field adds."""
-        if len(self.numbers) > self.MOST or self.letters > self.MOST_LETTERS:
-            self.clear()
-        number = self.number
+        if len(self.numbers) > self.MOST or self.numbers.letters > self.MOST_LETTERS:
+            self.numbers = Numbers(self.field)
+        number = self.numbers.__getitem__
         codes = np.concatenate([np.fromiter(map(number, tokens_in.findall(text, *cut)), np.int32) for cut in cuts(text)]) if text else np.zeros(0, np.int32)
-        marks = int(np.bitwise_or.reduce(self.marks[codes])) if len(codes) else 0
+        marks = int(np.bitwise_or.reduce(self.numbers.marks[codes])) if len(codes) else 0
         # All signs of a match but those about an assigned value lie in one token.
         base = base_spans(text) if marks else []
         tags = self.tags(codes, self.field.fact_row(text)) if self.field and len(codes) else {}
@@ -264,16 +301,20 @@ def windows(text: str, rng: random.Random) -> list[tuple[list[str], list[int]]]:
                 inside = True
     if not middles:
         odd = [at for at, (a, b) in enumerate(places) if b - a >= 12 or any(c.isdigit() for c in text[a:b])]
-        middles = [rng.choice(odd)] if odd else []
-        middles.append(rng.randrange(len(places)))
+        middles = [*rng.sample(odd, min(WINDOWS, len(odd))), rng.randrange(len(places))]
+    else:
+        middles = rng.sample(middles, min(WINDOWS, len(middles)))
     found = []
-    for middle in rng.sample(middles, min(WINDOWS, len(middles))):
+    for middle in middles:
         low, high = max(0, middle - REACH), middle + REACH + 1
         found.append(([text[a:b] for a, b in places[low:high]], tags[low:high]))
     return found
 
 
 ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
+OTHER_HEX_LETTERS = set("0123456789abcdef")
+#: Letters of tokens whose own words are features.
+SHORT = 12
 OTHER_NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey", "key", "auth", "credential", "pwd")
 
 
@@ -285,7 +326,7 @@ def varied(tokens: list[str], tags: list[int], rng: random.Random) -> list[str]:
             letters = rng.choice(ALPHABETS)
             tokens[at] = "".join(rng.choice(letters) for _ in range(rng.randint(16, 48)))
             for before in (at - 1, at - 2):
-                if before >= 0 and any(name in tokens[before].lower() for name in NAMES):
+                if before >= 0 and named(tokens[before].lower()):
                     tokens[before] = rng.choice(OTHER_NAMES)
     return tokens
 
@@ -307,9 +348,12 @@ def training_windows(documents: DataFrame, seed: int = 5) -> list[tuple[list[str
             yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(columns, kinds)], names=["draw", "tokens", "tags", "facts"])
 
     texts = documents.select(draw.alias("draw"), "text").where("text IS NOT NULL")
-    likely = F.expr(r"text RLIKE '(?i)(password|passwd|secret|token|api_?key)[\"\']? *[:=]|AKIA[A-Z0-9]{16}|[0-9a-f]{24}'")
+    # Cheap tests first: most texts hold no name of a secret.
+    names = " OR ".join(f"contains(lower(text), '{name}')" for name in ("passw", "secret", "token", "apikey", "api_key"))
+    assigned = r"text RLIKE '(?i)(password|passwd|secret|token|api_?key)[\"\']? *[:=]'"
+    likely = F.expr(f"(({names}) AND {assigned}) OR (contains(text, 'AKIA') AND text RLIKE 'AKIA[A-Z0-9]{{16}}') OR text RLIKE '[0-9a-f]{{24}}'")
     kind = "draw long, tokens array<string>, tags array<int>, facts array<string>"
-    held = lambda rows: rows.mapInArrow(cut, kind).distinct().orderBy("draw", F.xxhash64("tokens")).limit(TRAIN_TEXTS * WINDOWS).collect()
+    held = lambda rows: rows.mapInArrow(cut, kind).distinct().orderBy("draw", F.xxhash64("tokens")).limit(TRAIN_TEXTS * (WINDOWS + 1)).collect()
     share = lambda count: int((1 << 30) * min(1.0, 2.0 * TRAIN_TEXTS / max(count, 1)))
     speaking = texts.where(likely).agg(F.approx_count_distinct("draw")).first()[0]
     spoken = [r for r in held(texts.where((F.col("draw") <= share(speaking)) & likely)) if set(r["tags"]) != {OUTSIDE}]
@@ -326,42 +370,46 @@ def learn(sample: list[tuple[list[str], list[int], list[str]]]) -> Field | None:
     if not sample:
         return None
     length = max(len(tokens) for tokens, _, _ in sample)
-    shaped = [[shape_features(t) for t in tokens] for tokens, _, _ in sample]
-    known = Counter(f for rows in shaped for row in rows for f in row)
+    words = sorted({t for tokens, _, _ in sample for t in tokens})
+    shaped = {t: shape_features(t) for t in words}
+    known = Counter(f for tokens, _, _ in sample for t in tokens for f in shaped[t])
     own = {f: i for i, (f, n) in enumerate(sorted(known.items(), key=lambda x: (-x[1], x[0]))[:FEATURES]) if n >= LEAST}
-    known_facts = {f: i for i, f in enumerate(sorted({f for _, _, facts in sample for f in facts}))}
-    # Flat lists: of which token (window and place), of which weight.
-    where, which = [], []
-    facts_where, facts_which = [], []
-    tags, alive = np.full((len(sample), length), OUTSIDE), np.zeros((len(sample), length), bool)
-    for i, ((_, own_tags, facts), rows) in enumerate(zip(sample, shaped)):
-        tags[i, : len(rows)], alive[i, : len(rows)] = own_tags, True
-        for at, row in enumerate(rows):
-            for nth, shift in enumerate(AROUND):
-                if 0 <= at - shift < len(rows):
-                    numbers = [own[f] * len(AROUND) + nth for f in row if f in own]
-                    which += numbers
-                    where += [i * length + at - shift] * len(numbers)
-            facts_which += [known_facts[f] for f in facts]
-            facts_where += [i * length + at] * len(facts)
-    where, which, facts_where, facts_which = (np.array(x, np.int64) for x in (where, which, facts_where, facts_which))
-    n_own, cells = len(own) * len(AROUND), len(sample) * length
-    weights = np.zeros((n_own + len(known_facts) + TAGS, TAGS))
-    where, which = np.concatenate([where, facts_where]), np.concatenate([which, n_own + facts_which])
-    spread = lambda rows, at, size: np.stack([np.bincount(at, rows[:, k], size) for k in range(TAGS)], axis=1)
-    first, second = np.zeros_like(weights), np.zeros_like(weights)
+    facts = {f: i for i, f in enumerate(sorted({f for _, _, facts in sample for f in facts}))}
+    # Which features a word has and which facts a window; which word stands where, the number after the last for none.
+    of_word, feature = (np.array(x, np.int64) for x in zip(*[(i, own[f]) for i, t in enumerate(words) for f in shaped[t] if f in own]))
+    of_window, fact = (np.array(x, np.int64) for x in zip(*[(i, facts[f]) for i, (_, _, told) in enumerate(sample) for f in told]))
+    number = {t: i for i, t in enumerate(words)}
+    at = np.full((len(sample), length + 2 * REACH), len(words))
+    tags = np.full((len(sample), length), OUTSIDE)
+    for i, (tokens, own_tags, _) in enumerate(sample):
+        at[i, REACH : REACH + len(tokens)], tags[i, : len(tokens)] = [number[t] for t in tokens], own_tags
+    around = [at[:, REACH + shift : REACH + shift + length].ravel() for shift in AROUND]
+    alive = at[:, REACH : REACH + length] < len(words)
+    cells, wide = alive.size, len(AROUND) * TAGS
+    summed = lambda rows, to, size: np.stack([np.bincount(to, row, size) for row in rows.T], axis=1)
     truth = np.eye(TAGS)[tags] * alive[..., None]
     both = alive[:, :-1] & alive[:, 1:]
     seen_steps = np.einsum("nta,ntb->ab", truth[:, :-1] * both[..., None], truth[:, 1:])
+    # One row of weights for each feature, then the rows of facts and of steps, filled up.
+    weights = np.zeros((len(own) + len(facts) + TAGS, wide))
+    first, second = np.zeros_like(weights), np.zeros_like(weights)
+    n, m = len(own), len(own) + len(facts)
     for step in range(1, STEPS + 1):
-        scores = spread(weights[which], where, cells).reshape(len(sample), length, TAGS)
-        steps = weights[-TAGS:]
-        at_tag, at_step = marginals(scores, steps, alive)
-        gradient = np.vstack([spread((at_tag - truth).reshape(cells, TAGS)[where], which, len(weights) - TAGS), at_step - seen_steps]) / len(sample) + DECAY * weights
+        spoken = np.vstack([summed(weights[feature], of_word, len(words)), np.zeros((1, wide))])
+        scores = sum(spoken[place, TAGS * nth : TAGS * (nth + 1)] for nth, place in enumerate(around)).reshape(len(sample), length, TAGS)
+        scores = scores + summed(weights[n + fact, :TAGS], of_window, len(sample))[:, None]
+        at_tag, at_step = marginals(scores, weights[m:, :TAGS], alive)
+        off = (at_tag - truth).reshape(cells, TAGS)
+        of_words = np.hstack([summed(off, place, len(words) + 1) for place in around])[:-1]
+        gradient = np.zeros_like(weights)
+        gradient[:n] = summed(of_words[of_word], feature, n)
+        gradient[n:m, :TAGS] = summed((at_tag - truth).sum(axis=1)[of_window], fact, len(facts))
+        gradient[m:, :TAGS] = at_step - seen_steps
+        gradient = gradient / len(sample) + DECAY * weights
         first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
         weights = weights - RATE * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    around = weights[:n_own].reshape(len(own), len(AROUND), TAGS)
-    return Field({f: around[i] for f, i in own.items()}, {f: weights[n_own + i] for f, i in known_facts.items()}, weights[-TAGS:].copy())
+    rows = weights[:n].reshape(n, len(AROUND), TAGS)
+    return Field({f: rows[i] for f, i in own.items()}, {f: weights[n + i, :TAGS] for f, i in facts.items()}, weights[m:, :TAGS].copy())
 
 
 def marginals(scores: np.ndarray, steps: np.ndarray, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -219,7 +219,7 @@ def test_decoding_equals_plain_viterbi(monkeypatch):
                 if 0 <= at + shift < len(tokens):
                     scores[at] += field.token_rows(tokens[at + shift])[nth]
         tagger = Tagger(field)
-        codes = np.array([tagger.number(t) for t in secret_tags.tokens_in.findall(text)])
+        codes = np.array([tagger.numbers[t] for t in secret_tags.tokens_in.findall(text)])
         assert len(codes) == len(tokens)
         found = tagger.tags(codes, field.fact_row(text))
         assert [found.get(i, OUTSIDE) for i in range(len(tokens))] == viterbi(scores, field.steps)
