@@ -1,122 +1,129 @@
-"""Facts about sound files and archives, read in the tasks that hold their bytes."""
+"""Sound files and archives: catalogues from headers alone, and samples in blocks that tasks read apart."""
 
 from __future__ import annotations
 
-import io
 import re
-import wave
-import zipfile
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-WAV = "path string, rate long, channels long, width long, frames long, seconds double, rms long, peak long, error string"
-MP3 = "path string, size long, seconds double, kbps long, rate long, error string"
-# Kilobits a second and samples a second by the codes in an MPEG frame's header, for version 1 and for versions 2 and 2.5, layer III.
-KBPS = {1: (32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320), 2: (8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160)}
-RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
-#: Bytes of a file in which the first frame is looked for.
-HEAD = 1 << 20
-MEMBERS = "path string, member string, size long, crc long"
-
-
-def wav_facts(spark: SparkSession, path: str) -> DataFrame:
-    """Rate, channels, length, RMS (cut to a whole number) and peak of 16-bit WAV files; what cannot be read has an error."""
-
-    def facts(name: str, content: bytes) -> tuple:
-        try:
-            with wave.open(io.BytesIO(content), "rb") as file:
-                rate, channels, width, frames = file.getframerate(), file.getnchannels(), file.getsampwidth(), file.getnframes()
-                samples = np.frombuffer(file.readframes(frames), "<i2").astype(np.int64) if width == 2 else np.zeros(0, np.int64)
-        except (wave.Error, EOFError) as error:
-            return name, None, None, None, None, None, None, None, type(error).__name__
-        rms, peak = (int(np.sqrt(np.mean(samples**2))), int(np.abs(samples).max())) if len(samples) else (None, None)
-        return name, rate, channels, width, frames, frames / rate, rms, peak, None
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([facts(p, c) for p, c in zip(batch["path"], batch["content"])], columns=[c.split()[0] for c in WAV.split(", ")]).astype({c: "Int64" for c in ("rate", "channels", "width", "frames", "rms", "peak")})
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(run, WAV)
-
-
-def mp3_frame(data: bytes, at: int) -> tuple[int, int, int, int, int] | None:
-    """Bytes, bits a second, samples a second, samples and place of a table of contents of the frame there; None if there is none."""
-    if len(data) < at + 4 or data[at] != 0xFF or data[at + 1] & 0xE6 != 0xE2:
-        return None
-    version, code, rate_code, pad = data[at + 1] >> 3 & 3, data[at + 2] >> 4, data[at + 2] >> 2 & 3, data[at + 2] >> 1 & 1
-    if version == 1 or rate_code == 3 or not 0 < code < 15:
-        return None
-    first, mono = version == 3, data[at + 3] >> 6 == 3
-    kbps, rate = KBPS[1 if first else 2][code - 1], RATES[version][rate_code]
-    samples = 1152 if first else 576
-    beyond = 4 + ((17 if mono else 32) if first else (9 if mono else 17))
-    return samples // 8 * 1000 * kbps // rate + pad, 1000 * kbps, rate, samples, at + beyond
-
-
-def mp3_length(data: bytes, size: int) -> tuple[float, int, int]:
-    """Seconds, bits a second and samples a second of an MP3 file, from its first frames: by their table of contents, or else by the size of the file."""
-    start = 10 + (data[6] << 21 | data[7] << 14 | data[8] << 7 | data[9]) if data[:3] == b"ID3" and len(data) > 9 else 0
-    for at in range(start, max(start, len(data) - 3)):
-        frame = mp3_frame(data, at)
-        # Two frames have to follow each other, unless the first one ends the file.
-        if frame is None or (mp3_frame(data, at + frame[0]) is None and at + frame[0] != size):
-            continue
-        _, bits, rate, samples, table = frame
-        frames = total = 0
-        if data[table : table + 4] in (b"Xing", b"Info"):
-            flags, after = int.from_bytes(data[table + 4 : table + 8]), table + 8
-            if flags & 1:
-                frames, after = int.from_bytes(data[after : after + 4]), after + 4
-            total = int.from_bytes(data[after : after + 4]) if flags & 2 else 0
-        elif data[at + 36 : at + 40] == b"VBRI":
-            total, frames = int.from_bytes(data[at + 46 : at + 50]), int.from_bytes(data[at + 50 : at + 54])
-        if frames:
-            seconds = frames * samples / rate
-            return seconds, round(8 * total / seconds) if total else bits, rate
-        return 8 * (size - at) / bits, bits, rate
-    raise ValueError("no frame")
-
-
-def mp3_facts(spark: SparkSession, path: str) -> DataFrame:
-    """Size, seconds, kilobits and samples a second of MP3 files, whatever the case of their ending; what has no frame has an error."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for name, size, head in zip(batch["path"], batch["length"], batch["head"]):
-                try:
-                    seconds, bits, rate = mp3_length(head, size)
-                    rows.append((name, size, seconds, bits // 1000, rate, None))
-                except ValueError as error:
-                    rows.append((name, size, None, None, None, str(error)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in MP3.split(", ")]).astype({"kbps": "Int64", "rate": "Int64"})
+from castline.functions.text import base_name
+from castline.sources.ranged import file_facts
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.[mM][pP]3").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", F.substring("content", 1, HEAD).alias("head")).mapInPandas(run, MP3)
+#: Sound that is read at once, and what does not count as sound.
+CHUNK_MS, SILENCE_DB = 500, -96.0
+#: Frames of a block of samples, and blocks or chunks that one task reads in a row.
+FRAMES, IN_A_ROW = 1 << 18, 64
 
 
 def sound_library(spark: SparkSession, path: str) -> DataFrame:
-    """The MP3 files of a library: path, filename, show (the folder below ``path``, empty for files right there), size, seconds to one decimal, kbps."""
-    inside = F.regexp_extract("path", rf"^(?:file:)?/*{re.escape(path.strip('/'))}/(.*)$", 1)
+    """The MP3 files of a library: path, filename, show (the folder below ``path``, empty for files right there), size, seconds to one decimal, kbps; what has no frame has an error."""
+    inside = F.regexp_extract("path", rf"^(?:\w+:)?/*{re.escape(path.split('://')[-1].removeprefix('file:').strip('/'))}/(.*)$", 1)
     show = F.when(F.instr(inside, "/") > 0, F.substring_index(inside, "/", 1)).otherwise("")
-    return mp3_facts(spark, path).select("path", F.substring_index("path", "/", -1).alias("filename"), show.alias("show"), "size", F.bround("seconds", 1).alias("seconds"), "kbps")
+    return file_facts(spark, path, "mp3").select("path", base_name(F.col("path")).alias("filename"), show.alias("show"), "size", F.bround("seconds", 1).alias("seconds"), "kbps", "error")
 
 
 def archive_members(spark: SparkSession, path: str) -> DataFrame:
-    """The members of ZIP files, without unpacking them."""
+    """(path, member, size, crc, error) of the members of ZIP files, read from their directories alone; a broken archive has one row with an error."""
+    return file_facts(spark, path, "zip").select("path", "member", F.col("member_size").alias("size"), "crc", "error")
+
+
+def decoded(data: bytes, width: int) -> np.ndarray:
+    """Samples of one to four bytes as whole numbers; those of one byte are stored without a sign, those of three count as four with a last byte of zero."""
+    if width == 1:
+        return np.frombuffer(data, np.uint8).astype(np.int64) - 128
+    if width == 3:
+        wide = np.zeros((len(data) // 3, 4), np.uint8)
+        wide[:, 1:] = np.frombuffer(data, np.uint8).reshape(-1, 3)
+        return wide.view("<i4").ravel().astype(np.int64)
+    return np.frombuffer(data, f"<i{width}").astype(np.int64)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def read_ranges(rows: DataFrame) -> DataFrame:
+    """``rows`` (path, at, bytes, ..) with ``data``: the bytes of the file from a place on; each task seeks."""
+
+    def run(batches):
+        for batch in batches:
+            names, opened, file = batch.schema.names, None, None
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                path, at, n = (row.column(names.index(c))[0].as_py() for c in ("path", "at", "bytes"))
+                if path != opened:
+                    system, place = fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
+                    opened, file = path, system.open_input_file(place)
+                file.seek(at)
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([file.read(n)], pa.binary())], names=[*names, "data"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("data", BinaryType())]))
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows of files dealt out over tasks, in runs of some parts of a file each."""
+    return rows.repartition("path", F.floor(F.col("part") / IN_A_ROW))
+
+
+def sound_blocks(spark: SparkSession, path: str, frames: int = FRAMES) -> DataFrame:
+    """The samples of the WAV files below a path in blocks of so many frames: path, rate, channels, width, part, data (as stored).
+
+    Headers are read first; each block is then read by the task that it is dealt to, so a long recording is many tasks' work.
+    Files that cannot be read have no blocks; ``file_facts`` tells why.
+    """
+    facts = file_facts(spark, path, "wav").where("frames > 0")
+    parts = facts.select("path", "rate", "channels", "width", "frames", "data_at", F.explode(F.sequence(F.lit(0), F.floor((F.col("frames") - 1) / frames))).alias("part"))
+    frame = F.col("channels") * F.col("width")
+    placed = parts.withColumns({"at": F.col("data_at") + F.col("part") * frames * frame, "bytes": F.least(F.lit(frames), F.col("frames") - F.col("part") * frames) * frame})
+    return read_ranges(dealt(placed)).select("path", "rate", "channels", "width", "part", "data")
+
+
+def sound_chunks(spark: SparkSession, path: str, chunk_ms: int = CHUNK_MS) -> DataFrame:
+    """One row for each chunk of the WAV files below a path: path, rate, part, samples, squares (their sum, exact), peak, full_scale.
+
+    Samples of all channels count alike, in one to four bytes.
+    """
+    facts = file_facts(spark, path, "wav").where("frames > 0")
+    begin = lambda part: F.floor(part * chunk_ms * F.col("rate") / 1000)
+    last = F.floor(F.ceil(F.col("frames") * 1000 / F.col("rate") / chunk_ms)) - 1
+    parts = facts.select("path", "rate", "channels", "width", "frames", "data_at", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(last, F.lit(0).cast("long")))).alias("part"))
+    frame, start = F.col("channels") * F.col("width"), begin(F.col("part"))
+    end = F.least(begin(F.col("part") + 1), F.col("frames"))
+    placed = parts.withColumns({"at": F.col("data_at") + start * frame, "bytes": (end - start) * frame}).where("bytes > 0")
+
+    def run(batches):
         for batch in batches:
             rows = []
-            for name, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    rows += [(name, m.filename, m.file_size, m.CRC) for m in archive.infolist() if not m.is_dir()]
-            yield pd.DataFrame(rows, columns=["path", "member", "size", "crc"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "content").mapInPandas(run, MEMBERS)
+            for data, width in zip(batch.column(2), batch.column(3).to_pylist()):
+                x = decoded(data.as_py(), width)
+                high, low = x >> 16, x & 0xFFFF
+                squares = (int((high * high).sum()) << 32) + (int((high * low).sum()) << 17) + int((low * low).sum())
+                rows.append((len(x), str(squares), int(np.abs(x).max()), 1 << (8 * (4 if width == 3 else width) - 1)))
+            columns = [pa.array(c) for c in zip(*rows)] if rows else [pa.array([], k) for k in (pa.int64(), pa.string(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(4), *columns], names=["path", "rate", "part", "samples", "squares", "peak", "full_scale"])
+
+    read = read_ranges(dealt(placed)).select("path", "rate", "data", "width", "part")
+    found = read.mapInArrow(run, "path string, rate long, part long, samples long, squares string, peak long, full_scale long")
+    return found.withColumn("squares", F.col("squares").cast("decimal(38,0)"))
+
+
+def decibels(level: Column, full_scale: Column) -> Column:
+    """A level relative to the full scale; minus infinity for silence."""
+    return F.when(level > 0, 20 * F.log10(level / full_scale)).otherwise(float("-inf"))
+
+
+def root_mean_square(squares: Column, samples: Column) -> Column:
+    """Cut to a whole number."""
+    return F.floor(F.sqrt(squares.cast("double") / samples))
+
+
+def loudness_profiles(spark: SparkSession, path: str, chunk_ms: int = CHUNK_MS) -> DataFrame:
+    """Of each WAV file below a path: rms, peak, peak_db, mean_db, and quietest_db, the quietest chunk that is no silence (minus infinity without any)."""
+    level = decibels(root_mean_square(F.col("squares"), F.col("samples")), F.col("full_scale"))
+    chunks = sound_chunks(spark, path, chunk_ms).withColumn("level", level)
+    whole = chunks.groupBy("path").agg(
+        F.sum("squares").alias("squares"), F.sum("samples").alias("samples"), F.max("peak").alias("peak"), F.first("full_scale").alias("full_scale"), F.min(F.when(F.col("level") > SILENCE_DB, F.col("level"))).alias("quietest")
+    )
+    rms = root_mean_square(F.col("squares"), F.col("samples"))
+    return whole.select("path", rms.alias("rms"), "peak", decibels(F.col("peak"), F.col("full_scale")).alias("peak_db"), decibels(rms, F.col("full_scale")).alias("mean_db"), F.coalesce("quietest", F.lit(float("-inf"))).alias("quietest_db"))
