@@ -86,8 +86,13 @@ def usable() -> Column:
 
 
 def classes(vectors: DataFrame) -> DataFrame:
-    """Equal vectors of a label as one class: rep (smallest id), copies, and the vector."""
-    return vectors.where(usable()).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
+    """Equal vectors of a label as one class: rep, copies, label and the vector.
+
+    An id may recur with other vectors or labels, so a class is told by its smallest id and a hash
+    of label and vector; classes are in the order of their ids.
+    """
+    found = vectors.where(usable()).groupBy("label", "embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
+    return found.select("label", "embedding", F.struct("id", F.xxhash64("label", "embedding").alias("key")).alias("rep"), "copies")
 
 
 def near_pairs(reps: DataFrame, cosine: float) -> DataFrame:
@@ -155,8 +160,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     Only vectors of equal, non-null labels are compared; those that are null, zero or hold null
     or non-finite components link with nothing, nor do rows without an id. Copies are one class
     in the search and count as links of each other. Repeated ids come back as often as they went
-    in, and those that share an id share its links; an empty table gives no rows; other columns
-    are not read.
+    in: each row has the links of its own vector among those of its own label. An empty table
+    gives no rows; other columns are not read.
     """
     vectors = vectors.select("vec_id", "embedding", "label")
     reps = stored(classes(vectors), "classes")
@@ -167,7 +172,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
     found = (
         reps.join(around, reps["rep"] == around["a"], "left")
         .join(components(pairs), F.col("rep") == F.col("node"), "left")
-        .select("label", "embedding", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        .select("label", "embedding", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep")["id"].alias("component_id"))
     )
     own = vectors.where(usable()).join(found, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     rest = vectors.where(~usable()).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -100,6 +100,16 @@ def test_embeddings_equal_brute_force(spark):
     assert near_duplicates(vectors.limit(0)).count() == 0
 
 
+def test_embeddings_whose_ids_recur(spark):
+    v, u = [1.0, 0.0, 0.0, 0.1], [0.0, 1.0, 0.5, 0.0]
+    near = [1.0, 0.01, 0.0, 0.1]
+    rows = [(1, v, 1), (2, near, 1), (1, u, 2), (3, u, 1), (3, v, 1), (3, near, 2)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = near_duplicates(vectors).collect()
+    # v, near and the copy of v under another id are one group; no other two of a label are alike.
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(1, 0, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True), (3, 0, 3, True), (3, 2, 1, False)]
+
+
 def pairs_at(rng, n, width, mean, low=0.98, high=0.985):
     """Vectors about a common mean of the given norm, every second one at a cosine of ``low`` to ``high`` from the one before."""
     centre = np.zeros(width)

@@ -241,6 +241,18 @@ def test_lines_of_long_texts_and_clashing_columns(spark):
     assert got[1].doc_key == "z" and got[1].n_lines == 15_001
 
 
+def test_lines_beside_columns_of_any_name(spark):
+    names = ["_line_drop", "_line_doc_key", "_line_doc_id", "_line_key", "row", "drop", "id", "key", "of_id", "of_key", "doc_key", "lines", "n_dropped", "a.b"]
+    line = "one passage of many words that stands in several documents and is long enough to be told by its exact words alone " * 3
+    rows = [(i, f"own {i}\n{line}", *[f"{n} {i}" for n in names]) for i in range(3)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    got = sorted(line_templates.drop_repeated_lines(docs).collect(), key=lambda r: r.doc_id)
+    assert [r.text for r in got] == [rows[0][1], "own 1", "own 2"] and [r.n_dropped for r in got] == [0, 1, 1]
+    for r in got:
+        assert all(r[n] == f"{n} {r.doc_id}" for n in names if n != "n_dropped")
+    assert line_templates.drop_repeated_lines(docs).columns == [c for c in docs.columns if c != "n_dropped"] + ["n_lines", "n_dropped"]
+
+
 def test_lines_of_odd_rows(spark):
     line = "the same line in many documents"
     docs = frame(spark, [(None, line, None), (1, line, None), (1, line, None), (2, line + "\nown words", None)])
