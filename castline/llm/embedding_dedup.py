@@ -23,10 +23,12 @@ PART = BITS // TABLES
 #: Vectors on which the rotation is learned, chosen by the hash of their ids.
 SAMPLE = 20_000
 ROUNDS = 40
-#: Trial pairs at the threshold, made from the sample, on which the width of the probes is measured, and the share that has to meet.
-TRIALS, MEET = 4000, 0.97
-#: Bits by which parts may differ at most to meet: six let nearly all pairs meet up to a common mean of 0.98, where most vectors are near each other anyway.
-WIDEST = 6
+#: Trial pairs at the threshold, made from the sample, and sample vectors that are compared with each other: of the pairs of either kind the share that has to meet.
+TRIALS, COMPARED, MEET = 4000, 1500, 0.97
+#: Pairs of sample vectors above the threshold that tell something.
+TELLING = 30
+#: Bits by which parts may differ at most to meet. More than five are taken only where a common mean of about 0.985 or more makes most vectors near each other.
+WIDEST = 8
 
 
 def learn_rotation(sample: np.ndarray, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
@@ -61,8 +63,8 @@ def probe_width(unit: np.ndarray, mean: np.ndarray, projection: np.ndarray, cosi
     """How many bits of a part, and of a whole code, pairs at the threshold differ in.
 
     Trial pairs are sample vectors and what lies at the cosine from them, in the direction of the
-    difference of two others. The first figure lets ``MEET`` of them meet in a table, the second
-    is their largest difference.
+    difference of two others; beside them stand the pairs of sample vectors that reach the cosine.
+    The first figure lets ``MEET`` of either meet in a table, the second is their largest difference.
     """
     rng = np.random.default_rng(seed)
     x, to, off = (unit[rng.integers(0, len(unit), TRIALS)] for _ in range(3))
@@ -70,12 +72,19 @@ def probe_width(unit: np.ndarray, mean: np.ndarray, projection: np.ndarray, cosi
     way -= (way * x).sum(axis=1, keepdims=True) * x
     size = np.linalg.norm(way, axis=1)
     x, way = x[size > 1e-9], way[size > 1e-9] / size[size > 1e-9, None]
-    if not len(x):
-        return 1, BITS
-    differ = signs(x, mean, projection) != signs(cosine * x + np.sqrt(max(0.0, 1 - cosine**2)) * way, mean, projection)
-    least = differ.reshape(len(x), TABLES, PART).sum(axis=2).min(axis=1)
-    width = next((w for w in range(1, WIDEST) if (least <= w).mean() >= MEET), WIDEST)
-    return width, int(differ.sum(axis=1).max())
+    found = [(x, cosine * x + np.sqrt(max(0.0, 1 - cosine**2)) * way)] if len(x) else []
+    some = unit[rng.permutation(len(unit))[:COMPARED]]
+    a, b = np.nonzero(np.triu(some @ some.T >= cosine, 1))
+    if len(a) >= TELLING:
+        picked = rng.permutation(len(a))[:TRIALS]
+        found.append((some[a[picked]], some[b[picked]]))
+    width, near = 1, BITS if not found else 0
+    for left, right in found:
+        differ = signs(left, mean, projection) != signs(right, mean, projection)
+        least = differ.reshape(len(left), TABLES, PART).sum(axis=2).min(axis=1)
+        width = max(width, next((w for w in range(1, WIDEST) if (least <= w).mean() >= MEET), WIDEST))
+        near = max(near, int(differ.sum(axis=1).max()))
+    return width, near
 
 
 def usable() -> Column:

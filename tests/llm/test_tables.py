@@ -124,7 +124,7 @@ def pairs_at(rng, n, width, mean, low=0.98, high=0.985):
     return np.stack([own, cosine * own + np.sqrt(1 - cosine**2) * way], axis=1).reshape(2 * n, width)
 
 
-@pytest.mark.parametrize(("width", "mean"), [(64, 0.0), (64, 0.9), (128, 0.9), (64, 0.95)])
+@pytest.mark.parametrize(("width", "mean"), [(64, 0.0), (64, 0.9), (128, 0.9), (64, 0.95), (64, 0.985)])
 def test_embedding_recall_with_a_common_mean(spark, width, mean):
     vectors = pairs_at(np.random.default_rng(7), 1500, width, mean)
     near = vectors @ vectors.T >= 0.98
