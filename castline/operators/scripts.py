@@ -73,10 +73,10 @@ def cast_block(lines: DataFrame, by: str = "doc") -> DataFrame:
 
 
 def script_lines(scripts: DataFrame) -> DataFrame:
-    """The lines of scripts (doc, value) that are read: doc, line_no, raw, line, slug of the show, and the name in a line of the CAST block.
+    """The lines of scripts (doc, value) that are read: doc, line_no, raw, line, slug of the show, and the names of the CAST block.
 
-    Texts are composed, escapes, heading and bold marks go. The header line is left out, and so is
-    what comes before the end of the CAST block, but for the names there.
+    Texts are composed, escapes, heading and bold marks go. Blank lines and the header line are left
+    out, and so is what comes before the end of the CAST block.
     """
     raw = scripts.where("value IS NOT NULL").select("doc", F.posexplode(F.split(t.strip_escapes(nfc("value")), "\n")).alias("at", "raw"))
     rows = raw.select("doc", (F.col("at") + 1).cast("long").alias("line_no"), t.strip_formatting(F.col("raw")).alias("raw")).withColumn("line", strip(F.col("raw")))
@@ -89,32 +89,40 @@ def script_lines(scripts: DataFrame) -> DataFrame:
     ends = F.col("_cast") & (line != "CAST:") & (line != "") & ~line.startswith("*")
     rows = rows.withColumn("_end", F.min(F.when(ends, line_no)).over(whole))
     named = F.col("_cast") & line.startswith("*") & (F.col("_end").isNull() | (line_no < F.col("_end")))
-    display = strip(F.regexp_extract(strip(F.substring("line", 2, 1_000_000)), r"(?U)^(.*?)(?:\s*[—–]\s*.*)?$", 1))
-    return rows.withColumn("name", F.when(named, t.nonblank(display))).withColumn("read", line_no >= F.coalesce("_end", "_start")).where("read OR name IS NOT NULL").drop("_top", "_start", "_cast", "_end")
+    display = t.nonblank(strip(F.regexp_extract(strip(F.substring("line", 2, 1_000_000)), r"(?U)^(.*?)(?:\s*[—–]\s*.*)?$", 1)))
+    # The names of a CAST block, a few, go with every line of its script.
+    key = t.display_to_key(display)
+    names = F.collect_list(F.when(named & (key != ""), F.struct(display.alias("display"), key.alias("key"), F.col("line_no").alias("at")))).over(whole)
+    rows = rows.withColumn("names", names).withColumn("read", line_no >= F.coalesce("_end", "_start"))
+    return rows.where("read AND line != ''").drop("_top", "_start", "_cast", "_end", "read")
 
 
-def speakers_of(lines: DataFrame, known: Sequence[tuple[str, str]]) -> DataFrame:
-    """(doc, line_no, key, after) for lines that start with a name: the longest one, followed by a space, a parenthesis or the end.
+def with_speakers(lines: DataFrame, known: Sequence[tuple[str, str]]) -> DataFrame:
+    """Lines with the name that they start with, key and what comes after it: the longest one, followed by a space, a parenthesis or the end.
 
-    Names meet lines by their first word. Of equal names the known ones go before those of the CAST
-    block; names with spaces may be written with underscores as well.
+    Known names meet lines by their first word, in a table as small as the caller's list; the names
+    of a script's CAST block are those that its lines carry. Of names of one key in a block the
+    first counts. Of equal names the known ones go before those of the block; names with spaces
+    may be written with underscores as well.
     """
-    spark = lines.sparkSession
     lead = lambda c: F.regexp_extract(c, r"^[^ (]*", 0)
     underscored = [(d.replace(" ", "_"), k) for d, k in known if " " in d]
-    fixed = spark.createDataFrame([(d, k, rank, at) for rank, names in ((1, known), (2, underscored)) for at, (d, k) in enumerate(names)], "display string, key string, rank int, at long")
-    own = lines.where("name IS NOT NULL").withColumn("key", t.display_to_key(F.col("name"))).where("key != ''").groupBy("doc", "key").agg(F.min_by("name", "line_no").alias("display"), F.min("line_no").alias("at"))
-    own = own.select("doc", "display", "key", F.lit(0).alias("rank"), "at")
-    own = own.unionByName(own.where(F.col("display").contains(" ")).withColumns({"display": F.replace("display", F.lit(" "), F.lit("_")), "rank": F.lit(2)}))
-    said = lines.where("read AND line != ''").select("doc", "line_no", "line", lead(F.col("line")).alias("_lead"))
-    after = F.substring(F.col("line"), F.length("display") + 1, F.length("line"))
-    fits = F.col("line").startswith(F.col("display")) & (after.rlike("^[ (]") | (after == ""))
-    columns = ["doc", "line_no", "display", "key", "rank", "at", after.alias("after")]
-    # The known names are a list of the caller's, so their table is as small as that.
-    met = said.join(F.broadcast(fixed.withColumn("_lead", lead(F.col("display")))), "_lead").where(fits).select(*columns)
-    met = met.unionByName(said.join(own.withColumn("_lead", lead(F.col("display"))), ["doc", "_lead"]).where(fits).select(*columns))
-    best = met.groupBy("doc", "line_no").agg(F.max_by(F.struct("key", "after"), F.struct(F.length("display"), "rank", "at")).alias("best"))
-    return best.select("doc", "line_no", "best.*")
+    rows = [(d, k, rank, at) for rank, names in ((1, known), (2, underscored)) for at, (d, k) in enumerate(names)]
+    fixed = lines.sparkSession.createDataFrame(rows, "display string, key string, rank int, at long")
+    fixed = fixed.groupBy(lead(F.col("display")).alias("_lead")).agg(F.collect_list(F.struct("display", "key", "rank", "at")).alias("_known"))
+    line = F.col("line")
+    after = lambda name: F.substring(line, F.length(name) + 1, F.length(line))
+    fits = lambda name: line.startswith(name) & (after(name).rlike("^[ (]") | (line == name))
+    told = lambda name, n, rank: F.struct(F.length(name).alias("length"), rank.cast("int").alias("rank"), n["at"].cast("long").alias("at"), n["key"].alias("key"), after(name).alias("after"))
+    plain, joined = lambda n: n["display"], lambda n: F.replace(n["display"], F.lit(" "), F.lit("_"))
+    first = lambda n: ~F.exists("names", lambda m: (m["key"] == n["key"]) & (m["at"] < n["at"]))
+    own = lambda shown, rank, more: F.transform(F.filter("names", lambda n: fits(shown(n)) & more(n) & first(n)), lambda n: told(shown(n), n, F.lit(rank)))
+    of_known = F.transform(F.filter("_known", lambda n: fits(n["display"])), lambda n: told(n["display"], n, n["rank"]))
+    of_block = F.when(F.size("names") > 0, F.concat(own(plain, 0, lambda n: F.lit(True)), own(joined, 2, lambda n: n["display"].contains(" "))))
+    none = F.array().cast("array<struct<length: int, rank: int, at: bigint, key: string, after: string>>")
+    met = lines.withColumn("_lead", lead(line)).join(F.broadcast(fixed), "_lead", "left")
+    best = F.array_max(F.concat(F.coalesce(of_known, none), F.coalesce(of_block, none)))
+    return met.withColumn("_best", best).withColumns({"key": F.col("_best.key"), "after": F.col("_best.after")}).drop("_lead", "_known", "_best", "names")
 
 
 def classified(lines: DataFrame, known: Sequence[tuple[str, str]], sections: dict[str, str]) -> DataFrame:
@@ -123,7 +131,7 @@ def classified(lines: DataFrame, known: Sequence[tuple[str, str]], sections: dic
     Lines after the end of the episode, or from the notes on, are left out.
     """
     line = F.col("line")
-    rows = lines.where("read AND line != ''").join(speakers_of(lines, known), ["doc", "line_no"], "left")
+    rows = with_speakers(lines, known)
     rest = F.regexp_replace("after", r"(?U)^\s+", "")
     noted = rest.rlike(r"^\([^)]*\)")
     rows = rows.withColumns(
@@ -141,16 +149,16 @@ def classified(lines: DataFrame, known: Sequence[tuple[str, str]], sections: dic
         .when(F.col("aside"), "other").otherwise("plain")
     )
     rows = rows.withColumn("kind", kind).withColumn("takes", ~F.col("aside") & ~F.col("is_cue"))
-    # Among the lines that can be taken: runs of names, and every second one in them.
-    taking = Window.partitionBy("doc", "takes").orderBy("line_no")
+    # Among the lines that can be taken every second one of a run of names waits. All windows have one order, so the lines are sorted once.
+    order = Window.partitionBy("doc").orderBy("line_no")
+    so_far, before = order.rowsBetween(*UP_TO_NOW), order.rowsBetween(Window.unboundedPreceding, -1)
     is_name = (F.col("kind") == "name") & F.col("takes")
-    rows = rows.withColumn("_name", is_name).withColumn("_new", is_name & ~F.coalesce(F.lag("_name").over(taking), F.lit(False)))
-    rows = rows.withColumn("_run", F.count_if("_new").over(taking.rowsBetween(*UP_TO_NOW)))
-    in_run = Window.partitionBy("doc", "takes", "_run").orderBy("line_no")
-    rows = rows.withColumn("_waits", is_name & (F.row_number().over(in_run) % 2 == 1))
-    rows = rows.withColumn("kind", F.when(F.col("takes") & F.coalesce(F.lag("_waits").over(taking), F.lit(False)), "taken").otherwise(F.col("kind")))
-    so_far = Window.partitionBy("doc").orderBy("line_no").rowsBetween(*UP_TO_NOW)
-    rows = rows.where("line != ''").withColumn("_stopped", F.bool_or(F.col("kind") == "stop").over(so_far)).where("NOT _stopped")
+    rows = rows.withColumn("_names", F.count_if(is_name).over(so_far))
+    rows = rows.withColumn("_others", F.coalesce(F.max(F.when(F.col("takes") & ~is_name, F.col("_names"))).over(so_far), F.lit(0)))
+    rows = rows.withColumn("_waits", is_name & ((F.col("_names") - F.col("_others")) % 2 == 1))
+    waited = F.last(F.when(F.col("takes"), F.col("_waits")), ignorenulls=True).over(before)
+    rows = rows.withColumn("kind", F.when(F.col("takes") & F.coalesce(waited, F.lit(False)), "taken").otherwise(F.col("kind")))
+    rows = rows.withColumn("_stopped", F.bool_or(F.col("kind") == "stop").over(so_far)).where("NOT _stopped")
     # A text that was waited for has the speaker of the last name, and its note or that of the last aside since.
     name = F.last(F.when(F.col("kind") == "name", F.struct("line_no", "key", "note")), ignorenulls=True).over(so_far)
     aside = F.last(F.when(F.col("aside") & (F.col("kind") != "taken"), F.struct("line_no", F.expr("substring(line, 2, length(line) - 2)").alias("note"))), ignorenulls=True).over(so_far)
