@@ -69,14 +69,15 @@ def audit(records: DataFrame, dialogue: DataFrame, on: Sequence[str], logged: st
     return joined.withColumn("delta", delta).withColumn("status", F.when(F.col(actual).isNull(), "unmatched").when(delta > threshold, "mismatch").otherwise("ok"))
 
 
-def stale_stems(stems: DataFrame, entries: DataFrame) -> DataFrame:
-    """Stems (path, base, seq) that disagree with the entries (seq, type, section, scene, speaker), with the reason.
+def stale_stems(stems: DataFrame, entries: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Stems (by, path, base, seq) that disagree with the entries (by, seq, type, section, scene, speaker), with the reason.
 
-    A stem is stale if its seq is gone or a header now; if several stems share a seq, all but the
+    ``by`` tells episodes apart: stems of two of them may have equal numbers. A stem is stale if its seq is gone or a header now; if several stems share a seq, all but the
     one with the expected name; if its ending contradicts the entry's type or speaker.
     """
-    side = entries.select("seq", F.col("type").alias("entry_type"), "section", "scene", "speaker")
-    rows = stems.where("seq IS NOT NULL").withColumn("same", F.count("*").over(Window.partitionBy("seq"))).join(side, "seq", "left")
+    keys = [*by, "seq"]
+    side = entries.select(*keys, F.col("type").alias("entry_type"), "section", "scene", "speaker")
+    rows = stems.where("seq IS NOT NULL").withColumn("same", F.count("*").over(Window.partitionBy(*keys))).join(side, keys, "left")
     expected = stem_name(F.col("seq"), F.col("section"), F.col("scene"), F.col("speaker"), F.col("entry_type"))
     is_sound = F.substring_index("base", "_", -1) == "sfx"
     seq = F.concat(F.lit("seq "), F.col("seq").cast("string"))
@@ -91,7 +92,7 @@ def stale_stems(stems: DataFrame, entries: DataFrame) -> DataFrame:
         .when(~is_sound & (F.col("entry_type") == "direction"), F.concat(seq, F.lit(" is now a direction entry")))
         .when(spoken & ~F.col("base").endswith(F.concat(F.lit("_"), text("speaker"))), F.concat(seq, F.lit(" speaker is now "), text("speaker")))
     )
-    return rows.withColumn("reason", reason).where("reason IS NOT NULL").select("path", "seq", "reason")
+    return rows.withColumn("reason", reason).where("reason IS NOT NULL").select(*by, "path", "seq", "reason")
 
 
 def reconcile(dialogue: DataFrame, manifest: DataFrame, present: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -118,3 +118,21 @@ def first_of(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str])
     if all(isinstance(c, str) for c in order):
         return rows.groupBy(*by).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_first")).select("_first.*")
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_rank = 1").drop("_rank")
+
+
+def numbered(rows: DataFrame, coarse: Sequence[Column], order: Sequence[Column | str], name: str) -> DataFrame:
+    """All rows numbered from 1 in one order, without bringing them into one task.
+
+    ``coarse`` are what the order goes by first, made rough (a flag, the first letters of a name):
+    rows are numbered within each of these values, and what is before it is a running sum over one
+    row for each value. So they should be few enough for one task, and many enough to deal out the rows.
+    """
+    keys = [f"_coarse_{i}" for i in range(len(coarse))]
+    keyed = rows.withColumns(dict(zip(keys, coarse)))
+    sizes = keyed.groupBy(*keys).count()
+    # Null values are values as well, and come first, as they do in an ascending order.
+    running = Window.orderBy(*[F.asc_nulls_first(k) for k in keys]).rowsBetween(*BEFORE)
+    before = sizes.select(*[F.col(k).alias(f"{k}_") for k in keys], F.coalesce(F.sum("count").over(running), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    met = keyed.withColumn("_own", own).join(before, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys])
+    return met.select(*rows.columns, (F.col("_own") + F.col("_before")).alias(name))

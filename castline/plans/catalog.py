@@ -201,9 +201,10 @@ def audit_delta(spark, sf_dir):
     return joins.audit(rows.select("doc_id", "lang", F.col("n_chars").cast("long").alias("logged")), actual, ["doc_id", "lang"], "logged", "actual")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 100000)")
 def new_keys_anti(spark, sf_dir):
-    return read(spark, sf_dir, "customer").join(read(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
+    """Customers without a large order in progress."""
+    return read(spark, sf_dir, "customer").join(read(spark, sf_dir, "orders").where("o_orderstatus = 'P' AND o_totalprice > 100000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
@@ -225,7 +226,7 @@ def stale_audit(spark, sf_dir):
     who = F.when(F.col("l_returnflag") == "R", "sfx").otherwise(F.lower("l_returnflag"))
     # Two short columns are made distinct; names are put together for what is left.
     kinds = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag").distinct()
-    stems = kinds.select(F.concat(F.format_string("%03d", "l_orderkey"), F.lit("_main_"), who).alias("base")).withColumn("path", F.concat("base", F.lit(".mp3"))).withColumn("seq", t.stem_seq(F.col("path")))
+    stems = kinds.select(F.concat(F.format_string("%03d", "l_orderkey"), F.lit("_main_"), who).alias("base"), F.col("l_orderkey").alias("seq")).withColumn("path", F.concat("base", F.lit(".mp3")))
     kind = F.when(F.col("o_orderstatus") == "O", "dialogue").when(F.col("o_orderstatus") == "P", "direction").otherwise("scene_header")
     speaker = F.when(F.col("o_custkey") % 2 == 0, "a").otherwise("n")
     entries = read(spark, sf_dir, "orders").where("o_orderkey % 7 <> 0").select(F.col("o_orderkey").alias("seq"), kind.alias("type"), F.lit("main").alias("section"), F.lit(None).cast("string").alias("scene"), speaker.alias("speaker"))
@@ -844,16 +845,17 @@ def suggested_names(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", intake.suggested_name(t.script_header(F.expr(_HEADER))).alias("file_name"))
 
 
-@query("""SELECT c_custkey, c_name, CAST(row_number() OVER (ORDER BY c_acctbal > 5000 DESC, lower(c_name), c_custkey) AS INTEGER) AS place, regexp_matches(c_name, '^[A-Za-z0-9_-]+$') AS safe,
-    replace(replace(c_name, '#', '<#>'), '<#>', '&lt;#&gt;') AS shown FROM customer WHERE c_nationkey = 3""")
+@query("""SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_acctbal > 5000 DESC, lower(c_name), c_custkey) AS place, regexp_matches(c_name, '^[A-Za-z0-9_-]+$') AS safe,
+    replace(replace(c_name, '#', '<#>'), '<#>', '&lt;#&gt;') AS shown FROM customer""")
 def marked_order(spark, sf_dir):
-    rows = read(spark, sf_dir, "customer").where("c_nationkey = 3")
-    place = F.row_number().over(Window.orderBy(*intake.marked_first(F.col("c_acctbal") > 5000, "c_name"), "c_custkey"))
-    return rows.select("c_custkey", "c_name", place.alias("place"), intake.is_identifier(F.col("c_name")).alias("safe"), intake.html_text(F.replace("c_name", F.lit("#"), F.lit("<#>"))).alias("shown"))
+    """All customers numbered: those with much on their account first, then by name."""
+    flag, name = F.coalesce(F.col("c_acctbal") > 5000, F.lit(False)), F.lower(F.coalesce("c_name", F.lit("")))
+    rows = sequence.numbered(read(spark, sf_dir, "customer"), [~flag, F.substring(name, 1, 16)], [*intake.marked_first(F.col("c_acctbal") > 5000, "c_name"), "c_custkey"], "place")
+    return rows.select("c_custkey", "c_name", "place", intake.is_identifier(F.col("c_name")).alias("safe"), intake.html_text(F.replace("c_name", F.lit("#"), F.lit("<#>"))).alias("shown"))
 
 
-@query("""SELECT printf('%.3f', l_quantity) || chr(9) || printf('%.3f', l_quantity + l_tax) || chr(9) || l_linestatus AS value FROM lineitem WHERE l_returnflag = 'R'""")
+@query("""SELECT printf('%.3f', l_quantity) || chr(9) || printf('%.3f', l_quantity + l_tax) || chr(9) || l_linestatus AS value FROM lineitem""")
 def label_track(spark, sf_dir):
-    rows = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    rows = read(spark, sf_dir, "lineitem")
     return intake.label_lines(timeline.layer(rows, "cues", F.col("l_quantity"), F.col("l_quantity") + F.col("l_tax"), F.col("l_linestatus")))
 
