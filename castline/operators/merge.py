@@ -29,6 +29,17 @@ def replay(journal: DataFrame, order: Sequence[str]) -> tuple[DataFrame, DataFra
     return last_values(cues, ["key", "field"], order, "value"), last_values(fields.where(is_default), ["field"], order, "value")
 
 
+def replay_rejects(journal: DataFrame, order: Sequence[str], effects: DataFrame) -> DataFrame:
+    """What a replay does not take over, or takes over for no known cue: order, key, field, reason.
+
+    Fields that an edit may not set on a cue, and edits of cues that ``effects`` (key) does not hold.
+    """
+    fields = journal.where("scope IS NULL OR scope != 'defaults'").where("key IS NOT NULL").select(*order, "key", F.explode("fields").alias("field", "value"))
+    known = effects.select("key", F.lit(True).alias("_known")).dropDuplicates(["key"])
+    reason = F.when(~F.col("field").isin(*CUE_FIELDS), "field that no edit sets").when(F.col("_known").isNull(), "cue that is not there")
+    return fields.join(known, "key", "left").withColumn("reason", reason).where("reason IS NOT NULL").select(*order, "key", "field", "reason")
+
+
 def apply_replay(effects: DataFrame, edits: DataFrame) -> DataFrame:
     """Effects (key, fields map) with edits laid over: set, cleared, or a new orphan cue, which is flagged."""
     pairs = F.map_from_entries(F.collect_list(F.struct("field", "value")))

@@ -16,6 +16,7 @@ from castline.functions import text as t
 from castline.functions.exact import nfc
 from castline.functions.text import is_caps_candidate, is_stage_direction, strip
 from castline.operators.sequence import UP_TO_NOW, fill_sections
+from castline.sources.rejects import Split, split
 
 # Section headers that every show may use, and their slugs.
 SECTIONS = {
@@ -177,25 +178,27 @@ def directions_of(line: Column, slug: Column) -> Column:
     return F.transform(found, lambda h: entry("direction", h["clean"], direction_type=t.direction_type(h["clean"]), sfx_source=h["source"], sfx_overrides=h["overrides"]))
 
 
+#: Why a line is no entry.
+BEFORE_ANYONE, UNKNOWN_CUE, NO_TEXT = "text before any speaker", "cue of no known kind", "name without a text"
+
+
 def entry(kind: str, value: Column, **more: Column) -> Column:
     none = {name: F.lit(None).cast("string") for name in ("speaker", "direction", "direction_type", "sfx_source")}
     none["sfx_overrides"] = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
     return F.struct(F.lit(kind).alias("type"), value.alias("text"), *[c.alias(name) for name, c in (none | more).items()])
 
 
-def parse_scripts(scripts: DataFrame, known: Sequence[tuple[str, str]] = (), kind: str | None = None, sections: dict[str, str] | None = None) -> DataFrame:
-    """Entries of scripts (doc, value): doc, seq, type, section, scene, speaker, direction, text, direction_type, sfx_source, sfx_overrides, line_no.
-
-    ``doc`` names one script. ``known`` are speakers (display, key) of the show, ``kind`` is that of
-    the project, which tells what headers its sections have, ``sections`` are more of them.
-
-    Null scripts give no rows; neither do lines that no rule takes.
-    """
+def read_lines(scripts: DataFrame, known: Sequence[tuple[str, str]] = (), kind: str | None = None, sections: dict[str, str] | None = None) -> DataFrame:
+    """The classified lines of scripts with section, scene, and the event that each belongs to; 0 before the first one."""
     rows = classified(script_lines(scripts), list(known), sections_of(kind, sections))
     scene = F.when(F.col("kind") == "scene", F.concat(F.lit("scene-"), t.scene_number(F.col("line"))))
     rows = fill_sections(rows, ["doc"], ["line_no"], F.when(F.col("kind") == "section", F.col("section_slug")), scene)
     run = Window.partitionBy("doc").orderBy("line_no").rowsBetween(*UP_TO_NOW)
-    rows = rows.withColumn("event", F.count_if(~F.col("kind").isin("plain", "other")).over(run)).where("event > 0 AND kind != 'other'")
+    return rows.withColumn("event", F.count_if(~F.col("kind").isin("plain", "other")).over(run))
+
+
+def entries_of(rows: DataFrame) -> DataFrame:
+    """The entries of read lines that belong to an event."""
     # Plain lines go on with what was said before them.
     parts = F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.when(F.col("kind") == "plain", F.col("line")).otherwise(F.col("words")).alias("words")))), lambda p: p["words"])
     first = F.min_by(F.struct("kind", "section", "scene", "speaker", "note", "line", "slug"), "line_no").alias("e")
@@ -214,6 +217,40 @@ def parse_scripts(scripts: DataFrame, known: Sequence[tuple[str, str]] = (), kin
     )
 
 
+def parse_scripts(scripts: DataFrame, known: Sequence[tuple[str, str]] = (), kind: str | None = None, sections: dict[str, str] | None = None) -> DataFrame:
+    """Entries of scripts (doc, value): doc, seq, type, section, scene, speaker, direction, text, direction_type, sfx_source, sfx_overrides, line_no.
+
+    ``doc`` names one script. ``known`` are speakers (display, key) of the show, ``kind`` is that of
+    the project, which tells what headers its sections have, ``sections`` are more of them.
+
+    Null scripts give no rows; neither do lines that no rule takes (``parse_with_rejects`` gives those as well).
+    """
+    return entries_of(read_lines(scripts, known, kind, sections).where("event > 0 AND kind != 'other'"))
+
+
+def parse_with_rejects(scripts: DataFrame, folder: str, known: Sequence[tuple[str, str]] = (), kind: str | None = None, sections: dict[str, str] | None = None) -> tuple[DataFrame, Split]:
+    """The entries of scripts, and what became of their lines: the rejects (doc, line_no, line, reason) and their numbers.
+
+    Scripts are read once; their lines are stored in ``folder`` on the way. Rejected are lines before
+    anyone speaks, cues in brackets of no known kind, and names that wait for a text in vain. Dividers
+    and asides are no entries by rule and are neither kept nor rejected.
+    """
+    rows = read_lines(scripts, known, kind, sections)
+    spoken = Window.partitionBy("doc", "event")
+    rows = rows.withColumn("_cues", F.when(F.col("kind") == "cue", F.size(directions_of(F.col("line"), F.col("slug")))).otherwise(1))
+    later = F.lead("kind").over(Window.partitionBy("doc").orderBy("line_no"))
+    waits_in_vain = (F.col("kind") == "name") & (F.coalesce(later, F.lit("stop")) != "taken") & (F.count("*").over(spoken) == 1)
+    reason = (
+        F.when((F.col("kind") == "plain") & (F.col("event") == 0), BEFORE_ANYONE)
+        .when((F.col("kind") == "cue") & (F.col("_cues") == 0), UNKNOWN_CUE)
+        .when(waits_in_vain, NO_TEXT)
+    )
+    told = rows.withColumn("reason", reason).where("reason IS NOT NULL OR (event > 0 AND kind != 'other')").drop("_cues")
+    both = split(told, folder, (BEFORE_ANYONE, UNKNOWN_CUE, NO_TEXT))
+    # Rejected names and cues are events without entries, so the others are counted as ever.
+    return entries_of(both.kept), Split(both.kept, both.rejects.select("doc", "line_no", "line", "reason"), both.counts)
+
+
 def regenerate(entries: DataFrame, display: dict[str, str], by: str = "doc") -> DataFrame:
     """Scripts of entries, one text for each document: what parsing it again gives the same entries."""
     shown = F.create_map(*[F.lit(x) for pair in display.items() for x in pair]) if display else None

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from castline.functions.text import base_name, head, nonblank, stem_seq
+from castline.sources.rejects import Split, split
 
 ENTRY = (
     "struct<seq: bigint, type: string, section: string, scene: string, speaker: string, direction: string, text: string,"
@@ -111,15 +112,31 @@ def speakers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SPEAKER).option("multiLine", "true").json(path)
 
 
+#: Why a line of a journal is no record.
+NO_JSON, NO_FIELDS, NO_KEY = "no JSON object", "no fields", "no key, seq or scope"
+
+
+def tagged_journal(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of edit journals that are not blank: file, name, line_no, raw, the record, and the reason why it is none."""
+    lines = script_lines(spark, path).where(F.trim("raw") != "")
+    parsed = lines.withColumn("record", F.from_json("raw", JOURNAL, {"mode": "PERMISSIVE"}))
+    keyed = F.col("record.key").isNotNull() | F.col("record.seq").isNotNull() | F.coalesce(F.col("record.scope") == "defaults", F.lit(False))
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("raw")).startswith("OBJECT"), F.lit(False))
+    return parsed.withColumn("reason", F.when(F.col("record.fields").isNotNull() & keyed, None).when(~is_object, NO_JSON).when(F.col("record.fields").isNull(), NO_FIELDS).otherwise(NO_KEY))
+
+
 def journal(spark: SparkSession, path: str) -> DataFrame:
-    """Edit journals: file, line_no and the record's columns; malformed lines are left out.
+    """Edit journals: file, line_no and the record's columns; malformed lines are left out (``journal_with_rejects`` has them).
 
     Null fields stay in the map: they clear what was set before.
     """
-    lines = script_lines(spark, path).where(F.trim("raw") != "")
-    parsed = lines.withColumn("record", F.from_json("raw", JOURNAL, {"mode": "PERMISSIVE"}))
-    fine = F.col("record.fields").isNotNull() & (F.col("record.key").isNotNull() | F.col("record.seq").isNotNull() | (F.col("record.scope") == "defaults"))
-    return parsed.where(fine).select("file", "name", "line_no", "record.*")
+    return tagged_journal(spark, path).where("reason IS NULL").select("file", "name", "line_no", "record.*")
+
+
+def journal_with_rejects(spark: SparkSession, path: str, folder: str) -> Split:
+    """The records of edit journals, and the lines that are none (file, line_no, raw, reason), from one scan."""
+    both = split(tagged_journal(spark, path), folder, (NO_JSON, NO_FIELDS, NO_KEY))
+    return Split(both.kept.select("file", "name", "line_no", "record.*"), both.rejects.select("file", "line_no", "raw", "reason"), both.counts)
 
 
 def csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
