@@ -98,6 +98,30 @@ def mixdown(mixes: DataFrame, placements: DataFrame, sounds: DataFrame, frames:
     return rows.select("mix", "block", "at", "n", "gain", "data").mapInArrow(add, f"mix {mix_type}, block long, data binary")
 
 
+def blocks_of(samples: DataFrame, frames: int) -> DataFrame:
+    """The blocks (path, rate, part, data) of samples (path, rate, frame, sample) of one channel; each frame is there once, from 0 on."""
+    numbered = samples.withColumn("part", F.floor(F.col("frame") / frames))
+    ordered = F.array_sort(F.collect_list(F.struct("frame", "sample")))
+    # The low byte of a sample comes first.
+    digits = lambda x: F.lpad(F.hex(x["sample"].cast("long").bitwiseAND(F.lit(0xFFFF).cast("long"))), 4, "0")
+    packed = F.unhex(F.array_join(F.transform(ordered, lambda x: F.concat(F.substring(digits(x), 3, 2), F.substring(digits(x), 1, 2))), ""))
+    return numbered.groupBy("path", "part").agg(F.first("rate").alias("rate"), packed.alias("data")).select("path", "rate", "part", "data")
+
+
+def samples_of(blocks: DataFrame, key: str, part: str, frames: int) -> DataFrame:
+    """The samples (key, frame, sample) of blocks of one channel."""
+    key_type = blocks.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x = np.frombuffer(batch.column(2)[i].as_py(), "<i2").astype(np.int64)
+                own = batch.column(0).slice(i, 1).take(pa.array(np.zeros(len(x), np.int64)))
+                yield pa.RecordBatch.from_arrays([own, pa.array(batch.column(1)[i].as_py() * frames + np.arange(len(x))), pa.array(x)], names=[key, "frame", "sample"])
+
+    return blocks.select(key, F.col(part).cast("long").alias("part"), "data").mapInArrow(run, f"{key} {key_type}, frame long, sample long")
+
+
 def responses(x: np.ndarray, keep: float) -> np.ndarray:
     """y[i] = keep * y[i - 1] + x[i] from nothing on, for each row of x: ``STEP`` samples are one product with a triangle, then their ends are carried on."""
     rows, size = x.shape

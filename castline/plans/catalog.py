@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from castline.functions import text as t
 from castline.functions.exact import nfc, round_exact, short_number, similarity, title_case
-from castline.operators import aggregates, impact, intake, joins, matching, merge, nearest, production, scripts, sequence, timeline
+from castline.operators import aggregates, impact, intake, joins, matching, merge, mixing, nearest, production, scripts, sequence, timeline
 from castline.sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -859,3 +859,43 @@ def label_track(spark, sf_dir):
     rows = read(spark, sf_dir, "lineitem")
     return intake.label_lines(timeline.layer(rows, "cues", F.col("l_quantity"), F.col("l_quantity") + F.col("l_tax"), F.col("l_linestatus")))
 
+
+
+# Sound: the order lines of a supplier as the samples of a recording
+
+
+_SOUND = """sound AS (SELECT 's' || l_suppkey AS path, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey) - 1 AS frame, CAST(floor(l_extendedprice) AS BIGINT) % 60000 - 30000 AS sample FROM lineitem)"""
+
+
+def supplier_sounds(spark, sf_dir):
+    order = Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")
+    sample = F.floor("l_extendedprice").cast("long") % 60000 - 30000
+    rows = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), "l_suppkey").alias("path"), F.lit(8000).cast("long").alias("rate"), (F.row_number().over(order) - 1).cast("long").alias("frame"), sample.alias("sample"))
+    return mixing.blocks_of(rows, 256)
+
+
+@query(f"""WITH {_SOUND}, placed AS (SELECT p_size AS mix, p_partkey AS layer, 's' || p_partkey % 10 AS path, CAST(p_partkey % 700 - 40 AS BIGINT) AS start, CAST(p_partkey % 90 AS BIGINT) AS skip, CAST(p_partkey % 400 + 1 AS BIGINT) AS length, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey % 120 + 1 AS BIGINT) END AS period,
+        CASE WHEN p_partkey % 5 = 0 THEN -6.0 END AS gain FROM part),
+    heard AS (SELECT mix, layer, path, start + u.t AS frame, skip + u.t % coalesce(period, length) AS own, gain FROM (SELECT *, unnest(range(length)) AS t FROM placed) u WHERE start + u.t >= 0 AND start + u.t < 700),
+    laid AS (SELECT mix, h.frame, list(CASE WHEN gain IS NULL THEN sample ELSE CAST(floor(sample * pow(10.0, gain / 20)) AS BIGINT) END ORDER BY layer) AS samples FROM heard h JOIN sound s ON s.path = h.path AND s.frame = own GROUP BY mix, h.frame)
+    SELECT m.mix, m.frame, coalesce(list_reduce(list_prepend(CAST(0 AS BIGINT), samples), lambda a, b: greatest(-32768, least(32767, a + b))), 0) AS sample
+    FROM (SELECT DISTINCT p_size AS mix, unnest(range(700)) AS frame FROM part) m LEFT JOIN laid l ON l.mix = m.mix AND l.frame = m.frame""")
+def mixdown(spark, sf_dir):
+    """One mix for each size of parts: each part places a supplier's recording in it, cut, looped or damped."""
+    key, parts = F.col("p_partkey"), read(spark, sf_dir, "part")
+    whole = lambda c: c.cast("long")
+    placements = parts.select(
+        F.col("p_size").alias("mix"), key.alias("layer"), F.concat(F.lit("s"), key % 10).alias("path"), whole(key % 700 - 40).alias("start"), whole(key % 90).alias("skip"), whole(key % 400 + 1).alias("length"),
+        F.when(key % 3 == 0, whole(key % 120 + 1)).alias("period"), F.when(key % 5 == 0, -6.0).alias("gain"),
+    )
+    mixes = parts.select(F.col("p_size").alias("mix"), F.lit(700).cast("long").alias("length")).distinct()
+    return mixing.samples_of(mixing.mixdown(mixes, placements, supplier_sounds(spark, sf_dir), 256), "mix", "block", 256)
+
+
+@query(f"""WITH RECURSIVE {_SOUND}, a AS (SELECT (1 / 8000::DOUBLE) / (1 / (500.0::DOUBLE * 2 * pi()) + 1 / 8000::DOUBLE) AS alpha),
+    x AS (SELECT path, frame, sample::DOUBLE AS x FROM sound),
+    y AS (SELECT path, frame, x AS last FROM x WHERE frame = 0 UNION ALL SELECT x.path, x.frame, y.last + alpha * (x.x - y.last) FROM y JOIN x ON x.path = y.path AND x.frame = y.frame + 1, a)
+    SELECT path, frame, CAST(trunc(last) AS BIGINT) AS sample FROM y""")
+def low_pass(spark, sf_dir):
+    """Every supplier's recording behind a low pass of 500 hertz."""
+    return mixing.samples_of(mixing.one_pole(supplier_sounds(spark, sf_dir), 500.0, "low"), "path", "part", 256)
