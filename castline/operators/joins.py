@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from castline.functions.exact import round_exact, similarity
 from castline.functions.text import effect_slug, spoken_text, stem_name, strip, text
+from castline.operators.timeline import span_marker
 
 
 def annotate(rows: DataFrame, dim: DataFrame, applies: Column, key: str, dim_key: str, columns: dict[str, Column], flag: str) -> DataFrame:
@@ -95,6 +96,51 @@ def stale_stems(stems: DataFrame, entries: DataFrame, by: Sequence[str] = ()) ->
     return rows.withColumn("reason", reason).where("reason IS NOT NULL").select(*by, "path", "seq", "reason")
 
 
+#: Which markers of a treatment count in a mix although no stem belongs to them.
+SENTINEL_MARKERS = {"VINTAGE FILTER": ("DISENGAGES",), "FILM AUDIO": ("ENGAGES", "DISENGAGES"), "SPEAKERPHONE": ("ENGAGES", "DISENGAGES"), "PHONE FILTER": ("ENGAGES", "DISENGAGES")}
+
+
+def stem_plans(stems: DataFrame, entries: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """What a mix is made of: one row for each usable stem, for each cue that only bounds others, and for each stem that is left out.
+
+    ``stems`` are (by, path, base, seq), ``entries`` (by, seq, type, direction_type, section, scene,
+    speaker, text), each seq once. Columns: by, seq, path, type, direction_type, text, scene,
+    foreground, plan (stem, sentinel or rejected) and reason, of those rejected. A stem is rejected if its seq
+    is gone or a header now, if its ending contradicts the entry's type or speaker, and if one that
+    comes before it by path has its seq. Music before the episode, or in its preamble or postamble,
+    takes time. Sentinels are stops of ambience and the markers of treatments whose seq has no
+    usable stem. Stems without a number are left out.
+    """
+    keys = [*by, "seq"]
+    side = entries.select(*keys, F.col("type").alias("entry_type"), "direction_type", "section", "scene", "speaker", "text", F.lit(True).alias("_there"))
+    met = stems.where("seq IS NOT NULL").select(*keys, "path", "base").join(side, keys, "left")
+    seq, kind = F.concat(F.lit("seq "), F.col("seq").cast("string")), F.col("entry_type")
+    is_sound = F.substring_index("base", "_", -1) == "sfx"
+    fits = F.when(text("speaker") == "", True).otherwise(F.col("base").endswith(F.concat(F.lit("_"), text("speaker"))))
+    reason = (
+        F.when(F.col("_there").isNull(), F.concat(seq, F.lit(" not in parsed JSON")))
+        .when(~F.coalesce(kind, F.lit("None")).isin("dialogue", "direction"), F.concat(seq, F.lit(" is now a "), F.coalesce(kind, F.lit("None")), F.lit(" entry")))
+        .when(is_sound & (kind == "dialogue"), F.concat(seq, F.lit(" is now a dialogue entry")))
+        .when(~is_sound & (kind == "direction"), F.concat(seq, F.lit(" is now a direction entry")))
+        .when((kind == "dialogue") & ~fits, F.concat(seq, F.lit(" speaker is now "), text("speaker")))
+    )
+    told = met.withColumn("reason", reason)
+    # Of usable stems of one seq the first by path counts.
+    first = F.min(F.when(F.col("reason").isNull(), F.col("path"))).over(Window.partitionBy(*keys))
+    told = told.withColumn("reason", F.when(F.col("reason").isNull() & (F.col("path") != first), F.concat(seq, F.lit(" already loaded"))).otherwise(F.col("reason")))
+    outside = F.coalesce(F.col("section").isin("preamble", "postamble"), F.lit(False)) | (F.col("seq") < 0)
+    foreground = F.coalesce((F.col("direction_type") == "MUSIC") & outside, F.lit(False))
+    columns = [*keys, "path", F.col("entry_type").alias("type"), "direction_type", "text", "scene"]
+    plans = told.select(*columns, foreground.alias("foreground"), F.when(F.col("reason").isNull(), "stem").otherwise("rejected").alias("plan"), "reason")
+    marker = span_marker(text("text"))
+    bounds = (F.col("direction_type") == "AMBIENCE") & ((F.col("text") == "AMBIENCE: STOP") | F.endswith("text", F.lit("FADES OUT")))
+    for treatment, markers in SENTINEL_MARKERS.items():
+        bounds = bounds | ((F.col("direction_type") == treatment) & marker.isin(*markers))
+    usable = told.where("reason IS NULL").select(*keys).distinct()
+    sentinels = side.where(F.coalesce(bounds, F.lit(False))).join(usable, keys, "left_anti").withColumn("path", F.lit("")).select(*columns[:-1], F.lit(None).cast("string").alias("scene"), F.lit(False).alias("foreground"), F.lit("sentinel").alias("plan"), F.lit(None).cast("string").alias("reason"))
+    return plans.unionByName(sentinels)
+
+
 def reconcile(dialogue: DataFrame, manifest: DataFrame, present: DataFrame, key: Sequence[str]) -> DataFrame:
     """Each line against the manifest: correct, relink or missing with a reason.
 

@@ -1,13 +1,15 @@
-"""Journal replay, keyed upserts, back-filling and the one-to-one plan of a migration."""
+"""Journal replay, keyed upserts, back-filling, edits and the one-to-one plan of a migration."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from castline.functions.text import migration_text, text
+from castline.operators.aggregates import document_stats
 
 # What an edit may set on a cue.
 CUE_FIELDS = ("volume_percentage", "ramp_in_seconds", "ramp_out_seconds", "play_duration", "source")
@@ -106,3 +108,45 @@ def migration_plan(old: DataFrame, new: DataFrame, by: Sequence[str] = (), stric
 def set_fields(rows: DataFrame, key: Column, values: dict[str, Column]) -> DataFrame:
     """Columns set on the rows of a key."""
     return rows.withColumns({c: F.when(key, v).otherwise(F.col(c)) for c, v in values.items()})
+
+
+# What an edit may set on a line of dialogue.
+DIALOGUE_FIELDS = ("text", "speaker", "direction")
+
+
+@dataclass(frozen=True)
+class Edited:
+    """Entries with the edits in, the statistics of the documents that they change, the journal of what was set, and the edits that were not."""
+
+    entries: DataFrame
+    stats: DataFrame
+    journal: DataFrame
+    rejects: DataFrame
+
+
+def edit_dialogue(entries: DataFrame, edits: DataFrame, by: Sequence[str]) -> Edited:
+    """Set fields of dialogue entries (by, seq, type, ..): ``edits`` are (by, seq, ts, fields), fields a map of text.
+
+    Of several edits of a field the last by ``ts`` is set; null clears it. The journal has a row for
+    each entry that changes: by, seq, ts of its last edit, fields as set, and before, what they
+    were. Rejects (by, seq, ts, field, reason) are fields that no edit may set and edits of what is
+    no line of dialogue. Statistics are made anew for documents with a change only.
+    """
+    keys = [*by, "seq"]
+    each = edits.select(*keys, "ts", F.explode("fields").alias("field", "value"))
+    lines = entries.where("type = 'dialogue'").select(*keys, F.struct(*DIALOGUE_FIELDS).alias("_old")).dropDuplicates(keys)
+    met = each.join(lines, keys, "left")
+    reason = F.when(~F.col("field").isin(*DIALOGUE_FIELDS), "field that no edit sets").when(F.col("_old").isNull(), "no line of dialogue")
+    met = met.withColumn("reason", reason)
+    rejects = met.where("reason IS NOT NULL").select(*keys, "ts", "field", "reason")
+    last = met.where("reason IS NULL").groupBy(*keys, "field").agg(F.max_by(F.struct("value"), F.struct("ts", "value")).alias("set"), F.max("ts").alias("ts"), F.first("_old").alias("_old"))
+    old = F.coalesce(*[F.when(F.col("field") == c, F.col(f"_old.{c}")) for c in DIALOGUE_FIELDS])
+    changed = last.withColumns({"value": F.col("set.value"), "was": old}).where(~F.col("value").eqNullSafe(F.col("was")))
+    as_map = lambda c: F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", c))))
+    journal = changed.groupBy(*keys).agg(F.max("ts").alias("ts"), as_map("value").alias("fields"), as_map("was").alias("before"))
+    laid = entries.join(journal.select(*keys, F.col("fields").alias("_set")), keys, "left")
+    spoken = (F.col("type") == "dialogue") & F.col("_set").isNotNull()
+    new = {c: F.when(spoken & F.map_contains_key("_set", F.lit(c)), F.col("_set")[c]).otherwise(F.col(c)) for c in DIALOGUE_FIELDS}
+    edited = laid.withColumns(new).select(*entries.columns)
+    stats = document_stats(edited.join(journal.select(*by).distinct(), list(by), "left_semi"), by)
+    return Edited(edited, stats, journal, rejects)

@@ -899,3 +899,44 @@ def mixdown(spark, sf_dir):
 def low_pass(spark, sf_dir):
     """Every supplier's recording behind a low pass of 500 hertz."""
     return mixing.samples_of(mixing.one_pole(supplier_sounds(spark, sf_dir), 500.0, "low"), "path", "part", 256)
+
+
+# Edits and plans of episodes
+
+
+@query(f"""WITH {TURNS}, e AS (SELECT conv_id, seq, max(quality) AS quality FROM turns JOIN labels ON doc_id = conv_id GROUP BY ALL),
+    edited AS (SELECT t.* REPLACE (CASE WHEN type = 'dialogue' AND quality = 1 AND seq % 2 = 0 THEN text || '!' ELSE text END AS text), quality, text AS was FROM turns t LEFT JOIN e USING (conv_id, seq))
+    SELECT conv_id, count(*) FILTER (text <> was) AS changed, CAST(coalesce(sum(length(text)) FILTER (type = 'dialogue'), 0) AS BIGINT) AS characters_for_tts, count(*) FILTER (type = 'dialogue') AS dialogue_lines
+    FROM edited GROUP BY conv_id HAVING count(*) FILTER (text <> was) > 0""")
+def edited_dialogue(spark, sf_dir):
+    """Every second turn of well rated conversations with a mark behind it: what that changes in their statistics."""
+    entries = turns(spark, sf_dir).withColumn("direction", F.lit(None).cast("string"))
+    good = read(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("conv_id")).distinct()
+    edits = entries.join(good, "conv_id", "left_semi").where("seq % 2 = 0").select("conv_id", "seq", F.lit("1").alias("ts"), F.create_map(F.lit("text"), F.concat("text", F.lit("!"))).alias("fields"))
+    found = merge.edit_dialogue(entries, edits, ["conv_id"])
+    counts = found.journal.groupBy("conv_id").agg(F.count("*").alias("changed"))
+    return found.stats.join(counts, "conv_id").select("conv_id", "changed", "characters_for_tts", "dialogue_lines")
+
+
+@query("""WITH entries AS (SELECT l_suppkey AS tag, l_orderkey AS seq, max(CASE l_returnflag WHEN 'R' THEN 'direction' WHEN 'N' THEN 'dialogue' ELSE 'scene_header' END) AS type, max(CASE WHEN l_returnflag = 'R' THEN CASE WHEN l_linestatus = 'F' THEN 'AMBIENCE' END END) AS direction_type,
+        CASE WHEN l_orderkey % 2 = 0 THEN 'AMBIENCE: STOP' ELSE 'rain' END AS text, 'eve' AS speaker FROM lineitem GROUP BY ALL),
+    stems AS (SELECT l_suppkey AS tag, l_orderkey AS seq, l_linenumber || '.mp3' AS path, CASE WHEN l_linenumber % 2 = 0 THEN 'x_sfx' WHEN l_linenumber % 3 = 0 THEN 'x_adam' ELSE 'x_eve' END AS base FROM lineitem WHERE l_discount > 0.02),
+    e AS (SELECT tag, seq, max(type) AS type, max(direction_type) AS direction_type, max(text) AS text, max(speaker) AS speaker FROM entries GROUP BY 1, 2),
+    m AS (SELECT s.*, type, direction_type, text, CASE WHEN type = 'scene_header' THEN 'seq ' || seq || ' is now a scene_header entry' WHEN base = 'x_sfx' AND type = 'dialogue' THEN 'seq ' || seq || ' is now a dialogue entry'
+        WHEN base <> 'x_sfx' AND type = 'direction' THEN 'seq ' || seq || ' is now a direction entry' WHEN type = 'dialogue' AND base <> 'x_eve' THEN 'seq ' || seq || ' speaker is now eve' END AS reason FROM stems s JOIN e USING (tag, seq)),
+    d AS (SELECT * REPLACE (CASE WHEN reason IS NULL AND path <> min(path) FILTER (reason IS NULL) OVER (PARTITION BY tag, seq) THEN 'seq ' || seq || ' already loaded' ELSE reason END AS reason) FROM m)
+    SELECT tag, seq, path, CASE WHEN reason IS NULL THEN 'stem' ELSE 'rejected' END AS plan, reason FROM d
+    UNION ALL SELECT tag, seq, '', 'sentinel', NULL FROM e WHERE direction_type = 'AMBIENCE' AND text = 'AMBIENCE: STOP' AND (tag, seq) NOT IN (SELECT (tag, seq) FROM d WHERE reason IS NULL)""")
+def stem_plan(spark, sf_dir):
+    """Order lines as stems of their suppliers' episodes: what is used, what is left out and why, and the stops that bound the others."""
+    rows = read(spark, sf_dir, "lineitem")
+    kind = F.when(F.col("l_returnflag") == "R", "direction").when(F.col("l_returnflag") == "N", "dialogue").otherwise("scene_header")
+    ambience = F.when((F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F"), "AMBIENCE")
+    key = [F.col("l_suppkey").alias("tag"), F.col("l_orderkey").alias("seq")]
+    entries = rows.groupBy(*key).agg(F.max(kind).alias("type"), F.max(ambience).alias("direction_type")).withColumns(
+        {"text": F.when(F.col("seq") % 2 == 0, "AMBIENCE: STOP").otherwise("rain"), "speaker": F.lit("eve"), "section": F.lit("main"), "scene": F.lit(None).cast("string")}
+    )
+    number = F.col("l_linenumber")
+    base = F.when(number % 2 == 0, "x_sfx").when(number % 3 == 0, "x_adam").otherwise("x_eve")
+    stems = rows.where("l_discount > 0.02").select(*key, F.concat(number.cast("string"), F.lit(".mp3")).alias("path"), base.alias("base"))
+    return joins.stem_plans(stems, entries, ["tag"]).select("tag", "seq", "path", "plan", "reason")

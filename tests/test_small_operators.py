@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from castline.operators import intake, joins, sequence
+from castline.operators import intake, joins, merge, sequence
 from castline.sources import readers, sinks
 
 
@@ -58,3 +58,40 @@ def test_journals_are_appended(spark, tmp_path):
     sinks.append_journal(spark.createDataFrame([("2", "A", {"source": None})], schema), path)
     got = sorted((r.ts, r.fields) for r in readers.journal(spark, path).collect())
     assert got == [("1", {"source": "x"}), ("2", {"source": None})]
+
+
+def test_stem_plans(spark):
+    entry = "tag string, seq long, type string, direction_type string, section string, scene string, speaker string, text string"
+    entries = spark.createDataFrame(
+        [
+            ("e", 1, "dialogue", None, "a", "s1", "eve", "Hi"), ("e", 2, "direction", "SFX", "a", None, None, "SFX: DOOR"), ("e", -1, "direction", "MUSIC", "preamble", None, None, "MUSIC: THEME"),
+            ("e", 3, "scene_header", None, "a", None, None, "SCENE"), ("e", 4, "direction", "AMBIENCE", "a", None, None, "AMBIENCE: RAIN FADES OUT"), ("e", 5, "direction", "AMBIENCE", "a", None, None, "AMBIENCE: RAIN"),
+            ("e", 6, "direction", "PHONE FILTER", "a", None, None, "PHONE FILTER ENGAGES"), ("e", 7, "direction", "VINTAGE FILTER", "a", None, None, "VINTAGE FILTER ENGAGES"), ("e", 8, "dialogue", None, "a", None, None, "x"),
+            ("f", 1, "dialogue", None, "a", None, "adam", "Hi"), ("f", 9, None, None, None, None, None, None),
+        ], entry)
+    stems = spark.createDataFrame(
+        [
+            ("e", "b/001_eve.mp3", "001_eve", 1), ("e", "a/001_eve.mp3", "001_eve", 1), ("e", "a/001_adam.mp3", "001_adam", 1), ("e", "a/002_sfx.mp3", "002_sfx", 2), ("e", "c/002_eve.mp3", "002_eve", 2), ("e", "n001_sfx.mp3", "n001_sfx", -1),
+            ("e", "003.mp3", "003", 3), ("e", "008_any.mp3", "008_any", 8), ("f", "001_sfx.mp3", "001_sfx", 1), ("f", "009_x.mp3", "009_x", 9), ("f", "010_x.mp3", "010_x", 10), ("f", "x.mp3", "x", None),
+        ], "tag string, path string, base string, seq long")
+    got = {(r.tag, r.seq, r.path): (r.plan, r.reason, r.foreground) for r in joins.stem_plans(stems, entries, ["tag"]).collect()}
+    assert got == {
+        ("e", 1, "a/001_eve.mp3"): ("stem", None, False), ("e", 1, "b/001_eve.mp3"): ("rejected", "seq 1 already loaded", False), ("e", 1, "a/001_adam.mp3"): ("rejected", "seq 1 speaker is now eve", False),
+        ("e", 2, "a/002_sfx.mp3"): ("stem", None, False), ("e", 2, "c/002_eve.mp3"): ("rejected", "seq 2 is now a direction entry", False), ("e", -1, "n001_sfx.mp3"): ("stem", None, True),
+        ("e", 3, "003.mp3"): ("rejected", "seq 3 is now a scene_header entry", False), ("e", 8, "008_any.mp3"): ("stem", None, False), ("f", 1, "001_sfx.mp3"): ("rejected", "seq 1 is now a dialogue entry", False),
+        ("f", 9, "009_x.mp3"): ("rejected", "seq 9 is now a None entry", False), ("f", 10, "010_x.mp3"): ("rejected", "seq 10 not in parsed JSON", False),
+        ("e", 4, ""): ("sentinel", None, False), ("e", 6, ""): ("sentinel", None, False),
+    }
+
+
+def test_edits_of_dialogue(spark):
+    entries = spark.createDataFrame([("a", 1, "dialogue", "m", "eve", None, "Hi"), ("a", 2, "direction", "m", None, None, "SFX: A"), ("b", 1, "dialogue", "m", "adam", "low", "Yes"), ("c", 1, "dialogue", "m", "eve", None, "No")], "tag string, seq long, type string, section string, speaker string, direction string, text string")
+    edits = spark.createDataFrame(
+        [("a", 1, "2", {"text": "Hello", "pan": "1"}), ("a", 1, "1", {"text": "Old", "speaker": "adam"}), ("a", 2, "1", {"text": "x"}), ("b", 1, "1", {"direction": None}), ("c", 1, "1", {"text": "No"}), ("d", 1, "1", {"text": "x"})],
+        "tag string, seq long, ts string, fields map<string,string>",
+    )
+    found = merge.edit_dialogue(entries, edits, ["tag"])
+    assert sorted((r.tag, r.seq, r.speaker, r.direction, r.text) for r in found.entries.collect()) == [("a", 1, "adam", None, "Hello"), ("a", 2, None, None, "SFX: A"), ("b", 1, "adam", None, "Yes"), ("c", 1, "eve", None, "No")]
+    assert sorted((r.tag, r.seq, r.ts, str(r.fields), str(r.before)) for r in found.journal.collect()) == [("a", 1, "2", "{'speaker': 'adam', 'text': 'Hello'}", "{'speaker': 'eve', 'text': 'Hi'}"), ("b", 1, "1", "{'direction': None}", "{'direction': 'low'}")]
+    assert sorted((r.tag, r.characters_for_tts, r.speakers) for r in found.stats.collect()) == [("a", 5, ["adam"]), ("b", 3, ["adam"])]
+    assert sorted((r.tag, r.seq, r.field, r.reason) for r in found.rejects.collect()) == [("a", 1, "pan", "field that no edit sets"), ("a", 2, "text", "no line of dialogue"), ("d", 1, "text", "no line of dialogue")]
