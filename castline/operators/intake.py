@@ -39,17 +39,25 @@ def archive_plan(members: DataFrame, entries: DataFrame, present: DataFrame, inc
     return rows.select("member", "seq", "stem", outcome.alias("outcome"))
 
 
+#: Lengths of the beginnings of names by which they are looked up in sources; the greatest is half of what a file name may have.
+ANCHORS = (1, 2, 4, 8, 16, 32, 64, 128)
+
+
 def script_of_episode(scripts: DataFrame, parsed: DataFrame) -> DataFrame:
     """Scripts (name) with the first of the parsed episodes (source_file, at, ..) whose source holds their name.
 
-    A source is cut into its parts of the lengths that names have, so that names meet them in an
-    equi-join; there are no more such lengths than a file name may have letters.
+    A name is looked up by its first letters, as many as the greatest power of two that it has
+    letters for, so at least by half of it (by 128 where it has 256 or more). Sources are cut into parts of these few lengths,
+    names meet them in an equi-join, and what meets is compared whole.
     """
-    lengths = [r[0] for r in scripts.where("name != ''").select(F.length("name")).distinct().collect()]
+    anchored = scripts.where("name != ''").select("name").distinct()
+    size = F.least(F.pow(F.lit(2), F.floor(F.log2(F.length("name").cast("double")))), F.lit(ANCHORS[-1])).cast("int")
+    # The logarithm of a power of two may fall short of it by rounding; a shorter beginning is as right.
+    anchored = anchored.withColumn("_part", F.substring(F.col("name"), F.lit(1), size))
     part = lambda n: F.transform(F.sequence(F.lit(1), F.length("source_file") - n + 1), lambda i: F.substring(F.col("source_file"), i, F.lit(n)))
-    parts = [F.when(F.length("source_file") >= n, part(n)).otherwise(F.array().cast("array<string>")) for n in lengths]
-    held = parsed.withColumn("name", F.explode(F.array_distinct(F.concat(*parts)))) if parts else parsed.withColumn("name", F.lit("")).limit(0)
-    first = held.join(scripts.select("name").distinct(), "name").groupBy("name").agg(F.min_by(F.struct(*parsed.columns), "at").alias("episode"))
+    parts = [F.when(F.length("source_file") >= n, part(n)).otherwise(F.array().cast("array<string>")) for n in ANCHORS]
+    held = parsed.withColumn("_part", F.explode(F.array_distinct(F.concat(*parts)))).join(anchored, "_part").where(F.contains("source_file", "name"))
+    first = held.groupBy("name").agg(F.min_by(F.struct(*parsed.columns), "at").alias("episode"))
     return scripts.join(first, "name", "left")
 
 

@@ -95,3 +95,15 @@ def test_edits_of_dialogue(spark):
     assert sorted((r.tag, r.seq, r.ts, str(r.fields), str(r.before)) for r in found.journal.collect()) == [("a", 1, "2", "{'speaker': 'adam', 'text': 'Hello'}", "{'speaker': 'eve', 'text': 'Hi'}"), ("b", 1, "1", "{'direction': None}", "{'direction': 'low'}")]
     assert sorted((r.tag, r.characters_for_tts, r.speakers) for r in found.stats.collect()) == [("a", 5, ["adam"]), ("b", 3, ["adam"])]
     assert sorted((r.tag, r.seq, r.field, r.reason) for r in found.rejects.collect()) == [("a", 1, "pan", "field that no edit sets"), ("a", 2, "text", "no line of dialogue"), ("d", 1, "text", "no line of dialogue")]
+
+
+def test_scripts_of_episodes_equal_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    names = [None, "", "a", "b.md", *{"".join(rng.choice("abc/") for _ in range(n)) for n in (1, 2, 3, 4, 7, 8, 9, 15, 16, 17) for _ in range(3)}, "x" * 300]
+    sources = ["", None, "x" * 299, "y" + "x" * 301, *["".join(rng.choice("abc/") for _ in range(rng.randint(0, 60))) for _ in range(40)]]
+    sources += [f"in/{n}/s" for n in names if n][::2]
+    parsed = spark.createDataFrame(list(enumerate(sources)), "at int, source_file string")
+    got = {r.name: r.episode.at if r.episode else None for r in intake.script_of_episode(spark.createDataFrame([(n,) for n in names], "name string"), parsed).collect()}
+    assert got == {n: next((at for at, s in enumerate(sources) if n and s and n in s), None) for n in names}
