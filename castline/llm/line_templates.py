@@ -221,18 +221,19 @@ def drop_repeated_lines(documents: DataFrame) -> DataFrame:
     """
     names = [c for c in documents.columns if c not in ("n_lines", "n_dropped")]
     # The input's own columns stay in a struct, so that no name of theirs meets one of these.
-    marked = documents.drop("n_lines", "n_dropped").select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), "text", doc_key().alias("key"))
+    marked = documents.drop("n_lines", "n_dropped").select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), doc_key().alias("key"))
     drops = repeated_lines(documents).select(F.col("doc_id").alias("of_id"), F.col("doc_key").alias("of_key"), "drop")
     joined = marked.join(drops, (F.col("key") == F.col("of_key")) & F.col("id").eqNullSafe(F.col("of_id")), "left")
-    lines = F.split("text", "\n")
+    text = F.col("row").getField("text")
+    lines = F.split(text, "\n")
     # The numbers of the lines that stay are a difference of sets, so each line is looked at once.
     staying = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "drop")
     # An array of one element binds the lines, so that the text is cut once and not for each of them.
     bound = F.array(F.struct(lines.alias("lines"), staying.alias("staying")))
     joined_again = F.transform(bound, lambda own: F.array_join(F.transform(own["staying"], lambda at: F.get(own["lines"], at)), "\n"))[0]
-    kept = F.when(F.col("drop").isNull(), F.col("text")).otherwise(joined_again)
+    kept = F.when(F.col("drop").isNull(), text).otherwise(joined_again)
     return joined.select(
         *[kept.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
+        F.when(text.isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
         F.when(F.col("drop").isNull(), 0).otherwise(F.size("drop")).alias("n_dropped"),
     )
