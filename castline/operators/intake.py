@@ -47,17 +47,21 @@ def script_of_episode(scripts: DataFrame, parsed: DataFrame) -> DataFrame:
     """Scripts (name) with the first of the parsed episodes (source_file, at, ..) whose source holds their name.
 
     A name is looked up by its first letters, as many as the greatest power of two that it has
-    letters for, so at least by half of it (by 128 where it has 256 or more). Sources are cut into parts of these few lengths,
-    names meet them in an equi-join, and what meets is compared whole.
+    letters for, so at least by half of it (by 128 where it has 256 or more). Each source is cut once into parts of these
+    few lengths, names meet them in an equi-join, and what meets is compared whole.
     """
+    # Of equal sources the first episode is enough.
+    sources = parsed.groupBy("source_file").agg(F.min_by(F.struct(*parsed.columns), "at").alias("episode"), F.min("at").alias("at"))
     anchored = scripts.where("name != ''").select("name").distinct()
     size = F.least(F.pow(F.lit(2), F.floor(F.log2(F.length("name").cast("double")))), F.lit(ANCHORS[-1])).cast("int")
     # The logarithm of a power of two may fall short of it by rounding; a shorter beginning is as right.
     anchored = anchored.withColumn("_part", F.substring(F.col("name"), F.lit(1), size))
     part = lambda n: F.transform(F.sequence(F.lit(1), F.length("source_file") - n + 1), lambda i: F.substring(F.col("source_file"), i, F.lit(n)))
     parts = [F.when(F.length("source_file") >= n, part(n)).otherwise(F.array().cast("array<string>")) for n in ANCHORS]
-    held = parsed.withColumn("_part", F.explode(F.array_distinct(F.concat(*parts)))).join(anchored, "_part").where(F.contains("source_file", "name"))
-    first = held.groupBy("name").agg(F.min_by(F.struct(*parsed.columns), "at").alias("episode"))
+    # The parts are many more than their table's size tells Spark: a semi-join never broadcasts them, and what it leaves is merged.
+    cut = sources.withColumn("_part", F.explode(F.array_distinct(F.concat(*parts)))).join(anchored.select("_part").distinct(), "_part", "left_semi")
+    held = cut.hint("merge").join(anchored, "_part").where(F.contains("source_file", "name"))
+    first = held.groupBy("name").agg(F.min_by("episode", "at").alias("episode"))
     return scripts.join(first, "name", "left")
 
 

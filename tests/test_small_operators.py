@@ -107,3 +107,16 @@ def test_scripts_of_episodes_equal_all_pairs(spark):
     parsed = spark.createDataFrame(list(enumerate(sources)), "at int, source_file string")
     got = {r.name: r.episode.at if r.episode else None for r in intake.script_of_episode(spark.createDataFrame([(n,) for n in names], "name string"), parsed).collect()}
     assert got == {n: next((at for at, s in enumerate(sources) if n and s and n in s), None) for n in names}
+
+
+def test_parts_of_sources_are_never_broadcast(spark, tmp_path):
+    spark.createDataFrame([(f"scripts/{i}/long name of an episode", i) for i in range(50)], "source_file string, at long").write.parquet(f"{tmp_path}/parsed")
+    parsed = spark.read.parquet(f"{tmp_path}/parsed")
+    found = intake.script_of_episode(spark.createDataFrame([("7/long",), ("none",)], "name string"), parsed)
+    lines = found._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(line) - len(line.lstrip(" :+-|")) for line in lines]
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            under = next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))
+            assert not any("Generate" in x for x in lines[i:under])
+    assert {r.name: r.episode.at if r.episode else None for r in found.collect()} == {"7/long": 7, "none": None}
