@@ -284,10 +284,19 @@ def db_factor(db: Column) -> Column:
     return F.pow(F.lit(10.0), db / 20)
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Rounded as SQL engines do that scale doubles: half away from zero on the scaled value; -0.0 stays, what cannot be scaled too."""
+    scale = 10.0**digits
+    scaled = value * scale
+    even = F.rint(scaled)
+    whole = F.when((scaled - even == 0.5) & (scaled > 0), even + 1).when((scaled - even == -0.5) & (scaled < 0), even - 1).otherwise(even)
+    return F.when(F.abs(scaled) == float("inf"), value).otherwise(whole / scale)
+
+
 def clock(seconds: Column) -> Column:
-    """``M:SS``."""
+    """``M:SS``; null without seconds."""
     whole = F.floor(seconds).cast("long")
-    return F.format_string("%d:%02d", F.floor(whole / 60), whole % 60)
+    return F.when(whole.isNotNull(), F.format_string("%d:%02d", F.floor(whole / 60), whole % 60))
 
 
 def content_key(*parts: Column) -> Column:

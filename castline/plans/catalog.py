@@ -572,7 +572,7 @@ def pipe_hints(spark, sf_dir):
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_quantity - 1 <= 0 THEN CAST('-inf' AS DOUBLE) ELSE round(20 * log10((l_quantity - 1) / 100), 6) END AS db, printf('%d:%02d', CAST(floor(floor(l_extendedprice) / 60) AS BIGINT), CAST(floor(l_extendedprice) AS BIGINT) % 60) AS clock FROM lineitem""")
 def volume_clock(spark, sf_dir):
     percent = F.col("l_quantity") - 1
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(percent <= 0, t.volume_db(percent)).otherwise(F.round(t.volume_db(percent), 6)).alias("db"), t.clock(F.col("l_extendedprice")).alias("clock"))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(percent <= 0, t.volume_db(percent)).otherwise(t.rounded(t.volume_db(percent), 6)).alias("db"), t.clock(F.col("l_extendedprice")).alias("clock"))
 
 
 # What SQL cannot say
@@ -738,7 +738,7 @@ def effect_paths(spark, sf_dir):
 def mix_levels(spark, sf_dir):
     db = t.ratio_db(F.col("l_discount"))
     factor = t.db_factor(F.col("l_quantity") - 25)
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_discount") <= 0, db).otherwise(F.round(db, 6)).alias("db"), F.round(factor, 6).alias("factor"))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("l_discount") <= 0, db).otherwise(t.rounded(db, 6)).alias("db"), t.rounded(factor, 6).alias("factor"))
 
 
 @query("""WITH k AS (SELECT doc_id, sha256(concat_ws(chr(31), text, lang, source, '50', '0', 'a')) AS content_key FROM documents), m AS (SELECT content_key, max(doc_id) AS made FROM k WHERE doc_id % 3 <> 0 GROUP BY 1)

@@ -93,3 +93,16 @@ def test_durations_and_levels(spark):
 def test_word_count_knows_all_white_space(spark):
     rows = ["", "  ", "a b  c", "é ü"]
     assert [r[0] for r in values(spark, rows, w=t.word_count(F.col("v")))] == [len(re.split(r"\s+", r.strip())) if r.strip() else 0 for r in rows]
+
+
+def test_rounding_equals_sql(spark):
+    import duckdb
+
+    values = [-1e-9, 1e-9, 0.5e-6, -0.5e-6, 2.5e-6, -2.5e-6, 540190039.6557651, 371479962.37898499, 1e300, -1e305, float("inf"), 17.7827941]
+    rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").select(t.rounded(F.col("v"), 6).alias("r")).collect()
+    assert [repr(r.r) for r in rows] == [repr(duckdb.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0]) for v in values] + ["None"]
+
+
+def test_clock_without_seconds(spark):
+    rows = spark.createDataFrame([(None,), (61.9,), (-61.5,)], "s double").select(t.clock(F.col("s")).alias("c")).collect()
+    assert [r.c for r in rows] == [None, "1:01", "-2:-2"]
