@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 LOW, HIGH, WIDTH = -32768, 32767, 2
 #: Samples of a filter that are worked out side by side.
 STEP = 64
+#: Placements, by the order of their layers, that are laid together before they meet the others of their mix; a power of two.
+CHUNK = 1024
 
 
 def frames_of(milliseconds: Column, rate: Column) -> Column:
@@ -37,8 +40,9 @@ def pieces(placements: DataFrame, frames: int) -> DataFrame:
     Columns: mix, block, layer, at (frame in the block), path, part, from (frame in the part), n, gain.
     ``length`` frames sound from frame ``start`` of the mix on; they are those from ``skip`` of the
     recording on, over and over every ``period`` frames, if that is not null. What would lie before
-    the mix is cut off.
+    the mix is cut off. Further columns stay.
     """
+    more = [c for c in placements.columns if c not in ("mix", "layer", "path", "start", "skip", "length", "period", "gain")]
     period = F.coalesce("period", "length")
     rounds = placements.where((F.col("length") > 0) & (period > 0)).withColumns({"period": period, "early": F.greatest(F.lit(0).cast("long"), -F.col("start"))})
     first = F.floor(F.col("early") / F.col("period"))
@@ -53,7 +57,7 @@ def pieces(placements: DataFrame, frames: int) -> DataFrame:
     parts = parts.withColumns({"from": low - F.col("part") * frames, "n": high - low, "to": F.col("start") + F.col("lo") + low - F.col("own")})
     blocks = parts.withColumn("block", F.explode(F.sequence(F.floor(F.col("to") / frames), F.floor((F.col("to") + F.col("n") - 1) / frames))))
     begin, end = F.greatest(F.col("to"), F.col("block") * frames), F.least(F.col("to") + F.col("n"), (F.col("block") + 1) * frames)
-    return blocks.select("mix", "block", "layer", (begin - F.col("block") * frames).alias("at"), "path", "part", (F.col("from") + begin - F.col("to")).alias("from"), (end - begin).alias("n"), "gain")
+    return blocks.select("mix", "block", "layer", (begin - F.col("block") * frames).alias("at"), "path", "part", (F.col("from") + begin - F.col("to")).alias("from"), (end - begin).alias("n"), "gain", *more)
 
 
 def mixdown(mixes: DataFrame, placements: DataFrame, sounds: DataFrame, frames: int, channels: int = 1) -> DataFrame:
@@ -62,40 +66,75 @@ def mixdown(mixes: DataFrame, placements: DataFrame, sounds: DataFrame, frames:
     ``placements`` are those of ``pieces``; ``sounds`` has the recordings' blocks (path, part,
     data), of ``frames`` frames each. Each sum saturates before the next one is added. Frames
     beyond the end of a recording or of the mix are silent; so are recordings that are not there;
-    a mix without placements is silence. A task holds one block of a mix, however many layers it has.
+    a mix without placements is silence. Equal layers follow each other by their start.
+
+    What layers make of a sample is x -> clip(x + a, low, high), and so is what follows of two such
+    maps: ``CHUNK`` placements of a block become one map for each of its samples, and a task that
+    holds a block of a mix has only these maps to apply, however many layers there are.
     """
-    frame, mix_type, layer_type = WIDTH * channels, mixes.schema["mix"].dataType.simpleString(), placements.schema["layer"].dataType.simpleString()
+    frame, mix_type = WIDTH * channels, mixes.schema["mix"].dataType.simpleString()
     wide = mixes.where("length > 0").select("mix", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / frames))).alias("block"), "length")
     size = F.least(F.lit(frames), F.col("length") - F.col("block") * frames)
-    silence = wide.select("mix", "block", F.lit(None).cast(layer_type).alias("layer"), F.lit(0).cast("long").alias("at"), size.alias("n"), F.lit(None).cast("double").alias("gain"), F.lit(None).cast("binary").alias("data"))
+    silence = wide.select("mix", "block", F.lit(None).cast("long").alias("chunk"), size.cast("long").alias("n"), F.lit(None).cast("binary").alias("maps"))
+    columns = ["mix", "layer", "start", "path", "skip", "length", "period", "gain"]
+    placed = placements.select(*columns).join(mixes.where("length > 0").select("mix"), "mix", "left_semi")
+    # Rows are numbered in their order, so a chunk never holds more placements, whatever a mix has.
+    ordered = placed.repartitionByRange("mix", "layer", "start").sortWithinPartitions(*columns)
+    chunked = ordered.withColumn("chunk", F.floor(F.monotonically_increasing_id() / CHUNK))
     cut = F.expr(f"substring(data, CAST(from * {frame} + 1 AS INT), CAST(n * {frame} AS INT))")
-    laid = pieces(placements, frames).join(sounds.select("path", "part", "data"), ["path", "part"]).select("mix", "block", "layer", "at", "n", F.col("gain").cast("double").alias("gain"), cut.alias("data"))
-    laid = laid.join(mixes.select("mix", "length"), "mix", "left_semi")
+    # Many pieces may be of one block of a recording, of which there is one row: that is what the join holds, pieces only pass by.
+    laid = pieces(chunked, frames).join(sounds.select("path", "part", "data").hint("shuffle_hash"), ["path", "part"]).select(
+        "mix", "block", "chunk", "layer", "at", F.col("gain").cast("double").alias("gain"), cut.alias("data")
+    )
+
+    def lay(batches):
+        here, maps, kind = None, None, None
+
+        def whole():
+            return pa.RecordBatch.from_arrays([pa.array([here[0]], kind), pa.array([here[1]], pa.int64()), pa.array([here[2]], pa.int64()), pa.array([maps.tobytes()], pa.binary())], names=["mix", "block", "chunk", "maps"])
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            mixed, blocks, chunks, ats, gains, data = (batch.column(c) for c in range(6))
+            # All samples of a batch are one array.
+            sizes = np.asarray([0, *(pc.binary_length(data).to_numpy(zero_copy_only=False) // WIDTH)], np.int64).cumsum()
+            heard = np.frombuffer(b"".join(data.to_pylist()), "<i2").astype(np.int64)
+            for i, (*key, at, gain) in enumerate(zip(mixed.to_pylist(), blocks.to_pylist(), chunks.to_pylist(), ats.to_pylist(), gains.to_pylist())):
+                if key != here:
+                    if here is not None:
+                        yield whole()
+                    here, maps = key, np.repeat(np.array([[0], [LOW], [HIGH]], np.int64), frames * channels, axis=1)
+                samples = amplified(heard[sizes[i] : sizes[i + 1]], gain)
+                place = maps[:, at * channels : at * channels + len(samples)]
+                place += samples
+                np.clip(place[1:], LOW, HIGH, out=place[1:])
+        if here is not None:
+            yield whole()
 
     def add(batches):
-        here, block, kinds = None, None, []
+        here, block, kind = None, None, None
 
         def whole():
-            return pa.RecordBatch.from_arrays([pa.array([here[0]], kinds[0]), pa.array([here[1]], pa.int64()), pa.array([block.astype("<i2").tobytes()], pa.binary())], names=["mix", "block", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([here[0]], kind), pa.array([here[1]], pa.int64()), pa.array([block.astype("<i2").tobytes()], pa.binary())], names=["mix", "block", "data"])
 
         for batch in batches:
-            kinds = [batch.schema.field(0).type]
-            for i in range(batch.num_rows):
-                mix, number, at, n, gain, data = (batch.column(c)[i].as_py() for c in range(6))
-                if data is None:
+            kind = batch.schema.field(0).type
+            for mix, number, n, maps in zip(*(batch.column(c).to_pylist() for c in range(4))):
+                if maps is None:
                     # The silence of a block comes first.
                     if here is not None:
                         yield whole()
                     here, block = (mix, number), np.zeros(n * channels, np.int64)
                 elif here == (mix, number):
-                    samples = amplified(np.frombuffer(data, "<i2").astype(np.int64), gain)[: max(0, len(block) - at * channels)]
-                    place = slice(at * channels, at * channels + len(samples))
-                    block[place] = np.clip(block[place] + samples, LOW, HIGH)
+                    more, low, high = np.frombuffer(maps, np.int64).reshape(3, -1)[:, : len(block)]
+                    block = np.clip(block + more, low, high)
         if here is not None:
             yield whole()
 
-    rows = silence.unionByName(laid).repartition("mix", "block").sortWithinPartitions("mix", "block", F.asc_nulls_first("layer"), "at")
-    return rows.select("mix", "block", "at", "n", "gain", "data").mapInArrow(add, f"mix {mix_type}, block long, data binary")
+    sorted_pieces = laid.repartition("mix", "block", "chunk").sortWithinPartitions("mix", "block", "chunk", "layer", "at")
+    maps = sorted_pieces.select("mix", "block", "chunk", "at", "gain", "data").mapInArrow(lay, f"mix {mix_type}, block long, chunk long, maps binary")
+    rows = silence.unionByName(maps.withColumn("n", F.lit(None).cast("long"))).repartition("mix", "block").sortWithinPartitions("mix", "block", F.asc_nulls_first("chunk"))
+    return rows.select("mix", "block", "n", "maps").mapInArrow(add, f"mix {mix_type}, block long, data binary")
 
 
 def blocks_of(samples: DataFrame, frames: int) -> DataFrame:

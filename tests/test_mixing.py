@@ -74,3 +74,18 @@ def test_odd_filters(spark):
     assert mixing.one_pole(sounds.limit(0), 100.0, "low").count() == 0
     with pytest.raises(ValueError):
         mixing.one_pole(sounds, 100.0, "band")
+
+
+def test_a_mix_is_laid_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CHUNK", 4)
+    rng = np.random.default_rng(3)
+    x = rng.integers(-30000, 30000, 64)
+    placements = [("m", layer, "s", 5, 0, 60, None, None) for layer in range(23)]
+    schema = "mix string, layer int, path string, start long, skip long, length long, period long, gain double"
+    mixed = mixing.mixdown(spark.createDataFrame([("m", 64)], "mix string, length long"), spark.createDataFrame(placements, schema), stored(spark, {"s": x}, 16), 16)
+    want = np.zeros(64, np.int64)
+    for _ in placements:
+        want[5:] = (want[5:] + x[:59]).clip(-32768, 32767)
+    assert (whole(mixed.collect(), "mix", "block")["m"] == want).all()
+    # Pieces are not sorted to meet the few blocks of a recording.
+    assert "ShuffledHashJoin [path" in mixed._jdf.queryExecution().executedPlan().toString()
