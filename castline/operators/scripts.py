@@ -79,8 +79,12 @@ def script_lines(scripts: DataFrame) -> DataFrame:
     Texts are composed, escapes, heading and bold marks go. Blank lines and the header line are left
     out, and so is what comes before the end of the CAST block.
     """
-    # Whole texts are dealt out, not their lines: what follows has the same partitioning by doc.
-    raw = scripts.where("value IS NOT NULL").select("doc", nfc("value").alias("value")).repartition("doc").select("doc", F.posexplode(F.split(t.strip_escapes(F.col("value")), "\n")).alias("at", "raw"))
+    # Whole texts are dealt out, not their lines: what follows has the same partitioning by doc. No character composes over a
+    # line end, and none below U+0300 with another, so Python gets single lines, and of these only those that may change.
+    texts = scripts.where("value IS NOT NULL").select("doc", "value").repartition("doc")
+    cut = texts.select("doc", F.posexplode(F.split("value", "\n")).alias("at", "given"))
+    composed = F.coalesce(nfc(F.when(F.col("given").rlike(r"[^\x{0}-\x{2FF}]"), F.col("given"))), F.col("given"))
+    raw = cut.select("doc", "at", t.strip_escapes(composed).alias("raw"))
     rows = raw.select("doc", (F.col("at") + 1).cast("long").alias("line_no"), t.strip_formatting(F.col("raw")).alias("raw")).withColumn("line", strip(F.col("raw")))
     whole, run = Window.partitionBy("doc"), Window.partitionBy("doc").orderBy("line_no").rowsBetween(*UP_TO_NOW)
     line, line_no = F.col("line"), F.col("line_no")

@@ -192,3 +192,12 @@ def test_sections_by_kind_of_project(spark):
     assert [(r.type, r.section, r.text) for r in rows] == [("section_header", "chapter12", "CHAPTER TWELVE"), ("dialogue", "chapter12", "Hi."), ("section_header", "vault", "THE VAULT: later"), ("dialogue", "vault", "Yes.")]
     plain = scripts.parse_scripts(text, [("ADAM", "adam")]).orderBy("seq").collect()
     assert [r.text for r in plain] == ["Hi. THE VAULT: later", "Yes."]
+
+
+def test_python_composes_single_lines(spark):
+    text = "The Baŕ é \\[x\\]\ńlate\nplain \\= line\n\n가 Å"
+    lines = scripts.script_lines(spark.createDataFrame([("a", text)], "doc string, value string"))
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("EvalPython") < plan.index("Generate")
+    want = [x.strip() for x in unicodedata.normalize("NFC", text).replace("\\[", "[").replace("\\]", "]").replace("\\=", "=").split("\n") if x.strip()]
+    assert [r.line for r in lines.orderBy("line_no").collect()] == want
