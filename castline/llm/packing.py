@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from castline.llm.common import Memo, forget_others, stored
-from castline.llm.parts import dealt, distinct_parts, slices
+from castline.llm.parts import coded_parts, gathered, slices
 
 #: Distinct words, and distinct strings between spaces, that a worker keeps at most in each of two generations.
 MEMO = 250_000
@@ -74,27 +74,39 @@ class Encoder:
         return self.words[word] + (self.words[signs] if signs else b"") if word else self.ask(text)
 
     def values(self, distinct: list[str]) -> list[bytes]:
-        """The ids of parts; their new words are asked for together."""
-        parts, words = self.parts, self.words
-        split = {text: split_word(text) for text in distinct if not parts.knows(text)}
-        new = [word for word in {word for word, _ in split.values() if word} if not words.knows(word)]
+        """The ids of words of letters; new ones are asked for together."""
+        words = self.words
+        new = [word for word in distinct if not words.knows(word)]
         own: dict[str, bytes] = {}
         for start in range(0, len(new), ASKED):
             own |= self.learn(new[start : start + ASKED])
-        made = {}
-        for text, (word, signs) in split.items():
-            if word:
-                ids = own[word] if word in own else words[word]
-                made[text] = ids + words[signs] if signs else ids
-        result = [made[text] if text in made else parts[text] for text in distinct]
+        result = [own[word] if word in own else words[word] for word in distinct]
         words.keep(own)
-        parts.keep(made)
         return result
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of texts, and where each text begins and ends among them. Texts are cut at spaces and line ends first."""
-        distinct, codes, bounds = distinct_parts(pc.replace_substring(texts, "\n", " "))
-        return dealt(self.values(distinct), "<u4", codes, bounds)
+        """The ids of texts, and where each text begins and ends among them.
+
+        Texts are cut at spaces and line ends, and these parts, where they are letters and then
+        signs, into a word and its signs, of which far fewer are distinct.
+        """
+        distinct, codes, bounds = coded_parts(pc.replace_substring(texts, "\n", " "))
+        letters = pc.ascii_rtrim(distinct, SIGNS)
+        plain = pc.and_(pc.utf8_is_alpha(letters), pc.invert(pc.match_substring_regex(distinct, UNSTABLE)))
+        words = pc.utf8_lower(letters.filter(plain)).dictionary_encode()
+        signs = pc.replace_substring_regex(distinct.filter(plain), LETTERS, "").dictionary_encode()
+        others = [self.parts[text] for text in distinct.filter(pc.invert(plain)).to_pylist()]
+        values = [*self.values(words.dictionary.to_pylist()), *[self.words[text] if text else b"" for text in signs.dictionary.to_pylist()], *others, b""]
+        flat = np.frombuffer(b"".join(values), "<u4")
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        # Each part is two of these values; the last one, which is empty, is the second of what stays whole.
+        is_plain, first = plain.to_numpy(zero_copy_only=False).astype(bool), len(words.dictionary) + len(signs.dictionary)
+        halves = np.full((len(distinct), 2), len(values) - 1)
+        halves[is_plain, 0] = words.indices.to_numpy()
+        halves[is_plain, 1] = len(words.dictionary) + signs.indices.to_numpy()
+        halves[~is_plain, 0] = first + np.arange(len(others))
+        ids, ends = gathered(flat, np.cumsum(sizes) - sizes, sizes, halves.ravel(), 2 * np.arange(len(distinct) + 1))
+        return gathered(ids, ends[:-1], np.diff(ends), codes, bounds)
 
 
 def split_word(text: str) -> tuple[str, str]:
@@ -112,6 +124,10 @@ def split_word(text: str) -> tuple[str, str]:
     return "", ""
 
 
+#: Letters that a word may not have: those whose lower case is several letters, and those from STABLE on.
+UNSTABLE = r"[\x{130}\x{250}-\x{10FFFF}]"
+#: What comes before a part's signs.
+LETTERS = r"^[^!-/:-@\[-`{-~]+"
 SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 letters_and_signs = re.compile(r"([^\W\d_]+)([\W_]*)").fullmatch
 

@@ -29,10 +29,16 @@ def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 
 def distinct_parts(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The distinct strings between the spaces of some texts, the numbers of those that follow each other, and where each text begins and ends among these."""
+    distinct, codes, bounds = coded_parts(texts)
+    return distinct.to_pylist(), codes, bounds
+
+
+def coded_parts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """As ``distinct_parts``, with the strings as an Arrow array."""
     lists = pc.split_pattern(texts, " ")
     bounds = lists.offsets.to_numpy().astype(np.int64)
     coded = lists.flatten().dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), bounds - bounds[0]
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), bounds - bounds[0]
 
 
 def numbered(lists: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import zlib
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
@@ -199,3 +200,12 @@ def test_sum_of_squares_places_where_squares_are_least():
         assert (packer.counts[1:12] ** 2).sum() == min(options)
         assert offset == fill.get(sequence, 0) and left == 12 - offset - n
         fill[sequence] = offset + n
+
+
+def test_memo_holds_words_without_their_signs():
+    coder = Encoder(WORD)
+    texts = ["Straße, straße! STRASSE? « x »", "de&&& De### de, İd. ǅa-b Σς 가_"]
+    ids, bounds = coder.encode(pa.array(texts))
+    library = Tokenizer.from_file(WORD)
+    assert [ids[a:b].tolist() for a, b in pairwise(bounds)] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert coder.words.knows("de") and not any(coder.parts.knows(x) for x in ("de&&&", "De###", "de,"))
