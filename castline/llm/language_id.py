@@ -9,6 +9,7 @@ Batches of texts are scored by matrix products with the landmarks and the weight
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,7 +28,7 @@ LEAST_PER_LANG = 20
 #: Training rows that are unpacked together, and groups whose sums are made apart.
 TOGETHER, SLOTS = 256, 16
 RIDGE = 1e-3
-#: Texts scored in one matrix product.
+#: Texts whose presence rows are made at once, and scored in one matrix product.
 BATCH = 256
 
 has_letter = re.compile(r"[^\W\d_]").search
@@ -79,13 +80,18 @@ def training_rows(documents: DataFrame) -> DataFrame | None:
     order = Window.partitionBy("lang").orderBy("draw", "doc_id", F.xxhash64("text"))
     sample = labelled.withColumn("draw", draw).join(F.broadcast(shares), "lang").where("draw < share").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_lang)
 
-    def pack(batches):
-        for batch in batches:
+    return stored(sample.select("lang", F.col("doc_id").cast("string").alias("id"), "nth", "text").mapInArrow(packed_rows, "lang string, id string, nth int, bits binary"), "training")
+
+
+def packed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, id, nth, bits) for (lang, id, nth, text), as many texts at once as are scored at once."""
+    forget_others()
+    for whole in batches:
+        for start in range(0, whole.num_rows, BATCH):
+            batch = whole.slice(start, BATCH)
             rows = np.packbits(presence(batch.column(3).to_pylist()).astype(bool), axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([r.tobytes() for r in rows], pa.binary())], names=["lang", "id", "nth", "bits"])
 
-    return stored(sample.select("lang", F.col("doc_id").cast("string").alias("id"), "nth", "text").mapInArrow(pack, "lang string, id string, nth int, bits binary"), "training")
-
 
 def unit(bits: list[bytes]) -> np.ndarray:
     """Presence rows of length one."""
@@ -116,6 +122,7 @@ def fit(documents: DataFrame) -> Model | None:
     root = vectors[:, good] / np.sqrt(values[good])  # maps landmark kernels into the Nyström space
 
     def sums(batches):
+        forget_others()
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for whole in batches:
             for start in range(0, whole.num_rows, TOGETHER):

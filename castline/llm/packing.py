@@ -30,6 +30,8 @@ from castline.llm.parts import coded_parts, gathered, slices
 
 #: Distinct words, and distinct strings between spaces, that a worker keeps at most in each of two generations.
 MEMO = 250_000
+#: Bytes of text that are encoded together: places of their parts take many times as much.
+ENCODED = 2 << 20
 #: New words that the library is asked for together.
 ASKED = 20_000
 #: Id put after each document.
@@ -210,6 +212,8 @@ def pack_documents(documents: DataFrame, path: str, size: int = 2048, keep_ids:
             if done:
                 yield rows_batch(done, kind)
                 done = []
+        # The next task learns its words anew, for a tenth more time; kept, they would lie beside all later stages as long as the worker lives.
+        forget_others()
         seen: Counter[int] = Counter()
         for rows in held.values():
             for r in rows:
@@ -223,7 +227,7 @@ def pack_documents(documents: DataFrame, path: str, size: int = 2048, keep_ids:
 
     def encoded(whole: pa.RecordBatch) -> Iterator[tuple]:
         closing = np.array([END], "<u4").tobytes()
-        for batch in slices(whole, 1):
+        for batch in slices(whole, 1, ENCODED):
             ids, bounds = encoder(path).encode(pc.fill_null(batch.column(1), ""))
             flat = ids.tobytes()
             for doc, (start, end) in zip(batch.column(0).to_pylist(), pairwise((4 * bounds).tolist())):

@@ -16,13 +16,13 @@ import pyarrow.compute as pc
 TOGETHER = 4 << 20
 
 
-def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
-    """The rows of a batch in runs whose texts, those of ``column``, come to no more than TOGETHER bytes, or are one text."""
+def slices(batch: pa.RecordBatch, column: int, most: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs whose texts, those of ``column``, come to no more than ``most`` bytes, or are one text."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     start = 0
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + TOGETHER, "right")))
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
         yield batch.slice(start, stop - start)
         start = stop
 

@@ -3,10 +3,12 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -540,3 +542,18 @@ def test_chat_recovers_missing_roles(spark):
     rows = [(1, i, None if i % 3 == 2 else ("user", "assistant")[i % 2], "text") for i in range(12)]
     got = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()
     assert all(r.role == ("user", "assistant")[r.turn % 2] for r in got)
+
+
+def test_training_rows_are_made_for_few_texts_at_once():
+    n = 3000
+    texts = [f"text {i} of many" for i in range(n)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * n), pa.array(map(str, range(n))), pa.array(range(1, n + 1), pa.int32()), pa.array(texts)], names=["lang", "id", "nth", "text"])
+    tracemalloc.start()
+    try:
+        rows = pa.Table.from_batches(language_id.packed_rows(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 32 << 20  # presence rows of all texts would be 98 MB
+    assert rows.column("id").to_pylist() == batch.column(1).to_pylist()
+    assert rows.column("bits").to_pylist() == [np.packbits(language_id.presence([t]).astype(bool)).tobytes() for t in texts]

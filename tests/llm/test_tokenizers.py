@@ -209,3 +209,13 @@ def test_memo_holds_words_without_their_signs():
     library = Tokenizer.from_file(WORD)
     assert [ids[a:b].tolist() for a, b in pairwise(bounds)] == [library.encode(x, add_special_tokens=False).ids for x in texts]
     assert coder.words.knows("de") and not any(coder.parts.knows(x) for x in ("de&&&", "De###", "de,"))
+
+
+def test_no_words_stay_in_a_worker_after_its_task(spark):
+    def kept(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(memo()) + len(memo().old) for memo in Memo.made if memo() is not None)])], names=["n"])
+
+    docs = spark.range(0, 2000, 1, 4).select(F.col("id").alias("doc_id"), F.expr("concat('word ', translate(cast(id as string), '0123456789', 'abcdefghij'))").alias("text"))
+    assert pack_documents(docs, WORD).count() == 2000
+    assert spark.range(0, 16, 1, 16).mapInArrow(kept, "n long").agg(F.max("n")).first()[0] == 0
