@@ -7,24 +7,24 @@ for each such shingle and band of sizes. In a tile, sizes and then bitmaps decid
 bits in which two hashed parity bitmaps differ bounds the overlap from above. Pairs that are
 left are settled by intersecting the sorted arrays.
 
-Equal sets are one class throughout. In a tile all sets are first compared with a few leaders;
-only sets that the leaders do not bring together are compared with each other.
+Equal sets are one class throughout. In a tile all sets are first compared with a few leaders,
+in large tiles then with a few others; only sets that these do not bring together are compared with each other.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from castline.llm.common import Memo, discard, forget_others, stored
+from castline.llm.common import discard, forget_others, stored
 from castline.llm.components import components
 from castline.llm.parts import slices
 
@@ -33,18 +33,15 @@ WORDS = 5
 ALIKE, PARTS = 75, 100
 #: Places of the table of shingle counts, whatever the number of documents, and rows in which it travels.
 PLACES, SLICES = 1 << 18, 64
-#: Leaders of a tile. All its sets are compared with them first, so many of a set's leaders in each round.
+#: Leaders of a tile, and as many others of a large one. All its sets are compared with them first, so many of a set's leaders in each round.
 LEADERS, STEPS = 16, (1, 3, 1_000_000)
-#: Distinct words whose hashes a worker keeps, in each of two generations.
-MEMO = 200_000
+#: Bytes of a word that are hashed with those of other words, eight at once; a longer one is hashed by itself.
+LONG = 256
+#: What is left of eight bytes if a word has so many more.
+LEFT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 TOP = np.uint64(1 << 63)
 
 
-@functools.lru_cache(maxsize=1)
-def word_hashes() -> Memo:
-    return Memo(lambda w: xxhash.xxh64_digest(w), MEMO)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread 64-bit values evenly (one to one)."""
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -52,18 +49,64 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted distinct shingle hashes: A-Z lower-cased, words between ASCII white space; none without words."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.frombuffer(b"".join(map(word_hashes().__getitem__, words)), np.uint64)
-    width = min(WORDS, len(words))
-    n = len(words) - width + 1
-    sums = h[:n].copy()
-    for i in range(1, width):
-        sums = sums * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
-    return np.unique(mix(sums + np.uint64(width)))
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of texts, A-Z lower-cased, between ASCII white space, and where each text begins and ends among them."""
+    whole = pc.fill_null(texts, "").cast(pa.large_binary())
+    bounds = np.frombuffer(whole.buffers()[1], np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    size = int(bounds[-1] - bounds[0])
+    if not size:
+        return np.zeros(0, np.uint64), np.zeros(len(whole) + 1, np.int64)
+    raw = np.frombuffer(whole.buffers()[2], np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    letters = np.zeros(size + 8, np.uint8)
+    letters[:size] = raw + (raw - np.uint8(65) < 26) * np.uint8(32)
+
+    # A word begins after white space or at the beginning of a text, and ends likewise.
+    inside = (raw != 32) & (raw - np.uint8(9) >= 5)
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    edges = bounds[(bounds > 0) & (bounds < size)]
+    begins[edges], ends[edges - 1] = inside[edges], inside[edges - 1]
+    starts = np.flatnonzero(begins)
+    sizes = np.flatnonzero(ends) + 1 - starts
+
+    eight = np.ndarray(size + 1, "<u8", letters, strides=(1,))
+    hashes = mix((eight[starts] & LEFT[np.minimum(sizes, 8)]) * np.uint64(0x9E3779B97F4A7C15) + sizes.astype(np.uint64))
+    more, at = np.flatnonzero((sizes > 8) & (sizes <= LONG)), 8
+    while len(more):
+        own = eight[starts[more] + at] & LEFT[np.minimum(sizes[more] - at, 8)]
+        hashes[more] = mix(hashes[more] * np.uint64(0xD6E8FEB86659FD93) + own)
+        at += 8
+        more = more[sizes[more] > at]
+    for i in np.flatnonzero(sizes > LONG):
+        hashes[i] = xxhash.xxh64_intdigest(letters[starts[i] : starts[i] + sizes[i]].data)
+    return hashes, np.searchsorted(starts, bounds)
+
+
+def shingle_sets(texts: pa.Array) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; none without words, and one of all words if they are few."""
+
+    def hashed(h: np.ndarray, width: int) -> np.ndarray:
+        n = max(len(h) - width + 1, 0)
+        sums = h[:n].copy()
+        for i in range(1, width):
+            sums = sums * np.uint64(0x9E3779B97F4A7C15) + h[i : i + n]
+        return mix(sums + np.uint64(width))
+
+    words, bounds = word_hashes(texts)
+    rows, sets = hashed(words, WORDS), []
+    for start, end in pairwise(bounds.tolist()):
+        if 0 < end - start < WORDS:
+            own = hashed(words[start:end], end - start)
+        else:
+            own = rows[start : max(end - WORDS + 1, start)]
+            own.sort()
+            new = own[1:] != own[:-1]
+            if not new.all():
+                own = np.concatenate([own[:1], own[1:][new]])
+        sets.append(own)
+    return sets
 
 
 def bitmap(items: np.ndarray) -> np.ndarray:
@@ -81,13 +124,13 @@ def document_sets(documents: DataFrame) -> tuple[DataFrame, np.ndarray]:
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_others(word_hashes())
+        forget_others()
         counts = np.zeros(PLACES, np.int64)
         names = ["doc_id", "doc_key", "n_shingles", "set_a", "set_b", "bits", "slice", "counts"]
         types: list = []
         for batch in chain.from_iterable(slices(whole, 2) for whole in batches):
             types = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64())]
-            sets = [shingles(t) for t in batch.column(2).to_pylist()]
+            sets = shingle_sets(batch.column(2))
             if any(map(len, sets)):
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(46)).astype(np.int64), minlength=PLACES)
             marks = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64) if len(s) else (None, None) for s in sets]
@@ -139,12 +182,11 @@ def tile_rows(documents: DataFrame, rank: np.ndarray) -> DataFrame:
     """(shingle, place, set_a, n) for the first shingles of every set; a task gives the rows of equal sets once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_others(word_hashes())
+        forget_others()
         seen: set[int] = set()
         for batch in chain.from_iterable(slices(whole, 0) for whole in batches):
             out: list[tuple] = []
-            for text in batch.column(0).to_pylist():
-                items = shingles(text)
+            for items in shingle_sets(batch.column(0)):
                 if len(items):
                     name = int(np.frombuffer(hashlib.blake2b(items.tobytes(), digest_size=16).digest(), np.int64)[0])
                     if name not in seen:
@@ -199,15 +241,15 @@ def items_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """(set_a, items) for the documents whose doc_key is wanted: the sorted array as bytes, once for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_others(word_hashes())
+        forget_others()
         seen: set[int] = set()
         for batch in chain.from_iterable(slices(whole, 1) for whole in batches):
             names, items = [], []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for name, own in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1))):
                 if name not in seen:
                     seen.add(name)
                     names.append(name)
-                    items.append(shingles(text).tobytes())
+                    items.append(own.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(items, pa.binary())], names=["set_a", "items"])
 
     texts = documents.where("text IS NOT NULL").select(doc_key().alias("doc_key"), "text")
@@ -239,13 +281,19 @@ def tiles_of(documents: DataFrame, rank: np.ndarray) -> DataFrame:
 def links_of(documents: DataFrame, nodes: DataFrame, rank: np.ndarray) -> DataFrame:
     """Links (a, b) between the sets of ``nodes`` (set_a, n, bits, doc_key), enough of them to connect all that are alike; stored."""
     ends, met = nodes.select("set_a", "doc_key"), tiles_of(documents, rank)
+    made = [met]
+
+    def lacking(pairs: DataFrame, items: DataFrame) -> DataFrame:
+        """The items with those of further sets; few are wanted still. Stored, their table has a known size: Spark broadcasts it if it is small, and the texts need no shuffle."""
+        wanted = stored(ends_of(pairs).join(items, "set_a", "left_anti").join(ends, "set_a"), "wanted")
+        more = stored(items_of(documents, wanted), "items")
+        made.extend([wanted, more])
+        return items.unionByName(more)
 
     # Each set and the leaders of its tiles, as far as sizes, places and bitmaps allow.
-    turn = F.row_number().over(Window.partitionBy("shingle", "band").orderBy("set_a"))
-    leaders = met.withColumn("turn", turn).where(F.col("turn") <= LEADERS).select("shingle", "band", F.col("set_a").alias("a"), F.col("n").alias("n_a"), F.col("place").alias("place_a"))
-    led = met.select("shingle", "band", F.col("set_a").alias("b"), F.col("n").alias("n_b"), F.col("place").alias("place_b")).join(leaders, ["shingle", "band"])
-    led = stored(ruled_in(led.where(f"a < b AND {SIZES_FIT} AND {PLACES_FIT}").select("a", "b").distinct(), nodes), "led")
+    led = stored(ruled_in(leader_pairs(grouped(met, None, "set_a"), F.col("set_a").asc()), nodes), "led")
     items = stored(items_of(documents, ends_of(led).join(ends, "set_a")), "items")
+    made += [led, items]
 
     # Rounds of exact comparisons; a set that has been linked needs no further leader of the same component.
     links, parts, tried = None, None, 0
@@ -259,16 +307,34 @@ def links_of(documents: DataFrame, nodes: DataFrame, rank: np.ndarray) -> DataFr
         discard(*before)
         tried += step
 
+    # Leaders may be far from the rest of a large tile: others, from the end of its order, are tried once.
+    crowd = F.count("*").over(Window.partitionBy("shingle", "band"))
+    crowded = grouped(met, parts, "set_a").withColumn("crowd", crowd).where(F.col("crowd") > LEADERS)
+    others = stored(ruled_in(leader_pairs(crowded, F.col("set_a").desc()), nodes), "led")
+    made.append(others)
+    if others.head(1):
+        items = lacking(others, items)
+        before = links, parts
+        links = stored(links.unionByName(settle(others, items)), "links")
+        parts = stored(components(links), "parts")
+        discard(*before)
+
     # What the leaders did not bring together is compared pair by pair.
     across = stored(ruled_in(tile_pairs(grouped(met, parts, "set_a")), nodes), "across")
-    # Few texts are wanted still. Stored, their table has a known size: Spark broadcasts it if it is small, and the texts need no shuffle.
-    lacking = stored(ends_of(across).join(items, "set_a", "left_anti").join(ends, "set_a"), "wanted")
-    more = stored(items_of(documents, lacking), "items")
-    linked = stored(links.unionByName(settle(across, items.unionByName(more))), "links")
-    discard(met, led, items, links, parts, across, lacking, more)
+    linked = stored(links.unionByName(settle(across, lacking(across, items))), "links")
+    discard(*made, links, parts, across)
     return linked
 
 
+def leader_pairs(tiles: DataFrame, order: Column) -> DataFrame:
+    """Pairs (a, b) of a set and a leader of its tile, the first ones of an order, that lie in different components and that sizes and places allow."""
+    columns = lambda end: [F.col(c).alias(f"{name}_{end}") for c, name in (("set_a", "set"), ("n", "n"), ("place", "place"), ("part_set_a", "part"))]
+    turn = F.row_number().over(Window.partitionBy("shingle", "band").orderBy(order))
+    leaders = tiles.withColumn("turn", turn).where(F.col("turn") <= LEADERS).select("shingle", "band", *columns("a"))
+    met = tiles.select("shingle", "band", *columns("b")).join(leaders, ["shingle", "band"]).where(f"part_a != part_b AND {SIZES_FIT} AND {PLACES_FIT}")
+    return met.select(F.least("set_a", "set_b").alias("a"), F.greatest("set_a", "set_b").alias("b")).distinct()
+
+
 def tile_pairs(tiles: DataFrame) -> DataFrame:
     """Pairs of sets in a tile that lie in different components and that sizes and places allow."""
     key = Window.partitionBy("shingle")

@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
@@ -81,6 +82,20 @@ def test_join_equals_all_pairs(spark, seed):
     assert all(r.n_shingles == len(word_set(dict(rows)[r.doc_id])) for r in got)
 
 
+def test_other_leaders_of_large_tiles(spark, monkeypatch):
+    """One leader a tile is often far from near copies of one text; others bring most together, so few pairs are left, and none is lost."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(9999)}" for _ in range(200)]
+    texts = [" ".join(w if rng.random() > rng.choice([0, 0.02, 0.03]) else f"x{rng.randrange(9999)}" for w in base) for _ in range(150)]
+    left, pairs = [], ngram_join.tile_pairs
+    monkeypatch.setattr(ngram_join, "LEADERS", 1)
+    monkeypatch.setattr(ngram_join, "tile_pairs", lambda tiles: left.append((found := pairs(tiles)).count()) or found)
+    rows = list(enumerate(texts))
+    got = ngram_join.near_duplicates(frame(spark, [(i, t, None) for i, t in rows])).collect()
+    assert {r.doc_id: r.component_id for r in got} == groups(rows)
+    assert left[0] < 1800  # 1,899 without the others
+
+
 @pytest.mark.parametrize("seed", [3])
 def test_all_links_equal_all_pairs(spark, seed):
     texts = [*varied(seed, 200), None, "", "One", "one"]
@@ -109,6 +124,42 @@ def test_join_without_ids_and_rows(spark):
     assert ngram_join.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_shingles_are_told_apart_as_words_are():
+    """Words of all lengths about eight bytes, long ones, zero bytes, signs that are no ASCII white space, nulls and slices."""
+    rng = random.Random(5)
+    words = ["a" * n + c for n in (0, 6, 7, 8, 15, 16, 255, 256, 300) for c in ("A", "b", "\0", "\0\0", "é", "\x1c", "\x85", "\u3000")]
+    rows = [None, "", " \n", *["".join(rng.choice(words) + rng.choice(" \t\n\r\x0b\f") * rng.randint(1, 2) for _ in range(rng.randint(0, 9))) + rng.choice(words) for _ in range(400)]]
+    rows = rows + [(x or "").swapcase() if rng.random() < 0.5 else x for x in rows] + ["a", "", "b", None, "a b"]
+    whole = pa.array(rows)
+    want = [word_set(x) for x in rows]
+    for batch in (whole, whole.cast(pa.large_string()), whole.slice(3, 500)):
+        start = 3 if len(batch) == 500 else 0
+        got = ngram_join.shingle_sets(batch)
+        assert [len(x) for x in got] == [len(x) for x in want[start : start + len(batch)]]
+        known = {}
+        for x, y in zip(got, want[start:]):
+            assert (x[1:] > x[:-1]).all()
+            assert known.setdefault(x.tobytes(), y) == y
+        assert len(known) == len({frozenset(y) for y in want[start : start + len(batch)]})
+
+
+def test_new_words_cost_little(spark):
+    """Texts of words that none else has take less than four times as long as cutting them: no call for each word."""
+    texts = [" ".join(f"x{i}y{j}" for j in range(500)) for i in range(400)]
+    docs = frame(spark, [(i, x, None) for i, x in enumerate(texts)]).repartition(1).select("doc_id", "text")
+    taken = []
+
+    def timed(work):
+        start = time.process_time()
+        work()
+        return time.process_time() - start
+
+    for _ in range(3):
+        taken.append((timed(lambda: ngram_join.shingle_sets(pa.array(texts))), timed(lambda: [x.encode().lower().split() for x in texts])))
+    assert min(t for t, _ in taken) < 4 * min(t for _, t in taken), taken
+    assert {r.n_shingles for r in ngram_join.near_duplicates(docs).collect()} == {496}
+
+
 def test_bitmaps_never_rule_out(spark):
     rng = np.random.default_rng(1)
     for n, m in ((10, 12), (100, 140), (64, 65)):
