@@ -113,6 +113,19 @@ class Memo(dict):
     def knows(self, key) -> bool:
         return key in self or key in self.old
 
+    def known(self, keys: list) -> list:
+        """The values of many keys at once, None for those that are not kept; what the old generation has moves to the young one."""
+        found = list(map(self.get, keys))
+        if self.old:
+            moved = {}
+            for i, value in enumerate(found):
+                if value is None:
+                    found[i] = value = self.old.get(keys[i])
+                    if value is not None:
+                        moved[keys[i]] = value
+            self.keep(moved)
+        return found
+
     def keep(self, values: dict) -> None:
         """Put in what was computed elsewhere, as far as there is room for it."""
         short = {key: value for key, value in islice(values.items(), self.most) if len(key) <= self.LONGEST}

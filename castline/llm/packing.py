@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from castline.llm.common import Memo, forget_others, stored
 from castline.llm.parts import coded_parts, gathered, slices
@@ -52,6 +52,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # For words of lower-case letters alone, cut at spaces: what the vocabulary does to texts first leaves them as they are.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.no_truncation()
+        self.plain.no_padding()
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -63,7 +69,7 @@ class Encoder:
 
     def learn(self, words: list[str]) -> dict[str, bytes]:
         """The ids of many words of letters, asked for at once; none if they can't be told apart."""
-        ids = np.asarray(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ids = np.asarray(self.plain.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
         stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
         if len(stops) != len(words):
             return {}  # each will be asked for by itself
@@ -77,14 +83,15 @@ class Encoder:
 
     def values(self, distinct: list[str]) -> list[bytes]:
         """The ids of words of letters; new ones are asked for together."""
-        words = self.words
-        new = [word for word in distinct if not words.knows(word)]
-        own: dict[str, bytes] = {}
+        found = self.words.known(distinct)
+        new = [i for i, value in enumerate(found) if value is None]
         for start in range(0, len(new), ASKED):
-            own |= self.learn(new[start : start + ASKED])
-        result = [own[word] if word in own else words[word] for word in distinct]
-        words.keep(own)
-        return result
+            places = new[start : start + ASKED]
+            own = self.learn([distinct[i] for i in places])
+            self.words.keep(own)
+            for i in places:
+                found[i] = own[distinct[i]] if own else self.words[distinct[i]]
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts, and where each text begins and ends among them.
@@ -96,16 +103,18 @@ class Encoder:
         letters = pc.ascii_rtrim(distinct, SIGNS)
         plain = pc.and_(pc.utf8_is_alpha(letters), pc.invert(pc.match_substring_regex(distinct, UNSTABLE)))
         words = pc.utf8_lower(letters.filter(plain)).dictionary_encode()
-        signs = pc.replace_substring_regex(distinct.filter(plain), LETTERS, "").dictionary_encode()
+        signed = pc.and_(plain, pc.not_equal(letters, distinct))
+        signs = pc.replace_substring_regex(distinct.filter(signed), LETTERS, "").dictionary_encode()
         others = [self.parts[text] for text in distinct.filter(pc.invert(plain)).to_pylist()]
-        values = [*self.values(words.dictionary.to_pylist()), *[self.words[text] if text else b"" for text in signs.dictionary.to_pylist()], *others, b""]
+        values = [*self.values(words.dictionary.to_numpy(zero_copy_only=False).tolist()), *map(self.words.__getitem__, signs.dictionary.to_pylist()), *others, b""]
         flat = np.frombuffer(b"".join(values), "<u4")
         sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
         # Each part is two of these values; the last one, which is empty, is the second of what stays whole.
-        is_plain, first = plain.to_numpy(zero_copy_only=False).astype(bool), len(words.dictionary) + len(signs.dictionary)
+        is_plain, is_signed = (kind.to_numpy(zero_copy_only=False).astype(bool) for kind in (plain, signed))
+        first = len(words.dictionary) + len(signs.dictionary)
         halves = np.full((len(distinct), 2), len(values) - 1)
         halves[is_plain, 0] = words.indices.to_numpy()
-        halves[is_plain, 1] = len(words.dictionary) + signs.indices.to_numpy()
+        halves[is_signed, 1] = len(words.dictionary) + signs.indices.to_numpy()
         halves[~is_plain, 0] = first + np.arange(len(others))
         ids, ends = gathered(flat, np.cumsum(sizes) - sizes, sizes, halves.ravel(), 2 * np.arange(len(distinct) + 1))
         return gathered(ids, ends[:-1], np.diff(ends), codes, bounds)

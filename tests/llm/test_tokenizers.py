@@ -136,6 +136,27 @@ def test_memos_keep_short_keys_only():
         assert memo[str(i)] == len(str(i)) and len(memo) <= 4 and len(memo.old) <= 4
 
 
+def test_memo_gives_many_values_at_once():
+    memo = Memo(len, 4)
+    memo.keep({"a": 1, "bb": 2, "ccc": 3})
+    memo.keep({"dd": 2, "ee": 2})
+    assert memo.old.keys() == {"a", "bb", "ccc"}
+    assert memo.known(["bb", "z", "ee", "bb", "y" * 65]) == [2, None, 2, 2, None]
+    assert "bb" in memo and "z" not in memo and len(memo) <= 4
+
+
+def test_known_words_are_not_looked_up_one_by_one(monkeypatch):
+    """Words of a slice that the one before had are found without a call for each."""
+    coder, calls = Encoder(WORD), []
+    words = [f"{a}{b}{c}" for a in "abcdefgh" for b in "ijklmnop" for c in "qrstuvwx"]
+    before = coder.encode(pa.array([" ".join(words)]))[0].tolist()
+    for name in ("knows", "__missing__"):
+        monkeypatch.setattr(Memo, name, lambda self, key, f=getattr(Memo, name): calls.append(key) or f(self, key))
+    assert coder.encode(pa.array([" ".join(words)]))[0].tolist() == before
+    assert before == Tokenizer.from_file(WORD).encode(" ".join(words), add_special_tokens=False).ids
+    assert not calls
+
+
 def test_slices_hold_every_row_once():
     batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["x" * n if n is not None else None for n in (0, TOGETHER, 5, None, TOGETHER + 9, 1)])], names=["i", "text"])
     assert [x.column(0).to_pylist() for x in slices(batch, 1)] == [[0, 1], [2, 3], [4], [5]]
