@@ -52,6 +52,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return found
 
 
+#: Spark's setting for the bytes of an Arrow batch that goes to Python.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> Iterator[None]:
+    """What is written inside hands rows to Python in batches of about ``most`` bytes, unless the session has a size of its own.
+
+    Else a batch has 10,000 rows whatever they weigh: texts of some kilobytes are copied into tens of megabytes in
+    the JVM, and again in the worker, which has the batch before still in hand. The setting is taken back at the end.
+    """
+    if spark.conf.get(BATCH_BYTES, None) is not None:
+        yield
+        return
+    spark.conf.set(BATCH_BYTES, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH_BYTES)
+
+
 _scratch: list[list[str]] = []
 
 

@@ -25,13 +25,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
-from castline.llm.common import Memo, forget_others, stored
+from castline.llm.common import Memo, forget_others, small_batches, stored
 from castline.llm.parts import coded_parts, gathered, slices
 
 #: Distinct words, and distinct strings between spaces, that a worker keeps at most in each of two generations.
-MEMO = 250_000
+MEMO = 150_000
 #: Bytes of text that are encoded together: places of their parts take many times as much.
-ENCODED = 2 << 20
+ENCODED = 1 << 20
 #: New words that the library is asked for together.
 ASKED = 20_000
 #: Id put after each document.
@@ -247,7 +247,8 @@ def pack_documents(documents: DataFrame, path: str, size: int = 2048, keep_ids:
         kinds = [pa.int64() if kind == "bigint" else None, pa.int32(), *[pa.int64()] * 3, pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    rows = stored(documents.select("doc_id", "text").mapInArrow(run, schema), "pieces")
+    with small_batches(documents.sparkSession):
+        rows = stored(documents.select("doc_id", "text").mapInArrow(run, schema), "pieces")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids, "sequence_id", "offset"]
     loose = rows.where("open")
     counts = {n: count for n, count in loose.groupBy("length").count().collect()}

@@ -10,10 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from castline.llm import queries
+from castline.llm import packing, queries
 from castline.llm.bpe_automaton import Automaton, encode_texts
 from castline.llm.byte_pairs import Vocabulary
-from castline.llm.common import Memo
+from castline.llm.common import BATCH_BYTES, Memo, small_batches
 from castline.llm.packing import Encoder, SumOfSquares, pack_documents, placed, plan_of
 from castline.llm.parts import TOGETHER, slices
 from castline.llm.token_counts import count_tokens, count_word
@@ -240,3 +240,26 @@ def test_no_words_stay_in_a_worker_after_its_task(spark):
     docs = spark.range(0, 2000, 1, 4).select(F.col("id").alias("doc_id"), F.expr("concat('word ', translate(cast(id as string), '0123456789', 'abcdefghij'))").alias("text"))
     assert pack_documents(docs, WORD).count() == 2000
     assert spark.range(0, 16, 1, 16).mapInArrow(kept, "n long").agg(F.max("n")).first()[0] == 0
+
+
+def test_packing_gets_texts_in_small_batches(spark, monkeypatch):
+    """Batches of 10,000 rows, whatever they weigh, lay twice in each worker and in the JVM."""
+    seen = []
+    monkeypatch.setattr(packing, "stored", lambda df, name, f=packing.stored: seen.append(spark.conf.get(BATCH_BYTES, None)) or f(df, name))
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 800).alias("text"))
+    assert pack_documents(docs, WORD).count() == 3000
+    assert len(seen) == 1 and int(seen[0]) <= 4 << 20 and spark.conf.get(BATCH_BYTES, None) is None
+    weigh = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"]) for b in batches)
+    with small_batches(spark, 1 << 20):
+        sizes = [r.n for r in docs.mapInArrow(weigh, "n long").collect()]
+    assert len(sizes) >= 12 and max(sizes) < 1.1 * (1 << 20)
+
+
+def test_small_batches_leave_a_size_that_the_session_has(spark):
+    spark.conf.set(BATCH_BYTES, "123456")
+    try:
+        with small_batches(spark):
+            assert spark.conf.get(BATCH_BYTES) == "123456"
+        assert spark.conf.get(BATCH_BYTES) == "123456"
+    finally:
+        spark.conf.unset(BATCH_BYTES)
