@@ -24,11 +24,12 @@ from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from castline.llm.byte_pairs import Vocabulary, cut_words, load, parts_of
+from castline.llm.byte_pairs import Vocabulary, cut_parts, cut_texts, cut_words, halved, load
 from castline.llm.common import Memo
-from castline.llm.parts import dealt, gathered, slices
+from castline.llm.parts import dealt, gathered, numbered, slices
 
 #: Distinct words, and distinct strings between spaces, that a Python worker keeps at most in each of two generations.
 MEMO = 200_000
@@ -196,32 +197,46 @@ def encoder(path: str):
     """The automaton of a worker and its function from texts to ids and their bounds, with its memos."""
     vocabulary = load(path)
     automaton, special = Automaton(vocabulary), vocabulary.special
-    words = Memo(lambda w: np.array(automaton.encode_word(w.encode()), np.int32).tobytes(), MEMO)
-    parts = Memo(lambda p: np.array([special[p]], np.int32).tobytes() if p in special else b"".join(map(words.__getitem__, cut_words(p))), MEMO)
-
-    def values(distinct: list[str]) -> list[bytes]:
-        """The ids of parts; their new words are read side by side."""
-        cut = {p: cut_words(p) for p in distinct if not parts.knows(p) and p not in special}
-        new = [w for w in dict.fromkeys(chain.from_iterable(cut.values())) if not words.knows(w)]
-        own = dict(zip(new, automaton.encode_words([w.encode() for w in new])))
-        made = {p: b"".join([own[w] if w in own else words[w] for w in found]) for p, found in cut.items()}
-        result = [made[p] if p in made else parts[p] for p in distinct]
-        words.keep(own)
-        parts.keep(made)
-        return result
-
-    def encode(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = []
-        for at, distinct, codes, bounds in parts_of(texts, vocabulary):
-            found.append((at, *dealt(values(distinct), "i4", codes, bounds)))
-        if len(found) == 1:
-            return found[0][1:]
+    words, parts = Memo(lambda w: read([w])[0], MEMO), Memo(lambda p: parts_read([p])[0], MEMO)
+
+    def read(own: list[str]) -> list[bytes]:
+        """The ids of distinct words; new ones are read side by side."""
+        found = words.known(own)
+        new = [i for i, value in enumerate(found) if value is None]
+        made = automaton.encode_words([own[i].encode() for i in new])
+        for i, value in zip(new, made):
+            found[i] = value
+        words.keep({own[i]: value for i, value in zip(new, made)})
+        return found
+
+    def parts_read(own: list[str]) -> list[bytes]:
+        """The ids of distinct parts, which are cut into words."""
+        found = parts.known(own)
+        new = [i for i, value in enumerate(found) if value is None]
+        cut = [[] if own[i] in special else cut_words(own[i]) for i in new]
+        distinct = list(dict.fromkeys(chain.from_iterable(cut)))
+        ids = dict(zip(distinct, read(distinct)))
+        for i, cuts in zip(new, cut):
+            found[i] = np.array([special[own[i]]], np.int32).tobytes() if own[i] in special else b"".join([ids[w] for w in cuts])
+        parts.keep({own[i]: found[i] for i in new})
+        return found
+
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        plain, distinct, codes, bounds = cut_texts(texts, vocabulary)
+        halves = halved(distinct)
+        ids, ends = dealt([*read(halves.words), *parts_read(halves.others), b""], "i4", halves.codes, 3 * np.arange(len(distinct) + 1))
+        found, at = [gathered(ids, ends[:-1], np.diff(ends), codes, bounds)], np.flatnonzero(plain)
+        if len(at) == len(texts):
+            return found[0]
+        odd = texts.filter(pa.array(~plain)).to_pylist()
+        distinct, codes, bounds = numbered([cut_parts(text, vocabulary) for text in odd])
+        found.append(dealt(parts_read(distinct), "i4", codes, bounds))
         # Back into the order of the texts.
         starts, sizes, before = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), 0
-        for at, ids, bounds in found:
+        for at, (ids, bounds) in zip((at, np.flatnonzero(~plain)), found):
             starts[at], sizes[at] = before + bounds[:-1], np.diff(bounds)
             before += len(ids)
-        flat = np.concatenate([np.zeros(0, np.int32), *(ids for _, ids, _ in found)])
+        flat = np.concatenate([ids for ids, _ in found])
         return gathered(flat, starts, sizes, np.arange(len(texts)), np.arange(len(texts) + 1))
 
     return automaton, encode
@@ -239,7 +254,7 @@ def encode_texts(documents: DataFrame, path: str) -> DataFrame:
         automaton, encode = encoder(path)
         for whole in batches:
             for batch in slices(whole, 1):
-                ids, bounds = encode([t or "" for t in batch.column(1).to_pylist()])
+                ids, bounds = encode(pc.fill_null(batch.column(1), ""))
                 emitted, ends = automaton.decode(ids, bounds)
                 emitted = emitted.tobytes()
                 decoded = [emitted[start:end].decode(errors="replace") for start, end in pairwise(ends.tolist())]

@@ -33,9 +33,9 @@ def distinct_parts(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return distinct.to_pylist(), codes, bounds
 
 
-def coded_parts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def coded_parts(texts: pa.Array, separator: str = " ") -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """As ``distinct_parts``, with the strings as an Arrow array."""
-    lists = pc.split_pattern(texts, " ")
+    lists = pc.split_pattern(texts, separator)
     bounds = lists.offsets.to_numpy().astype(np.int64)
     coded = lists.flatten().dictionary_encode()
     return coded.dictionary, coded.indices.to_numpy().astype(np.int64), bounds - bounds[0]

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from castline.llm import packing, queries
+from castline.llm import bpe_automaton, packing, queries
 from castline.llm.bpe_automaton import Automaton, encode_texts
 from castline.llm.byte_pairs import Vocabulary
 from castline.llm.common import BATCH_BYTES, Memo, small_batches
@@ -263,3 +263,28 @@ def test_small_batches_leave_a_size_that_the_session_has(spark):
         assert spark.conf.get(BATCH_BYTES) == "123456"
     finally:
         spark.conf.unset(BATCH_BYTES)
+
+
+def test_letters_and_signs_are_cut_together(monkeypatch):
+    """The pattern was run on every distinct string between spaces; now only on those that are not letters and then signs."""
+    asked = []
+    monkeypatch.setattr(bpe_automaton, "cut_words", lambda part, f=bpe_automaton.cut_words: asked.append(part) or f(part))
+    _, encode = bpe_automaton.encoder.__wrapped__(BYTE)
+    rows = ["".join(f"Wort{'abcdefghij'[i % 10]}ü{sign} des\nJahrs{sign} " for sign in ("", ".", ",", "!?"))[:-1] for i in range(50)] + ["it's 12 don't"]
+    ids, bounds = encode(pa.array(rows))
+    library = Tokenizer.from_file(BYTE)
+    assert [ids[a:b].tolist() for a, b in pairwise(bounds)] == [library.encode(t, add_special_tokens=False).ids for t in rows]
+    assert sorted(asked) == [" 12", " don't", "it's"]
+
+
+def test_cutting_equals_the_library():
+    """Every letter that Arrow may cut at, white space side by side, line ends, marks; slices without a plain text, and without text."""
+    library, rng = Tokenizer.from_file(BYTE), random.Random(5)
+    _, encode = bpe_automaton.encoder(BYTE)
+    pieces = ["a", "T", " ", " ", " ", "iN", "1", "é", "\n", "\n", "<|endoftext|>", "'s", "'", ".", "日", "\u3000", "ß", "\0", "\t", "\r", "\x1c", "\x85", "\xa0", "!?", "ª", "²", "\u0301"]
+    rows = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(8000)]
+    rows += ["a" + chr(c) + "b " + chr(c) + "c\n" + chr(c) + "'" for c in range(0x400)]
+    for own in (rows, [" a", "b  c", "\0"], ["", "", "\n", "\n\n", "\na", "a\n\n"], ["<|endoftext|>"], [""]):
+        ids, bounds = encode(pa.array(own))
+        for text, a, b in zip(own, bounds, bounds[1:]):
+            assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids, text
